@@ -587,3 +587,219 @@ on_ledger(
     with_ledger(f"SELECT ROW_NUMBER() OVER (ORDER BY {N_ORDER}) AS N, Num, strftime(Date, '%Y-%m-%d') AS Date, Account, CAST(Amount AS DOUBLE) AS Amount FROM txns"),
     lambda lg: lg.txns_numbered().select("N", "Num", "Date", "Account", "Amount"),
 )
+
+# ---------------------------------------------------------------------------------------------
+# export ingestion
+
+from datetime import date as _date  # noqa: E402
+
+from ..operators import normalize as N  # noqa: E402
+from ..sources import export_binding as EB  # noqa: E402
+from ..sources import exports as X  # noqa: E402
+from . import ingest as I  # noqa: E402
+
+_ORDERS_SQL = """
+o AS (SELECT o_orderkey, o_orderkey // 1000 AS fk,
+        CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN '**VOID**' ELSE CAST(o_orderkey AS VARCHAR) END AS Num,
+        CAST(o_orderdate AS DATE) AS Date, c_name AS Payee, n_name AS Account, o_orderpriority AS Memo,
+        CAST(-CAST(o_totalprice AS DECIMAL(15,4)) AS DECIMAL(15,4)) AS Amount, o_orderstatus AS C,
+        (SELECT COUNT(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS parts
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+flat AS (
+  SELECT 'txns_' || CAST(o.fk AS VARCHAR) AS file, o.Num, o.Date, o.Payee, o.Account, p_type AS Category,
+    CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS Subcategory,
+    CAST((CASE WHEN p_type = 'PROMO' OR l_returnflag = 'R' THEN 1 ELSE -1 END) * CAST(l_extendedprice AS DECIMAL(15,4)) AS DECIMAL(15,4)) AS Amount,
+    l_linestatus AS C, COALESCE(CASE WHEN l_linenumber = 1 THEN l_returnflag END, o.Memo) AS Memo, 'Y' AS Split
+  FROM lineitem JOIN o ON l_orderkey = o.o_orderkey JOIN part ON l_partkey = p_partkey
+  UNION ALL
+  SELECT 'txns_' || CAST(fk AS VARCHAR), Num, Date, Payee, Account, 'ORDER', NULL, Amount, C, Memo, NULL FROM o WHERE parts = 0)
+"""
+_FLAT_COLS = ["Num", "Date", "Payee", "Account", "Category", "Subcategory", "Amount", "C", "Memo", "Split"]
+_FLAT_SQL = "Num, strftime(Date, '%Y-%m-%d') AS Date, Payee, Account, Category, Subcategory, CAST(Amount AS DOUBLE) AS Amount, C, Memo, Split"
+
+
+def _sql(body: str, ctes: str = _ORDERS_SQL) -> str:
+    return f"WITH {ctes.strip()}\n{body.strip()}"
+
+
+def _txn_import(spark: SparkSession, sf: str) -> I.TxnImport:
+    return I.parse_txn_exports(EB.txn_export_lines(spark, sf))
+
+
+def _all_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return EB.txn_export_lines(spark, sf).unionByName(EB.balance_export_lines(spark, sf)).unionByName(EB.spending_export_lines(ledger_for(spark, sf).view))
+
+
+register(
+    "classify_exports",
+    _sql("SELECT DISTINCT 'txns_' || CAST(o_orderkey // 1000 AS VARCHAR) AS file, 'account_txns' AS kind FROM orders "
+         "UNION ALL SELECT 'balances', 'account_balances' UNION ALL SELECT 'spending', 'income_spending'", "x AS (SELECT 1)"),
+)(lambda spark, sf: X.classify_exports(_all_lines(spark, sf)))
+
+register(
+    "read_export",
+    _sql(
+        """SELECT 'txns_' || CAST(f.k AS VARCHAR) AS file, f.n + COALESCE(g.n, 0) + 1 AS rows, f.n AS dated
+           FROM (SELECT o_orderkey // 1000 AS k, COUNT(*) AS n FROM orders GROUP BY 1) f
+           LEFT JOIN (SELECT l_orderkey // 1000 AS k, COUNT(*) AS n FROM lineitem GROUP BY 1) g USING (k)""",
+        "x AS (SELECT 1)",
+    ),
+)(lambda spark, sf: X.read_export(EB.txn_export_lines(spark, sf), X.KINDS["account_txns"]).groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.count("Date").alias("dated")))
+
+register(
+    "footer_total",
+    _sql("SELECT file, CAST(SUM(Amount) AS DOUBLE) AS Total FROM flat WHERE Num <> '**VOID**' GROUP BY file"),
+)(lambda spark, sf: _txn_import(spark, sf).footer)
+
+register(
+    "flatten_splits",
+    _sql(f"SELECT {_FLAT_SQL} FROM flat"),
+)(
+    lambda spark, sf: N.flatten_splits(
+        N.parse_dates(N.with_split_category(N.normalize_amounts(X.split_footer(X.read_export(EB.txn_export_lines(spark, sf), X.KINDS["account_txns"]), "Grand Total", "Num")[0], ["Amount"])[0]))[0]
+    ).select(*_FLAT_COLS)
+)
+
+register("drop_voids", _sql(f"SELECT {_FLAT_SQL} FROM flat WHERE Num <> '**VOID**'"))(lambda spark, sf: _txn_import(spark, sf).rows.select(*_FLAT_COLS))
+
+register(
+    "check_txn_total",
+    _sql("SELECT file, CAST(SUM(Amount) AS DOUBLE) AS rows_total, CAST(SUM(Amount) AS DOUBLE) AS footer_total, TRUE AS ok FROM flat WHERE Num <> '**VOID**' GROUP BY file"),
+)(lambda spark, sf: _txn_import(spark, sf).check_total())
+
+register(
+    "import_window",
+    _sql("SELECT Account, COUNT(*) AS n, CAST(SUM(Amount) AS DOUBLE) AS total FROM flat WHERE Num <> '**VOID**' AND Date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY Account"),
+)(lambda spark, sf: _txn_import(spark, sf).windowed(_date(1997, 1, 1), _date(1997, 12, 31)).groupBy("Account").agg(F.count(F.lit(1)).alias("n"), F.sum("Amount").alias("total")))
+
+register(
+    "union_txns",
+    _sql(
+        """SELECT ROW_NUMBER() OVER (ORDER BY Date, seq, file, line_key, Amount, Category, Subcategory NULLS FIRST, C, Memo NULLS FIRST) AS N,
+             strftime(Date, '%Y-%m-%d') AS Date, Num, CAST(Amount AS DOUBLE) AS Amount, seq AS file_seq
+           FROM (SELECT *, 0 AS seq, 0 AS line_key FROM flat WHERE Num <> '**VOID**'
+                 UNION ALL SELECT *, 1, 0 FROM flat WHERE Num <> '**VOID**' AND year(Date) = 1999) u"""
+    ),
+)(
+    lambda spark, sf: (
+        lambda rows: N.union_txns(
+            [rows.withColumn("_lk", F.lit(0)), rows.filter(F.year("Date") == 1999).withColumn("_lk", F.lit(0))],
+            order=["Date", "file_seq", "file", "_lk", "Amount", "Category", "Subcategory", "C", "Memo"],
+        ).select("N", "Date", "Num", "Amount", F.col("file_seq").cast("long").alias("file_seq"))
+    )(_txn_import(spark, sf).rows)
+)
+
+
+def _supplier_amount_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Supplier balances written the ways exports write money, plus one unparseable style."""
+    s = read_supplier(spark, sf)
+    bal = F.col("s_acctbal").cast("decimal(15,2)")
+    text = (
+        F.when(F.col("s_suppkey") % 7 == 0, F.concat(F.lit("- "), F.format_number(F.abs(bal), 2)))
+        .when(bal < 0, F.concat(F.lit("("), F.format_number(-bal, 2), F.lit(")")))
+        .when(F.col("s_suppkey") % 3 == 0, F.concat(F.format_number(bal, 2), F.lit("%")))
+        .when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit(" $"), F.format_number(bal, 2), F.lit(" ")))
+        .otherwise(F.format_number(bal, 2))
+    )
+    return s.select("s_suppkey", text.alias("raw"))
+
+
+def read_supplier(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.binding import read_table
+
+    return read_table(spark, sf, "supplier")
+
+
+_AMOUNT_SQL = """
+SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST(CAST(s_acctbal AS DECIMAL(15,2)) AS DOUBLE) END AS Amount FROM supplier
+"""
+register("normalize_amounts", _sql(_AMOUNT_SQL, "x AS (SELECT 1)"))(
+    lambda spark, sf: N.normalize_amounts(_supplier_amount_text(spark, sf).withColumnRenamed("raw", "Amount"), ["Amount"])[0]
+)
+register(
+    "amount_rejects",
+    _sql("SELECT 'Amount' AS column, '- ' || format('{:,.2f}', abs(CAST(s_acctbal AS DECIMAL(15,2)))) AS value FROM supplier WHERE s_suppkey % 7 = 0", "x AS (SELECT 1)"),
+)(lambda spark, sf: N.normalize_amounts(_supplier_amount_text(spark, sf).withColumnRenamed("raw", "Amount"), ["Amount"])[1].select("column", "value"))
+
+
+def _category_text(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.binding import read_table
+
+    p = read_table(spark, sf, "part")
+    text = (
+        F.when(F.col("p_size") % 5 == 0, F.col("p_type"))
+        .when(F.col("p_size") % 5 == 1, F.concat(F.col("p_type"), F.lit(" :")))
+        .when(F.col("p_size") % 5 == 2, F.concat(F.lit(" "), F.col("p_type"), F.lit("  :  "), F.col("p_brand"), F.lit(" ")))
+        .otherwise(F.concat(F.col("p_type"), F.lit(":"), F.col("p_brand"), F.lit(" : x")))
+    )
+    return p.select("p_partkey", text.alias("Category"))
+
+
+register(
+    "split_category",
+    _sql(
+        """SELECT p_partkey,
+             CASE WHEN p_size % 5 = 2 THEN ' ' || p_type ELSE p_type END AS Category,
+             CASE WHEN p_size % 5 IN (0, 1) THEN NULL WHEN p_size % 5 = 2 THEN p_brand || ' ' ELSE p_brand || ' : x' END AS Subcategory
+           FROM part""",
+        "x AS (SELECT 1)",
+    ),
+)(lambda spark, sf: N.with_split_category(_category_text(spark, sf)))
+
+_BAL_SQL = """
+b AS (SELECT n_name AS Account, CAST(COALESCE(SUM(CAST(s_acctbal AS DECIMAL(15,4))), 0) AS DECIMAL(15,4)) AS Total,
+        CASE WHEN r_regionkey <= 2 THEN 'Assets' ELSE 'Liabilities' END AS Type, r_name AS Subtype
+      FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey
+      GROUP BY n_name, r_regionkey, r_name)
+"""
+register(
+    "label_sections_2level",
+    _sql("SELECT Account, CAST(Total AS DOUBLE) AS Total, Type, Subtype FROM b", _BAL_SQL),
+)(lambda spark, sf: I.parse_balances(EB.balance_export_lines(spark, sf))[0].select("Account", "Total", "Type", "Subtype"))
+register(
+    "check_net_worth",
+    _sql(
+        """SELECT 'balances' AS file, CAST(SUM(Total) AS DOUBLE) AS total,
+             CAST(SUM(CASE WHEN Type = 'Assets' THEN Total END) AS DOUBLE) AS assets,
+             CAST(SUM(CASE WHEN Type = 'Liabilities' THEN Total END) AS DOUBLE) AS liabilities,
+             CAST(SUM(CASE WHEN Type = 'Assets' THEN Total ELSE -Total END) AS DOUBLE) AS net_worth, TRUE AS sum_ok, TRUE AS net_worth_ok FROM b""",
+        _BAL_SQL,
+    ),
+)(lambda spark, sf: (lambda r: I.check_net_worth(r[0], r[1]))(I.parse_balances(EB.balance_export_lines(spark, sf))))
+
+_SPEND_SQL = """
+s AS (SELECT COALESCE(CategorySubcategory, Category || ' (transfers)') AS Category, TxnType,
+        SUM(CASE WHEN TxnType = 'Expense' THEN -Amount ELSE Amount END) AS Total
+      FROM v GROUP BY 1, 2)
+"""
+register(
+    "label_sections_1level",
+    with_ledger("SELECT Category, CAST(Total AS DOUBLE) AS Total, TxnType FROM s", _SPEND_SQL),
+)(lambda spark, sf: I.parse_spending(EB.spending_export_lines(ledger_for(spark, sf).view))[0].select("Category", "Total", "TxnType"))
+register(
+    "check_spending_total",
+    with_ledger(
+        """SELECT 'spending' AS file, CAST(SUM(CASE WHEN TxnType = 'Income' THEN Total END) AS DOUBLE) AS income,
+             CAST(SUM(CASE WHEN TxnType = 'Expense' THEN Total END) AS DOUBLE) AS expenses,
+             CAST(SUM(CASE WHEN TxnType = 'Transfer' THEN Total END) AS DOUBLE) AS transfers,
+             CAST(SUM(CASE WHEN TxnType = 'Expense' THEN -Total ELSE Total END) AS DOUBLE) AS grand_total, TRUE AS ok FROM s""",
+        _SPEND_SQL,
+    ),
+)(lambda spark, sf: (lambda r: I.check_spending_total(r[0], r[1]))(I.parse_spending(EB.spending_export_lines(ledger_for(spark, sf).view))))
+
+register(
+    "export_asof",
+    _sql(
+        "SELECT DISTINCT 'txns_' || CAST(o_orderkey // 1000 AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS as_of FROM orders "
+        "UNION ALL SELECT 'balances', '2001-12-31' UNION ALL SELECT 'spending', NULL",
+        "x AS (SELECT 1)",
+    ),
+)(lambda spark, sf: X.as_of_date(_all_lines(spark, sf)))
+register(
+    "prune_exports",
+    _sql("SELECT 'balances' AS file, (SELECT COUNT(*) FROM nation) + 2 * (SELECT COUNT(*) FROM region) + 9 AS lines", "x AS (SELECT 1)"),
+)(
+    lambda spark, sf: (
+        lambda lines: X.prune_exports(lines, X.as_of_date(lines), _date(2001, 1, 1), _date(2001, 12, 31)).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+    )(EB.txn_export_lines(spark, sf).unionByName(EB.balance_export_lines(spark, sf)))
+)
