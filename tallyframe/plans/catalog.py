@@ -803,3 +803,279 @@ register(
         lambda lines: X.prune_exports(lines, X.as_of_date(lines), _date(2001, 1, 1), _date(2001, 12, 31)).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
     )(EB.txn_export_lines(spark, sf).unionByName(EB.balance_export_lines(spark, sf)))
 )
+
+# ---------------------------------------------------------------------------------------------
+# as-of reports, balance facts, overlays, upserts, loans, investments
+
+from ..sources import binding as B  # noqa: E402
+
+_ORDER_AMOUNTS = """
+oa AS (SELECT n_name AS Account, n_regionkey, CAST(o_orderdate AS DATE) AS d, CAST(o_totalprice AS DECIMAL(15,4)) AS p, o_orderstatus
+       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+a_long AS (
+  SELECT Account, DATE '1995-01-01' AS dt, SUM(CASE WHEN d <= DATE '1995-01-01' THEN p END) AS Balance FROM oa GROUP BY Account
+  UNION ALL SELECT Account, DATE '1997-12-31', SUM(CASE WHEN d <= DATE '1997-12-31' THEN p END) FROM oa GROUP BY Account
+  UNION ALL SELECT Account, DATE '1998-12-31', SUM(CASE WHEN d <= DATE '1998-12-31' THEN p END) FROM oa GROUP BY Account),
+fin AS (SELECT oa.*, r_name FROM oa JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus = 'F'),
+b_long AS (
+  SELECT Account, DATE '1998-12-31' AS dt, SUM(CASE WHEN d <= DATE '1998-12-31' THEN p END) AS Balance FROM fin GROUP BY Account
+  UNION ALL SELECT Account, DATE '1999-12-31', SUM(CASE WHEN d <= DATE '1999-12-31' THEN p END) FROM fin GROUP BY Account
+  UNION ALL SELECT r_name, DATE '1998-12-31', SUM(CASE WHEN d <= DATE '1998-12-31' THEN p END) FROM fin GROUP BY r_name
+  UNION ALL SELECT r_name, DATE '1999-12-31', SUM(CASE WHEN d <= DATE '1999-12-31' THEN p END) FROM fin GROUP BY r_name),
+merged AS (
+  SELECT Account, dt, Balance FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY Account, dt ORDER BY seq DESC) AS rn FROM (
+      SELECT *, 0 AS seq FROM a_long WHERE Balance IS NOT NULL UNION ALL SELECT *, 1 FROM b_long WHERE Balance IS NOT NULL) u) r
+  WHERE rn = 1)
+"""
+
+
+def _asof(spark: SparkSession, sf: str):
+    return EB.asof_snapshots(spark, sf)
+
+
+def _merged(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _asof(spark, sf)
+    return N.merge_asof([a, b], "Account")
+
+
+register(
+    "unpivot_asof",
+    with_ledger("SELECT Account, strftime(dt, '%Y-%m-%d') AS Date, CAST(Balance AS DOUBLE) AS Balance FROM a_long WHERE Balance IS NOT NULL", _ORDER_AMOUNTS),
+)(lambda spark, sf: N.unpivot_asof(_asof(spark, sf)[0], ["Account"]))
+register(
+    "merge_asof",
+    with_ledger("SELECT Account, strftime(dt, '%Y-%m-%d') AS Date, CAST(Balance AS DOUBLE) AS Balance FROM merged", _ORDER_AMOUNTS),
+)(_merged)
+register(
+    "prune_asof_columns",
+    with_ledger("SELECT Account, CAST(SUM(CASE WHEN d <= DATE '1997-12-31' THEN p END) AS DOUBLE) AS \"12/31/1997\" FROM oa GROUP BY Account", _ORDER_AMOUNTS),
+)(lambda spark, sf: N.prune_asof_columns(_asof(spark, sf)[0], _date(1996, 1, 1), _date(1998, 6, 30)))
+register(
+    "account_balances",
+    with_ledger(
+        "SELECT m.Account, strftime(m.dt, '%Y-%m-%d') AS Date, CAST(m.Balance AS DOUBLE) AS Balance FROM merged m LEFT JOIN accts a ON a.Account = m.Account "
+        "WHERE a.TxnDateMin IS NULL OR m.dt >= a.TxnDateMin",
+        _ORDER_AMOUNTS,
+    ),
+)(lambda spark, sf: L.account_balances(_merged(spark, sf), ledger_for(spark, sf).accounts)[0])
+register(
+    "balance_without_txns",
+    with_ledger(
+        "SELECT m.Account, strftime(m.dt, '%Y-%m-%d') AS Date, CAST(m.Balance AS DOUBLE) AS Balance FROM merged m LEFT JOIN accts a ON a.Account = m.Account "
+        "WHERE a.TxnDateMin IS NULL",
+        _ORDER_AMOUNTS,
+    ),
+)(lambda spark, sf: L.account_balances(_merged(spark, sf), ledger_for(spark, sf).accounts)[1])
+
+
+def _category_balances(spark: SparkSession, sf: str) -> DataFrame:
+    r1, r2 = EB.category_snapshots(ledger_for(spark, sf).view)
+    ids = ["Category", "Subcategory", "TxnType"]
+    long = N.unpivot_asof(r1, ids).withColumn("report_seq", F.lit(0)).unionByName(N.unpivot_asof(r2, ids).withColumn("report_seq", F.lit(1)))
+    return L.category_balances(long)
+
+
+register(
+    "category_balances",
+    with_ledger(
+        "SELECT Category, Subcategory, strftime(make_date(year(Date), 12, 31), '%Y-%m-%d') AS Date, CAST(SUM(Amount) AS DOUBLE) AS Balance "
+        "FROM v WHERE TxnType <> 'Transfer' GROUP BY Category, Subcategory, year(Date)"
+    ),
+)(_category_balances)
+
+_ACCT_REGION = "(SELECT n_name, r_regionkey, r_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)"
+register(
+    "accounts_typed",
+    with_ledger(
+        f"""SELECT a.Account, COALESCE(CASE WHEN g.r_regionkey <= 2 THEN 'Assets' WHEN g.r_regionkey IS NOT NULL THEN 'Liabilities' END, a.AccountClassification) AS AccountClassification,
+              CASE WHEN g.n_name IS NOT NULL THEN g.r_name ELSE a.AccountCategory END AS AccountCategory
+            FROM accts a LEFT JOIN {_ACCT_REGION} g ON g.n_name = a.Account"""
+    ),
+)(lambda spark, sf: L.account_types_overlay(ledger_for(spark, sf).accounts, I.parse_balances(EB.balance_export_lines(spark, sf))[0]).select("Account", "AccountClassification", "AccountCategory"))
+
+
+def _details(spark: SparkSession, sf: str) -> DataFrame:
+    cust = B.read_table(spark, sf, "customer").select("c_nationkey", F.col("c_acctbal").cast("decimal(15,4)").alias("bal"))
+    nation = B.read_table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    g = cust.groupBy("c_nationkey").agg(F.min("bal").alias("OpeningBalance"), F.max("bal").alias("AccountLimit"))
+    return nation.join(g, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(
+        F.col("n_name").alias("Account"),
+        F.substring("n_name", 1, 3).alias("Abbreviation"),
+        F.concat(F.lit("Bank "), F.col("n_regionkey").cast("string")).alias("BankName"),
+        F.col("n_nationkey").cast("string").alias("AccountNumber"),
+        "AccountLimit",
+        "OpeningBalance",
+    )
+
+
+register(
+    "accounts_details",
+    with_ledger(
+        """SELECT a.Account, substr(n.n_name, 1, 3) AS Abbreviation, 'Bank ' || CAST(n.n_regionkey AS VARCHAR) AS BankName, CAST(n.n_nationkey AS VARCHAR) AS AccountNumber,
+              CAST(c.mx AS DOUBLE) AS AccountLimit, CAST(c.mn AS DOUBLE) AS OpeningBalance
+           FROM accts a LEFT JOIN nation n ON n.n_name = a.Account
+           LEFT JOIN (SELECT c_nationkey, MIN(CAST(c_acctbal AS DECIMAL(15,4))) AS mn, MAX(CAST(c_acctbal AS DECIMAL(15,4))) AS mx FROM customer GROUP BY 1) c ON c.c_nationkey = n.n_nationkey"""
+    ),
+)(lambda spark, sf: L.account_details_overlay(ledger_for(spark, sf).accounts, _details(spark, sf)).select("Account", "Abbreviation", "BankName", "AccountNumber", "AccountLimit", "OpeningBalance"))
+
+
+def _dates_cfg(spark: SparkSession, sf: str) -> DataFrame:
+    o = EB._order_amounts(spark, sf)
+    g = o.groupBy("Account", "n_regionkey").agg(F.min("d").alias("first"))
+    return g.select(
+        "Account",
+        F.date_format("first", "yyyy-MM-dd").alias("opened_date"),
+        F.when(F.col("n_regionkey") == 4, F.lit("not a date")).alias("closed_date"),
+    )
+
+
+register(
+    "accounts_overlay",
+    with_ledger(
+        """SELECT a.Account, strftime(o.first, '%Y-%m-%d') AS OpenedDate, CAST(NULL AS VARCHAR) AS ClosedDate
+           FROM accts a LEFT JOIN (SELECT n_name, MIN(CAST(o_orderdate AS DATE)) AS first FROM orders JOIN customer ON o_custkey = c_custkey
+                                   JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) o ON o.n_name = a.Account"""
+    ),
+)(lambda spark, sf: L.account_dates_overlay(ledger_for(spark, sf).accounts, _dates_cfg(spark, sf)).select("Account", "OpenedDate", "ClosedDate"))
+
+
+def _categories_typed(spark: SparkSession, sf: str) -> DataFrame:
+    lg = ledger_for(spark, sf)
+    items = I.parse_spending(EB.spending_export_lines(lg.view))[0]
+    return L.category_types_overlay(lg.categories_raw, [items]).select("Category", "Subcategory", "TxnType")
+
+
+register(
+    "categories_typed",
+    with_ledger(
+        """SELECT c.Category, c.Subcategory, t.TxnType FROM cats c
+           LEFT JOIN (SELECT DISTINCT Category, TxnType FROM v WHERE Subcategory IS NULL AND XferAccount IS NULL) t ON t.Category = c.Category"""
+    ),
+)(_categories_typed)
+register(
+    "categories_overlay",
+    with_ledger(
+        """SELECT Category, Subcategory, CASE WHEN Category = 'PROMO' THEN 'Income' END AS TxnType,
+             CASE WHEN Category = 'MEDIUM' AND Subcategory = 'Brand#1' THEN 'Essential' WHEN Category = 'STANDARD' THEN 'Essential' END AS TxnClass FROM cats"""
+    ),
+)(lambda spark, sf: (lambda lg: L.category_config_overlay(lg.categories_raw, lg.config.get("category_types"), lg.config.get("category_classes")).select("Category", "Subcategory", "TxnType", "TxnClass"))(ledger_for(spark, sf)))
+on_ledger(
+    "categories_defaulted",
+    with_ledger("SELECT Category, Subcategory, TxnType, TxnClass FROM cats"),
+    lambda lg: lg.categories.select("Category", "Subcategory", "TxnType", "TxnClass"),
+)
+
+
+def _payee_rows(spark: SparkSession, sf: str) -> DataFrame:
+    o = B.read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"))
+    li = B.read_table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    s = B.read_table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    c = B.read_table(spark, sf, "customer").select("c_custkey", "c_name")
+    by_supp = li.join(o, li.l_orderkey == o.o_orderkey).join(s, li.l_suppkey == s.s_suppkey).groupBy(F.col("s_name").alias("Payee")).agg(
+        F.min("d").alias("TxnDateMin"), F.max("d").alias("TxnDateMax")
+    )
+    by_cust = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_name").alias("Payee")).agg(F.min("d").alias("TxnDateMin"))
+    return by_supp.unionByName(by_cust, allowMissingColumns=True)
+
+
+_UPSERT_SQL = """
+p0 AS (SELECT Payee, MIN(Date) AS TxnDateMin, MAX(Date) AS TxnDateMax FROM txns WHERE Payee IS NOT NULL GROUP BY Payee),
+r AS (SELECT s_name AS Payee, MIN(CAST(o_orderdate AS DATE)) AS TxnDateMin, MAX(CAST(o_orderdate AS DATE)) AS TxnDateMax
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name
+      UNION ALL SELECT c_name, MIN(CAST(o_orderdate AS DATE)), NULL FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name)
+"""
+register(
+    "upsert_update",
+    with_ledger(
+        """SELECT COALESCE(r.Payee, p0.Payee) AS Payee,
+             strftime(CASE WHEN r.Payee IS NOT NULL THEN r.TxnDateMin ELSE p0.TxnDateMin END, '%Y-%m-%d') AS TxnDateMin,
+             strftime(CASE WHEN r.Payee IS NOT NULL THEN r.TxnDateMax ELSE p0.TxnDateMax END, '%Y-%m-%d') AS TxnDateMax
+           FROM p0 FULL JOIN r ON p0.Payee = r.Payee""",
+        _UPSERT_SQL,
+    ),
+)(lambda spark, sf: L.upsert(ledger_for(spark, sf).payees, _payee_rows(spark, sf), ["Payee"]))
+register(
+    "upsert_ignore",
+    with_ledger(
+        """SELECT COALESCE(p0.Payee, r.Payee) AS Payee,
+             strftime(CASE WHEN p0.Payee IS NOT NULL THEN p0.TxnDateMin ELSE r.TxnDateMin END, '%Y-%m-%d') AS TxnDateMin,
+             strftime(CASE WHEN p0.Payee IS NOT NULL THEN p0.TxnDateMax ELSE r.TxnDateMax END, '%Y-%m-%d') AS TxnDateMax
+           FROM p0 FULL JOIN r ON p0.Payee = r.Payee""",
+        _UPSERT_SQL,
+    ),
+)(lambda spark, sf: L.upsert(ledger_for(spark, sf).payees, _payee_rows(spark, sf), ["Payee"], do_nothing=True))
+
+_INV_SQL = """
+inv AS (SELECT ROW_NUMBER() OVER (ORDER BY CAST(ts AS DATE), event_id) AS N, CAST(ts AS DATE) AS Date, 'USER_' || CAST(user_id AS VARCHAR) AS Account,
+          event_type AS Investment, CASE WHEN value > 250 THEN 'Sell' ELSE 'Buy' END AS Activity, CAST(NULL AS VARCHAR) AS C,
+          CAST(1 AS DOUBLE) AS Quantity, CAST(CAST(value AS DECIMAL(15,2)) AS DOUBLE) AS Price, CAST(0 AS DOUBLE) AS Commission, CAST(CAST(value AS DECIMAL(15,2)) AS DOUBLE) AS Total,
+          CASE WHEN event_type = 'purchase' THEN 'NATION_0' END AS XferAccount, 'Investment' AS Category, event_type AS Subcategory, CAST(NULL AS VARCHAR) AS Memo
+        FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-20')
+"""
+
+
+def _txns_inv(spark: SparkSession, sf: str) -> DataFrame:
+    return I.investment_txns(EB.investment_rows(spark, sf), _date(2024, 1, 1), _date(2024, 1, 20))
+
+
+register(
+    "txns_inv",
+    with_ledger("SELECT N, strftime(Date, '%Y-%m-%d') AS Date, Account, Investment, Activity, C, Quantity, Price, Commission, Total, XferAccount, Category, Subcategory, Memo FROM inv", _INV_SQL),
+)(_txns_inv)
+
+_LOAN_SQL = """
+seg AS (SELECT c_mktsegment AS Loan, SUM(ABS(CAST(c_acctbal AS DECIMAL(15,4)))) AS amt, COUNT(*) AS n FROM customer GROUP BY 1)
+"""
+
+
+def _loans(spark: SparkSession, sf: str):
+    return I.parse_loans(EB.loan_export_lines(spark, sf))
+
+
+register(
+    "loans",
+    with_ledger(
+        """SELECT Loan, substr(Loan, 1, 3) AS Abbreviation, CAST(n AS VARCHAR) AS AccountNumber, CAST(amt AS DOUBLE) AS LoanAmount, CAST(5.25 AS DOUBLE) AS InterestRate,
+             CAST(n AS VARCHAR) || ' months' AS Length, 'Monthly' AS Frequency, CAST(amt AS DOUBLE) AS PrincipalInterest, CAST(NULL AS DOUBLE) AS BalloonAmount,
+             CAST(n * 100 AS DOUBLE) AS Payment, CAST(10 AS DOUBLE) AS Fees, 'Fixed' AS Type, 'Compound' AS InterestWhen FROM seg""",
+        _LOAN_SQL,
+    ),
+)(lambda spark, sf: _loans(spark, sf)[0])
+register(
+    "loan_payee_categories",
+    with_ledger(
+        """SELECT Loan, 'Bank of ' || Loan AS Payee, 'Loan' AS Category, 'Interest' AS Subcategory FROM seg
+           UNION ALL SELECT DISTINCT c_mktsegment, n_name, 'Loan', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+        _LOAN_SQL,
+    ),
+)(lambda spark, sf: _loans(spark, sf)[1])
+register(
+    "accounts_all_sources",
+    with_ledger(
+        """SELECT Account, AccountClassification, AccountCategory, strftime(TxnDateMin, '%Y-%m-%d') AS TxnDateMin, strftime(TxnDateMax, '%Y-%m-%d') AS TxnDateMax, CAST(XferOnly AS BIGINT) AS XferOnly FROM (
+             SELECT Account, 'Assets' AS AccountClassification, 'Investment Accounts' AS AccountCategory, MIN(Date) AS TxnDateMin, MAX(Date) AS TxnDateMax, NULL AS XferOnly FROM inv GROUP BY Account
+             UNION ALL SELECT Loan, 'Liabilities', 'Loans', NULL, NULL, NULL FROM seg
+             UNION ALL SELECT Account, NULL, NULL, TxnDateMin, TxnDateMax, XferOnly FROM accts0) u""",
+        _INV_SQL + "," + _LOAN_SQL,
+    ),
+)(lambda spark, sf: L.accounts(ledger_for(spark, sf).txns, txns_inv=_txns_inv(spark, sf), loans=_loans(spark, sf)[0]).select("Account", "AccountClassification", "AccountCategory", "TxnDateMin", "TxnDateMax", "XferOnly"))
+
+
+def _order_ledger(spark: SparkSession, sf: str) -> Ledger:
+    return Ledger(spark, B.order_txns(spark, sf), B.LEDGER_CONFIG)
+
+
+register(
+    "single_payee",
+    _sql(
+        """SELECT n_name || ' ' || c_mktsegment || ' : ' || CAST(floor(c_acctbal / 1000) AS BIGINT) AS CategorySubcategory, MIN(c_name) AS Payee
+           FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+           GROUP BY 1 HAVING COUNT(DISTINCT c_name) < 2""",
+        "x AS (SELECT 1)",
+    ),
+)(lambda spark, sf: R.single_payee_categories(_order_ledger(spark, sf), {"select": {"txntype": "Expense"}}))
+register(
+    "export_problems",
+    _sql("SELECT 'balances' AS file, 'header row not found' AS problem UNION ALL SELECT 'spending', 'header row not found'", "x AS (SELECT 1)"),
+)(lambda spark, sf: X.export_problems(_all_lines(spark, sf), X.KINDS["account_txns"]))

@@ -97,3 +97,21 @@ def check_spending_total(items: DataFrame, footer: DataFrame) -> DataFrame:
     j = g.join(footer.withColumnRenamed("Total", "grand_total"), "file", "full")
     calc = F.coalesce(F.col("income"), F.lit(0)) - F.coalesce(F.col("expenses"), F.lit(0)) + F.coalesce(F.col("transfers"), F.lit(0))
     return j.select("file", "income", "expenses", "transfers", "grand_total", F.coalesce(F.col("grand_total") == calc, F.lit(False)).alias("ok"))
+
+
+def parse_loans(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Loan-terms export (two header rows) -> (Loans table rows, loan payee/category map)."""
+    rows = read_export(lines, KINDS["loan_terms"], header_rows=2)
+    return N.rename_loans(N.normalize_amounts(rows, ["Amount", "Amount.1", "Interest", "Payment", "Fees", "Balance"])[0].withColumn("Rate", parse_amount(F.col("Rate")))), N.loan_payee_categories(rows)
+
+
+def investment_txns(rows: DataFrame, date_from: date | None = None, date_to: date | None = None) -> DataFrame:
+    """Investment export rows -> TxnsInv (typed, renamed, windowed, numbered by (Date, position))."""
+    kind = KINDS["investment_txns"]
+    typed, _ = N.normalize_amounts(rows, list(kind.money))
+    typed = N.with_split_category(typed.withColumnRenamed("Transfer Account", "XferAccount"))
+    typed, _ = N.parse_dates(typed)
+    typed = N.import_window(typed, date_from, date_to)
+    numbered = N.union_txns([typed], order=("Date", "file_seq", "file", "line_no"))
+    cols = ["N", "Date", "Account", "Investment", "Activity", "C", "Quantity", "Price", "Commission", "Total", "XferAccount", "Category", "Subcategory", "Memo"]
+    return numbered.select(*cols)

@@ -114,3 +114,28 @@ def account_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return F.broadcast(nation).join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
         F.col("n_name").alias("Account"), F.col("r_name").alias("category")
     )
+
+
+def order_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second transactions source: one transaction per order, payee = customer, category =
+    customer nation + segment, subcategory = the customer's balance band (thousands)."""
+    nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal").join(
+        nation, F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    return orders.join(cust, orders.o_custkey == cust.c_custkey).select(
+        F.col("o_orderkey").cast("string").alias("Num"),
+        F.to_date("o_orderdate").alias("Date"),
+        F.col("n_name").alias("Account"),
+        F.col("c_name").alias("Payee"),
+        F.concat(F.col("n_name"), F.lit(" "), F.col("c_mktsegment")).alias("Category"),
+        F.floor(F.col("c_acctbal") / 1000).cast("string").alias("Subcategory"),
+        money(-F.col("o_totalprice")).alias("Amount"),
+        F.col("o_orderstatus").alias("C"),
+        F.lit(None).cast("string").alias("Split"),
+        F.lit(None).cast("string").alias("Memo"),
+        F.col("o_orderkey").alias("SrcOrder"),
+        F.lit(0).alias("SrcLine"),
+        F.to_date("o_orderdate").alias("SrcDate"),
+    )

@@ -205,3 +205,99 @@ def spending_export_lines(view: DataFrame) -> DataFrame:
     body = u.select("file", (F.row_number().over(w) + pre).cast("long").alias("line_no"), csv_line(F.col("name"), F.when(F.col("val").isNotNull(), F.format_number(F.col("val"), 2))).alias("line"))
     head = _preamble(u.select("file").distinct(), SPEND_PREAMBLE, SPEND_HEADER)
     return head.unionByName(body).withColumn("modified", F.lit(None).cast("timestamp"))
+
+
+# --- as-of snapshots, loans, investment transactions -----------------------------------------
+ASOF_A = (("01/01/1995", "1995-01-01"), ("12/31/1997", "1997-12-31"), ("12/31/1998", "1998-12-31"))
+ASOF_B = (("12/31/1998", "1998-12-31"), ("12/31/1999", "1999-12-31"))
+LOAN_HEADER_1 = ",,,,,,Balloon,,,,,,,,,"
+LOAN_HEADER_2 = "Loan,Amount,Rate,Length,Interest,Frequency,Amount,category,Payee,Payment,Fees,Type,Interest,Balance,Abbreviation,Number"
+
+
+def _order_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    return orders.join(cust, orders.o_custkey == cust.c_custkey).select(
+        F.col("n_name").alias("Account"), "n_regionkey", F.to_date("o_orderdate").alias("d"), F.col("o_totalprice").cast(MONEY).alias("p"), "o_orderstatus"
+    )
+
+
+def asof_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two wide as-of balance reports (one column per ``MM/DD/YYYY``), as parsed exports would be.
+
+    A: per nation, total order value up to each date. B (later): the same over finished orders
+    only, plus one row per region - accounts that have no transactions.
+    """
+    o = _order_amounts(spark, sf_dir)
+
+    def upto(dates):
+        return [F.sum(F.when(F.col("d") <= F.lit(iso).cast("date"), F.col("p"))).alias(name) for name, iso in dates]
+
+    a = o.groupBy("Account").agg(*upto(ASOF_A))
+    fin = o.filter(F.col("o_orderstatus") == "F")
+    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    b_nation = fin.groupBy("Account").agg(*upto(ASOF_B))
+    b_region = fin.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("Account")).agg(*upto(ASOF_B))
+    return a, b_nation.unionByName(b_region)
+
+
+def category_snapshots(view: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two wide yearly category reports (1995-1998 and 1998-2001) over the ledger view."""
+
+    def report(years):
+        return view.groupBy("Category", "Subcategory", "TxnType").agg(
+            *[F.sum(F.when(F.year("Date") == y, F.col("Amount"))).alias(f"12/31/{y}") for y in years]
+        )
+
+    return report(range(1995, 1999)), report(range(1998, 2002))
+
+
+def loan_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loan-terms export (two header rows): one loan per market segment with its terms, then one
+    child row per nation (payee) of the segment's customers carrying a category."""
+    cust = read_table(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey", F.col("c_acctbal").cast(MONEY).alias("bal"))
+    nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    loans = cust.groupBy("c_mktsegment").agg(F.sum(F.abs("bal")).alias("amt"), F.count(F.lit(1)).alias("n"))
+    loan_lines = loans.select(
+        F.col("c_mktsegment").alias("seg"),
+        F.lit("").alias("nk"),
+        csv_line(
+            F.col("c_mktsegment"), F.format_number("amt", 2), F.lit("5.25%"), F.concat(F.col("n").cast("string"), F.lit(" months")), F.format_number(F.col("amt"), 2),
+            F.lit("Monthly"), F.lit(""), F.lit("Loan : Interest"), F.concat(F.lit("Bank of "), F.col("c_mktsegment")), F.format_number(F.col("n") * 100, 2),
+            F.lit("10.00"), F.lit("Fixed"), F.lit("Compound"), F.format_number("amt", 2), F.substring("c_mktsegment", 1, 3), F.col("n").cast("string"),
+        ).alias("line"),
+    )
+    kids = cust.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("n"))
+    kid_lines = kids.select(
+        F.col("c_mktsegment").alias("seg"),
+        F.col("n_name").alias("nk"),
+        csv_line(*[F.lit(None)] * 7, F.concat(F.lit("Loan : "), F.col("n_name")), F.col("n_name"), *[F.lit(None)] * 7).alias("line"),
+    )
+    u = loan_lines.unionByName(kid_lines).withColumn("file", F.lit("loans"))
+    w = Window.partitionBy("file").orderBy("seg", "nk")
+    body = u.select("file", (F.row_number().over(w) + 5).cast("long").alias("line_no"), "line")
+    head = _preamble(u.select("file").distinct(), ("Loan terms", "As of 06/30/2001"), LOAN_HEADER_1)
+    head = head.unionByName(u.select("file").distinct().select("file", F.lit(4).cast("long").alias("line_no"), F.lit(LOAN_HEADER_2).alias("line")))
+    return head.unionByName(body).withColumn("modified", F.lit(None).cast("timestamp"))
+
+
+def investment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Investment-transaction export rows (as text) from the event stream table."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return e.select(
+        F.lit("investments").alias("file"),
+        F.col("event_id").alias("line_no"),
+        F.date_format("ts", "yyyy-MM-dd").alias("Date"),
+        F.concat(F.lit("USER_"), F.col("user_id").cast("string")).alias("Account"),
+        F.col("event_type").alias("Investment"),
+        F.when(F.col("value") > 250, F.lit("Sell")).otherwise(F.lit("Buy")).alias("Activity"),
+        F.lit("1").alias("Quantity"),
+        F.format_number("value", 2).alias("Price"),
+        F.lit("0.00").alias("Commission"),
+        F.format_number("value", 2).alias("Total"),
+        F.when(F.col("event_type") == "purchase", F.lit("NATION_0")).alias("Transfer Account"),
+        F.concat(F.lit("Investment : "), F.col("event_type")).alias("Category"),
+        F.lit(None).cast("string").alias("C"),
+        F.lit(None).cast("string").alias("Memo"),
+    )

@@ -127,19 +127,18 @@ def classify_exports(lines: DataFrame, kinds: Iterable[ExportKind] = EXPORT_KIND
     return g.select("file", kind.alias("kind"))
 
 
-_CSV_SCHEMA = ", ".join(f"c{i} STRING" for i in range(MAX_FIELDS))
-
-
-def with_fields(df: DataFrame, line: str = "line", out: str = "_f") -> DataFrame:
+def with_fields(df: DataFrame, line: str = "line", out: str = "_f", width: int = MAX_FIELDS) -> DataFrame:
     """Add ``out`` = the CSV fields of ``line`` as an array (quotes handled, empty -> NULL).
 
     The line is parsed once, inside a one-element ``explode``: predicates on the fields cannot be
     pushed below a generator, so the optimizer cannot inline the parse once per field reference
     (a plain projection gets inlined into every later filter - 80 parses per line).
     """
-    parse = F.from_csv(F.col(line), F.lit(_CSV_SCHEMA), {"mode": "PERMISSIVE"})
+    width = max(1, min(width, MAX_FIELDS))
+    schema = ", ".join(f"c{i} STRING" for i in range(width))
+    parse = F.from_csv(F.col(line), F.lit(schema), {"mode": "PERMISSIVE"})
     parsed = df.select("*", F.explode(F.array(parse)).alias("_csv"))
-    arr = F.array(*[F.nullif(F.col("_csv").getField(f"c{i}"), F.lit("")) for i in range(MAX_FIELDS)])
+    arr = F.array(*[F.nullif(F.col("_csv").getField(f"c{i}"), F.lit("")) for i in range(width)])
     return parsed.withColumn(out, arr).drop("_csv")
 
 
@@ -195,7 +194,9 @@ def read_export(lines: DataFrame, kind: ExportKind, header_rows: int = 1) -> Dat
     pos = header_positions(lines, kind, header_rows)
     n_req = len(kind.required)
     pos = pos.filter(F.least(*[F.col(f"_p{i}") for i in range(n_req)]) > 0).drop("_hdr")
-    body = with_fields(_nonblank(lines)).join(pos, "file").filter(F.col("nb") > F.col("_hdr_nb"))
+    # parse only up to the right-most column any file needs (one scalar from the per-file table)
+    width = pos.agg(F.max(F.greatest(*[F.col(f"_p{i}") for i in range(len(expected))]))).first()[0] or 1
+    body = with_fields(_nonblank(lines), width=int(width)).join(pos, "file").filter(F.col("nb") > F.col("_hdr_nb"))
     cols = [F.when(F.col(f"_p{i}") > 0, F.element_at(F.col("_f"), F.col(f"_p{i}"))).alias(n) for i, n in enumerate(expected)]
     out = body.select("file", "line_no", *cols)
     any_value = None

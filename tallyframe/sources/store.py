@@ -24,16 +24,23 @@ def _join(path: str, name: str) -> str:
 
 
 def write_ledger(ledger: Ledger, path: str) -> dict[str, str]:
-    """Write the ledger tables (overwrite). Returns table -> location."""
-    txns = conform(ledger.txns_numbered(), S.TXNS)
+    """Write the ledger tables (overwrite). Returns table -> location.
+
+    The fact table is written first; the dimensions are then aggregated from the *written*
+    facts (a columnar scan of a few columns) instead of re-running the source joins.
+    """
+    spark = ledger.spark
+    out = {"Txns": _join(path, "Txns")}
+    conform(ledger.txns_numbered(), S.TXNS).write.mode("overwrite").parquet(out["Txns"])
+    facts = spark.read.parquet(out["Txns"])
+    derived = Ledger(spark, facts, ledger.config, ledger.account_config, ledger.txns_inv, ledger.loans, order_key=("N",), anchor_mode=ledger.anchor_mode)
+    derived.__dict__["txns"] = facts
     tables: Mapping[str, DataFrame] = {
-        "Txns": txns,
-        "Accounts": conform(ledger.accounts, S.ACCOUNTS),
-        "Payees": conform(ledger.payees, S.PAYEES),
-        "Categories": conform(ledger.categories, S.CATEGORIES),
-        "Eras": ledger.eras,
+        "Accounts": conform(derived.accounts, S.ACCOUNTS),
+        "Payees": conform(derived.payees, S.PAYEES),
+        "Categories": conform(derived.categories, S.CATEGORIES),
+        "Eras": derived.eras,
     }
-    out = {}
     for name, df in tables.items():
         loc = _join(path, name)
         df.write.mode("overwrite").parquet(loc)
