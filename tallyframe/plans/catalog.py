@@ -212,7 +212,7 @@ _REWRITE_RULES = [
 register(
     "rewrite_counts",
     with_ledger(
-        """SELECT * FROM (VALUES
+        """SELECT CAST(rule AS BIGINT) AS rule, modified FROM (VALUES
         (0, (SELECT COUNT(*) FROM txns WHERE Account = 'NATION_1' AND Payee IN ('Supplier#000000001', 'Supplier#000000002'))),
         (1, (SELECT COUNT(*) FROM txns WHERE Account = 'NATION_1' AND Payee IN ('Supplier#000000001', 'Supplier#000000002') AND Amount < -20000)),
         (2, (SELECT COUNT(*) FROM txns WHERE Amount > 50000 AND year(Date) = 1997)),
@@ -676,7 +676,7 @@ register(
     "union_txns",
     _sql(
         """SELECT ROW_NUMBER() OVER (ORDER BY Date, seq, file, line_key, Amount, Category, Subcategory NULLS FIRST, C, Memo NULLS FIRST) AS N,
-             strftime(Date, '%Y-%m-%d') AS Date, Num, CAST(Amount AS DOUBLE) AS Amount, seq AS file_seq
+             strftime(Date, '%Y-%m-%d') AS Date, Num, CAST(Amount AS DOUBLE) AS Amount, CAST(seq AS BIGINT) AS file_seq
            FROM (SELECT *, 0 AS seq, 0 AS line_key FROM flat WHERE Num <> '**VOID**'
                  UNION ALL SELECT *, 1, 0 FROM flat WHERE Num <> '**VOID**' AND year(Date) = 1999) u"""
     ),
