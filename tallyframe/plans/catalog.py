@@ -1079,3 +1079,40 @@ register(
     "export_problems",
     _sql("SELECT 'balances' AS file, 'header row not found' AS problem UNION ALL SELECT 'spending', 'header row not found'", "x AS (SELECT 1)"),
 )(lambda spark, sf: X.export_problems(_all_lines(spark, sf), X.KINDS["account_txns"]))
+
+register(
+    "rewrite_payee",
+    with_ledger("SELECT CAST(0 AS BIGINT) AS rule, COUNT(*) AS modified FROM txns WHERE Account = 'NATION_1' AND Payee = 'Supplier#000000001'"),
+)(
+    lambda spark, sf: _ledger_with({"rewrites": [{"payee": "Preferred Supplier", "select": {"account": "NATION_1", "payee": "Supplier#000000001"}}]})(spark, sf)
+    .rewrite_counts()
+    .select(F.col("rule").cast("long"), F.col("modified").cast("long"))
+)
+on_ledger(
+    "accounts_classified",
+    with_ledger("SELECT Account, AccountClassification, AccountCategory FROM accts"),
+    lambda lg: lg.accounts.select("Account", "AccountClassification", "AccountCategory"),
+)
+on_ledger(
+    "categories_filtered",
+    with_ledger("SELECT Category, Subcategory, TxnType, TxnClass, strftime(TxnDateMin, '%Y-%m-%d') AS TxnDateMin, strftime(TxnDateMax, '%Y-%m-%d') AS TxnDateMax FROM cats WHERE TxnType = 'Income'"),
+    lambda lg: R.categories_report(lg, {"select": {"txntype": "Income"}}),
+)
+on_ledger(
+    "pivot_rows_yyyymm",
+    _pivot_sql(
+        [("strftime(CAST(date_trunc('month', Date) AS DATE), '%Y-%m-%d')", "DateYYYYMM")],
+        [("Expense", "tt = 'Expense'"), ("Income", "tt = 'Income'"), ("Transfer", "tt = 'Transfer'")],
+        "Account = 'NATION_2'",
+    ),
+    lambda lg: P.pivot(lg, {"select": {"account": "NATION_2"}, "options": {"rows": "yyyymm", "columns": "txntype"}}),
+)
+on_ledger(
+    "interval_overlaps",
+    with_ledger(
+        """SELECT first, second FROM (
+             SELECT Account AS first, LEAD(Account) OVER w AS second, TxnDateMax AS e, LEAD(TxnDateMin) OVER w AS ns
+             FROM accts WINDOW w AS (ORDER BY TxnDateMin, TxnDateMax, Account)) x WHERE ns < e"""
+    ),
+    lambda lg: L.interval_overlaps(lg.accounts, "Account", "TxnDateMin", "TxnDateMax"),
+)
