@@ -91,6 +91,12 @@ def read_lines(spark: SparkSession, paths: Sequence[str] | str, encoding: str =
     Latin-1 decoder is used (identical except for bytes 0x80-0x9F).
     """
     raw = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+    return lines_of_files(raw, encoding)
+
+
+def lines_of_files(raw: DataFrame, encoding: str = "windows-1252") -> DataFrame:
+    """``binaryFile`` rows (path, modificationTime, content) -> the line table."""
+    spark = raw.sparkSession
     charset = encoding
     if encoding.lower() in ("windows-1252", "cp1252"):
         legacy = (spark.conf.get("spark.sql.legacy.javaCharsets", "false") or "false").lower() == "true"

@@ -1,0 +1 @@
+"""Incremental ingestion of export files with Structured Streaming (no streaming-only operators)."""
