@@ -18,6 +18,7 @@ from .. import schema as S
 from ..functions.category import split_category
 from ..functions.money import amount_rejected, parse_amount
 from .numbering import number_rows
+from .scan import running
 
 # ---------------------------------------------------------------------------------------------
 # N1 - N3 typing
@@ -58,32 +59,32 @@ def flatten_splits(rows: DataFrame, order: str = "line_no") -> DataFrame:
     """Split transactions: a dated row followed by undated rows is a parent (removed); the undated
     rows are its parts ('Y') and take Num, Date, Payee, Account (and Memo when theirs is NULL).
 
-    parent line = last dated line at or before the row (running max per file); a dated row is a
-    parent iff some undated row points at it.
+    Each row's parent = the last dated row at or before it in its file (a chunked forward fill,
+    see ``operators.scan``); a dated row is a parent iff some undated row points at it (an
+    anti-join keyed by (file, line), so no file or parent is handled by a single task).
     """
-    w = Window.partitionBy("file").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = rows.withColumn("_parent", F.max(F.when(F.col("Date").isNotNull(), F.col(order))).over(w))
-    g = Window.partitionBy("file", "_parent")
     dated = F.col("Date").isNotNull()
-    x = x.withColumn("_parts", F.count_if(~dated).over(g))
+    parent = F.when(dated, F.struct(F.col(order).alias("line"), "Num", "Date", "Payee", "Account", "Memo"))
+    x = running(rows, "file", order, last={"_p": parent})
+    is_part = ~dated & F.col("_p").isNotNull()
     inherit = ["Num", "Date", "Payee", "Account"]
-    pf = {c: F.first(F.when(dated, F.col(c)), ignorenulls=True).over(g) for c in [*inherit, "Memo"]}
-    is_part = ~dated & F.col("_parent").isNotNull()
-    out = x.withColumns(
+    x = x.withColumns(
         {
-            **{c: F.when(is_part, pf[c]).otherwise(F.col(c)) for c in inherit},
-            "Memo": F.when(is_part & F.col("Memo").isNull(), pf["Memo"]).otherwise(F.col("Memo")),
-            "Split": F.when(is_part, F.lit(S.SPLIT_CHILD)).when(dated & (F.col("_parts") > 0), F.lit(S.SPLIT_PARENT)),
+            **{c: F.when(is_part, F.col("_p").getField(c)).otherwise(F.col(c)) for c in inherit},
+            "Memo": F.when(is_part & F.col("Memo").isNull(), F.col("_p").getField("Memo")).otherwise(F.col("Memo")),
+            "Split": F.when(is_part, F.lit(S.SPLIT_CHILD)),
+            "_pl": F.when(is_part, F.col("_p").getField("line")),
         }
     )
-    return out.filter(F.coalesce(F.col("Split"), F.lit("")) != S.SPLIT_PARENT).drop("_parent", "_parts")
+    parents = x.filter(F.col("_pl").isNotNull()).select(F.col("file").alias("_pf"), F.col("_pl").alias("_pline")).distinct()
+    keep = x.join(parents, (F.col("file") == F.col("_pf")) & (F.col(order) == F.col("_pline")) & F.col("Split").isNull(), "left_anti")
+    return keep.drop("_p", "_pl")
 
 
 def orphan_parts(rows: DataFrame, order: str = "line_no") -> DataFrame:
     """Undated rows before any dated row of their file (the original raised on these)."""
-    w = Window.partitionBy("file").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = rows.withColumn("_parent", F.max(F.when(F.col("Date").isNotNull(), F.col(order))).over(w))
-    return x.filter(F.col("Date").isNull() & F.col("_parent").isNull()).drop("_parent")
+    x = running(rows, "file", order, last={"_p": F.when(F.col("Date").isNotNull(), F.col(order))})
+    return x.filter(F.col("Date").isNull() & F.col("_p").isNull()).drop("_p")
 
 
 def drop_voids(rows: DataFrame) -> DataFrame:
@@ -170,18 +171,22 @@ def label_sections_2level(rows: DataFrame, name: str = "Account", total: str = "
     Rows without a total open a section (the first level is the type, the next the subtype);
     ``Total X`` closes the innermost open section, which must be ``X``. Open depth is a running
     sum over the file's lines (+1 header, -1 total); the type / subtype of a line is the last
-    header opened at depth 1 / 2. All per-file windows: one shuffle by file, no pairing.
+    header opened at depth 1 / 2 (chunked running aggregates, see ``operators.scan``).
     Returns (items with Type / Subtype, problems (file, line_no, name, problem)).
     """
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     is_header = F.col(total).isNull()
     is_total = ~is_header & F.col(name).startswith("Total ")
     closes = F.expr(f"substring(`{name}`, 7)")
-    x = (
-        rows.withColumn("_delta", F.when(is_header, F.lit(1)).when(is_total, F.lit(-1)).otherwise(F.lit(0)))
-        .withColumn("_depth", F.sum("_delta").over(w))
-        .withColumn("_type", F.last(F.when(is_header & (F.col("_depth") == 1), F.col(name)), ignorenulls=True).over(w))
-        .withColumn("_sub", F.last(F.when(is_header & (F.col("_depth") == 2), F.col(name)), ignorenulls=True).over(w))
+    delta = F.when(is_header, F.lit(1)).when(is_total, F.lit(-1)).otherwise(F.lit(0))
+    x = running(rows, "file", "line_no", total={"_depth": delta})
+    x = running(
+        x,
+        "file",
+        "line_no",
+        last={
+            "_type": F.when(is_header & (F.col("_depth") == 1), F.col(name)),
+            "_sub": F.when(is_header & (F.col("_depth") == 2), F.col(name)),
+        },
     )
     open_before = F.col("_depth") + 1  # on a total line: depth before it closed
     innermost = F.when(open_before == 1, F.col("_type")).when(open_before == 2, F.col("_sub"))
@@ -200,13 +205,19 @@ def label_sections_2level(rows: DataFrame, name: str = "Account", total: str = "
 
 def label_sections_1level(rows: DataFrame, header_map: Mapping[str, str], name: str = "Category", total: str = "Total") -> DataFrame:
     """One-level sections: each item takes the last header above it; header text -> TxnType."""
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     is_header = F.col(total).isNull()
     is_total = ~is_header & F.col(name).startswith("Total ")
     # a section is open from its header to its "Total <header>" line
-    x = rows.withColumn("_sec", F.last(F.when(is_header, F.col(name)), ignorenulls=True).over(w)).withColumn(
-        "_closed", F.max(F.when(is_total, F.col("line_no"))).over(w)
-    ).withColumn("_opened", F.max(F.when(is_header, F.col("line_no"))).over(w))
+    x = running(
+        rows,
+        "file",
+        "line_no",
+        last={
+            "_sec": F.when(is_header, F.col(name)),
+            "_closed": F.when(is_total, F.col("line_no")),
+            "_opened": F.when(is_header, F.col("line_no")),
+        },
+    )
     m = F.create_map(*[F.lit(v) for kv in header_map.items() for v in kv])
     inside = F.col("_opened").isNotNull() & (F.col("_closed").isNull() | (F.col("_closed") < F.col("_opened")))
     items = x.filter(~is_header & ~is_total & inside)
@@ -219,8 +230,7 @@ def label_sections_1level(rows: DataFrame, header_map: Mapping[str, str], name:
 
 def loan_payee_categories(rows: DataFrame) -> DataFrame:
     """Rows without a loan name belong to the loan above: (Loan, Payee, Category, Subcategory)."""
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    x = rows.withColumn("_loan", F.last(F.col("Loan"), ignorenulls=True).over(w))
+    x = running(rows, "file", "line_no", last={"_loan": F.col("Loan")})
     x = x.filter(F.col("category").isNotNull() | F.col("Payee").isNotNull())
     cat, sub = split_category(F.col("category"))
     return x.select(F.col("_loan").alias("Loan"), "Payee", cat.alias("Category"), sub.alias("Subcategory")).distinct()

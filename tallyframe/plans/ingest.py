@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.money import parse_amount
 from ..operators import normalize as N
 from ..operators.checks import control_total
+from ..session import cut_lineage
 from ..sources.exports import KINDS, read_export, split_footer
 
 SPENDING_SECTIONS = {"Income Categories": "Income", "Expense Categories": "Expense", "Transfers": "Transfer"}
@@ -35,7 +36,8 @@ class TxnImport:
 def parse_txn_exports(lines: DataFrame) -> TxnImport:
     """Account-transaction exports: header, footer, amounts, categories, dates, splits, voids."""
     kind = KINDS["account_txns"]
-    rows = read_export(lines, kind)
+    # the parsed rows feed several branches (rows, footer, rejects, the split scan): parse once
+    rows = cut_lineage(read_export(lines, kind))
     data, footer = split_footer(rows, kind.footer_label, "Num")
     typed, amount_rejects = N.normalize_amounts(data, list(kind.money))
     typed = N.with_split_category(typed)

@@ -17,6 +17,7 @@ from .. import schema as S
 from ..functions.dates import month_start, year_end
 from ..ledger import Ledger
 from ..operators.filters import SpecError, apply_select
+from ..session import cut_lineage
 
 # --- fixed values: pivot dimensions in hierarchy order (directive -> column) ----------------
 DATE_DIMS = {"yyyy": "DateYYYY", "yyyymm": "DateYYYYMM"}
@@ -149,6 +150,9 @@ def pivot(ledger: Ledger, spec: Mapping | None = None, max_columns: int = S.MAX_
         out = labelled.filter(F.col("_col") == S.TOTAL_LABEL).select(*fk, *rows, F.col("Amount").alias(S.TOTAL_LABEL), "_is_total_row")
         return out.orderBy(*fk, "_is_total_row", *rows).drop("_is_total_row")
 
+    # The aggregate is small (row labels x column labels) but both the domain and the pivot need
+    # it: materialize it once (reliable checkpoint) instead of aggregating the facts twice.
+    labelled = cut_lineage(labelled)
     # column domain: size-checked before it is collected
     domain_df = labelled.filter(F.col("_col") != S.TOTAL_LABEL).select("_col", *[f"_k_{c}" for c in cols]).distinct()
     if "EraName" in cols:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.scan import running
+
 MAX_FIELDS = 40  # widest export row we parse (extra fields are ignored)
 
 
@@ -107,9 +109,9 @@ def lines_of_files(raw: DataFrame, encoding: str = "windows-1252") -> DataFrame:
 
 
 def _nonblank(lines: DataFrame) -> DataFrame:
-    """Blank lines dropped; ``nb`` = position among the file's non-blank lines."""
-    w = Window.partitionBy("file").orderBy("line_no")
-    return lines.filter(F.trim(F.col("line")) != "").withColumn("nb", F.row_number().over(w))
+    """Blank lines dropped; ``nb`` = position among the file's non-blank lines (a chunked running
+    count, so a huge file is not numbered by one task)."""
+    return running(lines.filter(F.trim(F.col("line")) != ""), "file", "line_no", total={"nb": F.lit(1).cast("long")})
 
 
 def classify_exports(lines: DataFrame, kinds: Iterable[ExportKind] = EXPORT_KINDS) -> DataFrame:

@@ -173,3 +173,23 @@ def test_pivot_overlap_error():
     rows_, cols, total = resolve_dims({"rows": ["yyyy", "yyyymm"], "columns": "total"})
     assert rows_ == ["DateYYYY", "DateYYYYMM"] and cols == ["EraName"] and total
     assert resolve_dims({"rows": ["payee", "subcategory"]})[0] == ["Category", "Subcategory", "Payee"]
+
+
+def test_running_across_chunks(spark, monkeypatch):
+    import random
+
+    from tallyframe.operators import scan
+
+    rnd = random.Random(7)
+    data = [(f"f{rnd.randint(0, 2)}", i, rnd.choice([None, None, f"v{i}"]), rnd.randint(-3, 3)) for i in range(400)]
+    df = spark.createDataFrame(data, "file string, line_no long, v string, x int")
+    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    expect = df.withColumn("lv", F.last("v", ignorenulls=True).over(w)).withColumn("sx", F.sum("x").over(w))
+    got = scan.running(df, "file", "line_no", last={"lv": F.col("v")}, total={"sx": F.col("x")}, chunk=7)
+    assert rows(got, "file", "line_no", "lv", "sx") == rows(expect, "file", "line_no", "lv", "sx")
+    # the split flattening and section labelling give the same answer with tiny chunks
+    flat_data = [("f", 1, "1", "2022-01-01", "P1", "A", "x"), ("f", 2, None, None, None, None, None), ("f", 3, None, None, None, None, "own"), ("f", 4, "2", "2022-01-02", "P2", "A", None), ("f", 5, None, None, None, None, None)]
+    fd = spark.createDataFrame(flat_data, "file string, line_no long, Num string, Date string, Payee string, Account string, Memo string").withColumn("Date", F.to_date("Date"))
+    big = rows(N.flatten_splits(fd), "line_no", "Num", "Memo", "Split")
+    monkeypatch.setattr(scan, "CHUNK_LINES", 2)
+    assert rows(N.flatten_splits(fd), "line_no", "Num", "Memo", "Split") == big == [(2, "1", "x", "Y"), (3, "1", "own", "Y"), (5, "2", None, "Y")]
