@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .operators import ledger as L
 from .operators.filters import FilterContext
 from .operators.numbering import number_rows
+from .session import cut_lineage
 
 # Order in which transactions were numbered (N) when imported: the source position.
 SOURCE_ORDER = ("SrcDate", "SrcOrder", "SrcLine", "Account", "Payee", "Category", "Subcategory", "XferAccount", "Amount", "Memo", "C")
@@ -78,11 +79,16 @@ class Ledger:
         df = df.drop(*flags)
         return L.assign_interval(df, self.eras)
 
-    def txns_numbered(self) -> DataFrame:
-        """Txns with N = 1..n in import order (materializes a range-partitioned copy)."""
+    def txns_numbered(self, materialize_input: bool = True) -> DataFrame:
+        """Txns with N = 1..n in import order.
+
+        Range partitioning samples its input in a separate pass; when the facts come from the
+        source joins, they are materialized first so the joins run once, not twice.
+        """
         if "N" in self.txns.columns:
             return self.txns
-        return number_rows(self.txns, list(self.order_key), "N")
+        src = cut_lineage(self.txns) if materialize_input else self.txns
+        return number_rows(src, list(self.order_key), "N")
 
     def rewrite_counts(self) -> DataFrame:
         df, flags = self._rewritten

@@ -597,6 +597,7 @@ from ..operators import normalize as N  # noqa: E402
 from ..sources import export_binding as EB  # noqa: E402
 from ..sources import exports as X  # noqa: E402
 from . import ingest as I  # noqa: E402
+from ..session import cut_lineage  # noqa: E402
 
 _ORDERS_SQL = """
 o AS (SELECT o_orderkey, o_orderkey // 1000 AS fk,
@@ -622,12 +623,29 @@ def _sql(body: str, ctes: str = _ORDERS_SQL) -> str:
     return f"WITH {ctes.strip()}\n{body.strip()}"
 
 
+_RENDERED: dict[tuple[int, str, str], DataFrame] = {}
+
+
+def _rendered(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """The rendered export files of one kind, materialized once per session (like files on disk)."""
+    key = (id(spark), sf, kind)
+    if key not in _RENDERED:
+        make = {
+            "txns": lambda: EB.txn_export_lines(spark, sf),
+            "balances": lambda: EB.balance_export_lines(spark, sf),
+            "spending": lambda: EB.spending_export_lines(ledger_for(spark, sf).view),
+            "loans": lambda: EB.loan_export_lines(spark, sf),
+        }[kind]
+        _RENDERED[key] = cut_lineage(make())
+    return _RENDERED[key]
+
+
 def _txn_import(spark: SparkSession, sf: str) -> I.TxnImport:
-    return I.parse_txn_exports(EB.txn_export_lines(spark, sf))
+    return I.parse_txn_exports(_rendered(spark, sf, "txns"))
 
 
 def _all_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return EB.txn_export_lines(spark, sf).unionByName(EB.balance_export_lines(spark, sf)).unionByName(EB.spending_export_lines(ledger_for(spark, sf).view))
+    return _rendered(spark, sf, "txns").unionByName(_rendered(spark, sf, "balances")).unionByName(_rendered(spark, sf, "spending"))
 
 
 register(
@@ -644,7 +662,7 @@ register(
            LEFT JOIN (SELECT l_orderkey // 1000 AS k, COUNT(*) AS n FROM lineitem GROUP BY 1) g USING (k)""",
         "x AS (SELECT 1)",
     ),
-)(lambda spark, sf: X.read_export(EB.txn_export_lines(spark, sf), X.KINDS["account_txns"]).groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.count("Date").alias("dated")))
+)(lambda spark, sf: X.read_export(_rendered(spark, sf, "txns"), X.KINDS["account_txns"]).groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.count("Date").alias("dated")))
 
 register(
     "footer_total",
@@ -656,7 +674,7 @@ register(
     _sql(f"SELECT {_FLAT_SQL} FROM flat"),
 )(
     lambda spark, sf: N.flatten_splits(
-        N.parse_dates(N.with_split_category(N.normalize_amounts(X.split_footer(X.read_export(EB.txn_export_lines(spark, sf), X.KINDS["account_txns"]), "Grand Total", "Num")[0], ["Amount"])[0]))[0]
+        N.parse_dates(N.with_split_category(N.normalize_amounts(X.split_footer(X.read_export(_rendered(spark, sf, "txns"), X.KINDS["account_txns"]), "Grand Total", "Num")[0], ["Amount"])[0]))[0]
     ).select(*_FLAT_COLS)
 )
 
@@ -755,7 +773,7 @@ b AS (SELECT n_name AS Account, CAST(COALESCE(SUM(CAST(s_acctbal AS DECIMAL(15,4
 register(
     "label_sections_2level",
     _sql("SELECT Account, CAST(Total AS DOUBLE) AS Total, Type, Subtype FROM b", _BAL_SQL),
-)(lambda spark, sf: I.parse_balances(EB.balance_export_lines(spark, sf))[0].select("Account", "Total", "Type", "Subtype"))
+)(lambda spark, sf: I.parse_balances(_rendered(spark, sf, "balances"))[0].select("Account", "Total", "Type", "Subtype"))
 register(
     "check_net_worth",
     _sql(
@@ -765,7 +783,7 @@ register(
              CAST(SUM(CASE WHEN Type = 'Assets' THEN Total ELSE -Total END) AS DOUBLE) AS net_worth, TRUE AS sum_ok, TRUE AS net_worth_ok FROM b""",
         _BAL_SQL,
     ),
-)(lambda spark, sf: (lambda r: I.check_net_worth(r[0], r[1]))(I.parse_balances(EB.balance_export_lines(spark, sf))))
+)(lambda spark, sf: (lambda r: I.check_net_worth(r[0], r[1]))(I.parse_balances(_rendered(spark, sf, "balances"))))
 
 _SPEND_SQL = """
 s AS (SELECT COALESCE(CategorySubcategory, Category || ' (transfers)') AS Category, TxnType,
@@ -775,7 +793,7 @@ s AS (SELECT COALESCE(CategorySubcategory, Category || ' (transfers)') AS Catego
 register(
     "label_sections_1level",
     with_ledger("SELECT Category, CAST(Total AS DOUBLE) AS Total, TxnType FROM s", _SPEND_SQL),
-)(lambda spark, sf: I.parse_spending(EB.spending_export_lines(ledger_for(spark, sf).view))[0].select("Category", "Total", "TxnType"))
+)(lambda spark, sf: I.parse_spending(_rendered(spark, sf, "spending"))[0].select("Category", "Total", "TxnType"))
 register(
     "check_spending_total",
     with_ledger(
@@ -785,7 +803,7 @@ register(
              CAST(SUM(CASE WHEN TxnType = 'Expense' THEN -Total ELSE Total END) AS DOUBLE) AS grand_total, TRUE AS ok FROM s""",
         _SPEND_SQL,
     ),
-)(lambda spark, sf: (lambda r: I.check_spending_total(r[0], r[1]))(I.parse_spending(EB.spending_export_lines(ledger_for(spark, sf).view))))
+)(lambda spark, sf: (lambda r: I.check_spending_total(r[0], r[1]))(I.parse_spending(_rendered(spark, sf, "spending"))))
 
 register(
     "export_asof",
@@ -801,7 +819,7 @@ register(
 )(
     lambda spark, sf: (
         lambda lines: X.prune_exports(lines, X.as_of_date(lines), _date(2001, 1, 1), _date(2001, 12, 31)).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
-    )(EB.txn_export_lines(spark, sf).unionByName(EB.balance_export_lines(spark, sf)))
+    )(_rendered(spark, sf, "txns").unionByName(_rendered(spark, sf, "balances")))
 )
 
 # ---------------------------------------------------------------------------------------------
@@ -892,7 +910,7 @@ register(
               CASE WHEN g.n_name IS NOT NULL THEN g.r_name ELSE a.AccountCategory END AS AccountCategory
             FROM accts a LEFT JOIN {_ACCT_REGION} g ON g.n_name = a.Account"""
     ),
-)(lambda spark, sf: L.account_types_overlay(ledger_for(spark, sf).accounts, I.parse_balances(EB.balance_export_lines(spark, sf))[0]).select("Account", "AccountClassification", "AccountCategory"))
+)(lambda spark, sf: L.account_types_overlay(ledger_for(spark, sf).accounts, I.parse_balances(_rendered(spark, sf, "balances"))[0]).select("Account", "AccountClassification", "AccountCategory"))
 
 
 def _details(spark: SparkSession, sf: str) -> DataFrame:
@@ -942,7 +960,7 @@ register(
 
 def _categories_typed(spark: SparkSession, sf: str) -> DataFrame:
     lg = ledger_for(spark, sf)
-    items = I.parse_spending(EB.spending_export_lines(lg.view))[0]
+    items = I.parse_spending(_rendered(spark, sf, "spending"))[0]
     return L.category_types_overlay(lg.categories_raw, [items]).select("Category", "Subcategory", "TxnType")
 
 
@@ -1030,7 +1048,7 @@ seg AS (SELECT c_mktsegment AS Loan, SUM(ABS(CAST(c_acctbal AS DECIMAL(15,4))))
 
 
 def _loans(spark: SparkSession, sf: str):
-    return I.parse_loans(EB.loan_export_lines(spark, sf))
+    return I.parse_loans(_rendered(spark, sf, "loans"))
 
 
 register(
