@@ -10,7 +10,6 @@ import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..ledger import Ledger
@@ -99,9 +98,3 @@ def write_reports(reports: Mapping[str, DataFrame], path: str, skip_empty: bool
         written[name] = loc
     return written
 
-
-def drop_hidden(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("Src")])
-
-
-__all__ = ["write_ledger", "read_ledger", "write_reports", "StoredLedger", "F"]
