@@ -50,19 +50,20 @@ REDUNDANT_WITH_NAME = {
 def constant_columns(df: DataFrame, candidates: Sequence[str]) -> list[str]:
     """Columns of ``candidates`` holding one value (NULL counts as a value) or no rows at all.
 
-    One aggregate job; only the per-column flags reach the driver.
+    One aggregate job of min / max / NULL counts (partial aggregation, no distinct shuffle);
+    only the per-column flags reach the driver.
     """
     cands = [c for c in candidates if c in df.columns]
     if not cands:
         return []
     aggs = []
     for c in cands:
-        aggs += [F.count_distinct(F.col(c)).alias(f"d_{c}"), F.count_if(F.col(c).isNull()).alias(f"n_{c}")]
+        aggs += [F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"), F.count_if(F.col(c).isNull()).alias(f"n_{c}")]
     row = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
     out = []
     for c in cands:
-        d, n = row[f"d_{c}"], row[f"n_{c}"]
-        if row["_rows"] == 0 or (d == 1 and n == 0) or (d == 0):
+        lo, hi, nulls, rows = row[f"lo_{c}"], row[f"hi_{c}"], row[f"n_{c}"], row["_rows"]
+        if rows == 0 or nulls == rows or (nulls == 0 and lo == hi):
             out.append(c)
     return out
 
@@ -193,12 +194,10 @@ def single_payee_categories(ledger: Ledger, spec: Mapping | None = None) -> Data
         values, cond = values_and_cond(sel.get(key))
         if values:
             v = v.filter(F.col(col).isin(values) if cond == "=" else ~F.col(col).isin(values))
-    g = v.groupBy("CategorySubcategory").agg(
-        F.count_distinct("Payee").alias("PayeeCount"),
-        # at most one distinct payee survives the HAVING, so the distinct concat is that payee
-        F.array_join(F.array_sort(F.collect_set("Payee")), ",").alias("Payee"),
-    )
-    return g.filter(F.col("PayeeCount") < 2).drop("PayeeCount")
+    # "fewer than two distinct payees" is min == max: a partial aggregate, no per-group payee
+    # sets (a hot category never gathers its payees in one place); the single payee is the min
+    g = v.groupBy("CategorySubcategory").agg(F.min("Payee").alias("Payee"), F.max("Payee").alias("_hi"))
+    return g.filter(F.col("Payee") == F.col("_hi")).drop("_hi")
 
 
 def unclassified_accounts(ledger: Ledger) -> DataFrame:
