@@ -297,7 +297,8 @@ def account_classify(accts: DataFrame, account_cfg: DataFrame, config_map: Mappi
     looked = cfg.join(cmap, cfg._cat == cmap.cat, "left").select(
         "Account", "category", F.col("_cat").alias("AccountCategory"), F.coalesce("_cls_given", "cls").alias("AccountClassification")
     )
-    checked = looked.join(F.broadcast(known), looked.AccountClassification == known._known_cls, "left")
+    # classifications are few, but derived from data: the planner (AQE) decides on a broadcast
+    checked = looked.join(known, looked.AccountClassification == known._known_cls, "left")
     good = checked.filter(F.col("_known_cls").isNotNull()).select("Account", "AccountClassification", "AccountCategory")
     bad = checked.filter(F.col("_known_cls").isNull()).select(
         "Account", "category", F.when(F.col("AccountClassification").isNull(), F.lit("no classification")).otherwise(F.lit("unknown classification")).alias("problem")
