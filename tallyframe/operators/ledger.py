@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -496,14 +496,17 @@ def enrich(txns: DataFrame, cats: DataFrame) -> DataFrame:
 
 
 def interval_overlaps(intervals: DataFrame, name: str = "EraName", start: str = "EraDateFrom", end: str = "EraDateTo") -> DataFrame:
-    """Pairs of consecutive intervals (in (start, end) order) where the next starts before this
-    one ends; a shared boundary day is allowed. Open ends count as -inf / +inf.
+    """Pairs of consecutive intervals (in (start, end, name) order) where the next starts before
+    this one ends; a shared boundary day is allowed. Open ends count as -inf / +inf.
 
-    Intervals are config- or dimension-sized (eras, accounts), so one ordered window is fine.
+    Consecutive = numbers n and n + 1 of the distributed numbering, joined on that key, so even a
+    long interval table is never ordered inside one task.
     """
-    lo, hi = F.coalesce(F.col(start), F.lit("0001-01-01").cast("date")), F.coalesce(F.col(end), F.lit("9999-12-31").cast("date"))
-    w = Window.orderBy("_s", "_e", "first")
-    x = intervals.select(F.col(name).alias("first"), lo.alias("_s"), hi.alias("_e")).withColumn("second", F.lead("first").over(w)).withColumn(
-        "_ns", F.lead("_s").over(w)
-    )
-    return x.filter(F.col("_ns") < F.col("_e")).select("first", "second")
+    from .numbering import number_rows
+
+    lo = F.coalesce(F.col(start), F.lit("0001-01-01").cast("date"))
+    hi = F.coalesce(F.col(end), F.lit("9999-12-31").cast("date"))
+    x = number_rows(intervals.select(F.col(name).alias("_n"), lo.alias("_s"), hi.alias("_e")), ["_s", "_e", "_n"], "_k")
+    nxt = x.select(F.col("_k").alias("_k2"), F.col("_n").alias("second"), F.col("_s").alias("_ns"))
+    j = x.join(nxt, F.col("_k") + 1 == F.col("_k2"))
+    return j.filter(F.col("_ns") < F.col("_e")).select(F.col("_n").alias("first"), "second")
