@@ -24,6 +24,22 @@ from pyspark.sql import functions as F
 from ..session import broadcast_bounded, cut_lineage
 
 MAX_BROADCAST_OFFSETS = 1_000_000
+MAX_RANGE_PARTITIONS = 100_000
+
+
+def range_partitions(df: DataFrame) -> int:
+    """Partitions for a range shuffle of ``df``: its estimated size over the advisory partition
+    size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), at least the shuffle partitions."""
+    spark = df.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        target = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+            spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+        )
+    except Exception:  # noqa: BLE001 - estimates are optional
+        return base
+    return int(min(MAX_RANGE_PARTITIONS, max(base, -(-size // max(int(target), 1)))))
 
 
 def _asc(c: Column | str) -> Column:
@@ -45,7 +61,7 @@ def number_rows(
     on every key get consecutive numbers in an arbitrary order.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or range_partitions(df)
     keys = [F.col(c).asc_nulls_first() for c in partition_by] + [_asc(c) for c in order_by]
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     tagged = cut_lineage(ranged.withColumn("__nr_pid", F.spark_partition_id()).withColumn("__nr_pos", F.monotonically_increasing_id()))
