@@ -28,12 +28,19 @@ MAX_RANGE_PARTITIONS = 100_000
 
 
 def range_partitions(df: DataFrame) -> int:
-    """Partitions for a range shuffle of ``df``: its estimated size over the advisory partition
-    size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), at least the shuffle partitions."""
+    """Partitions for a range shuffle of ``df``: the size of its largest input relation (the fact
+    scan; join estimates without statistics are unusable) over the advisory partition size
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), at least the shuffle partitions."""
     spark = df.sparkSession
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        # file scans only: in-memory or RDD-backed relations report no real size
+        scans = [leaves.apply(i) for i in range(leaves.size())]
+        sizes = [int(str(p.stats().sizeInBytes())) for p in scans if p.getClass().getSimpleName() == "LogicalRelation"]
+        if not sizes:
+            return base
+        size = max(sizes)
         target = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
             spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
         )
