@@ -1134,3 +1134,21 @@ on_ledger(
     ),
     lambda lg: L.interval_overlaps(lg.accounts, "Account", "TxnDateMin", "TxnDateMax"),
 )
+
+_ERA_YEARS = [("Era C", 1995), ("Era C", 1996), ("Era B", 1997), ("Era B", 1998), ("Era A", 1999), ("Era A", 2000), ("Era A", 2001)]
+on_ledger(
+    "pivot_cols_era_yyyy",
+    _pivot_sql([("COALESCE(Category, '')", "Category")], [(f"{e}|{y}-12-31", f"e = '{e}' AND y = {y}") for e, y in _ERA_YEARS], "TxnType <> 'Transfer'"),
+    lambda lg: P.pivot(lg, {"select": {"txntype": "!Transfer"}, "options": {"rows": "category", "columns": ["yyyy", "era"]}}),
+)
+_CLASS_CATS = [("", ""), ("Assets", "AFRICA"), ("Assets", "AMERICA"), ("Assets", "ASIA"), ("Liabilities", "EUROPE")]
+on_ledger(
+    "pivot_cols_account_attrs",
+    _pivot_sql(
+        [("COALESCE(Category, '')", "Category")],
+        [(f"{c}|{k}", f"COALESCE(AccountClassification, '') = '{c}' AND COALESCE(AccountCategory, '') = '{k}'") for c, k in _CLASS_CATS],
+        "TRUE",
+        join="JOIN accts a USING (Account)",
+    ).replace("TxnClass AS tc, Amount FROM v JOIN accts", "TxnClass AS tc, Amount, a.AccountClassification, a.AccountCategory FROM v JOIN accts"),
+    lambda lg: P.pivot(lg, {"options": {"rows": "category", "columns": ["account_category", "account_classification"]}}),
+)
