@@ -55,27 +55,44 @@ def _asc(c: Column | str) -> Column:
     return c
 
 
-def number_rows(
+def tag_positions(
     df: DataFrame,
     order_by: Sequence[Column | str],
-    name: str = "N",
     partition_by: Sequence[str] = (),
     num_partitions: int | None = None,
-) -> DataFrame:
-    """Add ``name`` = 1..n in ``order_by`` order (restarting per ``partition_by`` group).
+    path: str | None = None,
+    keep: Sequence[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The materialized half of the numbering: (tagged rows, offsets).
 
-    ``order_by`` entries are column names (ascending, NULLs first) or sort Columns. Rows that tie
-    on every key get consecutive numbers in an arbitrary order.
+    Rows are range-partitioned and sorted on the full key and written with their partition id
+    and position (to ``path`` when given - e.g. the ledger's own fact table - else to the shared
+    checkpoint folder); ``keep`` limits the written columns (sort-only columns can be dropped).
+    ``offsets`` holds one row per (partition, group): where its numbers start.
     """
     spark = df.sparkSession
     n = num_partitions or range_partitions(df)
+    order_by = list(dict.fromkeys(order_by)) if all(isinstance(c, str) for c in order_by) else list(order_by)
     keys = [F.col(c).asc_nulls_first() for c in partition_by] + [_asc(c) for c in order_by]
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    tagged = cut_lineage(ranged.withColumn("__nr_pid", F.spark_partition_id()).withColumn("__nr_pos", F.monotonically_increasing_id()))
+    tagged = ranged.withColumn("__nr_pid", F.spark_partition_id()).withColumn("__nr_pos", F.monotonically_increasing_id())
+    if keep is not None:
+        tagged = tagged.select(*dict.fromkeys([*keep, *partition_by]), "__nr_pid", "__nr_pos")
+    if path:
+        tagged.write.mode("overwrite").parquet(path)
+        tagged = spark.read.parquet(path)
+    else:
+        tagged = cut_lineage(tagged, "numbering")
     grp = list(partition_by)
     counts = tagged.groupBy("__nr_pid", *grp).agg(F.count(F.lit(1)).alias("__nr_cnt"), F.min("__nr_pos").alias("__nr_first"))
     w = Window.partitionBy(*grp).orderBy("__nr_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__nr_off", F.coalesce(F.sum("__nr_cnt").over(w), F.lit(0))).drop("__nr_cnt")
+    return tagged, offsets
+
+
+def attach_numbers(tagged: DataFrame, offsets: DataFrame, name: str = "N", partition_by: Sequence[str] = ()) -> DataFrame:
+    """``name`` = offset of the row's (partition, group) + its position in it + 1."""
+    grp = list(partition_by)
     renamed = {k: f"__nr_o{i}" for i, k in enumerate(["__nr_pid", *grp])}
     offsets = offsets.select(*[F.col(k).alias(v) for k, v in renamed.items()], "__nr_first", "__nr_off")
     # offsets hold at most (partitions + groups) rows: broadcast them instead of re-shuffling the data
@@ -85,3 +102,19 @@ def number_rows(
     return out.withColumn(name, (F.col("__nr_off") + F.col("__nr_pos") - F.col("__nr_first") + 1).cast("long")).drop(
         "__nr_pid", "__nr_pos", "__nr_first", "__nr_off"
     )
+
+
+def number_rows(
+    df: DataFrame,
+    order_by: Sequence[Column | str],
+    name: str = "N",
+    partition_by: Sequence[str] = (),
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Add ``name`` = 1..n in ``order_by`` order (restarting per ``partition_by`` group).
+
+    ``order_by`` entries are column names (ascending, NULLs first) or sort Columns. Rows that tie
+    on every key get consecutive numbers in an arbitrary order.
+    """
+    tagged, offsets = tag_positions(df, order_by, partition_by, num_partitions)
+    return attach_numbers(tagged, offsets, name, partition_by)

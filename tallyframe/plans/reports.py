@@ -132,7 +132,7 @@ def txns_report(ledger: Ledger, spec: Mapping | None = None, renumber: bool = Tr
     else:
         raise SpecError(f"consolidate: '{consolidate}': unrecognized option")
     cols = [c for c in cols if c not in drop and c != "N"]
-    hidden = [c for c in order if isinstance(c, str) and c not in cols]
+    hidden = list(dict.fromkeys(c for c in order if isinstance(c, str) and c not in cols))
     df = df.select(*cols, *[c for c in hidden if c in df.columns])
     if renumber:
         df = number_rows(df, order, "N")

@@ -10,12 +10,17 @@ import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..ledger import Ledger
 from ..operators.ledger import conform
+from ..operators.numbering import attach_numbers, tag_positions
+from ..session import cut_lineage
 
-STORED_TABLES = ("Txns", "Accounts", "Payees", "Categories", "Eras")
+STORED_TABLES = ("Txns", "TxnsOffsets", "Accounts", "Payees", "Categories", "Eras")
+TXN_COLUMNS = [f.name for f in S.TXNS.fields if f.name != "N"]
+IMPORT_ORDER = ("__nr_pid", "__nr_pos")
 
 
 def _join(path: str, name: str) -> str:
@@ -25,14 +30,22 @@ def _join(path: str, name: str) -> str:
 def write_ledger(ledger: Ledger, path: str) -> dict[str, str]:
     """Write the ledger tables (overwrite). Returns table -> location.
 
-    The fact table is written first; the dimensions are then aggregated from the *written*
-    facts (a columnar scan of a few columns) instead of re-running the source joins.
+    The fact table is written once, in import order: range-partitioned on the import order with
+    each row's (partition, position); a tiny ``TxnsOffsets`` table turns those into N on read
+    (see ``operators.numbering``), so the facts are never rewritten just to add N. The
+    dimensions are then aggregated from the *written* facts instead of re-running the source joins.
     """
     spark = ledger.spark
-    out = {"Txns": _join(path, "Txns")}
-    conform(ledger.txns_numbered(), S.TXNS).write.mode("overwrite").parquet(out["Txns"])
+    out = {"Txns": _join(path, "Txns"), "TxnsOffsets": _join(path, "TxnsOffsets")}
+    # facts from the source joins are materialized once (the range sampling pass and the shuffle
+    # pass would otherwise both run the joins); stored facts (with N) are re-ordered by N
+    stored = set(IMPORT_ORDER) <= set(ledger.txns.columns)
+    src = ledger.txns.withColumnsRenamed({c: f"_{c}" for c in IMPORT_ORDER}) if stored else cut_lineage(conform_keep(ledger.txns, ledger.order_key), "facts")
+    order = [f"_{c}" for c in IMPORT_ORDER] if stored else list(ledger.order_key)
+    _, offsets = tag_positions(src, order, path=out["Txns"], keep=TXN_COLUMNS)
+    offsets.write.mode("overwrite").parquet(out["TxnsOffsets"])
     facts = spark.read.parquet(out["Txns"])
-    derived = Ledger(spark, facts, ledger.config, ledger.account_config, ledger.txns_inv, ledger.loans, order_key=("N",), anchor_mode=ledger.anchor_mode)
+    derived = Ledger(spark, facts, ledger.config, ledger.account_config, ledger.txns_inv, ledger.loans, order_key=IMPORT_ORDER, anchor_mode=ledger.anchor_mode)
     derived.__dict__["txns"] = facts
     tables: Mapping[str, DataFrame] = {
         "Accounts": conform(derived.accounts, S.ACCOUNTS),
@@ -55,16 +68,32 @@ class StoredLedger(Ledger):
         missing = [t for t in STORED_TABLES if not _exists(spark, _join(path, t))]
         if missing:
             raise FileNotFoundError(f"ledger at '{path}' lacks tables: {missing}")
+        # (partition, position) of the stored facts is the import order: reports sort on it and
+        # N is attached (a broadcast of the per-partition offsets) only where it is shown
         txns = spark.read.parquet(_join(path, "Txns"))
-        super().__init__(spark, txns, config, order_key=("N",))
+        super().__init__(spark, txns, config, order_key=IMPORT_ORDER)
         self.__dict__["txns"] = txns
         self.__dict__["accounts"] = spark.read.parquet(_join(path, "Accounts"))
         self.__dict__["payees"] = spark.read.parquet(_join(path, "Payees"))
         self.__dict__["categories"] = spark.read.parquet(_join(path, "Categories"))
         self.__dict__["eras"] = spark.read.parquet(_join(path, "Eras"))
 
-    def txns_numbered(self) -> DataFrame:
-        return self.txns
+    def txns_numbered(self, materialize_input: bool = False) -> DataFrame:
+        return _numbered_facts(self.spark, self.path)
+
+
+def conform_keep(df: DataFrame, order_key) -> DataFrame:
+    """Ledger fact columns (typed as the schema) plus the columns the import order needs."""
+    have = set(df.columns)
+    cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.TXNS.fields if f.name != "N"]
+    extra = [c for c in order_key if c not in TXN_COLUMNS and c in have]
+    return df.select(*cols, *extra)
+
+
+def _numbered_facts(spark: SparkSession, path: str) -> DataFrame:
+    tagged = spark.read.parquet(_join(path, "Txns"))
+    offsets = spark.read.parquet(_join(path, "TxnsOffsets"))
+    return conform(attach_numbers(tagged, offsets, "N"), S.TXNS)
 
 
 def _exists(spark: SparkSession, loc: str) -> bool:
