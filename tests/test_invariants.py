@@ -61,6 +61,8 @@ def test_store_roundtrip_and_sinks(spark, ledger):
     write_ledger(ledger, os.path.join(d, "ledger"))
     stored = read_ledger(spark, os.path.join(d, "ledger"), binding.LEDGER_CONFIG)
     assert stored.txns.count() == ledger.txns.count()
+    n = stored.txns_numbered().agg(F.min("N").alias("lo"), F.max("N").alias("hi"), F.count_distinct("N").alias("k"), F.count(F.lit(1)).alias("c")).first()
+    assert (n.lo, n.hi, n.k) == (1, n.c, n.c)  # dense 1..n
     a = P.pivot(ledger, {"select": {"txntype": "Income"}}).collect()
     b = P.pivot(stored, {"select": {"txntype": "Income"}}).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
