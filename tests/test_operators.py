@@ -193,3 +193,27 @@ def test_running_across_chunks(spark, monkeypatch):
     big = rows(N.flatten_splits(fd), "line_no", "Num", "Memo", "Split")
     monkeypatch.setattr(scan, "CHUNK_LINES", 2)
     assert rows(N.flatten_splits(fd), "line_no", "Num", "Memo", "Split") == big == [(2, "1", "x", "Y"), (3, "1", "own", "Y"), (5, "2", None, "Y")]
+
+
+def test_rewrite_config_errors(spark):
+    tx = spark.createDataFrame([("A", "P", "C")], "Account string, Payee string, Category string").withColumns(
+        {"Date": F.lit(date(2020, 1, 1)), "Amount": F.lit(Decimal("1")).cast("decimal(15,4)"), "Memo": F.lit(None).cast("string"), "Subcategory": F.lit(None).cast("string")}
+    )
+    with pytest.raises(L.ConfigError):  # bad date spec
+        L.apply_rewrites(tx, [{"txndate": "20x0-01", "select": {"payee": "P"}}])
+    with pytest.raises(L.ConfigError):  # only a select, nothing to modify
+        L.apply_rewrites(tx, [{"select": {"payee": "P"}}])
+    with pytest.raises(L.ConfigError):  # an empty select list
+        L.apply_rewrites(tx, [{"payee": "Q", "select": {"payee": []}}])
+    with pytest.raises(L.ConfigError):  # directive not allowed in rewrites
+        L.apply_rewrites(tx, [{"payee": "Q", "select": {"txntype": "Expense"}}])
+
+
+def test_export_missing_columns(spark):
+    from tallyframe.sources import exports as X
+
+    lines = ["Title", "Num,Date,Payee,Amount", "1,2022-01-01,A,1.00"]
+    df = spark.createDataFrame([("f", i + 1, t, None) for i, t in enumerate(lines)], "file string, line_no long, line string, modified timestamp")
+    probs = X.export_problems(df, X.KINDS["account_txns"]).collect()
+    assert [p.problem for p in probs] == ["missing columns: Account, Category"]
+    assert X.read_export(df, X.KINDS["account_txns"]).count() == 0
