@@ -635,6 +635,7 @@ def _rendered(spark: SparkSession, sf: str, kind: str) -> DataFrame:
             "balances": lambda: EB.balance_export_lines(spark, sf),
             "spending": lambda: EB.spending_export_lines(ledger_for(spark, sf).view),
             "loans": lambda: EB.loan_export_lines(spark, sf),
+            "monthly": lambda: EB.spending_export_lines(ledger_for(spark, sf).view, monthly=True),
         }[kind]
         _RENDERED[key] = cut_lineage(make())
     return _RENDERED[key]
@@ -1152,3 +1153,18 @@ on_ledger(
     ).replace("TxnClass AS tc, Amount FROM v JOIN accts", "TxnClass AS tc, Amount, a.AccountClassification, a.AccountCategory FROM v JOIN accts"),
     lambda lg: P.pivot(lg, {"options": {"rows": "category", "columns": ["account_category", "account_classification"]}}),
 )
+
+register(
+    "label_sections_monthly",
+    with_ledger("SELECT Category, CAST(Total AS DOUBLE) AS Total, TxnType FROM s", _SPEND_SQL),
+)(lambda spark, sf: I.parse_spending(_rendered(spark, sf, "monthly"), monthly=True)[0].select("Category", "Total", "TxnType"))
+register(
+    "check_monthly_total",
+    with_ledger(
+        """SELECT 'monthly' AS file, CAST(SUM(CASE WHEN TxnType = 'Income' THEN Total END) AS DOUBLE) AS income,
+             CAST(SUM(CASE WHEN TxnType = 'Expense' THEN Total END) AS DOUBLE) AS expenses,
+             CAST(SUM(CASE WHEN TxnType = 'Transfer' THEN Total END) AS DOUBLE) AS transfers,
+             CAST(SUM(CASE WHEN TxnType = 'Expense' THEN -Total ELSE Total END) AS DOUBLE) AS grand_total, TRUE AS ok FROM s""",
+        _SPEND_SQL,
+    ),
+)(lambda spark, sf: (lambda r: I.check_spending_total(r[0], r[1]))(I.parse_spending(_rendered(spark, sf, "monthly"), monthly=True)))

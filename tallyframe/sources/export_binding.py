@@ -32,6 +32,9 @@ BAL_HEADER = "Account,Total"
 SPEND_PREAMBLE = ("Income and spending", "Converted to base currency: US dollar", "1/1/1995 through 12/31/2001")
 SPEND_HEADER = "Category,Total"
 SPEND_SECTIONS = (("Income", "Income Categories"), ("Expense", "Expense Categories"), ("Transfer", "Transfers"))
+MONTHLY_PREAMBLE = ("Monthly income and expenses", "Converted to base currency: US dollar", "1/1/1995 through 12/31/2001")
+MONTHLY_SECTIONS = (("Income", "Income"), ("Expense", "Expenses"), ("Transfer", "Transfers"))
+MONTHLY_FOOTER = "Income less Expenses"
 # ---------------------------------------------------------------------------------------------
 
 
@@ -171,7 +174,7 @@ def balance_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.unionByName(body).withColumn("modified", F.lit(None).cast("timestamp"))
 
 
-def spending_export_lines(view: DataFrame) -> DataFrame:
+def spending_export_lines(view: DataFrame, monthly: bool = False) -> DataFrame:
     """Rendered income-and-spending export over an enriched ledger view (one file).
 
     Expenses are shown positive (as the export tool does); Grand Total = income - expenses +
@@ -179,7 +182,8 @@ def spending_export_lines(view: DataFrame) -> DataFrame:
     """
     cats = view.groupBy("TxnType", "CategorySubcategory", "Category").agg(F.sum("Amount").alias("amt"))
     sec_ord = F.when(F.col("TxnType") == "Income", F.lit(0)).when(F.col("TxnType") == "Expense", F.lit(1)).otherwise(F.lit(2))
-    sec_name = F.when(F.col("TxnType") == "Income", F.lit(SPEND_SECTIONS[0][1])).when(F.col("TxnType") == "Expense", F.lit(SPEND_SECTIONS[1][1])).otherwise(F.lit(SPEND_SECTIONS[2][1]))
+    sections = MONTHLY_SECTIONS if monthly else SPEND_SECTIONS
+    sec_name = F.when(F.col("TxnType") == "Income", F.lit(sections[0][1])).when(F.col("TxnType") == "Expense", F.lit(sections[1][1])).otherwise(F.lit(sections[2][1]))
     shown = F.when(F.col("TxnType") == "Expense", -F.col("amt")).otherwise(F.col("amt")).cast("decimal(25,4)")
     items = cats.select(
         F.coalesce(F.col("CategorySubcategory"), F.concat(F.col("Category"), F.lit(" (transfers)"))).alias("name"),
@@ -194,16 +198,17 @@ def spending_export_lines(view: DataFrame) -> DataFrame:
         secs.select(F.col("sec").alias("name"), F.lit(None).cast("decimal(25,4)").alias("val"), F.array(F.col("s"), F.lit(0)).alias("k"), F.lit("").alias("nk")),
         items.select("name", "val", F.array(F.col("s"), F.lit(1)).alias("k"), F.col("name").alias("nk")),
         secs.select(F.concat(F.lit("Total "), F.col("sec")).alias("name"), "val", F.array(F.col("s"), F.lit(2)).alias("k"), F.lit("").alias("nk")),
-        grand.select(F.lit("Grand Total").alias("name"), "val", F.array(F.lit(9), F.lit(0)).alias("k"), F.lit("").alias("nk")),
+        grand.select(F.lit(MONTHLY_FOOTER if monthly else "Grand Total").alias("name"), "val", F.array(F.lit(9), F.lit(0)).alias("k"), F.lit("").alias("nk")),
     ]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    u = u.withColumn("file", F.lit("spending"))
-    pre = len(SPEND_PREAMBLE) + 1
+    u = u.withColumn("file", F.lit("monthly" if monthly else "spending"))
+    preamble = MONTHLY_PREAMBLE if monthly else SPEND_PREAMBLE
+    pre = len(preamble) + 1
     w = Window.partitionBy("file").orderBy("k", "nk")
     body = u.select("file", (F.row_number().over(w) + pre).cast("long").alias("line_no"), csv_line(F.col("name"), F.when(F.col("val").isNotNull(), F.format_number(F.col("val"), 2))).alias("line"))
-    head = _preamble(u.select("file").distinct(), SPEND_PREAMBLE, SPEND_HEADER)
+    head = _preamble(u.select("file").distinct(), preamble, SPEND_HEADER)
     return head.unionByName(body).withColumn("modified", F.lit(None).cast("timestamp"))
 
 
