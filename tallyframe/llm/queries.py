@@ -7,20 +7,35 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, decon, pii, quality
+from tallyframe.llm import bpe, decon, pii, quality, warc, wavelet
 from tallyframe.llm.common import table
 from tallyframe.session import cut_lineage
 
 
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    manifest = wavelet.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return wavelet.read_documents(manifest, docs.schema["doc_id"].dataType, _partitions(spark))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = cut_lineage(quality.score(table(spark, sf_dir, "documents")), "quality")
     return quality.assess(scored, table(spark, sf_dir, "labels"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.read_warc(warc.write_warc(pages), pages.schema["page_id"].dataType, _partitions(spark)).drop("url")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -31,7 +46,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op6_quality, op9_bpe, op10_decontamination)
+    f.__name__: f for f in (op1_pii, op2_wavelet, op6_quality, op8_warc, op9_bpe, op10_decontamination)
 }
 
 ORACLE: dict[str, str] = {}
