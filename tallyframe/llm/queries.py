@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, decon, pii, quality, warc, wavelet
+from tallyframe.llm import bpe, decon, neardup, pii, quality, warc, wavelet
 from tallyframe.llm.common import table
 from tallyframe.session import cut_lineage
 
@@ -26,6 +26,10 @@ def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(manifest, docs.schema["doc_id"].dataType, _partitions(spark))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=80)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = cut_lineage(quality.score(table(spark, sf_dir, "documents")), "quality")
     return quality.assess(scored, table(spark, sf_dir, "labels"))
@@ -46,7 +50,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_wavelet, op6_quality, op8_warc, op9_bpe, op10_decontamination)
+    f.__name__: f for f in (op1_pii, op2_wavelet, op5_near_duplicates, op6_quality, op8_warc, op9_bpe, op10_decontamination)
 }
 
 ORACLE: dict[str, str] = {}
