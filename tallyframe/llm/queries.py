@@ -7,10 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, decon, neardup, pii, quality, warc, wavelet
+from tallyframe.llm import bpe, decon, lines, neardup, pii, quality, warc, wavelet
 from tallyframe.llm.common import table
 from tallyframe.session import cut_lineage
 
+#: A repeated run of lines goes if it has this many words or more.
+LEAST_WORDS = 50
+
 
 def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -35,6 +38,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(scored, table(spark, sf_dir, "labels"))
 
 
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.drop_repeated_runs(docs, LEAST_WORDS, counts=True)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return warc.read_warc(warc.write_warc(pages), pages.schema["page_id"].dataType, _partitions(spark)).drop("url")
@@ -50,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_wavelet, op5_near_duplicates, op6_quality, op8_warc, op9_bpe, op10_decontamination)
+    f.__name__: f for f in (op1_pii, op2_wavelet, op5_near_duplicates, op6_quality, op7_line_runs, op8_warc, op9_bpe, op10_decontamination)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_line_runs": lines.oracle(LEAST_WORDS)}
