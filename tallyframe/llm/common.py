@@ -11,20 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-PACKAGE = "tallyframe_llm.zip"
+PACKAGE = "tallyframe.zip"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let the Python workers import this subpackage, wherever the driver was started."""
+    """Let the Python workers import this package, wherever the driver was started."""
     sc = spark.sparkContext
     if PACKAGE not in sc._python_includes:
-        here = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         path = os.path.join(tempfile.mkdtemp(prefix="tallyframe-ship-"), PACKAGE)
         with zipfile.ZipFile(path, "w") as z:
-            z.writestr("tallyframe/__init__.py", "")
-            for name in sorted(os.listdir(here)):
-                if name.endswith(".py"):
-                    z.write(os.path.join(here, name), f"tallyframe/llm/{name}")
+            for folder, _, names in sorted(os.walk(root)):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
         sc.addPyFile(path)
     return spark
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, decon, lines, neardup, pii, quality, secrets, warc, wavelet
+from tallyframe.llm import bpe, decon, lines, neardup, pii, quality, secrets, template, warc, wavelet
 from tallyframe.llm.common import table
 from tallyframe.session import cut_lineage
 
@@ -29,6 +29,10 @@ def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(manifest, docs.schema["doc_id"].dataType, _partitions(spark))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_wavelet, op4_secrets, op5_near_duplicates, op6_quality, op7_line_runs, op8_warc, op9_bpe, op10_decontamination)
+    f.__name__: f for f in (op1_pii, op2_wavelet, op3_main_text, op4_secrets, op5_near_duplicates, op6_quality, op7_line_runs, op8_warc, op9_bpe, op10_decontamination)
 }
 
 ORACLE: dict[str, str] = {"op7_line_runs": lines.oracle(LEAST_WORDS)}
