@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import map_batches
+from tallyframe.llm.common import map_batches, ship
 from tallyframe.llm.words import shingle_sets, slices, text_buffers, windows, words
 
 FILTER_BITS = 22
@@ -76,12 +76,45 @@ class Block:
         return np.unique(np.concatenate([self.owner[a:b] for a, b in zip(lo, hi, strict=True)]))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, threshold: int = 80, block: int = 1 << 20) -> DataFrame:
-    """Rows (doc_id, item_id, n_item, n_shared, sketch_share): each document that holds an item, with the item."""
-    spark = docs.sparkSession
+def held_items(texts: pa.Array, block: Block, k: int, threshold: int) -> Iterator[tuple[int, int, int, float]]:
+    """(text, item, shared shingles, share of the sketch found) for every text that holds an item of the block."""
+    raw, offsets = text_buffers(texts)
+    starts, _, hashes = words(raw, offsets, fold=True)
+    bounds = np.searchsorted(starts, offsets)
+    grams = windows(hashes, k)
+    row = np.searchsorted(bounds, np.arange(len(grams)), "right") - 1
+    whole = np.arange(len(grams)) + k <= bounds[row + 1] if len(grams) else np.zeros(0, bool)
+    grams, row = grams[whole], row[whole]
+    short = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < k))  # texts of fewer words
+    if len(short):
+        alone = [windows(hashes[bounds[i] : bounds[i + 1]], int(bounds[i + 1] - bounds[i])) for i in short]
+        grams, row = np.concatenate([grams, *alone]), np.concatenate([row, short])
+        order = np.argsort(row, kind="stable")
+        grams, row = grams[order], row[order]
+    for i in np.unique(row[block.candidates(grams)]).tolist():
+        own = np.unique(grams[slice(*np.searchsorted(row, [i, i + 1]))])
+        found = own[block.candidates(own)]
+        for item in block.owners(found).tolist():
+            want, sketch = block.sets[item], block.sketch[item]
+            shared = int(np.isin(want, own, assume_unique=True).sum())
+            if 100 * shared >= threshold * len(want):
+                yield i, item, shared, float(np.isin(sketch, found, assume_unique=True).mean())
+
+
+def blocks_of(items: DataFrame, k: int, threshold: int, block: int) -> Iterator[Block]:
+    """The items in blocks of about ``block`` shingles, one at a time on the driver."""
     sets = item_sets(items, k)
     total = sets.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-int(total) // block))
+    for b in range(blocks):
+        rows = sets.filter(F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == b).collect()
+        if rows:
+            yield Block([r.item_id for r in rows], [np.array(r.shingles, np.int64).view(np.uint64) for r in rows], threshold)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, threshold: int = 80, block: int = 1 << 20) -> DataFrame:
+    """Rows (doc_id, item_id, n_item, n_shared, sketch_share): each document that holds an item, with the item."""
+    spark = docs.sparkSession
     fields = [
         ("doc_id", docs.schema["doc_id"].dataType),
         ("item_id", items.schema["item_id"].dataType),
@@ -89,49 +122,46 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, threshold: int = 8
         ("n_shared", T.LongType()),
         ("sketch_share", T.DoubleType()),
     ]
-    parts = []
-    for b in range(blocks):
-        rows = sets.filter(F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == b).collect()  # one bounded block
-        if rows:
-            made = Block([r.item_id for r in rows], [np.array(r.shingles, np.int64).view(np.uint64) for r in rows], threshold)
-            parts.append(_hold(docs, spark.sparkContext.broadcast(made), k, threshold, fields))
+
+    def held(shared) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> Iterator[list]:
+            items_ = shared.value
+            for part in slices(batch, "text"):
+                found = list(held_items(part.column("text"), items_, k, threshold))
+                at = [f[1] for f in found]
+                yield [
+                    part.column("doc_id").take(pa.array([f[0] for f in found], pa.int64())),
+                    [items_.ids[i] for i in at],
+                    [len(items_.sets[i]) for i in at],
+                    [f[2] for f in found],
+                    [f[3] for f in found],
+                ]
+
+        return map_batches(docs.select("doc_id", "text"), run, fields)
+
+    parts = [held(spark.sparkContext.broadcast(b)) for b in blocks_of(items, k, threshold, block)]
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField(*f) for f in fields]))
     return functools.reduce(DataFrame.union, parts)
 
 
-def _hold(docs: DataFrame, shared, k: int, threshold: int, fields: list) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> Iterator[list]:
-        block: Block = shared.value
+def drop_leaks(docs: DataFrame, items: DataFrame, k: int = 5, threshold: int = 80, block: int = 1 << 20) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns; no shuffle."""
+    spark = ship(docs.sparkSession)
+    for b in blocks_of(items, k, threshold, block):
+        docs = docs.filter(_clean(spark.sparkContext.broadcast(b), k, threshold)(F.col("text")))
+    return docs
+
+
+def _clean(shared, k: int, threshold: int):
+    @F.arrow_udf(T.BooleanType())
+    def clean(texts: pa.Array) -> pa.Array:
+        out = np.ones(len(texts), bool)
+        batch, start = pa.RecordBatch.from_arrays([texts], ["text"]), 0
         for part in slices(batch, "text"):
-            raw, offsets = text_buffers(part.column("text"))
-            starts, _, hashes = words(raw, offsets, fold=True)
-            bounds = np.searchsorted(starts, offsets)
-            grams = windows(hashes, k)
-            row = np.searchsorted(bounds, np.arange(len(grams)), "right") - 1
-            whole = np.arange(len(grams)) + k <= bounds[row + 1] if len(grams) else np.zeros(0, bool)
-            grams, row = grams[whole], row[whole]
-            for i in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < k)):  # texts of fewer words
-                grams = np.append(grams, windows(hashes[bounds[i] : bounds[i + 1]], int(bounds[i + 1] - bounds[i])))
-                row = np.append(row, i)
-            order = np.argsort(row, kind="stable")
-            grams, row = grams[order], row[order]
-            hit = block.candidates(grams)
-            out: list[list] = [[], [], [], [], []]
-            for i in np.unique(row[hit]):
-                own = np.unique(grams[slice(*np.searchsorted(row, [i, i + 1]))])
-                found = own[block.candidates(own)]
-                for item in block.owners(found):
-                    want, sketch = block.sets[item], block.sketch[item]
-                    shared_n = int(np.isin(want, own, assume_unique=True).sum())
-                    if 100 * shared_n >= threshold * len(want):
-                        out[0].append(int(i))
-                        out[1].append(block.ids[item])
-                        out[2].append(len(want))
-                        out[3].append(shared_n)
-                        out[4].append(float(np.isin(sketch, found, assume_unique=True).mean()))
-            out[0] = part.column("doc_id").take(pa.array(out[0], pa.int64()))
-            yield out
-
-    return map_batches(docs.select("doc_id", "text"), run, fields)
+            for i, *_ in held_items(part.column("text"), shared.value, k, threshold):
+                out[start + i] = False
+            start += part.num_rows
+        return pa.array(out)
 
+    return clean

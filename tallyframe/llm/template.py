@@ -169,6 +169,7 @@ def parse(html: str, slot: str | None = None) -> tuple[list[Block], list[Element
     """The page's text blocks in order, and its structural elements in order; those in ``slot`` are marked."""
     root = Element("", "", False, False, 0)
     stack, elements, blocks, held = [root], [], [], []
+    opened: dict[str, int] = {}
     skipping = 0  # inside <head>/<title>
 
     def flush() -> None:
@@ -196,11 +197,13 @@ def parse(html: str, slot: str | None = None) -> tuple[list[Block], list[Element
                     made = _element(name, rest, stack[-1])
                     made.inside = stack[-1].inside or made.path == slot
                     stack.append(made)
+                    opened[name] = opened.get(name, 0) + 1
                     elements.append(stack[-1])
-                else:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i].name == name:
-                            del stack[i:]
+                elif opened.get(name):  # closes what is open inside it, too
+                    while True:
+                        closed = stack.pop()
+                        opened[closed.name] -= 1
+                        if closed.name == name:
                             break
     flush()
     return blocks, elements
