@@ -59,9 +59,10 @@ def fingerprints(docs: DataFrame, least: int) -> DataFrame:
     ).drop("text")
     rows = rows.withColumn("c", F.expr(_lengths(least))).withColumn("half", F.expr(_lengths(-(-least // 2))))
     rows = rows.withColumn("keys", F.expr(f"transform(half, (n, i) -> IF(n > 0, xxhash64({_joined('i', 'n')}), NULL))"))
-    seeds = """array_distinct(filter(transform(c, (n, a) -> IF(n > 0, array_min(filter(
+    # transform(array(keys), ...)[0] names the keys, so that they are made once and not at each use in a lambda.
+    seeds = """transform(array(keys), ks -> array_distinct(filter(transform(c, (n, a) -> IF(n > 0, array_min(filter(
         transform(sequence(0, n - 1), d -> IF(half[a + d] > 0 AND d + half[a + d] <= n,
-            named_struct('k', keys[a + d], 'i', a + d), NULL)), s -> s IS NOT NULL)), NULL)), s -> s IS NOT NULL))"""
+            named_struct('k', ks[a + d], 'i', a + d), NULL)), s -> s IS NOT NULL)), NULL)), s -> s IS NOT NULL)))[0]"""
     return rows.withColumn("seeds", F.expr(seeds)).select("doc_id", "th", "arr", "c", "seeds")
 
 
