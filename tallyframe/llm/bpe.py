@@ -3,7 +3,7 @@
 A text is cut by the tokenizer's pattern. Each distinct word that a task meets is encoded once: its
 bytes are folded by merging, again and again, the adjacent pair of lowest rank (leftmost on ties)
 until no pair has a rank. The rank map is read once on the driver from the vocabulary file (a few
-10,000 entries, the file is the bound) and broadcast. A task keeps the encodings of up to
+10,000 entries, the file is the bound) and broadcast. A worker keeps the encodings of up to
 CACHED_WORDS words and starts afresh beyond that, so memory does not grow with the vocabulary of the
 corpus. Words of many bytes use a heap, so a word of n bytes costs O(n log n).
 
@@ -127,16 +127,11 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: boo
         ("decoded_sha256", T.StringType()),
         *([("ids", T.BinaryType()), ("decoded", T.BinaryType())] if with_ids else []),
     ]
-    held: dict = {}  # of the task
-
     def run(batch: pa.RecordBatch) -> Iterator[list]:
-        if not held:
-            held["words"] = Words(ranks.value)
-            held["pieces"] = sorted_pieces(ranks.value)
-            held["pattern"] = regex.compile(pattern)
-        piece = held["pieces"].__getitem__
+        words, pieces = worker_words(ranks)
+        cut, piece = regex.compile(pattern), pieces.__getitem__
         for part in slices(batch, "text"):
-            ids = [encode(t or "", held["pattern"], held["words"]) for t in part.column("text").to_pylist()]
+            ids = [encode(t or "", cut, words) for t in part.column("text").to_pylist()]
             decoded = [b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in ids]
             yield [
                 part.column("doc_id"),
@@ -149,6 +144,12 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: boo
     return map_batches(docs.select("doc_id", "text"), run, fields)
 
 
-def sorted_pieces(ranks: dict[bytes, int]) -> dict[int, bytes]:
-    """rank -> piece."""
-    return {rank: piece for piece, rank in ranks.items()}
+_worker: dict[int, tuple[Words, dict[int, bytes]]] = {}
+
+
+def worker_words(ranks) -> tuple[Words, dict[int, bytes]]:
+    """The worker's word encodings and rank -> piece for a broadcast rank map: one task's words serve the next."""
+    if id(ranks.value) not in _worker:
+        _worker.clear()
+        _worker[id(ranks.value)] = Words(ranks.value), {rank: piece for piece, rank in ranks.value.items()}
+    return _worker[id(ranks.value)]

@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,8 +41,9 @@ from tallyframe.llm.words import slices
 MAGIC = b"TFWM1\0"
 BLOCK = 512
 ROLL_IDS = 4 << 20
-CACHED_WORDS = 300_000
-_CHUNK = re.compile(r"[^ \n]+")
+CACHED_WORDS = 150_000
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed value: the tokenizer's own cut
+_CONTROL = re.compile("[\x1c-\x1f]")  # white space to this module's regular expressions, not to the library's
 
 MANIFEST = T.StructType(
     [
@@ -69,7 +72,7 @@ class WaveletMatrix:
             planes.append(packed)
             zeros.append(int(len(one) - np.count_nonzero(one)))
             ranks.append(_directory(packed))
-            ids = np.concatenate([ids[~one], ids[one]])
+            ids = np.concatenate([np.compress(~one, ids), np.compress(one, ids)])
         return cls(len(ids), bits, planes, zeros, ranks)
 
     def _ones(self, level: int, i: int) -> int:
@@ -144,8 +147,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], bitorder="little")[: self.n].astype(bool)
             back = np.empty(self.n, kind)
-            back[~one] = ids[: self.zeros[level]]
-            back[one] = ids[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            back[np.flatnonzero(~one)] = ids[: self.zeros[level]]
+            back[np.flatnonzero(one)] = ids[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             ids = back
         return ids
 
@@ -202,38 +205,86 @@ def read_shard(uri: str) -> Shard:
         return Shard(f.read())
 
 
+class _Kept(dict):
+    """A bounded dictionary: when it is full, what was not asked for since it last was full goes."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.old = most, {}
+
+    def fetch(self, key: str) -> bytes | None:
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library.
+    """Ids of texts by the tokenizers library, as little-endian integers of ``width`` bytes.
 
-    The tokenizer drops white space and never joins across it, so each distinct chunk between blanks and
-    line ends is encoded once and kept (up to CACHED_WORDS of them, then it starts afresh).
+    The tokenizer drops white space and never joins across it, so chunks between blanks and line ends
+    are encoded one by one. A chunk is made of pieces (runs of letters, digits, signs), after
+    lower-casing; each new piece goes through the library once and is kept. Chunks whose lower case or
+    normal form depends on their context go through the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, width: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.held: dict[str, bytes] = {}
+        self.kind = f"<u{width}"
+        self.chunks, self.pieces = _Kept(CACHED_WORDS), _Kept(CACHED_WORDS)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 10_000):
+            found = self.tokenizer.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False)
+            out += [np.array(e.ids, self.kind).tobytes() for e in found]
+        return out
 
-    def chunk(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of chunks."""
+        whole, cut, made = [], {}, {}
+        for chunk in new:
+            if chunk.isascii() or ("Σ" not in chunk and unicodedata.is_normalized("NFC", chunk)):
+                if not _CONTROL.search(chunk):
+                    cut[chunk] = pieces = _PIECE.findall(chunk.lower())
+                    made.update((p, self.pieces.fetch(p)) for p in pieces if p not in made)
+                    continue
+            whole.append(chunk)
+        unknown = [p for p, ids in made.items() if ids is None]
+        for p, ids in zip(unknown, self._library(unknown), strict=True):
+            made[p] = ids
+            self.pieces.put(p, ids)
+        out = dict(zip(whole, self._library(whole), strict=True))
+        return out | {chunk: b"".join([made[p] for p in pieces]) for chunk, pieces in cut.items()}
 
     def __call__(self, texts: list[str], end: int) -> list[bytes]:
-        """For each text its ids with ``end`` after them, as little-endian 32-bit integers."""
-        cut = [_CHUNK.findall(t) for t in texts]
-        held = self.held
-        new = list({w for words in cut for w in words if w not in held})
-        if new:
-            if len(held) + len(new) > CACHED_WORDS:
-                held.clear()
-                new = list({w for words in cut for w in words})
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    held[w] = self.chunk(e.ids)
-        last = self.chunk([end])
-        return [b"".join([*map(held.__getitem__, words), last]) for words in cut]
+        """For each text its ids with ``end`` after them."""
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        held = {chunk: self.chunks.fetch(chunk) for chunk in set().union(*cut)}
+        new = [chunk for chunk, ids in held.items() if ids is None]
+        for chunk, ids in self._learn(new).items():
+            held[chunk] = ids
+            self.chunks.put(chunk, ids)
+        last = np.array([end], self.kind).tobytes()
+        return [b"".join([*map(held.__getitem__, chunks), last]) for chunks in cut]
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, width: int) -> Encoder:
+    """The worker's encoder: what one task has learnt serves the next."""
+    if (path, width) not in _encoders:
+        _encoders[path, width] = Encoder(path, width)
+    return _encoders[path, width]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, bits: int = 16, roll: int = ROLL_IDS, partitions: int | None = None) -> DataFrame:
@@ -246,24 +297,25 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, bits: in
     ordered = files.by_range(rows, "doc_id", bounds, partitions).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, seq, before = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        width = 2 if bits <= 16 else 4
+        encode, shard, seq, before = encoder(tokenizer_path, width), TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []
         held: list[bytes] = []
         n = 0
 
         def close() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) // 4 for x in held])
-            data = pack(doc_ids, ends, np.frombuffer(b"".join(held), "<u4"), bits, shard=shard, seq=seq, before=before)
+            ends = np.cumsum([len(x) // width for x in held])
+            data = pack(doc_ids, ends, np.frombuffer(b"".join(held), f"<u{width}"), bits, shard=shard, seq=seq, before=before)
             uri = files.put(folder, f"shard-{shard:06d}-{seq:06d}.wm", lambda out: out.write(data))
             row = (uri, shard, seq, len(doc_ids), n, len(data))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=MANIFEST.names)
 
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder(part.column("text").to_pylist(), end_id), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist(), end_id), strict=True):
                     doc_ids.append(doc_id)
                     held.append(ids)
-                    n += len(ids) // 4
+                    n += len(ids) // width
                     if n >= roll:
                         yield close()
                         seq, before, doc_ids, held, n = seq + 1, before + n, [], [], 0
