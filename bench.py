@@ -64,7 +64,7 @@ def main() -> None:
         "categories_report": lambda: R.categories_report(lg, {"select": {"txnclass": "!Discretionary"}}),
         "single_payee": lambda: R.single_payee_categories(lg, {"select": {"txntype": "Expense"}}),
         "check_orphans": lambda: C.orphans({"Txns": lg.txns, "Accounts": lg.accounts, "Payees": lg.payees, "Categories": lg.categories, "Eras": lg.eras}),
-        "check_duplicates": lambda: C.duplicates({"Txns": lg.txns, "Accounts": lg.accounts, "Payees": lg.payees}),
+        "check_duplicates": lambda: C.duplicates({"Txns": lg.txns_numbered(), "Accounts": lg.accounts, "Payees": lg.payees}),
     }
     for name, make in headline.items():
         timed(name, lambda make=make: run(make()))

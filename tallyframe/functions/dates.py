@@ -6,73 +6,63 @@ buckets are column expressions.
 
 from __future__ import annotations
 
-import calendar
 import re
-from datetime import date, datetime, timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RELATIVE_SPEC = re.compile(r"-?(\d+)([dwmy])")
+_FLEX_SPEC = re.compile(r"(\d{4})(?:-(\d{1,2})(?:-(\d{1,2}))?)?")
+_DAYS = {"d": 1, "w": 7}
+_MONTHS = {"m": 1, "y": 12}
 
 
-def _month_end(d: date) -> date:
-    return d.replace(day=calendar.monthrange(d.year, d.month)[1])
+def _period_edge(first_month: int, months: int, first_day: bool) -> date:
+    """First or last day of a period of ``months`` months; months are counted from year 0."""
 
+    def opening(month: int) -> date:
+        return date(month // 12, month % 12 + 1, 1)
 
-def _add_months(d: date, months: int) -> date:
-    idx = d.year * 12 + (d.month - 1) + months
-    y, m = divmod(idx, 12)
-    return date(y, m + 1, min(d.day, calendar.monthrange(y, m + 1)[1]))
+    return opening(first_month) if first_day else opening(first_month + months) - timedelta(days=1)
 
 
 def parse_flex_date(text: str, first_day: bool) -> date | None:
-    """``YYYY``, ``YYYY-MM`` or ``YYYY-MM-DD``; missing parts give the first (from) or last (to) day."""
-    for fmt in ("%Y-%m-%d", "%Y-%m", "%Y"):
-        try:
-            d = datetime.strptime(text, fmt).date()
-        except ValueError:
-            continue
-        if fmt == "%Y-%m-%d":
-            return d
-        if fmt == "%Y" and not first_day:
-            d = d.replace(month=12)
-        return d if first_day else _month_end(d)
-    return None
+    """``YYYY``, ``YYYY-MM`` or ``YYYY-MM-DD``; a year or month gives its first (from) or last (to) day."""
+    m = _FLEX_SPEC.fullmatch(text)
+    if not m:
+        return None
+    year, month, day = (g and int(g) for g in m.groups())
+    try:
+        if day is not None:
+            return date(year, month, day)
+        start = date(year, month or 1, 1)
+        return _period_edge(start.year * 12 + start.month - 1, 12 if month is None else 1, first_day)
+    except ValueError:
+        return None
 
 
 def parse_relative_date(spec: str, anchor: date, first_day: bool) -> date | None:
-    """``-?N[dwmy]`` relative to ``anchor``.
+    """``-?N[dwmy]`` back from ``anchor``: N days or weeks (N > 0), or an edge of the N-th month or year back.
 
-    d/w count back N days/weeks (N = 0 is invalid). m/y snap to the start (from) or end (to) of
-    the month/year N months/years back; N = 0 is the anchor's own month/year.
+    Months and years are whole periods: the one that holds the anchor is number 0.
     """
     m = RELATIVE_SPEC.fullmatch(spec or "")
     if not m:
         return None
-    n, unit = abs(int(m.group(1))), m.group(2)
-    if unit in "dw":
-        if n == 0:
-            return None
-        return anchor - timedelta(days=n * (7 if unit == "w" else 1))
-    if unit == "m":
-        d = anchor.replace(day=1)
-        if n:
-            d = _add_months(d, -n)
-    else:
-        d = anchor.replace(day=1, month=1 if first_day else 12)
-        if n:
-            d = d.replace(year=d.year - n)
-    return d if first_day else _month_end(d)
+    n, unit = int(m[1]), m[2]
+    if unit in _DAYS:
+        return anchor - timedelta(days=n * _DAYS[unit]) if n else None
+    length = _MONTHS[unit]
+    period = (anchor.year * 12 + anchor.month - 1) // length - n
+    return _period_edge(period * length, length, first_day)
 
 
 def resolve_date_spec(spec: str, first_day: bool, anchor: date | None) -> date | None:
     """Relative spec when it matches (needs ``anchor``), else an absolute one."""
-    if RELATIVE_SPEC.fullmatch(spec or ""):
-        if anchor is None:
-            return None
-        return parse_relative_date(spec, anchor, first_day)
-    return parse_flex_date(spec, first_day)
+    if not RELATIVE_SPEC.fullmatch(spec or ""):
+        return parse_flex_date(spec, first_day)
+    return None if anchor is None else parse_relative_date(spec, anchor, first_day)
 
 
 def year_end(d: Column) -> Column:

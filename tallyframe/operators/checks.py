@@ -23,12 +23,17 @@ def _union(frames: Sequence[DataFrame], spark: SparkSession, ddl: str) -> DataFr
 
 
 def orphans(tables: Mapping[str, DataFrame], fks: Sequence[tuple] = S.FOREIGN_KEYS) -> DataFrame:
-    """Violations per foreign key: child rows whose (all non-NULL) key has no parent row."""
+    """Violations per foreign key: child rows whose (all non-NULL) key has no parent row.
+
+    Checks the keys of the child tables given; a key whose parent is absent raises.
+    """
     spark = next(iter(tables.values())).sparkSession
     out = []
     for child, cols, parent, pcols in fks:
-        if child not in tables or parent not in tables:
-            continue
+        if child not in tables:
+            continue  # not asked
+        if parent not in tables:
+            raise KeyError(f"foreign key {child}({', '.join(cols)}): table {parent} is absent")
         c = tables[child].select(*[F.col(x).alias(f"_c{i}") for i, x in enumerate(cols)])
         c = c.filter(reduce(lambda a, b: a & b, [F.col(f"_c{i}").isNotNull() for i in range(len(cols))]))
         p = tables[parent].select(*[F.col(x).alias(f"_p{i}") for i, x in enumerate(pcols)]).distinct()
@@ -47,8 +52,10 @@ def duplicates(tables: Mapping[str, DataFrame], keys: Sequence[tuple] = S.UNIQUE
     spark = next(iter(tables.values())).sparkSession
     out = []
     for table, cols in keys:
-        if table not in tables or not set(cols) <= set(tables[table].columns):
-            continue
+        if table not in tables:
+            continue  # not asked
+        if not set(cols) <= set(tables[table].columns):
+            raise KeyError(f"unique key {table}({', '.join(cols)}): a column is absent")
         g = tables[table].groupBy(*cols).count().filter(F.col("count") > 1)
         out.append(g.agg(F.count(F.lit(1)).alias("duplicates")).select(F.lit(table).alias("table"), F.lit(",".join(cols)).alias("columns"), "duplicates"))
     return _union(out, spark, "table string, columns string, duplicates long")

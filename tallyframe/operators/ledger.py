@@ -10,9 +10,9 @@ small DataFrames; joins against them are broadcast because their size is that of
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import date, timedelta
+from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -229,16 +229,22 @@ def overlay(base: DataFrame, updates: DataFrame, key: str | Sequence[str], colum
 
 def account_types_overlay(accts: DataFrame, typed: DataFrame) -> DataFrame:
     """Classification / category from a sectioned balances report (Account, Type, Subtype)."""
-    u = typed.select("Account", F.col("Type").alias("AccountClassification"), F.col("Subtype").alias("AccountCategory")).dropDuplicates(["Account"])
+    u = _latest(typed.withColumnsRenamed({"Type": "AccountClassification", "Subtype": "AccountCategory"}), ["AccountClassification", "AccountCategory"])
     return overlay(accts, u, "Account", ["AccountClassification", "AccountCategory"])
 
 
+def _latest(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row per Account: that of the last report and line (of the largest values where neither is known)."""
+    values = [(F.col(c) if c in rows.columns else F.lit(None)).alias(c) for c in cols]
+    place = [F.col(c) for c in ("report_seq", "file", "line_no") if c in rows.columns]
+    best = rows.groupBy("Account").agg(F.max_by(F.struct(*values), F.struct(*place, *values)).alias("_v"))
+    return best.select("Account", *[F.col(f"_v.{c}").alias(c) for c in cols])
+
+
 def account_details_overlay(accts: DataFrame, details: DataFrame) -> DataFrame:
     """OpeningBalance, Abbreviation, BankName, AccountNumber, AccountLimit per account."""
     cols = ["OpeningBalance", "Abbreviation", "BankName", "AccountNumber", "AccountLimit"]
-    have = set(details.columns)
-    u = details.select("Account", *[(F.col(c) if c in have else F.lit(None)).alias(c) for c in cols]).dropDuplicates(["Account"])
-    return overlay(accts, u, "Account", cols)
+    return overlay(accts, _latest(details, cols), "Account", cols)
 
 
 def account_dates_overlay(accts: DataFrame, cfg: DataFrame) -> DataFrame:
@@ -365,34 +371,39 @@ def category_defaults(cats: DataFrame, type_default: str = S.TXNTYPE_EXPENSE, cl
 def build_intervals(spark: SparkSession, eras: Mapping[str, Mapping]) -> DataFrame:
     """Era specs -> (EraName, EraDateFrom, EraDateTo, era_no) in date order.
 
-    A missing ``date_from`` continues the previous ``date_to``; ``...`` is an open end; a reversed
-    range is swapped. Overlap (next start before previous end) is an error; a shared boundary day
-    is allowed. The config is tiny, so this runs on the driver.
+    A missing ``date_from`` continues the last ``date_to`` declared before; ``...`` is an open end; a reversed
+    range is swapped. An era without any bound and two eras that share more than a boundary day are errors.
     """
-    valid = []
-    prev_to: date | None = None
-    for name, cfg in eras.items():
-        f_spec, t_spec = cfg.get("date_from"), cfg.get("date_to")
-        d_from = d_to = None
-        if f_spec is not None:
-            d_from = parse_flex_date(str(f_spec), True)
-        elif prev_to is not None:
-            d_from = prev_to + timedelta(days=1)
-        if t_spec is not None and t_spec != "...":
-            d_to = parse_flex_date(str(t_spec), False)
-        if not (d_from or d_to):
-            raise ConfigError(f"eras.{name}: 'date_from' or 'date_to' is required")
-        if d_from and d_to and d_to < d_from:
-            d_from, d_to = d_to, d_from
-        if d_to is not None:
-            prev_to = d_to
-        valid.append((name, d_from, d_to))
-    valid.sort(key=lambda e: (e[1] or date.min, e[2] or date.max))
-    for (a, _, a_to), (b, b_from, _) in zip(valid, valid[1:]):
-        if (b_from or date.min) < (a_to or date.max):
-            raise ConfigError(f"Eras '{a}' and '{b}' have overlapping date ranges.")
-    rows = [(n, f, t, i) for i, (n, f, t) in enumerate(valid)]
-    return spark.createDataFrame(rows, "EraName string, EraDateFrom date, EraDateTo date, era_no int")
+    bad = [n for n, e in eras.items() for k in ("date_from", "date_to") if e.get(k) not in (None, "...") and parse_flex_date(str(e[k]), True) is None]
+    if bad:
+        raise ConfigError(f"eras: invalid dates in {bad}")
+    rows = [
+        (i, name, _edge(e.get("date_from"), True), _edge(e.get("date_to"), False))
+        for i, (name, e) in enumerate(eras.items())
+    ]
+    declared = spark.createDataFrame(rows, "seq int, EraName string, first date, last date")
+    # config rows: the windows order as many rows as there are eras
+    earlier = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.last(F.greatest("first", "last"), ignorenulls=True).over(earlier)
+    spans = declared.withColumn("first", F.coalesce("first", F.date_add(ended, 1)))
+    both = F.col("first").isNotNull() & F.col("last").isNotNull()
+    spans = spans.select(
+        "EraName",
+        F.when(both, F.least("first", "last")).otherwise(F.col("first")).alias("EraDateFrom"),
+        F.when(both, F.greatest("first", "last")).otherwise(F.col("last")).alias("EraDateTo"),
+    )
+    in_order = Window.orderBy(F.col("EraDateFrom").asc_nulls_first(), F.col("EraDateTo").asc_nulls_last())
+    begins_next = F.lead(F.coalesce("EraDateFrom", F.to_date(F.lit("0001-01-01")))).over(in_order)
+    overlaps = begins_next < F.coalesce("EraDateTo", F.to_date(F.lit("9999-12-31")))
+    spans = spans.select("*", (F.row_number().over(in_order) - 1).alias("era_no"), overlaps.alias("overlaps"), F.lead("EraName").over(in_order).alias("other"))
+    for r in spans.filter("overlaps OR (EraDateFrom IS NULL AND EraDateTo IS NULL)").collect():
+        why = f"overlaps '{r.other}'" if r.overlaps and (r.EraDateFrom or r.EraDateTo) else "needs 'date_from' or 'date_to'"
+        raise ConfigError(f"eras.{r.EraName}: {why}")
+    return spans.select("EraName", "EraDateFrom", "EraDateTo", "era_no")
+
+
+def _edge(spec: object, first_day: bool) -> date | None:
+    return None if spec in (None, "...") else parse_flex_date(str(spec), first_day)
 
 
 def assign_interval(txns: DataFrame, intervals: DataFrame, date_col: str = "Date", out_col: str = "EraName") -> DataFrame:

@@ -20,6 +20,8 @@ from ..functions.money import amount_rejected, parse_amount
 from .numbering import number_rows
 from .scan import running
 
+HAS_DATE = "_has_date"  # the row had a date text, right or wrong
+
 # ---------------------------------------------------------------------------------------------
 # N1 - N3 typing
 
@@ -48,7 +50,8 @@ def parse_dates(df: DataFrame, column: str = "Date", fmt: str = "yyyy-MM-dd") ->
     """Strict date text -> DATE; (rows, rejects) where rejects hold unparseable non-blank values."""
     d = F.try_to_date(F.col(column), fmt)
     bad = df.filter(F.col(column).isNotNull() & d.isNull())
-    return df.withColumn(column, d), bad
+    # a row whose date text is wrong is still a dated row: it is no part of the transaction above it
+    return df.withColumn(HAS_DATE, F.col(column).isNotNull()).withColumn(column, d), bad
 
 
 # ---------------------------------------------------------------------------------------------
@@ -61,9 +64,10 @@ def flatten_splits(rows: DataFrame, order: str = "line_no") -> DataFrame:
 
     Each row's parent = the last dated row at or before it in its file (a chunked forward fill,
     see ``operators.scan``); a dated row is a parent iff some undated row points at it (an
-    anti-join keyed by (file, line), so no file or parent is handled by a single task).
+    anti-join keyed by (file, line), so no file or parent is handled by a single task). Rows with a
+    wrong date text count as dated (see ``parse_dates``); their parts keep a NULL date like them.
     """
-    dated = F.col("Date").isNotNull()
+    dated = F.col(HAS_DATE) if HAS_DATE in rows.columns else F.col("Date").isNotNull()
     parent = F.when(dated, F.struct(F.col(order).alias("line"), "Num", "Date", "Payee", "Account", "Memo"))
     x = running(rows, "file", order, last={"_p": parent})
     is_part = ~dated & F.col("_p").isNotNull()
@@ -78,13 +82,14 @@ def flatten_splits(rows: DataFrame, order: str = "line_no") -> DataFrame:
     )
     parents = x.filter(F.col("_pl").isNotNull()).select(F.col("file").alias("_pf"), F.col("_pl").alias("_pline")).distinct()
     keep = x.join(parents, (F.col("file") == F.col("_pf")) & (F.col(order) == F.col("_pline")) & F.col("Split").isNull(), "left_anti")
-    return keep.drop("_p", "_pl")
+    return keep.drop("_p", "_pl", HAS_DATE)
 
 
 def orphan_parts(rows: DataFrame, order: str = "line_no") -> DataFrame:
     """Undated rows before any dated row of their file (the original raised on these)."""
-    x = running(rows, "file", order, last={"_p": F.when(F.col("Date").isNotNull(), F.col(order))})
-    return x.filter(F.col("Date").isNull() & F.col("_p").isNull()).drop("_p")
+    dated = F.col(HAS_DATE) if HAS_DATE in rows.columns else F.col("Date").isNotNull()
+    x = running(rows, "file", order, last={"_p": F.when(dated, F.col(order))})
+    return x.filter(~dated & F.col("_p").isNull()).drop("_p")
 
 
 def drop_voids(rows: DataFrame) -> DataFrame:
@@ -105,7 +110,7 @@ def import_window(rows: DataFrame, date_from: date | None = None, date_to: date
 # N8 union and numbering
 
 
-def union_txns(frames: Sequence[DataFrame], order: Sequence[str] = ("Date", "file_seq", "line_no")) -> DataFrame:
+def union_txns(frames: Sequence[DataFrame], order: Sequence[str] = ("Date", "file_seq", "file", "line_no")) -> DataFrame:
     """Concatenate exports of one type (duplicates kept), then number 1..n by (Date, file, line).
 
     Each frame gets its position (``file_seq``) so that ties keep the import order; numbering is
@@ -115,7 +120,7 @@ def union_txns(frames: Sequence[DataFrame], order: Sequence[str] = ("Date", "fil
     for i, f in enumerate(frames):
         f = f.withColumn("file_seq", F.lit(i)) if "file_seq" not in f.columns else f
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
-    return number_rows(out, list(order), "N")
+    return number_rows(out, [c for c in order if c != "file" or c in out.columns], "N")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -153,18 +158,35 @@ def merge_asof(frames: Sequence[DataFrame], key: str, id_cols: Sequence[str] = (
 
     Long form: every report is unpivoted (non-NULL values only), tagged with its position, and
     ``max_by(value, seq)`` picks the latest per (key, date). Scales to any number of reports.
+    ``id_cols`` (attributes of the key) are merged by the same rule, over all reports that have the key.
     """
-    long = None
+    long = attributes = None
     for seq, f in enumerate(frames):
-        part = unpivot_asof(f, [key, *id_cols]).withColumn("_seq", F.lit(seq))
+        part = unpivot_asof(f, [key]).withColumn("_seq", F.lit(seq))
         long = part if long is None else long.unionByName(part)
-    return long.groupBy(key, "Date").agg(F.max_by("Balance", "_seq").alias("Balance"))
+        have = f.select(key, *(c for c in id_cols if c in f.columns)).withColumn("_seq", F.lit(seq))
+        attributes = have if attributes is None else attributes.unionByName(have, allowMissingColumns=True)
+    merged = long.groupBy(key, "Date").agg(F.max_by("Balance", "_seq").alias("Balance"))
+    if not id_cols:
+        return merged
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(c) for c in id_cols]
+    return merged.join(attributes.groupBy(key).agg(*latest), key, "left").select(key, *id_cols, "Date", "Balance")
 
 
 # ---------------------------------------------------------------------------------------------
 # N11 / N12 sectioned reports
 
 
+def _with_totals(rows: DataFrame, name: str, total: str) -> DataFrame:
+    """``_closes``: the section that a row ``Total X`` with a total closes; NULL for all other rows.
+
+    ``X`` must be the name of a header of the same file: an item that is called "Total ..." closes nothing.
+    """
+    headers = rows.filter(F.col(total).isNull()).select(F.col("file").alias("_hf"), F.col(name).alias("_closes")).distinct()
+    named = F.when(F.col(total).isNotNull() & F.col(name).startswith("Total "), F.expr(f"substring(`{name}`, 7)"))
+    return rows.join(headers, (F.col("file") == F.col("_hf")) & (named == F.col("_closes")), "left").drop("_hf")
+
+
 def label_sections_2level(rows: DataFrame, name: str = "Account", total: str = "Total") -> tuple[DataFrame, DataFrame]:
     """Two-level sections: (Type, Subtype) per item row; header and total rows removed.
 
@@ -175,10 +197,10 @@ def label_sections_2level(rows: DataFrame, name: str = "Account", total: str = "
     Returns (items with Type / Subtype, problems (file, line_no, name, problem)).
     """
     is_header = F.col(total).isNull()
-    is_total = ~is_header & F.col(name).startswith("Total ")
-    closes = F.expr(f"substring(`{name}`, 7)")
+    closes = F.col("_closes")
+    is_total = closes.isNotNull()
     delta = F.when(is_header, F.lit(1)).when(is_total, F.lit(-1)).otherwise(F.lit(0))
-    x = running(rows, "file", "line_no", total={"_depth": delta})
+    x = running(_with_totals(rows, name, total), "file", "line_no", total={"_depth": delta})
     x = running(
         x,
         "file",
@@ -205,11 +227,25 @@ def label_sections_2level(rows: DataFrame, name: str = "Account", total: str = "
 
 def label_sections_1level(rows: DataFrame, header_map: Mapping[str, str], name: str = "Category", total: str = "Total") -> DataFrame:
     """One-level sections: each item takes the last header above it; header text -> TxnType."""
+    x = _sections_1level(rows, header_map, name, total)
+    return x.filter("_item AND _inside").drop("_item", "_inside", "_header", "_closes")
+
+
+def section_problems_1level(rows: DataFrame, header_map: Mapping[str, str], name: str = "Category", total: str = "Total") -> DataFrame:
+    """(file, line_no, name, problem): rows outside a section, and headers that the report kind doesn't know."""
+    x = _sections_1level(rows, header_map, name, total)
+    problem = F.when(F.col("_item") & ~F.col("_inside"), F.lit("row outside any section")).when(
+        F.col("_header") & ~F.col(name).isin(list(header_map)), F.lit("unknown section")
+    )
+    return x.select("file", "line_no", F.col(name).alias(name), problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def _sections_1level(rows: DataFrame, header_map: Mapping[str, str], name: str, total: str) -> DataFrame:
     is_header = F.col(total).isNull()
-    is_total = ~is_header & F.col(name).startswith("Total ")
+    is_total = F.col("_closes").isNotNull()
     # a section is open from its header to its "Total <header>" line
     x = running(
-        rows,
+        _with_totals(rows, name, total),
         "file",
         "line_no",
         last={
@@ -220,8 +256,8 @@ def label_sections_1level(rows: DataFrame, header_map: Mapping[str, str], name:
     )
     m = F.create_map(*[F.lit(v) for kv in header_map.items() for v in kv])
     inside = F.col("_opened").isNotNull() & (F.col("_closed").isNull() | (F.col("_closed") < F.col("_opened")))
-    items = x.filter(~is_header & ~is_total & inside)
-    return items.withColumn("Section", F.col("_sec")).withColumn("TxnType", F.element_at(m, F.col("_sec"))).drop("_sec", "_closed", "_opened")
+    x = x.withColumns({"_item": ~is_header & ~is_total, "_header": is_header, "_inside": inside, "Section": F.col("_sec")})
+    return x.withColumn("TxnType", F.element_at(m, F.col("_sec"))).drop("_sec", "_closed", "_opened")
 
 
 # ---------------------------------------------------------------------------------------------

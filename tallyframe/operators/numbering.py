@@ -21,10 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_bounded, cut_lineage
-
-MAX_BROADCAST_OFFSETS = 1_000_000
-MAX_RANGE_PARTITIONS = 100_000
+from ..session import cut_lineage
 
 
 def range_partitions(df: DataFrame) -> int:
@@ -33,20 +30,14 @@ def range_partitions(df: DataFrame) -> int:
     (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), at least the shuffle partitions."""
     spark = df.sparkSession
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        # file scans only: in-memory or RDD-backed relations report no real size
-        scans = [leaves.apply(i) for i in range(leaves.size())]
-        sizes = [int(str(p.stats().sizeInBytes())) for p in scans if p.getClass().getSimpleName() == "LogicalRelation"]
-        if not sizes:
-            return base
-        size = max(sizes)
-        target = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-            spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
-        )
-    except Exception:  # noqa: BLE001 - estimates are optional
-        return base
-    return int(min(MAX_RANGE_PARTITIONS, max(base, -(-size // max(int(target), 1)))))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    # file scans only: in-memory or RDD-backed relations report no real size
+    scans = [leaves.apply(i) for i in range(leaves.size())]
+    sizes = [int(str(p.stats().sizeInBytes())) for p in scans if p.getClass().getSimpleName() == "LogicalRelation"]
+    target = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    )
+    return max([base, *(-(-size // max(int(target), 1)) for size in sizes)])
 
 
 def _asc(c: Column | str) -> Column:
@@ -95,8 +86,8 @@ def attach_numbers(tagged: DataFrame, offsets: DataFrame, name: str = "N", parti
     grp = list(partition_by)
     renamed = {k: f"__nr_o{i}" for i, k in enumerate(["__nr_pid", *grp])}
     offsets = offsets.select(*[F.col(k).alias(v) for k, v in renamed.items()], "__nr_first", "__nr_off")
-    # offsets hold at most (partitions + groups) rows: broadcast them instead of re-shuffling the data
-    offsets = F.broadcast(offsets) if not grp else broadcast_bounded(offsets, MAX_BROADCAST_OFFSETS)
+    # without groups there is one row per partition, which bounds the broadcast; with groups the planner chooses
+    offsets = offsets if grp else F.broadcast(offsets)
     cond = [F.col(k).eqNullSafe(F.col(v)) for k, v in renamed.items()]
     out = tagged.join(offsets, cond).drop(*renamed.values())
     return out.withColumn(name, (F.col("__nr_off") + F.col("__nr_pos") - F.col("__nr_first") + 1).cast("long")).drop(

@@ -24,11 +24,11 @@ from .oracle import N_ORDER, REPORT_ORDER, with_ledger
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-_LEDGERS: dict[tuple[int, str], Ledger] = {}
+_LEDGERS: dict[tuple[str, str], Ledger] = {}
 
 
 def ledger_for(spark: SparkSession, sf_dir: str) -> Ledger:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LEDGERS:
         _LEDGERS[key] = Ledger.from_testdata(spark, sf_dir)
     return _LEDGERS[key]
@@ -623,12 +623,12 @@ def _sql(body: str, ctes: str = _ORDERS_SQL) -> str:
     return f"WITH {ctes.strip()}\n{body.strip()}"
 
 
-_RENDERED: dict[tuple[int, str, str], DataFrame] = {}
+_RENDERED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _rendered(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     """The rendered export files of one kind, materialized once per session (like files on disk)."""
-    key = (id(spark), sf, kind)
+    key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _RENDERED:
         make = {
             "txns": lambda: EB.txn_export_lines(spark, sf),

@@ -3,81 +3,105 @@
 Instead of one query per key, every row gets a ``foreach`` column naming the report it belongs
 to; a report is then the group of rows with that key (write with ``partitionBy('foreach')``).
 Numbering restarts per report without funnelling a hot key into one task (see
-``operators.numbering``). The ordered list of report keys (the domain) is a small separate frame.
+``operators.numbering``). The ordered list of report keys (the domain) is a small separate frame; the
+key's own directive chooses among them, all other directives filter the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.dates import decade_label
 from ..ledger import Ledger
-from ..operators.filters import SpecError, allow_only, apply_select
+from ..operators.filters import SpecError, allow_only, apply_select, without
 from ..operators.numbering import number_rows
 from . import reports as R
 
-FOREACH_KEYS = ("txntype", "txnclass", "era", "account", "account_category", "account_classification", "yyyy", "10y")
-# Directives that shape each key's domain (the rest of the report filter does not).
-DOMAIN_DIRECTIVES = {
-    "txntype": {"txntype"},
-    "txnclass": {"txnclass"},
-    "era": {"era"},
-    "yyyy": {"yyyy", "date_from", "date_to"},
-    "10y": {"yyyy", "date_from", "date_to"},
+_PERIOD = frozenset({"yyyy", "date_from", "date_to"})
+
+
+@dataclass(frozen=True)
+class Key:
+    """A fan-out key: the directives that choose its values, and where a row's value comes from.
+
+    ``column``: of the view. ``of_account``: of the accounts dimension, ``missing`` naming NULL.
+    """
+
+    own: frozenset[str]
+    column: str | None = None
+    of_account: str | None = None
+    missing: str | None = None
+
+    def of_row(self) -> Column:
+        return F.col(self.column)
+
+    def of_accounts(self) -> Column:
+        value = F.col(self.of_account)
+        return value if self.missing is None else F.coalesce(value, F.lit(self.missing))
+
+
+class _Year(Key):
+    def of_row(self) -> Column:
+        return F.year(self.column).cast("string")
+
+
+class _Decade(Key):
+    def of_row(self) -> Column:
+        return decade_label(F.col(self.column))
+
+
+KEYS: dict[str, Key] = {
+    "txntype": Key(frozenset({"txntype"}), "TxnType"),
+    "txnclass": Key(frozenset({"txnclass"}), "TxnClass"),
+    "era": Key(frozenset({"era"}), "EraName"),
+    "account": Key(frozenset({"account"}), "Account", of_account="Account"),
+    "account_category": Key(frozenset({"account_category"}), of_account="AccountCategory", missing=S.NO_CATEGORY),
+    "account_classification": Key(frozenset({"account_classification"}), of_account="AccountClassification", missing=S.NO_CLASSIFICATION),
+    "yyyy": _Year(_PERIOD, "Date"),
+    "10y": _Decade(_PERIOD, "Date"),
 }
+FOREACH_KEYS = tuple(KEYS)
+
+
+def _key(name: str) -> Key:
+    if name not in KEYS:
+        raise SpecError(f"foreach: '{name}': unsupported key")
+    return KEYS[name]
+
+
+def _select(spec: Mapping | None) -> dict:
+    return dict((spec or {}).get("select") or {})
 
 
 def with_foreach(ledger: Ledger, view: DataFrame, key: str) -> DataFrame:
     """Add the report key of each row; rows that belong to no report are dropped."""
-    if key == "txntype":
-        out = view.withColumn("foreach", F.col("TxnType"))
-    elif key == "txnclass":
-        out = view.withColumn("foreach", F.col("TxnClass"))
-    elif key == "era":
-        out = view.withColumn("foreach", F.col("EraName"))
-    elif key == "account":
-        out = view.withColumn("foreach", F.col("Account"))
-    elif key in ("account_category", "account_classification"):
-        col, none = (
-            ("AccountCategory", S.NO_CATEGORY) if key == "account_category" else ("AccountClassification", S.NO_CLASSIFICATION)
-        )
-        attr = ledger.accounts.select("Account", F.coalesce(F.col(col), F.lit(none)).alias("foreach"))
-        out = view.join(attr, "Account")
-    elif key == "yyyy":
-        out = view.withColumn("foreach", F.year("Date").cast("string"))
-    elif key == "10y":
-        out = view.withColumn("foreach", decade_label(F.col("Date")))
+    k = _key(key)
+    if k.column:
+        keyed = view.withColumn("foreach", k.of_row())
     else:
-        raise SpecError(f"foreach: '{key}': unsupported key")
-    return out.filter(F.col("foreach").isNotNull())
+        keyed = view.join(ledger.accounts.select("Account", k.of_accounts().alias("foreach")), "Account")
+    return keyed.filter(F.col("foreach").isNotNull())
 
 
 def domain(ledger: Ledger, spec: Mapping | None, key: str) -> DataFrame:
-    """Ordered report keys: (foreach, ord). Eras in interval order, accounts all (also transfer-only)."""
-    sel = (spec or {}).get("select", {}) or {}
+    """Ordered report keys: (foreach, ord). Eras in interval order, accounts all (also transfer-only).
+
+    Only the key's own directive applies (a NULL attribute matches no condition, as in the rows).
+    """
+    k = _key(key)
+    own = allow_only(_select(spec), k.own)
     if key == "era":
-        eras = ledger.eras.select(F.col("EraName").alias("foreach"), F.col("era_no").alias("ord"))
-        allowed = allow_only(sel, {"era"})
-        if allowed:
-            eras = apply_select(eras.withColumnRenamed("foreach", "EraName"), allowed).withColumnRenamed("EraName", "foreach")
-        return eras
-    if key == "account":
-        return ledger.accounts.select(F.col("Account").alias("foreach"), F.lit(0).alias("ord"))
-    if key in ("account_category", "account_classification"):
-        col, none = (
-            ("AccountCategory", S.NO_CATEGORY) if key == "account_category" else ("AccountClassification", S.NO_CLASSIFICATION)
-        )
-        return ledger.accounts.select(F.coalesce(F.col(col), F.lit(none)).alias("foreach")).distinct().withColumn("ord", F.lit(0))
-    view = apply_select(ledger.view, sel, ledger.ctx(), allowed=DOMAIN_DIRECTIVES[key])
-    return with_foreach(ledger, view, key).select("foreach").distinct().withColumn("ord", F.lit(0))
-
-
-def _own_directives(key: str) -> tuple[str, ...]:
-    return {"10y": ("yyyy", "date_from", "date_to"), "yyyy": ("yyyy", "date_from", "date_to")}.get(key, (key,))
+        return apply_select(ledger.eras, own).select(F.col("EraName").alias("foreach"), F.col("era_no").alias("ord"))
+    if k.of_account:
+        values = apply_select(ledger.accounts, own, ledger.ctx()).select(k.of_accounts().alias("foreach"))
+    else:
+        values = with_foreach(ledger, apply_select(ledger.view, own, ledger.ctx()), key).select("foreach")
+    return values.distinct().withColumn("ord", F.lit(0))
 
 
 def keyed_view(ledger: Ledger, spec: Mapping | None, key: str) -> DataFrame:
@@ -87,38 +111,28 @@ def keyed_view(ledger: Ledger, spec: Mapping | None, key: str) -> DataFrame:
     the keys are the domain; so the union is: the spec without the key directive, restricted to
     rows whose key is in the domain.
     """
-    sel = dict((spec or {}).get("select", {}) or {})
-    rest = {k: v for k, v in sel.items() if k not in _own_directives(key)}
-    view = apply_select(ledger.view, rest, ledger.ctx())
-    keyed = with_foreach(ledger, view, key)
-    return keyed.join(domain(ledger, spec, key).select("foreach"), "foreach", "left_semi")
+    rows = apply_select(ledger.view, without(_select(spec), _key(key).own), ledger.ctx())
+    return with_foreach(ledger, rows, key).join(domain(ledger, spec, key).select("foreach"), "foreach", "left_semi")
 
 
 def foreach_txns(ledger: Ledger, spec: Mapping | None, key: str) -> DataFrame:
-    """Transactions report per key: ``foreach`` + the report columns, N restarting per report."""
-    spec = dict(spec or {})
-    if spec.get("consolidate"):
-        raise SpecError("foreach with consolidate is not supported")
-    sel = {k: v for k, v in (spec.get("select", {}) or {}).items() if k not in _own_directives(key)}
-    # report columns as the single report would show them (plan only, no job)
-    cols = [c for c in R.txns_report(ledger, {**spec, "select": sel}, renumber=False, drop_constant=False).columns if c != "N"]
-    order = ["Date", "Category", "Subcategory", "Payee", "Account", *ledger.order_key]
-    keyed = keyed_view(ledger, spec, key)
-    keep = list(dict.fromkeys(["foreach", *cols, *order]))
-    numbered = number_rows(keyed.select(*keep), order, "N", partition_by=["foreach"])
-    return numbered.select("foreach", "N", *cols)
+    """Transactions report per key, plain or consolidated: ``foreach``, N restarting per report, the columns."""
+    shared = {**(spec or {}), "select": without(_select(spec), _key(key).own)}
+    rows, order, columns = R.layout(ledger, keyed_view(ledger, spec, key), shared, by=("foreach",))
+    numbered = number_rows(rows, order, "N", partition_by=["foreach"]).select("foreach", "N", *columns)
+    shown = R.select_columns(numbered.drop("foreach"), shared.get("columns")).columns
+    return numbered.select("foreach", *shown).withColumnRenamed("DateYYYYMM", "Date")
 
 
 def foreach_accounts(ledger: Ledger, spec: Mapping | None, key: str) -> DataFrame:
     """Accounts report per account category / classification (complement negation kept)."""
-    if key not in ("account_category", "account_classification"):
+    k = _key(key)
+    if not k.missing:
         raise SpecError(f"accounts foreach: '{key}': unsupported key")
-    spec = dict(spec or {})
-    sel = {k: v for k, v in (spec.get("select", {}) or {}).items() if k != key}
-    rep = R.accounts_report(ledger, {**spec, "select": sel})
-    col, none = ("AccountCategory", S.NO_CATEGORY) if key == "account_category" else ("AccountClassification", S.NO_CLASSIFICATION)
-    attr = ledger.accounts.select("Account", F.coalesce(F.col(col), F.lit(none)).alias("foreach"))
-    return rep.join(attr, "Account").select("foreach", *rep.columns)
+    chosen = R.filter_accounts(ledger.accounts, allow_only(_select(spec), k.own))
+    report = R.accounts_report(ledger, {**(spec or {}), "select": without(_select(spec), k.own)})
+    keyed = chosen.select("Account", k.of_accounts().alias("foreach"))
+    return report.join(keyed, "Account").select("foreach", *report.columns)
 
 
 def foreach_pivot(ledger: Ledger, spec: Mapping | None, key: str) -> DataFrame:

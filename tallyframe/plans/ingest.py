@@ -22,8 +22,8 @@ MONTHLY_SECTIONS = {"Income": "Income", "Expenses": "Expense", "Transfers": "Tra
 class TxnImport:
     rows: DataFrame  # flattened, voids removed, typed (before the import window)
     footer: DataFrame  # (file, Total) control totals
-    amount_rejects: DataFrame
-    date_rejects: DataFrame
+    amount_rejects: DataFrame  # amounts that don't parse, and rows without one
+    date_rejects: DataFrame  # wrong dates, and parts that no dated row stands above
 
     def check_total(self) -> DataFrame:
         """Per file, sum of the rows vs the Grand Total row."""
@@ -43,8 +43,23 @@ def parse_txn_exports(lines: DataFrame) -> TxnImport:
     typed = N.with_split_category(typed)
     typed, date_rejects = N.parse_dates(typed)
     flat = N.drop_voids(N.flatten_splits(typed))
+    # Date and Amount are NOT NULL in the ledger: rows without them are rejects, never rows
+    undated = flat.filter("Date IS NULL").join(date_rejects.select("file", "line_no"), ["file", "line_no"], "left_anti")
+    date_rejects = date_rejects.select("file", "line_no", F.col("Date").alias("value")).unionByName(
+        undated.select("file", "line_no", F.lit(None).cast("string").alias("value"))
+    )
+    blank = flat.filter("Amount IS NULL").join(amount_rejects.select("file", "line_no"), ["file", "line_no"], "left_anti")
+    amount_rejects = amount_rejects.unionByName(
+        blank.select("file", "line_no", F.lit("Amount").alias("column"), F.lit(None).cast("string").alias("value"))
+    )
     foot = footer.select("file", parse_amount(F.col("Amount")).alias("Total"))
-    return TxnImport(flat, foot, amount_rejects, date_rejects)
+    return TxnImport(flat.filter("Date IS NOT NULL AND Amount IS NOT NULL"), foot, amount_rejects, date_rejects)
+
+
+def amount_problems(lines: DataFrame, kind_name: str, header_rows: int = 1) -> DataFrame:
+    """(file, line_no, column, value) of the amounts of an export kind that don't parse."""
+    kind = KINDS[kind_name]
+    return N.normalize_amounts(read_export(lines, kind, header_rows), list(kind.money))[1]
 
 
 def parse_balances(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,14 +1,15 @@
 """Pivot report: sum of Amount by row dimensions x column dimensions, with Total margins.
 
 Plan: filter the enriched transactions -> one partial-aggregated ``GROUPING SETS`` aggregate
-((rows, cols), (rows), (cols), ()) -> Total labels -> ``pivot`` over an explicit, size-checked
-domain of column labels. Margins come from the base rows (not from summing pivoted cells), the
-domain is collected only after its size is proven to be at most ``MAX_REPORT_COLUMNS``.
+((rows, cols), (rows), (cols), ()). ``pivot_long`` is that aggregate: labels, amount and two flags that tell margins
+from data, with any number of labels. ``pivot`` is the wide view of it: the column labels become column names,
+so they (and only they) are collected. Margins come from the base rows, not from summing pivoted cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,73 +20,70 @@ from ..ledger import Ledger
 from ..operators.filters import SpecError, apply_select
 from ..session import cut_lineage
 
-# --- fixed values: pivot dimensions in hierarchy order (directive -> column) ----------------
-DATE_DIMS = {"yyyy": "DateYYYY", "yyyymm": "DateYYYYMM"}
-ROW_DIMS = {
-    "era": "EraName",
-    "account_classification": "AccountClassification",
-    "account_category": "AccountCategory",
-    "account": "Account",
-    "txntype": "TxnType",
-    "txnclass": "TxnClass",
-    "category": "Category",
-    "category_subcategory": "CategorySubcategory",
-    "subcategory": "Subcategory",
-    "payee": "Payee",
-    **DATE_DIMS,
-}
-COLUMN_DIMS = {
-    "era": "EraName",
-    "account_classification": "AccountClassification",
-    "account_category": "AccountCategory",
-    "txntype": "TxnType",
-    "txnclass": "TxnClass",
-    "category": "Category",
-    **DATE_DIMS,
-}
+
+@dataclass(frozen=True)
+class Dim:
+    """A pivot dimension: option name, view column, and what it does to others on its side.
+
+    ``implies`` are added when it is asked for; ``absorbs`` are left out, since it shows them.
+    """
+
+    option: str
+    column: str
+    across: bool = True  # may stand on columns as well as on rows
+    dated: bool = False
+    implies: frozenset[str] = frozenset()
+    absorbs: frozenset[str] = frozenset()
+
+
+# --- fixed values: dimensions in hierarchy order, defaults ---------------------------------------
+DIMENSIONS = (
+    Dim("era", "EraName"),
+    Dim("account_classification", "AccountClassification"),
+    Dim("account_category", "AccountCategory"),
+    Dim("account", "Account", across=False),
+    Dim("txntype", "TxnType"),
+    Dim("txnclass", "TxnClass"),
+    Dim("category", "Category"),
+    Dim("category_subcategory", "CategorySubcategory", across=False, absorbs=frozenset({"category", "subcategory"})),
+    Dim("subcategory", "Subcategory", across=False, implies=frozenset({"category"})),
+    Dim("payee", "Payee", across=False),
+    Dim("yyyy", "DateYYYY", dated=True),
+    Dim("yyyymm", "DateYYYYMM", dated=True),
+)
 OPT_TOTAL = "total"
 DEFAULT_ROWS = ("category", "subcategory")
 DEFAULT_COLUMNS = ("yyyy",)
 LABEL_SEP = "|"
 # ----------------------------------------------------------------------------------------------
-_OPT_OF_COLUMN = {v: k for k, v in {**ROW_DIMS, **COLUMN_DIMS}.items()}
+_BY_OPTION = {d.option: d for d in DIMENSIONS}
+DATED = frozenset(d.column for d in DIMENSIONS if d.dated)
 
 
-def _normalize_options(values, valid: Sequence[str], key: str) -> tuple[str, ...]:
-    values = [values] if isinstance(values, str) else list(dict.fromkeys(values))
-    bad = set(values) - set(valid)
-    if bad:
-        raise SpecError(f"options.{key}: invalid options: {sorted(bad)}")
-    if "category_subcategory" in values:
-        values = [v for v in values if v not in ("category", "subcategory")]
-    elif "subcategory" in values and "category" not in values:
-        values.append("category")
-    return tuple(sorted(values, key=list(valid).index))
+def _chosen(asked: str | Sequence[str], side: str) -> list[Dim]:
+    """Dimensions of one side in hierarchy order."""
+    names = {asked} if isinstance(asked, str) else set(asked)
+    unknown = sorted(n for n in names if n not in _BY_OPTION or side == "columns" and not _BY_OPTION[n].across)
+    if unknown:
+        raise SpecError(f"options.{side}: no such dimension: {unknown}")
+    names = names.union(*(_BY_OPTION[n].implies for n in names))
+    names = names.difference(*(_BY_OPTION[n].absorbs for n in names))
+    return [d for d in DIMENSIONS if d.option in names]
 
 
 def resolve_dims(options: Mapping | None) -> tuple[list[str], list[str], bool]:
-    """Options -> (row columns, pivot columns, totals only). Overlap is an error."""
+    """Options -> (row columns, pivot columns, totals only). A report of totals has no pivot columns."""
     options = options or {}
-    rows = [ROW_DIMS[o] for o in DEFAULT_ROWS]
-    cols = [COLUMN_DIMS[o] for o in DEFAULT_COLUMNS]
-    if options.get("rows"):
-        rows = [ROW_DIMS[o] for o in _normalize_options(options["rows"], list(ROW_DIMS), "rows")]
-    totals_only = False
-    if options.get("columns"):
-        opts = _normalize_options(options["columns"], [*COLUMN_DIMS, OPT_TOTAL], "columns")
-        if OPT_TOTAL not in opts:
-            cols = [COLUMN_DIMS[o] for o in opts]
-        else:
-            totals_only = True
-            if set(rows) & set(cols):
-                for opt, col in COLUMN_DIMS.items():
-                    if col not in rows and opt not in DATE_DIMS:
-                        cols = [col]
-                        break
-    overlap = set(rows) & set(cols)
-    if overlap:
-        raise SpecError(f"Pivot columns and pivot rows cannot overlap; both contain {sorted(_OPT_OF_COLUMN[c] for c in overlap)}")
-    return rows, cols, totals_only
+    rows = _chosen(options.get("rows") or DEFAULT_ROWS, "rows")
+    across = options.get("columns") or DEFAULT_COLUMNS
+    across = [across] if isinstance(across, str) else list(across)
+    columns = _chosen([a for a in across if a != OPT_TOTAL], "columns")
+    if OPT_TOTAL in across:
+        return [d.column for d in rows], [], True
+    both = [d.option for d in rows if d in columns]
+    if both:
+        raise SpecError(f"options: {both} cannot stand on rows and on columns")
+    return [d.column for d in rows], [d.column for d in columns], False
 
 
 def _dim_expr(name: str) -> Column:
@@ -98,8 +96,7 @@ def _dim_expr(name: str) -> Column:
 
 def _label(name: str) -> Column:
     # labels are text: dates as ISO dates, NULL as ''
-    c = F.col(name)
-    return F.date_format(c, "yyyy-MM-dd") if name in DATE_DIMS.values() else c
+    return F.date_format(name, "yyyy-MM-dd") if name in DATED else F.col(name)
 
 
 def pivot_base(ledger: Ledger, spec: Mapping | None, rows: Sequence[str], cols: Sequence[str], foreach: str | None = None) -> DataFrame:
@@ -120,57 +117,63 @@ def pivot_base(ledger: Ledger, spec: Mapping | None, rows: Sequence[str], cols:
     return view.select(*keep, *[_dim_expr(d).alias(d) for d in dims], "Amount")
 
 
-def pivot(ledger: Ledger, spec: Mapping | None = None, max_columns: int = S.MAX_REPORT_COLUMNS, foreach: str | None = None) -> DataFrame:
+def pivot_long(ledger: Ledger, spec: Mapping | None = None, foreach: str | None = None) -> DataFrame:
+    """One row per cell and margin: [foreach,] a text label per dimension, Amount, RowTotal, ColumnTotal.
+
+    A margin's own labels are NULL and its flag is true; data labels are never NULL. Any number of labels.
+    """
+    spec = spec or {}
+    rows, cols, _ = resolve_dims(spec.get("options"))
+    by = ["foreach"] if foreach else []
+    dims = [*rows, *cols]
+    base = pivot_base(ledger, spec, rows, cols, foreach)
+    pre = base.groupBy(*by, *dims).agg(F.sum("Amount").alias("Amount"))
+    sets = [[*by, *dims], by] + ([[*by, *rows], [*by, *cols]] if cols else [])
+    grouped = pre.groupingSets(sets, *by, *dims).agg(
+        F.sum("Amount").alias("Amount"),
+        F.grouping(rows[0]).cast("boolean").alias("RowTotal"),
+        (F.grouping(cols[0]).cast("boolean") if cols else F.lit(True)).alias("ColumnTotal"),
+    )
+    return grouped.select(*by, *[_label(d).alias(d) for d in dims], "Amount", "RowTotal", "ColumnTotal")
+
+
+def column_label(cols: Sequence[str]) -> Column:
+    """Name of a data column: its labels joined by ``|``.
+
+    A ``|`` inside a label of several gets a backslash, and so does a label that reads like the margin, so different
+    columns have different names.
+    """
+    parts = [F.col(c) if len(cols) == 1 else F.replace(F.col(c), F.lit(LABEL_SEP), F.lit("\\" + LABEL_SEP)) for c in cols]
+    joined = F.concat_ws(LABEL_SEP, *parts)
+    return F.when(joined == S.TOTAL_LABEL, F.concat(F.lit("\\"), joined)).otherwise(joined)
+
+
+def pivot(ledger: Ledger, spec: Mapping | None = None, foreach: str | None = None) -> DataFrame:
     """Pivot report. ``spec`` = {"select": {...}, "options": {"rows": [...], "columns": [...]}}.
 
     Output: one text column per row dimension, one column per column label (multi-level labels
     joined with ``|``) and ``Total``; plus a ``Total`` row (first row label ``Total``, the others
     ``''``). Cells without data are NULL.
     """
-    spec = spec or {}
-    rows, cols, totals_only = resolve_dims(spec.get("options"))
-    base = pivot_base(ledger, spec, rows, cols, foreach)
-    fk = ["foreach"] if foreach else []
-    pre = base.groupBy(*fk, *rows, *cols).agg(F.sum("Amount").alias("Amount"))
-    sets = [[*fk, *rows, *cols], [*fk, *rows], [*fk, *cols], fk]
-    g = pre.groupingSets(sets, *fk, *rows, *cols).agg(
-        F.sum("Amount").alias("Amount"), F.grouping_id(*fk, *rows, *cols).alias("_gid")
-    )
-    nrows, ncols = len(rows), len(cols)
-    # grouping id bits (first dim = highest bit): all row bits set = Total row, all column bits = Total column
-    row_bits = F.shiftright(F.col("_gid"), ncols).bitwiseAND((1 << nrows) - 1) == (1 << nrows) - 1
-    col_bits = F.col("_gid").bitwiseAND((1 << ncols) - 1) == (1 << ncols) - 1
-    row_labels = [
-        F.when(row_bits, F.lit(S.TOTAL_LABEL if i == 0 else "")).otherwise(_label(r)).alias(r) for i, r in enumerate(rows)
+    rows, cols, totals_only = resolve_dims((spec or {}).get("options"))
+    by = ["foreach"] if foreach else []
+    cells = pivot_long(ledger, spec, foreach)
+    shown = [
+        F.when(F.col("RowTotal"), F.lit("" if i else S.TOTAL_LABEL)).otherwise(F.col(r)).alias(r) for i, r in enumerate(rows)
     ]
-    col_label = F.when(col_bits, F.lit(S.TOTAL_LABEL)).otherwise(F.concat_ws(LABEL_SEP, *[_label(c) for c in cols]))
-    labelled = g.select(*fk, *row_labels, col_label.alias("_col"), *[F.col(c).alias(f"_k_{c}") for c in cols], "Amount", row_bits.alias("_is_total_row"))
-
     if totals_only:
-        out = labelled.filter(F.col("_col") == S.TOTAL_LABEL).select(*fk, *rows, F.col("Amount").alias(S.TOTAL_LABEL), "_is_total_row")
-        return out.orderBy(*fk, "_is_total_row", *rows).drop("_is_total_row")
-
-    # The aggregate is small (row labels x column labels) but both the domain and the pivot need
-    # it: materialize it once (reliable checkpoint) instead of aggregating the facts twice.
-    labelled = cut_lineage(labelled)
-    # column domain: size-checked before it is collected
-    domain_df = labelled.filter(F.col("_col") != S.TOTAL_LABEL).select("_col", *[f"_k_{c}" for c in cols]).distinct()
+        out = cells.select(*by, *shown, F.col("Amount").alias(S.TOTAL_LABEL), "RowTotal")
+        return out.orderBy(*by, "RowTotal", *rows).drop("RowTotal")
+    # Both the names and the cells are read from the aggregate: write it once instead of aggregating twice.
+    cells = cut_lineage(cells, "pivot")
+    names = cells.filter("NOT ColumnTotal").select(*cols, column_label(cols).alias("name")).distinct()
+    place = F.lit(0)
     if "EraName" in cols:
-        eras = ledger.eras.select(F.col("EraName").alias("_k_EraName"), "era_no")
-        domain_df = domain_df.join(F.broadcast(eras), "_k_EraName", "left")
-    head = domain_df.limit(max_columns + 1).collect()
-    if len(head) + 1 + nrows > max_columns:
-        raise SpecError(f"pivot has more than {max_columns} columns")
-    sort_key = []
-    for r in head:
-        key = []
-        for c in cols:
-            if c == "EraName":
-                key.append((r["era_no"] is None, r["era_no"] or 0, r["_k_EraName"] or ""))
-            else:
-                v = r[f"_k_{c}"]
-                key.append((v is None, v if v is not None else ""))
-        sort_key.append((tuple(key), r["_col"]))
-    domain = [lbl for _, lbl in sorted(sort_key)] + [S.TOTAL_LABEL]
-    out = labelled.groupBy(*fk, *rows, "_is_total_row").pivot("_col", domain).agg(F.first("Amount"))
-    return out.orderBy(*fk, "_is_total_row", *rows).drop("_is_total_row")
+        eras = ledger.eras.select("EraName", "era_no")
+        names = names.join(F.broadcast(eras), "EraName", "left")
+        place = F.coalesce("era_no", F.lit(1 << 30))
+    order = [place if c == "EraName" else F.col(c) for c in cols]
+    domain = [r.name for r in names.orderBy(*order, "name").select("name").collect()]
+    named = cells.select(*by, *shown, "RowTotal", F.when(F.col("ColumnTotal"), F.lit(S.TOTAL_LABEL)).otherwise(column_label(cols)).alias("name"), "Amount")
+    out = named.groupBy(*by, *rows, "RowTotal").pivot("name", [*domain, S.TOTAL_LABEL]).agg(F.first("Amount"))
+    return out.orderBy(*by, "RowTotal", *rows).drop("RowTotal")

@@ -37,9 +37,6 @@ ACCOUNT_CATEGORY_INVESTMENT = "Investment Accounts"
 ACCOUNT_CATEGORY_LOAN = "Loans"
 VOID_NUM = "**VOID**"
 SPLIT_PARENT, SPLIT_CHILD = "X", "Y"
-# Limits of a report set.
-MAX_REPORTS = 75
-MAX_REPORT_COLUMNS = 500
 # Labels used by fan-out when the key is NULL.
 NO_CATEGORY = "No category"
 NO_CLASSIFICATION = "No classification"

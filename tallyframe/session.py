@@ -1,4 +1,4 @@
-"""Session helpers: a local session for tests/bench, reliable checkpoints, size-checked broadcast."""
+"""Session helpers: a local session for tests/bench, reliable checkpoints."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tallyframe") -> SparkSession:
@@ -43,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
     sc.setCheckpointDir(path)
     return path
@@ -65,13 +66,3 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
-
-def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it provably holds at most ``max_rows`` rows.
-
-    The bound is checked with a ``limit(max_rows + 1)`` count, which stops reading once the bound
-    is exceeded. Past the bound the join is left to the planner (sort-merge, or AQE's runtime
-    broadcast when the measured shuffle size is small).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

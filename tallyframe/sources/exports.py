@@ -11,13 +11,17 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.scan import running
+from ..session import cut_lineage
 
-MAX_FIELDS = 40  # widest export row we parse (extra fields are ignored)
+# --- fixed values: windows-1252 code points that differ from Latin-1 (bytes 0x80 - 0x9F that are assigned) ---
+CP1252_BYTES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
+CP1252_TEXT = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+# ----------------------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -82,28 +86,42 @@ KINDS = {k.name: k for k in EXPORT_KINDS}
 def list_exports(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
     """Expand globs, sort and de-duplicate export paths."""
     found = spark.read.format("binaryFile").load(list(patterns)).select("path").distinct()
-    return sorted(r.path for r in found.collect())  # a list of file names, not data
+    return [r.path for r in found.orderBy("path").collect()]  # a list of file names, not data
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str] | str, encoding: str = "windows-1252") -> DataFrame:
     """Files -> (file, line_no, line, modified): one row per physical line, 1-based numbers.
 
-    A file is one ``binaryFile`` row (exports are small); lines are split on the JVM side.
-    ``windows-1252`` needs ``spark.sql.legacy.javaCharsets=true`` in Spark 4; without it the
-    Latin-1 decoder is used (identical except for bytes 0x80-0x9F).
+    The text source splits large files; a line's number is its place in its block of the file plus the lines of
+    earlier blocks, from a table of one row per block. The split rows are written once, so that both
+    passes see the same blocks.
     """
-    raw = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
-    return lines_of_files(raw, encoding)
+    meta = F.col("_metadata")
+    rows = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
+        meta["file_path"].alias("file"),
+        meta["file_block_start"].alias("_block"),
+        meta["file_modification_time"].alias("modified"),
+        F.rtrim(decoded(F.col("value").cast("binary"), encoding)).alias("line"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    rows = cut_lineage(rows, "lines")
+    blocks = rows.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = rows.join(blocks, ["file", "_block"])
+    return numbered.select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line", "modified")
 
 
-def lines_of_files(raw: DataFrame, encoding: str = "windows-1252") -> DataFrame:
-    """``binaryFile`` rows (path, modificationTime, content) -> the line table."""
-    spark = raw.sparkSession
-    charset = encoding
+def decoded(content: Column, encoding: str) -> Column:
+    """Bytes -> text. windows-1252 is Latin-1 with 27 code points exchanged, the same under any configuration."""
     if encoding.lower() in ("windows-1252", "cp1252"):
-        legacy = (spark.conf.get("spark.sql.legacy.javaCharsets", "false") or "false").lower() == "true"
-        charset = "windows-1252" if legacy else "ISO-8859-1"
-    text = F.decode(F.col("content"), charset)
+        return F.translate(F.decode(content, "ISO-8859-1"), CP1252_BYTES, CP1252_TEXT)
+    return F.decode(content, encoding)
+
+
+def lines_of_files(raw: DataFrame, encoding: str = "windows-1252") -> DataFrame:
+    """``binaryFile`` rows (path, modificationTime, content) -> the line table (for streams of small files)."""
+    text = decoded(F.col("content"), encoding)
     exploded = raw.select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), F.posexplode(F.split(text, "\r?\n")).alias("pos", "line"))
     return exploded.select("file", (F.col("pos") + 1).cast("long").alias("line_no"), F.rtrim("line").alias("line"), "modified")
 
@@ -135,14 +153,13 @@ def classify_exports(lines: DataFrame, kinds: Iterable[ExportKind] = EXPORT_KIND
     return g.select("file", kind.alias("kind"))
 
 
-def with_fields(df: DataFrame, line: str = "line", out: str = "_f", width: int = MAX_FIELDS) -> DataFrame:
+def with_fields(df: DataFrame, line: str, out: str, width: int) -> DataFrame:
     """Add ``out`` = the CSV fields of ``line`` as an array (quotes handled, empty -> NULL).
 
     The line is parsed once, inside a one-element ``explode``: predicates on the fields cannot be
     pushed below a generator, so the optimizer cannot inline the parse once per field reference
     (a plain projection gets inlined into every later filter - 80 parses per line).
     """
-    width = max(1, min(width, MAX_FIELDS))
     schema = ", ".join(f"c{i} STRING" for i in range(width))
     parse = F.from_csv(F.col(line), F.lit(schema), {"mode": "PERMISSIVE"})
     parsed = df.select("*", F.explode(F.array(parse)).alias("_csv"))
@@ -173,11 +190,13 @@ def header_positions(lines: DataFrame, kind: ExportKind, header_rows: int = 1) -
     heads = nb.filter(marker & (F.col("nb") <= kind.header_limit)).groupBy("file").agg(
         F.min("nb").alias("_hdr_nb"), F.min_by("line", "nb").alias("_hline")
     )
-    heads = with_fields(heads, "_hline", "_hdr")
+    widest = heads.agg(F.max(F.regexp_count("_hline", F.lit(",")))).first()[0]  # one number
+    heads = with_fields(heads, "_hline", "_hdr", (widest or 0) + 1)
+    heads = heads.withColumn("_hdr", F.slice("_hdr", 1, F.greatest(F.regexp_count("_hline", F.lit(",")) + 1, F.lit(1))))
     if header_rows == 2:
         above = nb.select("file", F.col("nb").alias("_anb"), F.col("line").alias("_aline"))
         heads = heads.join(above, (heads.file == above.file) & (above._anb == heads._hdr_nb - 1), "left").drop(above.file)
-        heads = with_fields(heads, "_aline", "_above").withColumn(
+        heads = with_fields(heads, "_aline", "_above", (widest or 0) + 1).withColumn(
             "_hdr", F.transform(F.col("_hdr"), lambda h, i: F.coalesce(h, F.element_at(F.col("_above"), i + 1)))
         )
     heads = heads.withColumn("_hdr", _dedupe_names(F.col("_hdr")))
@@ -204,7 +223,7 @@ def read_export(lines: DataFrame, kind: ExportKind, header_rows: int = 1) -> Dat
     pos = pos.filter(F.least(*[F.col(f"_p{i}") for i in range(n_req)]) > 0).drop("_hdr")
     # parse only up to the right-most column any file needs (one scalar from the per-file table)
     width = pos.agg(F.max(F.greatest(*[F.col(f"_p{i}") for i in range(len(expected))]))).first()[0] or 1
-    body = with_fields(_nonblank(lines), width=int(width)).join(pos, "file").filter(F.col("nb") > F.col("_hdr_nb"))
+    body = with_fields(_nonblank(lines), "line", "_f", int(width)).join(pos, "file").filter(F.col("nb") > F.col("_hdr_nb"))
     cols = [F.when(F.col(f"_p{i}") > 0, F.element_at(F.col("_f"), F.col(f"_p{i}"))).alias(n) for i, n in enumerate(expected)]
     out = body.select("file", "line_no", *cols)
     any_value = None
@@ -214,6 +233,20 @@ def read_export(lines: DataFrame, kind: ExportKind, header_rows: int = 1) -> Dat
     return out.filter(any_value)
 
 
+def read_asof_columns(lines: DataFrame, kind: ExportKind) -> DataFrame:
+    """The ``MM/DD/YYYY`` columns of an export as rows: (file, line_no, name, Date, value text), blanks left out.
+
+    ``name`` is the row's first required column. One row per cell, for any number of date columns.
+    """
+    pos = header_positions(lines, kind).filter(F.col("_p0") > 0).select("file", "_hdr_nb", "_hdr", "_p0")
+    width = pos.agg(F.max(F.size("_hdr"))).first()[0] or 1
+    body = with_fields(_nonblank(lines), "line", "_f", int(width)).join(pos, "file").filter(F.col("nb") > F.col("_hdr_nb"))
+    cells = body.select("file", "line_no", F.element_at("_f", F.col("_p0")).alias("name"), F.explode(F.arrays_zip("_hdr", "_f")).alias("_cell"))
+    day = F.try_to_date(F.col("_cell._hdr"), "M/d/yyyy")
+    cells = cells.select("file", "line_no", "name", day.alias("Date"), F.col("_cell._f").alias("value"))
+    return cells.filter("Date IS NOT NULL AND value IS NOT NULL AND name IS NOT NULL")
+
+
 def export_problems(lines: DataFrame, kind: ExportKind, header_rows: int = 1) -> DataFrame:
     """(file, problem) for files of this kind without a header or with missing required columns."""
     pos = header_positions(lines, kind, header_rows)

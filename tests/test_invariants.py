@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from tallyframe.operators import checks as C
-from tallyframe.operators.filters import SpecError, apply_select
+from tallyframe.operators.filters import FilterContext, SpecError, apply_select
 from tallyframe.plans import fanout as K
 from tallyframe.plans import pivot as P
 from tallyframe.plans import reports as R
@@ -29,9 +29,48 @@ def test_pivot_corner_is_the_total(ledger):
     assert sum(row[c] for c in year_cols if row[c] is not None) == corner
 
 
-def test_pivot_column_cap(ledger):
-    with pytest.raises(SpecError):
-        P.pivot(ledger, {"options": {"rows": "category", "columns": "yyyymm"}}, max_columns=10)
+def test_pivot_has_no_column_limit(spark):
+    from types import SimpleNamespace
+
+    rows = [(f"c{i % 3}", f"t{i:04d}", 1) for i in range(1400)]
+    view = spark.createDataFrame(rows, "Category string, TxnType string, Amount int").withColumn("Amount", F.col("Amount").cast("decimal(15,4)"))
+    small = SimpleNamespace(view=view, accounts=None, ctx=FilterContext, eras=None)
+    wide = P.pivot(small, {"options": {"rows": "category", "columns": "txntype"}})
+    assert len(wide.columns) == 1402 and wide.filter("Category = 'Total'").first()["Total"] == 1400
+
+
+def test_pivot_labels_that_read_like_margins(spark):
+    from types import SimpleNamespace
+
+    rows = [("Total", "Total", "x", -5), ("Food", "Total", "a|b", -7), ("Food", "b", "a", -11), ("Food", "a|b", "c", 1), ("Food", "a", "b|c", 2)]
+    view = spark.createDataFrame(rows, "Category string, TxnType string, TxnClass string, Amount int").withColumn("Amount", F.col("Amount").cast("decimal(15,4)"))
+    small = SimpleNamespace(view=view, accounts=None, ctx=FilterContext, eras=None)
+    one = P.pivot(small, {"options": {"rows": "category", "columns": "txntype"}})
+    assert "\\Total" in one.columns
+    last = one.collect()[-1]
+    assert last["Total"] == -20 and last["\\Total"] == -12
+    two = P.pivot(small, {"options": {"rows": "category", "columns": ["txntype", "txnclass"]}})
+    row = two.filter("Category = 'Food'").first()
+    assert row["a\\|b|c"] == 1 and row["a|b\\|c"] == 2 and row["Total"] == -15
+    flags = P.pivot_long(small, {"options": {"rows": "category", "columns": "txntype"}}).filter("RowTotal AND ColumnTotal").collect()
+    assert [r.Amount for r in flags] == [-20]
+
+
+def test_fanout_own_directive_chooses_the_reports(ledger):
+    accounts = [r.Account for r in ledger.accounts.orderBy("Account").limit(3).collect()]
+    got = {r.foreach for r in K.domain(ledger, {"select": {"account": accounts[:2]}}, "account").collect()}
+    assert got == set(accounts[:2])
+    rest = {r.foreach for r in K.domain(ledger, {"select": {"account": ["!", accounts[0]]}}, "account").collect()}
+    assert accounts[0] not in rest and accounts[1] in rest
+    with_class = ledger.accounts.filter("AccountClassification = 'Assets'").select("Account").distinct().count()
+    fan = K.foreach_accounts(ledger, {"select": {"account_classification": "Assets"}}, "account_classification")
+    assert {r.foreach for r in fan.select("foreach").distinct().collect()} == {"Assets"} and fan.count() <= with_class
+
+
+def test_unknown_directives_and_wrong_dates(ledger):
+    for spec in ({"accounts": "x"}, {"date_from": "20x0"}, {"date_to": "0d"}, {"date_from": "0w"}, {"yyyy": "two"}):
+        with pytest.raises(SpecError):
+            apply_select(ledger.view, spec, ledger.ctx())
 
 
 def test_fanout_partitions_add_up(ledger):
