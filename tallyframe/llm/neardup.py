@@ -185,8 +185,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id of ``edges`` (id, hub): the smallest id connected with it."""
     both = edges.select(F.col("id").alias("u"), F.col("hub").alias("v")).filter("u <> v")
     edges = cut_lineage(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    while not _stars(edges):
         sym = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sym.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = sym.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -194,14 +193,30 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = cut_lineage(small, "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
+    stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every id points at one smaller id that points nowhere: then the components are found."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty()
+
+
+def merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``found`` (id, component) after the further links ``more`` (id, hub) between its components."""
+    own = found.select("id", "component")
+    ends = more.join(own, "id", "left").select(F.coalesce("component", "id").alias("a"), "id", "hub")
+    ends = ends.join(own.withColumnsRenamed({"id": "hub", "component": "b"}), "hub", "left")
+    ends = ends.select("a", F.coalesce("b", "hub").alias("b"))
+    joined = components(ends.select(F.col("a").alias("id"), F.col("b").alias("hub")))
+    joined = cut_lineage(joined, "joined").withColumnsRenamed({"id": "component", "component": "smaller"})
+    moved = own.join(joined, "component", "left").select("id", F.coalesce("smaller", "component").alias("component"))
+    alone = joined.select(F.col("component").alias("id"), F.col("smaller").alias("component")).join(own, "id", "left_anti")
+    return cut_lineage(moved.union(alone), "components")
+
+
 def links(docs: DataFrame, sketched: DataFrame, k: int, threshold: int) -> DataFrame | None:
     """(id, component) of the representatives that are linked with another; None without candidates."""
     reps = cut_lineage(representatives(sketched), "reps")
@@ -214,7 +229,7 @@ def links(docs: DataFrame, sketched: DataFrame, k: int, threshold: int) -> DataF
 
     edges = linked(bucketed.join(_best(["key"], bucketed), "key").filter("id <> hub"))
     open_rows, used, first = bucketed, _best(["key"], bucketed).select("key", "hub"), True
-    found = components(edges)
+    found = cut_lineage(components(edges), "components")
     while True:
         labelled = open_rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         labelled = cut_lineage(labelled.select("key", "id", "size", "weight", "component"), "labelled")
@@ -234,8 +249,7 @@ def links(docs: DataFrame, sketched: DataFrame, k: int, threshold: int) -> DataF
         more = linked(pairs[0] if len(pairs) == 1 else pairs[0].union(pairs[1]))
         if more.isEmpty():
             return found
-        edges = edges.union(more)
-        found = components(edges)
+        found = merged(found, more)
         used = cut_lineage(used.union(centres.select("key", "hub")), "used")
         open_rows, first = large.drop("component"), False
 
