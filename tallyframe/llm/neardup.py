@@ -11,7 +11,8 @@ percent or more; a document's component is the smallest doc_id it reaches over l
    member that meets the most others over all its buckets (the centre of a family of copies). That is one
    candidate per member and bucket, however large the bucket.
 4. Sizes and odd sketches drop candidates far below the threshold (est. similarity under ``threshold`` / 100 -
-   MARGIN, six standard errors); the others are confirmed on the full sets, made again from the texts.
+   MARGIN, six standard errors); the others are confirmed on the full sets, made again from the texts. Each member
+   is confirmed against its most similar hub first; the candidates that then still lie in different components follow.
 5. Components of the confirmed links are found by alternating large-star and small-star steps. Buckets that
    hold several components go on: those of up to SMALL_BUCKET members are finished with all their pairs
    between different components (at most SMALL_BUCKET / 2 per member), larger ones take the centres of up to
@@ -45,7 +46,7 @@ from tallyframe.session import cut_lineage
 ROWS, BANDS = 5, 30
 SKETCH_BITS = 512
 MARGIN = 0.2
-SMALL_BUCKET, HUBS = 32, 8
+SMALL_BUCKET, HUBS = 32, 2
 
 _random = np.random.default_rng(77)
 _A = _random.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
@@ -144,17 +145,16 @@ def _best(columns: list[str], rows: DataFrame) -> DataFrame:
 
 
 def screened(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
-    """The distinct (id, hub) pairs whose sizes and odd sketches leave the threshold possible."""
+    """(id, hub, likeness) of the distinct pairs whose sizes and odd sketches leave the threshold possible."""
     thin = reps.select("id", "n", "sketch")
     other = thin.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
     both = pairs.select("id", "hub").distinct().join(thin, "id").join(other, "hub")
     differing = F.aggregate(
         F.zip_with("sketch", "hub_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x
     )
-    return both.filter(
-        (100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n"))
-        & (similarity(differing) >= threshold / 100 - MARGIN)
-    ).select("id", "hub").distinct()
+    both = both.filter(100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n"))
+    both = both.select("id", "hub", similarity(differing).alias("likeness"))
+    return both.filter(F.col("likeness") >= threshold / 100 - MARGIN)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -162,7 +162,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Dat
     kind = pairs.schema["id"].dataType
     left = texts.select(F.col("doc_id").alias("id"), F.col("text").alias("one"))
     right = texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("two"))
-    rows = pairs.join(left, "id").join(right, "hub").select("id", "hub", "one", "two")
+    rows = pairs.select("id", "hub").join(left, "id").join(right, "hub").select("id", "hub", "one", "two")
 
     def run(batch: pa.RecordBatch) -> Iterator[list]:
         for part in slices(batch, "one"):
@@ -211,12 +211,19 @@ def merged(found: DataFrame, more: DataFrame) -> DataFrame:
     ends = ends.join(own.withColumnsRenamed({"id": "hub", "component": "b"}), "hub", "left")
     ends = ends.select("a", F.coalesce("b", "hub").alias("b"))
     joined = components(ends.select(F.col("a").alias("id"), F.col("b").alias("hub")))
-    joined = cut_lineage(joined, "joined").withColumnsRenamed({"id": "component", "component": "smaller"})
+    joined = cut_lineage(joined, "joined").select(F.col("id").alias("component"), F.col("component").alias("smaller"))
     moved = own.join(joined, "component", "left").select("id", F.coalesce("smaller", "component").alias("component"))
     alone = joined.select(F.col("component").alias("id"), F.col("smaller").alias("component")).join(own, "id", "left_anti")
     return cut_lineage(moved.union(alone), "components")
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends are not known to be in one component."""
+    ends = pairs.select("id", "hub").join(found.withColumnRenamed("component", "a"), "id", "left")
+    ends = ends.join(found.select(F.col("id").alias("hub"), F.col("component").alias("b")), "hub", "left")
+    return ends.filter(F.coalesce("a", "id") != F.coalesce("b", "hub")).select("id", "hub")
+
+
 def links(docs: DataFrame, sketched: DataFrame, k: int, threshold: int) -> DataFrame | None:
     """(id, component) of the representatives that are linked with another; None without candidates."""
     reps = cut_lineage(representatives(sketched), "reps")
@@ -225,11 +232,14 @@ def links(docs: DataFrame, sketched: DataFrame, k: int, threshold: int) -> DataF
     texts = cut_lineage(docs.select("doc_id", "text").join(members, "doc_id", "left_semi").distinct(), "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return cut_lineage(confirmed(screened(pairs, reps, threshold), texts, k, threshold), "links")
-
-    edges = linked(bucketed.join(_best(["key"], bucketed), "key").filter("id <> hub"))
-    open_rows, used, first = bucketed, _best(["key"], bucketed).select("key", "hub"), True
-    found = cut_lineage(components(edges), "components")
+        return cut_lineage(confirmed(pairs, texts, k, threshold), "links")
+
+    centre = _best(["key"], bucketed)
+    near = cut_lineage(screened(bucketed.join(centre, "key").filter("id <> hub"), reps, threshold), "near")
+    nearest = near.groupBy("id").agg(F.max_by("hub", F.struct("likeness", "hub")).alias("hub"))
+    found = cut_lineage(components(linked(nearest)), "components")
+    found = merged(found, linked(_apart(near.join(nearest, ["id", "hub"], "left_anti"), found)))
+    open_rows, used, first = bucketed, centre.select("key", "hub"), True
     while True:
         labelled = open_rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         labelled = cut_lineage(labelled.select("key", "id", "size", "weight", "component"), "labelled")
@@ -246,7 +256,7 @@ def links(docs: DataFrame, sketched: DataFrame, k: int, threshold: int) -> DataF
         centres = centres.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HUBS)
         centres = cut_lineage(centres.select("key", "hub", F.col("component").alias("hub_component")), "centres")
         pairs.append(large.join(centres, "key").filter("component <> hub_component").select("id", "hub"))
-        more = linked(pairs[0] if len(pairs) == 1 else pairs[0].union(pairs[1]))
+        more = linked(screened(pairs[0] if len(pairs) == 1 else pairs[0].union(pairs[1]), reps, threshold))
         if more.isEmpty():
             return found
         found = merged(found, more)
