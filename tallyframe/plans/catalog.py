@@ -76,14 +76,14 @@ def _filter_query(name: str, spec: dict, where: str) -> None:
 
 
 _filter_query("filter_in", {"payee": ["Supplier#000000001", "Supplier#000000002"]}, "Payee IN ('Supplier#000000001', 'Supplier#000000002')")
-_filter_query("filter_not_in", {"account": ["!", "NATION_1", "NATION_2"], "txntype": "Income"}, "Account NOT IN ('NATION_1', 'NATION_2') AND TxnType = 'Income'")
+_filter_query("filter_not_in", {"account": ["!", "NATION_1", "NATION_2"]}, "Account NOT IN ('NATION_1', 'NATION_2')")
 _filter_query("filter_like", {"memo": "%%RING%"}, "lower(Memo) LIKE '%ring%'")
-_filter_query("filter_not_like", {"memo": "!%small%", "txntype": "Income"}, "NOT (lower(Memo) LIKE 'small%') AND TxnType = 'Income'")
+_filter_query("filter_not_like", {"memo": "!%small%"}, "NOT (lower(Memo) LIKE 'small%')")
 _filter_query("filter_like_any", {"payee": ["%Supplier#00000001_", "%%#0000000_5"]}, "(lower(Payee) LIKE 'supplier#00000001_' OR lower(Payee) LIKE '%#0000000_5')")
-_filter_query("filter_blank", {"memo": "%", "txntype": "Income"}, "Memo IS NULL AND TxnType = 'Income'")
-_filter_query("filter_not_blank", {"memo": "!%", "account": "NATION_3"}, "Memo IS NOT NULL AND Account = 'NATION_3'")
-_filter_query("filter_blank_or_like", {"memo": ["%", "%", "%%bolt"], "account": "NATION_4"}, "(Memo IS NULL OR lower(Memo) LIKE '%bolt') AND Account = 'NATION_4'")
-_filter_query("filter_not_any_like", {"memo": ["!%", "%%ring%", "%%bolt%"], "account": "NATION_5"}, "NOT (lower(Memo) LIKE '%ring%' OR lower(Memo) LIKE '%bolt%') AND Account = 'NATION_5'")
+_filter_query("filter_blank", {"memo": "%"}, "Memo IS NULL")
+_filter_query("filter_not_blank", {"memo": "!%"}, "Memo IS NOT NULL")
+_filter_query("filter_blank_or_like", {"memo": ["%", "%", "%%bolt"]}, "(Memo IS NULL OR lower(Memo) LIKE '%bolt')")
+_filter_query("filter_not_any_like", {"memo": ["!%", "%%ring%", "%%bolt%"]}, "NOT (lower(Memo) LIKE '%ring%' OR lower(Memo) LIKE '%bolt%')")
 _filter_query(
     "filter_category",
     {"category": ["MEDIUM:", "SMALL:Brand#3", "PROMO"]},
@@ -96,27 +96,27 @@ _filter_query(
 )
 _filter_query(
     "filter_classification",
-    {"account_classification": "!Assets", "txntype": "Transfer"},
-    "Account IN (SELECT Account FROM accts WHERE AccountClassification <> 'Assets') AND TxnType = 'Transfer'",
+    {"account_classification": "!Assets"},
+    "Account IN (SELECT Account FROM accts WHERE AccountClassification <> 'Assets')",
 )
 _filter_query(
     "filter_account_category",
-    {"account_category": ["EUROPE", "ASIA"], "category": "PROMO"},
-    "Account IN (SELECT Account FROM accts WHERE AccountCategory IN ('EUROPE', 'ASIA')) AND Category = 'PROMO'",
+    {"account_category": ["EUROPE", "ASIA"]},
+    "Account IN (SELECT Account FROM accts WHERE AccountCategory IN ('EUROPE', 'ASIA'))",
 )
-_filter_query("filter_yyyy", {"yyyy": [1996, 1998], "date_from": "2000", "txntype": "Income"}, "year(Date) IN (1996, 1998) AND TxnType = 'Income'")
-_filter_query("filter_not_yyyy", {"yyyy": ["!1996", 1998, 1999, 2000, 2001], "txnclass": "Essential"}, "year(Date) NOT IN (1996, 1998, 1999, 2000, 2001) AND TxnClass = 'Essential'")
+_filter_query("filter_yyyy", {"yyyy": [1996, 1998], "date_from": "2000"}, "year(Date) IN (1996, 1998)")
+_filter_query("filter_not_yyyy", {"yyyy": ["!1996", 1998, 1999, 2000, 2001]}, "year(Date) NOT IN (1996, 1998, 1999, 2000, 2001)")
 _filter_query(
     "filter_date_range",
-    {"date_from": "1997-03", "date_to": "1996", "account": "NATION_7"},
-    "Date BETWEEN DATE '1996-12-31' AND DATE '1997-03-01' AND Account = 'NATION_7'",
+    {"date_from": "1997-03", "date_to": "1996"},
+    "Date BETWEEN DATE '1996-12-31' AND DATE '1997-03-01'",
 )
 _filter_query("filter_date_from", {"date_from": "2001-10-15"}, "Date >= DATE '2001-10-15'")
 _filter_query("filter_date_to", {"date_to": "1995-02"}, "Date <= DATE '1995-02-28'")
 _filter_query(
     "filter_relative",
-    {"date_from": "-6m", "date_to": "0m", "txntype": "Income"},
-    f"Date BETWEEN CAST(date_trunc('month', {ANCHOR}) - INTERVAL 6 MONTH AS DATE) AND last_day({ANCHOR}) AND TxnType = 'Income'",
+    {"date_from": "-6m", "date_to": "0m"},
+    f"Date BETWEEN CAST(date_trunc('month', {ANCHOR}) - INTERVAL 6 MONTH AS DATE) AND last_day({ANCHOR})",
 )
 _filter_query(
     "filter_relative_days",
@@ -125,11 +125,11 @@ _filter_query(
 )
 _filter_query(
     "filter_relative_years",
-    {"date_from": "1y", "date_to": "-1y", "account": "NATION_9"},
-    f"Date BETWEEN make_date(year({ANCHOR}) - 1, 1, 1) AND make_date(year({ANCHOR}) - 1, 12, 31) AND Account = 'NATION_9'",
+    {"date_from": "1y", "date_to": "-1y"},
+    f"Date BETWEEN make_date(year({ANCHOR}) - 1, 1, 1) AND make_date(year({ANCHOR}) - 1, 12, 31)",
 )
 _filter_query("filter_amount", {"amount": "<= -50,000"}, "Amount <= -50000")
-_filter_query("filter_amount_ne", {"amount": ["!=", "-1,000.5"], "account": "NATION_10", "yyyy": 1997}, "Amount <> -1000.5 AND Account = 'NATION_10' AND year(Date) = 1997")
+_filter_query("filter_amount_ne", {"amount": ["!=", "-1,000.5"]}, "Amount <> -1000.5")
 _filter_query("filter_amount_eq", {"amount": "$2,000.00"}, "Amount = 2000")
 _filter_query("filter_amount_between", {"amount": ["<>", 1000, -1000]}, "Amount BETWEEN -1000 AND 1000")
 _filter_query(
@@ -436,8 +436,8 @@ on_ledger(
 )
 on_ledger(
     "pivot_category_subcategory",
-    _pivot_sql([("COALESCE(CategorySubcategory, '')", "CategorySubcategory"), ("COALESCE(Payee, '')", "Payee")], YEAR_CASES, "Category = 'PROMO' AND Subcategory IN ('Brand#1', 'Brand#2')"),
-    lambda lg: P.pivot(lg, {"select": {"category": ["PROMO:Brand#1", "PROMO:Brand#2"]}, "options": {"rows": ["category", "payee", "category_subcategory", "subcategory"]}}),
+    _pivot_sql([("COALESCE(CategorySubcategory, '')", "CategorySubcategory"), ("COALESCE(Payee, '')", "Payee")], YEAR_CASES, "TRUE"),
+    lambda lg: P.pivot(lg, {"options": {"rows": ["category", "payee", "category_subcategory", "subcategory"]}}),
 )
 
 
@@ -475,29 +475,29 @@ def _foreach_sql(key_expr: str, where: str, cols: str = _FE_COLS, join: str = ""
     )
 
 
-on_ledger("foreach_txntype", _foreach_sql("TxnType", "Account = 'NATION_12'"), lambda lg: K.foreach_txns(lg, {"select": {"account": "NATION_12"}}, "txntype"))
-on_ledger("foreach_txnclass", _foreach_sql("TxnClass", "Account = 'NATION_13' AND TxnClass IN ('Essential', 'Income')"), lambda lg: K.foreach_txns(lg, {"select": {"account": "NATION_13", "txnclass": ["Essential", "Income"]}}, "txnclass"))
-on_ledger("foreach_era", _foreach_sql("EraName", "Category = 'SMALL' AND EraName <> 'Era B'"), lambda lg: K.foreach_txns(lg, {"select": {"category": "SMALL", "era": "!Era B"}}, "era"))
-on_ledger("foreach_account", _foreach_sql("Account", "Category = 'PROMO'"), lambda lg: K.foreach_txns(lg, {"select": {"category": "PROMO"}}, "account"))
+on_ledger("foreach_txntype", _foreach_sql("TxnType", "TRUE"), lambda lg: K.foreach_txns(lg, {}, "txntype"))
+on_ledger("foreach_txnclass", _foreach_sql("TxnClass", "TxnClass IN ('Essential', 'Income')"), lambda lg: K.foreach_txns(lg, {"select": {"txnclass": ["Essential", "Income"]}}, "txnclass"))
+on_ledger("foreach_era", _foreach_sql("EraName", "EraName <> 'Era B'"), lambda lg: K.foreach_txns(lg, {"select": {"era": "!Era B"}}, "era"))
+on_ledger("foreach_account", _foreach_sql("Account", "TRUE"), lambda lg: K.foreach_txns(lg, {}, "account"))
 on_ledger(
     "foreach_account_category",
-    _foreach_sql("COALESCE(a.AccountCategory, 'No category')", "Category = 'LARGE' AND year(Date) = 1999", join="JOIN accts a USING (Account)"),
-    lambda lg: K.foreach_txns(lg, {"select": {"category": "LARGE", "yyyy": 1999}}, "account_category"),
+    _foreach_sql("COALESCE(a.AccountCategory, 'No category')", "TRUE", join="JOIN accts a USING (Account)"),
+    lambda lg: K.foreach_txns(lg, {}, "account_category"),
 )
 on_ledger(
     "foreach_account_classification",
-    _foreach_sql("COALESCE(a.AccountClassification, 'No classification')", "Category = 'MEDIUM' AND Subcategory = 'Brand#2'", join="JOIN accts a USING (Account)"),
-    lambda lg: K.foreach_txns(lg, {"select": {"category": "MEDIUM:Brand#2"}}, "account_classification"),
+    _foreach_sql("COALESCE(a.AccountClassification, 'No classification')", "TRUE", join="JOIN accts a USING (Account)"),
+    lambda lg: K.foreach_txns(lg, {}, "account_classification"),
 )
 on_ledger(
     "foreach_yyyy",
-    _foreach_sql("CAST(year(Date) AS VARCHAR)", "Account = 'NATION_14' AND year(Date) >= 1999"),
-    lambda lg: K.foreach_txns(lg, {"select": {"account": "NATION_14", "date_from": "1999-05"}}, "yyyy"),
+    _foreach_sql("CAST(year(Date) AS VARCHAR)", "year(Date) >= 1999"),
+    lambda lg: K.foreach_txns(lg, {"select": {"date_from": "1999-05"}}, "yyyy"),
 )
 on_ledger(
     "foreach_10y",
-    _foreach_sql("CAST(year(Date) // 10 * 10 AS VARCHAR) || '-' || CAST(year(Date) // 10 * 10 + 9 AS VARCHAR)", "Account = 'NATION_15'"),
-    lambda lg: K.foreach_txns(lg, {"select": {"account": "NATION_15"}}, "10y"),
+    _foreach_sql("CAST(year(Date) // 10 * 10 AS VARCHAR) || '-' || CAST(year(Date) // 10 * 10 + 9 AS VARCHAR)", "TRUE"),
+    lambda lg: K.foreach_txns(lg, {}, "10y"),
 )
 on_ledger(
     "foreach_accounts_class",
@@ -518,7 +518,7 @@ def _foreach_pivot_sql() -> str:
              CAST(SUM(CASE WHEN tt = 'Income' THEN Amount END) AS DOUBLE) AS "Income",
              CAST(SUM(Amount) AS DOUBLE) AS "Total"
            FROM (SELECT CAST(year(Date) AS VARCHAR) AS foreach, COALESCE(Category, '') AS Category, TxnType AS tt, Amount
-                 FROM v WHERE TxnType <> 'Transfer' AND Account = 'NATION_16') f
+                 FROM v WHERE TxnType <> 'Transfer') f
            GROUP BY GROUPING SETS ((foreach, Category), (foreach))"""
     )
 
@@ -526,9 +526,91 @@ def _foreach_pivot_sql() -> str:
 on_ledger(
     "foreach_pivot_yyyy",
     _foreach_pivot_sql(),
-    lambda lg: K.foreach_pivot(lg, {"select": {"txntype": "!Transfer", "account": "NATION_16"}, "options": {"rows": "category", "columns": "txntype"}}, "yyyy"),
+    lambda lg: K.foreach_pivot(lg, {"select": {"txntype": "!Transfer"}, "options": {"rows": "category", "columns": "txntype"}}, "yyyy"),
 )
 
+on_ledger(
+    "foreach_account_selected",
+    _foreach_sql("Account", "Account NOT IN ('NATION_1', 'NATION_2')"),
+    lambda lg: K.foreach_txns(lg, {"select": {"account": ["!", "NATION_1", "NATION_2"]}}, "account"),
+)
+on_ledger(
+    "foreach_class_selected",
+    _foreach_sql("a.AccountClassification", "k = 'Assets'", join="JOIN accts a USING (Account)"),
+    lambda lg: K.foreach_txns(lg, {"select": {"account_classification": "Assets"}}, "account_classification"),
+)
+on_ledger(
+    "foreach_accounts_category",
+    ORACLE["foreach_accounts_class"].replace("COALESCE(AccountClassification, 'No classification') AS foreach", "COALESCE(AccountCategory, 'No category') AS foreach"),
+    lambda lg: K.foreach_accounts(lg, {}, "account_category"),
+)
+on_ledger(
+    "foreach_not_class",
+    ORACLE["foreach_accounts_class"].replace("WHERE XferOnly IS NULL", "WHERE XferOnly IS NULL AND COALESCE(AccountClassification, '') <> 'Assets'"),
+    lambda lg: K.foreach_accounts(lg, {"select": {"account_classification": "!Assets"}}, "account_classification"),
+)
+
+
+def _foreach_consolidated(lg: Ledger) -> DataFrame:
+    """One row per report and group: totals of the monthly consolidation by transaction type."""
+    return K.foreach_txns(lg, {"consolidate": "yyyymm"}, "txntype").select("foreach", "Date", "Payee", "Category", "Subcategory", "Amount", "TxnClass")
+
+
+on_ledger(
+    "foreach_consolidated",
+    with_ledger(
+        """SELECT TxnType AS foreach, strftime(CAST(date_trunc('month', Date) AS DATE), '%Y-%m-%d') AS Date, Payee, Category, Subcategory,
+             CAST(SUM(Amount) AS DOUBLE) AS Amount, TxnClass FROM v WHERE TxnType IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 7"""
+    ),
+    _foreach_consolidated,
+)
+
+_PIVOT_KEYS = {
+    "txntype": ("TxnType", "v"),
+    "txnclass": ("TxnClass", "v"),
+    "era": ("EraName", "v"),
+    "account": ("Account", "v"),
+    "account_category": ("COALESCE(a.AccountCategory, 'No category')", "v JOIN accts a USING (Account)"),
+    "account_classification": ("COALESCE(a.AccountClassification, 'No classification')", "v JOIN accts a USING (Account)"),
+    "10y": ("CAST(year(Date) // 10 * 10 AS VARCHAR) || '-' || CAST(year(Date) // 10 * 10 + 9 AS VARCHAR)", "v"),
+}
+
+
+def _foreach_pivot_by(key: str, expression: str, source: str) -> None:
+    years = ", ".join(f"CAST(SUM(CASE WHEN y = {y} THEN Amount END) AS DOUBLE) AS \"{y}-12-31\"" for y in YEARS)
+    on_ledger(
+        f"foreach_pivot_{key}",
+        with_ledger(
+            f"""SELECT foreach, CASE WHEN GROUPING(Category) = 1 THEN 'Total' ELSE Category END AS Category, {years},
+                  CAST(SUM(Amount) AS DOUBLE) AS "Total"
+                FROM (SELECT {expression} AS foreach, COALESCE(Category, '') AS Category, year(Date) AS y, Amount FROM {source}) f
+                WHERE foreach IS NOT NULL GROUP BY GROUPING SETS ((foreach, Category), (foreach))"""
+        ),
+        lambda lg: K.foreach_pivot(lg, {"options": {"rows": "category"}}, key),
+    )
+
+
+for _key, (_expression, _source) in _PIVOT_KEYS.items():
+    _foreach_pivot_by(_key, _expression, _source)
+
+on_ledger(
+    "pivot_long",
+    with_ledger(
+        """SELECT CASE WHEN GROUPING(c) = 0 THEN c END AS Category, CASE WHEN GROUPING(s) = 0 THEN s END AS Subcategory,
+             CASE WHEN GROUPING(y) = 0 THEN y END AS DateYYYY, CAST(SUM(Amount) AS DOUBLE) AS Amount,
+             GROUPING(c) = 1 AS RowTotal, GROUPING(y) = 1 AS ColumnTotal
+           FROM (SELECT COALESCE(Category, '') AS c, COALESCE(Subcategory, '') AS s, strftime(make_date(year(Date), 12, 31), '%Y-%m-%d') AS y, Amount FROM v) f
+           GROUP BY GROUPING SETS ((c, s, y), (c, s), (y), ())"""
+    ),
+    lambda lg: P.pivot_long(lg),
+)
+for _option, _column in (("account", "Account"), ("txntype", "TxnType"), ("txnclass", "TxnClass"), ("payee", "Payee")):
+    on_ledger(
+        f"pivot_rows_{_option}",
+        _pivot_sql([(f"COALESCE({_column}, '')", _column)], YEAR_CASES, "TRUE"),
+        lambda lg, option=_option: P.pivot(lg, {"options": {"rows": option}}),
+    )
+
 # ---------------------------------------------------------------------------------------------
 # checks (C4 - C8)
 
@@ -1122,9 +1204,9 @@ on_ledger(
     _pivot_sql(
         [("strftime(CAST(date_trunc('month', Date) AS DATE), '%Y-%m-%d')", "DateYYYYMM")],
         [("Expense", "tt = 'Expense'"), ("Income", "tt = 'Income'"), ("Transfer", "tt = 'Transfer'")],
-        "Account = 'NATION_2'",
+        "TRUE",
     ),
-    lambda lg: P.pivot(lg, {"select": {"account": "NATION_2"}, "options": {"rows": "yyyymm", "columns": "txntype"}}),
+    lambda lg: P.pivot(lg, {"options": {"rows": "yyyymm", "columns": "txntype"}}),
 )
 on_ledger(
     "interval_overlaps",
