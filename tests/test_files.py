@@ -49,3 +49,12 @@ def test_files_end_to_end(spark):
     assert {os.path.basename(r.file): str(r.as_of) for r in X.as_of_date(lines, fallback_mtime=False).collect()}["balances.csv"] == "2022-12-31"
     probs = X.export_problems(lines.filter(F.col("file").endswith("junk.csv")), X.KINDS["account_txns"]).collect()
     assert [p.problem for p in probs] == ["header row not found"]
+
+
+def test_list_exports_sorts_and_removes_repeats(spark):
+    d = tempfile.mkdtemp(prefix="tallyframe-list-")
+    for name in ("b.csv", "a.csv", "c.txt"):
+        with open(os.path.join(d, name), "w") as f:
+            f.write("x\n")
+    found = X.list_exports(spark, [os.path.join(d, "*.csv"), os.path.join(d, "a.*")])
+    assert [os.path.basename(f) for f in found] == ["a.csv", "b.csv"]
