@@ -15,7 +15,7 @@ percent or more; a document's component is the smallest doc_id it reaches over l
    is confirmed against its most similar hub first; the candidates that then still lie in different components follow.
 5. Components of the confirmed links are found by alternating large-star and small-star steps. Buckets that
    hold several components go on: those of up to SMALL_BUCKET members are finished with all their pairs
-   between different components (at most SMALL_BUCKET / 2 per member), larger ones take the centres of up to
+   between different components (at most SMALL_BUCKET / 2 per member), larger ones take the centres of
    HUBS further components as hubs, and again, until a round finds no link between components.
 
 A pair at the threshold shares a band with probability 1 - 7e-6. Nothing is capped: the candidates of a round
@@ -46,7 +46,7 @@ from tallyframe.session import cut_lineage
 ROWS, BANDS = 5, 30
 SKETCH_BITS = 512
 MARGIN = 0.2
-SMALL_BUCKET, HUBS = 32, 2
+SMALL_BUCKET, HUBS = 32, 1
 
 _random = np.random.default_rng(77)
 _A = _random.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
@@ -244,7 +244,7 @@ def links(docs: DataFrame, sketched: DataFrame, k: int, threshold: int) -> DataF
         labelled = open_rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         labelled = cut_lineage(labelled.select("key", "id", "size", "weight", "component"), "labelled")
         mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-        rest = labelled.join(mixed.select("key"), "key", "left_semi")
+        rest = cut_lineage(labelled.join(mixed.select("key"), "key", "left_semi"), "rest")
         pairs = []
         if first:
             one = rest.filter(F.col("size") <= SMALL_BUCKET)
