@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +55,7 @@ FURNITURE_NAMES = frozenset(
 MAIN_NAMES = frozenset("article main content post entry story articlebody".split())
 
 DEEPEST = 64  # levels that paths tell apart
+PAGES_AT_ONCE = 128  # whose texts a task holds
 
 _MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([A-Za-z][^\s/>]*))")
 _QUOTED = re.compile(r"=\s*([\"'])")
@@ -295,16 +297,26 @@ def main_text(html: str, slot: str | None) -> str:
     return "\n\n".join(b.text for b in inside if not b.element.furniture)
 
 
+@F.arrow_udf(T.BinaryType())
+def _packed(html: pa.Array) -> pa.Array:
+    """Compressed pages: the join by host moves them once."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([None if h is None else pack(h.encode()) for h in html.to_pylist()], pa.binary())
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page row: page_id, url, text, n_chars."""
     slots = deduce(pages)
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), _packed(F.col("html").cast("string")).alias("html"), host(F.col("url")).alias("host"))
     rows = rows.join(slots, "host", "left").select("page_id", "url", "html", "slot")
     fields = [("page_id", pages.schema["page_id"].dataType), ("url", T.StringType()), ("text", T.StringType()), ("n_chars", T.LongType())]
 
     def run(batch: pa.RecordBatch) -> Iterator[list]:
-        for part in slices(batch, "html"):
-            texts = [main_text(h or "", s) for h, s in zip(part.column("html").to_pylist(), part.column("slot").to_pylist(), strict=True)]
+        unpack = zstandard.ZstdDecompressor().decompress
+        for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+            part = batch.slice(start, PAGES_AT_ONCE)
+            packed, wanted = part.column("html").to_pylist(), part.column("slot").to_pylist()
+            texts = ["" if h is None else main_text(unpack(h).decode(), s) for h, s in zip(packed, wanted, strict=True)]
             yield [part.column("page_id"), part.column("url"), texts, [len(t) for t in texts]]
 
     return map_batches(rows, run, fields)
