@@ -229,7 +229,8 @@ def links(docs: DataFrame, sketched: DataFrame, k: int, threshold: int) -> DataF
     reps = cut_lineage(representatives(sketched), "reps")
     bucketed = cut_lineage(buckets(reps), "buckets")
     members = bucketed.select(F.col("id").alias("doc_id")).distinct()
-    texts = cut_lineage(docs.select("doc_id", "text").join(members, "doc_id", "left_semi").distinct(), "texts")
+    # a sort-merge join at every size: the ids grow with the documents, so no plan should rest on their broadcast
+    texts = cut_lineage(docs.select("doc_id", "text").join(members.hint("merge"), "doc_id", "left_semi").distinct(), "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return cut_lineage(confirmed(pairs, texts, k, threshold), "links")
