@@ -16,11 +16,17 @@ percent or more; a document's component is the smallest doc_id it reaches over l
 5. Components of the confirmed links are found by alternating large-star and small-star steps. Buckets that
    hold several components go on: those of up to SMALL_BUCKET members are finished with all their pairs
    between different components (at most SMALL_BUCKET / 2 per member), larger ones take the centres of
-   HUBS further components as hubs, and again, until a round finds no link between components.
+   HUBS further components as hubs, and again, until a round finds no link between components. The rounds only
+   save candidates.
+6. All members of large buckets that still hold several components are then finished with an exact join: two
+   linked sets share a shingle among the rarest n - ceil(threshold * n / 100) + 1 of each (prefix filter), shingles
+   of one component only being the rarest. Every pair of different components that does so, and whose sizes and
+   places leave the threshold possible, is screened and confirmed.
 
 A pair at the threshold shares a band with probability 1 - 7e-6. Nothing is capped: the candidates of a round
-are linear in the bucket rows. Joins on a bucket or hub have one row per key on the other side, so a large
-group is split among tasks.
+are linear in the bucket rows, those of step 6 are as many as there are pairs that pass its filters. Joins on a
+bucket or hub have one row per key on the other side, so a large group is split among tasks; a shingle of many
+members is split into parts of PART members.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; a text of fewer than k words is one shingle; null, empty and
 blank texts have no shingles and are linked with nothing. A null doc_id is linked with nothing, has a null
@@ -47,6 +53,7 @@ ROWS, BANDS = 5, 30
 SKETCH_BITS = 512
 MARGIN = 0.2
 SMALL_BUCKET, HUBS = 32, 1
+PART = 256
 
 _random = np.random.default_rng(77)
 _A = _random.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
@@ -181,6 +188,51 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Dat
     return map_batches(rows, run, [("id", kind), ("hub", kind)])
 
 
+def prefixes(sets: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(id, component, n, shingle, place) of the rarest shingles of the sets (id, component, text) that may link them to another component."""
+    kind = sets.schema["id"].dataType
+    fields = [("id", kind), ("component", sets.schema["component"].dataType), ("own", T.LongType()), ("n", T.LongType()), ("shingles", T.ArrayType(T.LongType()))]
+
+    def run(batch: pa.RecordBatch) -> Iterator[list]:
+        for part in slices(batch, "text", 2 << 20):
+            made = list(shingle_sets(part.column("text"), k))
+            n = np.array([len(s) for s in made], np.int64)
+            flat = np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
+            yield [part.column("id"), part.column("component"), part.column("own"), n, lists]
+
+    rows = map_batches(sets.select("id", "component", F.xxhash64("text").alias("own"), "text"), run, fields)
+    rows = cut_lineage(rows, "sets").select("id", "component", "own", "n", F.explode("shingles").alias("shingle"))
+    spread = rows.groupBy("shingle").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    shared = rows.join(spread.filter("lo <> hi").select("shingle", "members"), "shingle")
+    own = W.Window.partitionBy("id", "own")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("members", "shingle"))
+    least = F.ceil(threshold * F.col("n") / 100)
+    shared = shared.withColumn("place", place).filter(F.col("place") <= F.col("n") - least + 1)
+    return cut_lineage(shared.select("id", "component", "n", "shingle", "place"), "prefixes")
+
+
+def across(sets: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The (id, hub) pairs of different components of ``sets`` (id, component, text) that can be links: none is left out."""
+    rows = prefixes(sets, k, threshold)
+    mixed = rows.groupBy("shingle").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = mixed.filter("lo <> hi").select("shingle", F.ceil(F.col("members") / PART).alias("parts"))
+    rows = rows.join(mixed, "shingle")
+    one = rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts")).drop("parts")
+    two = rows.select(
+        "shingle",
+        F.col("id").alias("hub"),
+        F.col("component").alias("hub_component"),
+        F.col("n").alias("hub_n"),
+        F.col("place").alias("hub_place"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+    )
+    # what the sets can share from this shingle on, against the share that the threshold asks for
+    possible = (100 + threshold) * (1 + F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))) >= threshold * (F.col("n") + F.col("hub_n"))
+    pairs = one.join(two, (one["shingle"] == two["shingle"]) & (one["part"] == two["part"]) & (F.col("id") < F.col("hub")) & (F.col("component") != F.col("hub_component")) & possible)
+    return pairs.select("id", "hub").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id of ``edges`` (id, hub): the smallest id connected with it."""
     both = edges.select(F.col("id").alias("u"), F.col("hub").alias("v")).filter("u <> v")
@@ -259,10 +311,15 @@ def links(docs: DataFrame, sketched: DataFrame, k: int, threshold: int) -> DataF
         pairs.append(large.join(centres, "key").filter("component <> hub_component").select("id", "hub"))
         more = linked(screened(pairs[0] if len(pairs) == 1 else pairs[0].union(pairs[1]), reps, threshold))
         if more.isEmpty():
-            return found
+            break
         found = merged(found, more)
         used = cut_lineage(used.union(centres.select("key", "hub")), "used")
         open_rows, first = large.drop("component"), False
+    left = large.select("id", "component").distinct()
+    if left.isEmpty():
+        return found
+    sets = left.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    return merged(found, linked(screened(across(sets, k, threshold), reps, threshold)))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:

@@ -93,3 +93,33 @@ def test_odd_sketches_estimate_high_similarities(spark):
         estimate = spark.range(1).select(neardup.similarity(F.lit(ones))).first()[0]
         assert abs(estimate - jaccard) < 0.12
     del rng
+
+
+def closest(texts, k, threshold=80):
+    """Smallest row number that each of many short texts reaches, by the product of their incidence matrix."""
+    sets = [{tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in texts]
+    number = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    rows = np.zeros((len(texts), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        rows[i, [number[g] for g in s]] = 1
+    n = rows.sum(1)
+    component = np.arange(len(texts))
+    linked = []
+    for at in range(0, len(texts), 500):
+        same = rows[at : at + 500] @ rows.T
+        linked.append(100 * same >= threshold * (n[at : at + 500, None] + n[None, :] - same))
+    linked = np.vstack(linked)
+    while True:
+        least = np.array([component[l].min() for l in linked])
+        if (least == component).all():
+            return component.tolist()
+        component = least
+
+
+def test_a_family_of_thousands_around_the_threshold(spark, make_docs):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    texts = [t for rate in (0.10, 0.14) for t in family(rng, base, 1500, rate, vocabulary)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(make_docs(list(enumerate(texts))), k=1).collect()}
+    assert [got[i] for i in range(len(texts))] == closest(texts, 1)
