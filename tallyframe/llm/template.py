@@ -11,8 +11,8 @@ pages; its elements nest by their paths, and a class that repeats within a page
 paragraphs) is nested in the slot of the valid element above it. The valid elements make the host's template, and
 text blocks of valid classes in nine tenths of three or more pages belong to it too. What is left varies: it fills the
 template's slots. The main slot is the deepest valid element that is no furniture (menus, headers, footers, side
-bars, notices, adverts, forms, comments, by element, role or class name) and holds most of the host's varying
-words; an article or main element that holds a good part of them goes first. Text repeated on every page
+bars, notices, adverts, forms, comments, by element, role or class name) and holds all of the host's varying
+words. It is never below an article or main element, so no article is narrowed to a part of its text. Text repeated on every page
 helps to choose the slot but is never cut out of it, so copies of a page keep their text.
 
 Extraction joins each page with its host's main slot and writes the slot's blocks without furniture. A page
@@ -52,7 +52,6 @@ FURNITURE_NAMES = frozenset(
     notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related
     recommended recommendations widget widgets pagination pager tags search skip""".split()
 )
-MAIN_NAMES = frozenset("article main content post entry story articlebody".split())
 
 DEEPEST = 64  # levels that paths tell apart
 PAGES_AT_ONCE = 128  # whose texts a task holds
@@ -151,7 +150,8 @@ def _element(name: str, rest: str, parent: Element | None) -> Element:
     )
     main = name in ("article", "main") or role in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
     above = parent.path if parent else ""
-    own = f"{name}.{'.'.join(sorted(set(names)))}" if names else name
+    own = f"{name}!" if main else name  # '!' marks article and main elements in paths
+    own = f"{own}.{'.'.join(sorted(set(names)))}" if names else own
     inherited = parent is not None and parent.furniture
     depth = parent.depth + 1 if parent else 1
     path = f"{above}/{own}" if depth <= DEEPEST else above  # deeper elements share a name; their text counts all the same
@@ -278,11 +278,9 @@ def deduce(pages: DataFrame) -> DataFrame:
     everything = marked.groupBy("host").agg(F.sum("varying").alias("all_varying"), F.sum("words").alias("all_words"))
     slots = valid.join(weights, ["host", "slot"]).join(everything, "host")
     held = F.when(F.col("all_varying") > 0, F.col("varying") / F.col("all_varying")).otherwise(F.col("words") / F.greatest("all_words", F.lit(1)))
-    last = F.element_at(F.split("slot", "/"), -1)
-    named = F.split(last, r"\.")[0].isin("article", "main") | F.arrays_overlap(F.split(last, r"\."), F.array(*map(F.lit, sorted(MAIN_NAMES))))
-    ranked = slots.select("host", "slot", held.alias("held"), named.alias("named"), F.size(F.split("slot", "/")).alias("depth"))
-    ranked = ranked.filter((F.col("held") >= 0.6) | (F.col("named") & (F.col("held") >= 0.3)))
-    return ranked.groupBy("host").agg(F.max_by("slot", F.struct("named", "depth", "held", "slot")).alias("slot"))
+    ranked = slots.select("host", "slot", held.alias("held"), F.size(F.split("slot", "/")).alias("depth"))
+    ranked = ranked.filter((F.col("held") >= 1) & ~F.col("slot").rlike("![^/]*/"))
+    return ranked.groupBy("host").agg(F.max_by("slot", F.struct("depth", "slot")).alias("slot"))
 
 
 def main_text(html: str, slot: str | None) -> str:

@@ -73,3 +73,26 @@ def test_broken_markup_and_long_runs():
         template.main_text(html, None)
     assert template.main_text("<p title='a > b'>one<p>two &lt;b&gt; &nbsp; &#233;<br>three", None) == "one\n\ntwo <b> é three"
     assert template.main_text("a <1 b <p>c</p> 3 < 4", None) == "a <1 b\n\nc\n\n3 < 4"
+
+
+def texts_of(spark, bodies):
+    """Extracted texts of pages of one host, in order."""
+    df = spark.createDataFrame([(i, "http://h/", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)], "page_id bigint, url string, html string")
+    return [r.text for r in sorted(template.extract(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_no_article_is_narrowed_to_a_part(spark):
+    def parts(i):
+        return f"Headline {i}", f"Lead of {i}", " ".join(f"first{i}x{j}" for j in range(30)), " ".join(f"second{i}x{j}" for j in range(20))
+
+    layouts = (
+        "<article class=post><h1>{}</h1><p>{}</p><div class=entry-content><p>{}</p></div><div class=content><p>{}</p></div></article>",
+        "<div role=main><h1>{}</h1><p>{}</p><div class=content><p>{}</p><p>{}</p></div></div>",
+        "<div class=page><h1>{}</h1><p>{}</p><div class=a><p>{}</p></div><div class=b><p>{}</p></div></div>",
+        "<h1>{}</h1><p>{}</p><article><p>{}</p></article><article class=more><p>{}</p></article>",
+    )
+    for layout in layouts:
+        got = texts_of(spark, [f"<nav>Menu {i}</nav>" + layout.format(*parts(i)) + f"<footer>Foot {i}</footer>" for i in range(6)])
+        assert got == ["\n\n".join(parts(i)) for i in range(6)], layout
+    got = texts_of(spark, [f"<article><h1>Daily report</h1><div class=content><p>varies {i}</p></div></article>" for i in range(6)])
+    assert got == [f"Daily report\n\nvaries {i}" for i in range(6)]
