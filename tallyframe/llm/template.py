@@ -15,6 +15,9 @@ bars, notices, adverts, forms, comments, by element, role or class name) and hol
 words. It is never below an article or main element, so no article is narrowed to a part of its text. Text repeated on every page
 helps to choose the slot but is never cut out of it, so copies of a page keep their text.
 
+A class or id marks furniture only as a whole name ("share", "cookie-notice", not "share-prices"), on no article or main
+element and none above a main element, and only where it holds half of the host's varying words or less.
+
 Extraction joins each page with its host's main slot and writes the slot's blocks without furniture. A page
 that lacks the slot, or a host without one, falls back on the page's own article, main or body.
 
@@ -53,6 +56,11 @@ FURNITURE_NAMES = frozenset(
     recommended recommendations widget widgets pagination pager tags search skip""".split()
 )
 
+#: Parts that may stand beside furniture names in a class or id ("top-banner", "comment-list") without changing what it names.
+NEUTRAL_NAMES = frozenset("top bottom left right main site page box boxes list area bar block blocks button buttons wrap wrapper container section inner outer primary secondary global post posts form links".split())
+
+HEADS = frozenset(("header", "masthead"))
+
 DEEPEST = 64  # levels that paths tell apart
 PAGES_AT_ONCE = 128  # whose texts a task holds
 
@@ -67,11 +75,24 @@ _CLOSED = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in R
 class Element:
     """An open structural element."""
 
-    __slots__ = ("depth", "furniture", "inside", "main", "name", "path")
+    __slots__ = ("above", "depth", "furniture", "hard", "inside", "main", "marked", "name", "named", "own_main", "parent", "path")
 
-    def __init__(self, name: str, path: str, furniture: bool, main: bool, depth: int) -> None:
-        self.name, self.path, self.furniture, self.main, self.depth = name, path, furniture, main, depth
+    def __init__(self, name: str, path: str, parent: Element | None, depth: int) -> None:
+        self.name, self.path, self.parent, self.depth = name, path, parent, depth
+        self.own_main = self.marked = self.above = False  # above: a main element is inside
+        self.named = frozenset()  # furniture names among its classes and id
         self.inside = False  # the slot that is asked for
+        self.furniture = self.hard = self.main = False
+
+    def settle(self, kept: frozenset[str]) -> None:
+        """Whether it is furniture, by its marks alone (hard) or by names too, or in an article; its parent is settled."""
+        up = self.parent
+        head = up.main and (self.name == "header" or self.named <= HEADS)  # an article's own header stays
+        marked = self.marked or (self.name in FURNITURE and not (self.name == "header" and up.main))
+        named = bool(self.named) and not (head or self.own_main or self.above or self.path in kept)
+        self.hard = up.hard or marked
+        self.furniture = up.furniture or marked or named
+        self.main = (self.own_main or up.main) and not self.furniture
 
 
 def _tag_end(html: str, at: int, gone: dict[str, bool]) -> int:
@@ -133,29 +154,41 @@ def markup(html: str) -> Iterator[tuple[str, str, str]]:
             return
 
 
-def _element(name: str, rest: str, parent: Element | None) -> Element:
+def _furniture_names(label: str) -> frozenset[str]:
+    """The furniture names in a class or id list, of names that have nothing else in them."""
+    found: set[str] = set()
+    for whole in label.split():
+        pieces = set(_NAMES.findall(whole))
+        if pieces <= FURNITURE_NAMES | NEUTRAL_NAMES:
+            found |= pieces & FURNITURE_NAMES
+    return frozenset(found)
+
+
+def _element(name: str, rest: str, parent: Element) -> Element:
     attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
     label = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
     names = _NAMES.findall(label)
     role = attributes.get("role", "").lower()
-    in_article = parent is not None and parent.main
-    named = bool(FURNITURE_NAMES.intersection(names)) and name not in ("body", "html")
-    furniture = (
-        (name in FURNITURE and not (name == "header" and in_article))
-        or role in FURNITURE_ROLES
-        or (named and not (in_article and name == "header"))
+    main = name in ("article", "main") or role in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
+    named = _furniture_names(label) if name not in ("body", "html") and not main else frozenset()
+    own = f"{name}{'!' if main else ''}{'?' if named else ''}"  # in paths: article and main elements, furniture names
+    own = f"{own}.{'.'.join(sorted(set(names)))}" if names else own
+    depth = parent.depth + 1
+    path = f"{parent.path}/{own}" if depth <= DEEPEST else parent.path  # deeper elements share a name; their text counts all the same
+    made = Element(name, path, parent, depth)
+    made.own_main, made.named = main, named
+    made.marked = (
+        role in FURNITURE_ROLES
         or "hidden" in attributes
         or bool(_BARE_HIDDEN.search(rest))
         or "display:none" in attributes.get("style", "").replace(" ", "").lower()
     )
-    main = name in ("article", "main") or role in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
-    above = parent.path if parent else ""
-    own = f"{name}!" if main else name  # '!' marks article and main elements in paths
-    own = f"{own}.{'.'.join(sorted(set(names)))}" if names else own
-    inherited = parent is not None and parent.furniture
-    depth = parent.depth + 1 if parent else 1
-    path = f"{above}/{own}" if depth <= DEEPEST else above  # deeper elements share a name; their text counts all the same
-    return Element(name, path, furniture or inherited, (main or in_article) and not furniture, depth)
+    if name == "main" or role == "main":
+        up = parent
+        while up is not None and not up.above:
+            up.above = True
+            up = up.parent
+    return made
 
 
 class Block:
@@ -167,9 +200,12 @@ class Block:
         self.element, self.text = element, text
 
 
-def parse(html: str, slot: str | None = None) -> tuple[list[Block], list[Element]]:
-    """The page's text blocks in order, and its structural elements in order; those in ``slot`` are marked."""
-    root = Element("", "", False, False, 0)
+def parse(html: str, slot: str | None = None, kept: frozenset[str] = frozenset()) -> tuple[list[Block], list[Element]]:
+    """The page's text blocks in order, and its structural elements in order; those in ``slot`` are marked.
+
+    Names do not make furniture of the paths ``kept``.
+    """
+    root = Element("", "", None, 0)
     stack, elements, blocks, held = [root], [], [], []
     opened: dict[str, int] = {}
     skipping = 0  # inside <head>/<title>
@@ -208,19 +244,23 @@ def parse(html: str, slot: str | None = None) -> tuple[list[Block], list[Element
                         if closed.name == name:
                             break
     flush()
+    for e in elements:  # parents come first
+        e.settle(kept)
     return blocks, elements
 
 
 def _tokens(html: str) -> dict[tuple[str, str], list[int]]:
-    """(path, text) -> [occurrences, words]; elements have an empty text. Furniture has no words."""
+    """(path, text) -> [occurrences, words, words whatever the names]; elements have an empty text. Furniture has no words."""
     blocks, elements = parse(html)
     out: dict[tuple[str, str], list[int]] = {}
     for e in elements:
-        out.setdefault((e.path, ""), [0, 0])[0] += 1
+        out.setdefault((e.path, ""), [0, 0, 0])[0] += 1
     for b in blocks:
-        row = out.setdefault((b.element.path, b.text), [0, 0])
+        row = out.setdefault((b.element.path, b.text), [0, 0, 0])
+        words = len(b.text.split())
         row[0] += 1
-        row[1] += 0 if b.element.furniture else len(b.text.split())
+        row[1] += 0 if b.element.furniture else words
+        row[2] += 0 if b.element.hard else words
     return out
 
 
@@ -230,7 +270,7 @@ def host(url: Column) -> Column:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, path, text, pages, vector, most, words) of every token of every host; text: hash, null for elements."""
+    """(host, path, text, pages, vector, most, words, loose) of every token of every host; text: hash, null for elements."""
     fields = [
         ("host", T.StringType()),
         ("page", T.LongType()),
@@ -238,15 +278,16 @@ def occurrences(pages: DataFrame) -> DataFrame:
         ("text", T.StringType()),
         ("n", T.IntegerType()),
         ("words", T.LongType()),
+        ("loose", T.LongType()),
     ]
     rows = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), "html")
 
     def run(batch: pa.RecordBatch) -> Iterator[list]:
         for part in slices(batch, "html"):
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for h, page, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                for (path, text), (n, words) in _tokens(html or "").items():
-                    for column, value in zip(out, (h, page, path, text, n, words), strict=True):
+                for (path, text), (n, words, loose) in _tokens(html or "").items():
+                    for column, value in zip(out, (h, page, path, text, n, words, loose), strict=True):
                         column.append(value)
             yield out
 
@@ -257,11 +298,18 @@ def occurrences(pages: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
         F.max("n").alias("most"),
         F.sum("words").alias("words"),
+        F.sum("loose").alias("loose"),
     )
 
 
+def _held(part: str, whole: str) -> Column:
+    """An element's share of its host's varying words, or of all its words if none varies."""
+    varies = F.col(f"{whole}_varying") > 0
+    return F.when(varies, F.col(f"{part}_varying") / F.col(f"{whole}_varying")).otherwise(F.col(f"{part}_words") / F.greatest(f"{whole}_words", F.lit(1)))
+
+
 def deduce(pages: DataFrame) -> DataFrame:
-    """(host, slot): the path of each host's main slot."""
+    """(host, slot, kept): the path of each host's main slot, and the paths that are no furniture in spite of their names."""
     tokens = cut_lineage(occurrences(pages), "tokens")
     total = pages.select(host(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("of"))
     classes = tokens.filter("most = 1").groupBy("host", "vector", "pages").agg(F.count("*").alias("size"), F.count("text").alias("texts"))
@@ -270,22 +318,34 @@ def deduce(pages: DataFrame) -> DataFrame:
     marked = tokens.join(template, ["host", "vector", "pages"], "left")
     # A text is the template's if its class is valid and nearly everywhere; then its words don't vary.
     fixed = F.col("text").isNotNull() & (F.col("most") == 1) & (F.col("of") >= 3) & (10 * F.col("pages") >= 9 * F.col("of"))
-    marked = marked.withColumn("varying", F.when(F.coalesce(fixed, F.lit(False)), 0).otherwise(F.col("words")))
+    marked = marked.withColumn("fixed", F.coalesce(fixed, F.lit(False)))
     steps = F.expr("transform(sequence(2, size(split(path, '/'))), n -> array_join(slice(split(path, '/'), 1, n), '/'))")
-    weights = marked.filter("text IS NOT NULL AND path <> ''").select("host", F.explode(steps).alias("slot"), "varying", "words")
-    weights = weights.groupBy("host", "slot").agg(F.sum("varying").alias("varying"), F.sum("words").alias("words"))
+    names = F.filter(steps, lambda s: F.element_at(F.split(s, "/"), -1).contains("?"))
+
+    def sums(rows: DataFrame, words: str, prefix: str, *by: str) -> DataFrame:
+        varying = F.when(F.col("fixed"), 0).otherwise(F.col(words))
+        return rows.groupBy(*by).agg(F.sum(varying).alias(f"{prefix}_varying"), F.sum(words).alias(f"{prefix}_words"))
+
+    texts = marked.filter("text IS NOT NULL")
+    named = texts.filter("path LIKE '%?%'").select("host", F.explode(names).alias("slot"), "fixed", "loose")
+    named = sums(named, "loose", "part", "host", "slot").join(sums(texts, "loose", "whole", "host"), "host")
+    named = named.filter(_held("part", "whole") > 0.5).groupBy("host").agg(F.collect_set("slot").alias("kept"))  # nested paths
+    named = cut_lineage(named, "kept")
+    texts = texts.join(named, "host", "left")
+    free = F.col("kept").isNotNull() & (F.size(F.array_except(names, "kept")) == 0) & (F.col("path") != "")
+    texts = texts.withColumn("words", F.when(F.coalesce(free, F.lit(False)), F.col("loose")).otherwise(F.col("words")))
+    weights = sums(texts.filter("path <> ''").select("host", F.explode(steps).alias("slot"), "fixed", "words"), "words", "part", "host", "slot")
     valid = marked.filter("text IS NULL AND of IS NOT NULL AND most = 1").select("host", F.col("path").alias("slot"))
-    everything = marked.groupBy("host").agg(F.sum("varying").alias("all_varying"), F.sum("words").alias("all_words"))
-    slots = valid.join(weights, ["host", "slot"]).join(everything, "host")
-    held = F.when(F.col("all_varying") > 0, F.col("varying") / F.col("all_varying")).otherwise(F.col("words") / F.greatest("all_words", F.lit(1)))
-    ranked = slots.select("host", "slot", held.alias("held"), F.size(F.split("slot", "/")).alias("depth"))
+    slots = valid.join(weights, ["host", "slot"]).join(sums(texts, "words", "whole", "host"), "host")
+    ranked = slots.select("host", "slot", _held("part", "whole").alias("held"), F.size(F.split("slot", "/")).alias("depth"))
     ranked = ranked.filter((F.col("held") >= 1) & ~F.col("slot").rlike("![^/]*/"))
-    return ranked.groupBy("host").agg(F.max_by("slot", F.struct("depth", "slot")).alias("slot"))
+    slots = ranked.groupBy("host").agg(F.max_by("slot", F.struct("depth", "slot")).alias("slot"))
+    return slots.join(named, "host", "full")
 
 
-def main_text(html: str, slot: str | None) -> str:
+def main_text(html: str, slot: str | None, kept: frozenset[str] = frozenset()) -> str:
     """The blocks of ``slot`` (a path), or of the page's own article, main or body, without furniture."""
-    blocks, elements = parse(html, slot)
+    blocks, elements = parse(html, slot, kept)
     if any(e.inside for e in elements):
         inside = [b for b in blocks if b.element.inside]
     else:
@@ -306,7 +366,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per page row: page_id, url, text, n_chars."""
     slots = deduce(pages)
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), _packed(F.col("html").cast("string")).alias("html"), host(F.col("url")).alias("host"))
-    rows = rows.join(slots, "host", "left").select("page_id", "url", "html", "slot")
+    rows = rows.join(slots, "host", "left").select("page_id", "url", "html", "slot", "kept")
     fields = [("page_id", pages.schema["page_id"].dataType), ("url", T.StringType()), ("text", T.StringType()), ("n_chars", T.LongType())]
 
     def run(batch: pa.RecordBatch) -> Iterator[list]:
@@ -314,7 +374,8 @@ def extract(pages: DataFrame) -> DataFrame:
         for start in range(0, batch.num_rows, PAGES_AT_ONCE):
             part = batch.slice(start, PAGES_AT_ONCE)
             packed, wanted = part.column("html").to_pylist(), part.column("slot").to_pylist()
-            texts = ["" if h is None else main_text(unpack(h).decode(), s) for h, s in zip(packed, wanted, strict=True)]
+            kept = part.column("kept").to_pylist()
+            texts = ["" if h is None else main_text(unpack(h).decode(), s, frozenset(k or ())) for h, s, k in zip(packed, wanted, kept, strict=True)]
             yield [part.column("page_id"), part.column("url"), texts, [len(t) for t in texts]]
 
     return map_batches(rows, run, fields)

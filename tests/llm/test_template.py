@@ -96,3 +96,23 @@ def test_no_article_is_narrowed_to_a_part(spark):
         assert got == ["\n\n".join(parts(i)) for i in range(6)], layout
     got = texts_of(spark, [f"<article><h1>Daily report</h1><div class=content><p>varies {i}</p></div></article>" for i in range(6)])
     assert got == [f"Daily report\n\nvaries {i}" for i in range(6)]
+
+
+def test_names_do_not_make_furniture_of_the_text(spark):
+    def parts(i):
+        return " ".join(f"first{i}x{j}" for j in range(30)), " ".join(f"second{i}x{j}" for j in range(8))
+
+    layouts = (
+        "<article class='post tag-social'><p>{}</p><p>{}</p></article>",
+        "<main class=no-sidebar><p>{}</p><p>{}</p></main>",
+        "<main class=sidebar><p>{}</p><p>{}</p></main>",
+        "<div class=social><main><p>{}</p><p>{}</p></main></div>",
+        "<div class='content has-sidebar'><p>{}</p><p>{}</p></div>",
+        "<div class=discussion><p>{}</p><p>{}</p></div>",
+        "<article><p>{}</p><section id=share-prices><p>{}</p></section></article>",
+        "<article><div class=side-by-side><p>{}</p></div><div class=post-header><h1>{}</h1></div></article>",
+    )
+    junk = "<div class='cookie-notice'>We use {0} cookies</div><div class=comment-list>Comment {0}</div>"
+    for layout in layouts:
+        got = texts_of(spark, [junk.format(i) + layout.format(*parts(i)) for i in range(6)])
+        assert got == ["\n\n".join(parts(i)) for i in range(6)], layout
