@@ -305,6 +305,33 @@ on_ledger(
     ),
     lambda lg: R.txns_report(lg, {"select": {"txntype": "Income", "era": "Era B", "account": ["NATION_2", "NATION_3"]}}),
 )
+# the same over the whole table; only a selection makes a column constant, so the last one keeps one directive
+on_ledger(
+    "txns_consolidated_all",
+    with_ledger(
+        f"""SELECT ROW_NUMBER() OVER (ORDER BY M NULLS FIRST, Category NULLS FIRST, Subcategory NULLS FIRST, Payee NULLS FIRST, Account NULLS FIRST, fn) AS N,
+              strftime(M, '%Y-%m-%d') AS Date, Account, XferAccount, Payee, Category, Subcategory, CAST(Amount AS DOUBLE) AS Amount, TxnType, TxnClass, EraName
+            FROM (SELECT CAST(date_trunc('month', Date) AS DATE) AS M, Payee, Category, Subcategory, TxnType, TxnClass, SUM(Amount) AS Amount,
+                    arg_min_null(Account, n) AS Account, arg_min_null(XferAccount, n) AS XferAccount, arg_min_null(EraName, n) AS EraName, MIN(n) AS fn
+                  FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {N_ORDER}) AS n FROM v) x
+                  GROUP BY M, Payee, Category, Subcategory, TxnType, TxnClass) g"""
+    ),
+    lambda lg: R.txns_report(lg, {"consolidate": "yyyymm"}, drop_constant=False),
+)
+on_ledger(
+    "txns_columns_all",
+    with_ledger(f"SELECT ROW_NUMBER() OVER (ORDER BY {REPORT_ORDER}) AS N, strftime(Date, '%Y-%m-%d') AS Date, Account, CAST(Amount AS DOUBLE) AS Amount, EraName FROM v"),
+    lambda lg: R.txns_report(lg, {"columns": ["Date", "Account", "Amount", "Era"]}),
+)
+on_ledger(
+    "drop_constant_columns_all",
+    with_ledger(
+        f"""SELECT ROW_NUMBER() OVER (ORDER BY {REPORT_ORDER}) AS N, Num, strftime(Date, '%Y-%m-%d') AS Date, Account, Payee, Category,
+              Subcategory, CAST(Amount AS DOUBLE) AS Amount, TxnClass, Memo, Split, C, EraName
+            FROM v WHERE TxnType = 'Income'"""
+    ),
+    lambda lg: R.txns_report(lg, {"select": {"txntype": "Income"}}),
+)
 on_ledger(
     "accounts_report",
     with_ledger(
@@ -429,6 +456,20 @@ on_ledger(
     ),
     lambda lg: P.pivot(lg, {"select": {"txntype": "!Transfer", "account": "NATION_11"}, "options": {"rows": "era", "columns": ["txnclass", "txntype", "txnclass"]}}),
 )
+on_ledger(
+    "pivot_cols_multi_all",
+    _pivot_sql(
+        [("COALESCE(EraName, '')", "EraName")],
+        [
+            ("Expense|Discretionary", "tt = 'Expense' AND tc = 'Discretionary'"),
+            ("Expense|Essential", "tt = 'Expense' AND tc = 'Essential'"),
+            ("Income|Income", "tt = 'Income' AND tc = 'Income'"),
+            ("Transfer|Transfer", "tt = 'Transfer' AND tc = 'Transfer'"),
+        ],
+        "TRUE",
+    ),
+    lambda lg: P.pivot(lg, {"options": {"rows": "era", "columns": ["txnclass", "txntype", "txnclass"]}}),
+)
 on_ledger(
     "pivot_rows_subcategory",
     _pivot_sql([("COALESCE(Category, '')", "Category"), ("COALESCE(Subcategory, '')", "Subcategory")], [("Essential", "tc = 'Essential'"), ("Income", "tc = 'Income'")], "TxnClass IN ('Essential', 'Income')"),
@@ -1125,6 +1166,18 @@ register(
     with_ledger("SELECT N, strftime(Date, '%Y-%m-%d') AS Date, Account, Investment, Activity, C, Quantity, Price, Commission, Total, XferAccount, Category, Subcategory, Memo FROM inv", _INV_SQL),
 )(_txns_inv)
 
+_INV_ALL_SQL = """
+inv AS (SELECT ROW_NUMBER() OVER (ORDER BY CAST(ts AS DATE), event_id) AS N, CAST(ts AS DATE) AS Date, 'USER_' || CAST(user_id AS VARCHAR) AS Account,
+          event_type AS Investment, CASE WHEN value > 250 THEN 'Sell' ELSE 'Buy' END AS Activity, CAST(NULL AS VARCHAR) AS C,
+          CAST(1 AS DOUBLE) AS Quantity, CAST(CAST(value AS DECIMAL(15,2)) AS DOUBLE) AS Price, CAST(0 AS DOUBLE) AS Commission, CAST(CAST(value AS DECIMAL(15,2)) AS DOUBLE) AS Total,
+          CASE WHEN event_type = 'purchase' THEN 'NATION_0' END AS XferAccount, 'Investment' AS Category, event_type AS Subcategory, CAST(NULL AS VARCHAR) AS Memo
+        FROM events)
+"""
+register(
+    "txns_inv_all",
+    with_ledger("SELECT N, strftime(Date, '%Y-%m-%d') AS Date, Account, Investment, Activity, C, Quantity, Price, Commission, Total, XferAccount, Category, Subcategory, Memo FROM inv", _INV_ALL_SQL),
+)(lambda spark, sf: I.investment_txns(EB.investment_rows(spark, sf)))
+
 _LOAN_SQL = """
 seg AS (SELECT c_mktsegment AS Loan, SUM(ABS(CAST(c_acctbal AS DECIMAL(15,4)))) AS amt, COUNT(*) AS n FROM customer GROUP BY 1)
 """
