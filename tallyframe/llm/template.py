@@ -46,6 +46,8 @@ from tallyframe.session import cut_lineage
 STRUCTURAL = frozenset("html body main article section div header footer nav aside form ul ol dl table tbody tr td figure details dialog menu blockquote".split())
 BLOCKS = STRUCTURAL | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address caption thead tfoot th figcaption summary fieldset legend center title head option optgroup".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea select button datalist noembed noframes xmp".split())
+#: Without an end tag these go on to the end of the page; of the others only the tag is left out.
+UNPARSED = frozenset("script style textarea iframe xmp noembed noframes".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog head".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 FURNITURE_NAMES = frozenset(
@@ -143,10 +145,11 @@ def markup(html: str) -> Iterator[tuple[str, str, str]]:
                 continue
             rest = html[m.end() : end]
             if name in RAW and not rest.endswith("/"):
-                closing = _CLOSED[name].search(html, at)
+                closing = None if gone.get(name) else _CLOSED[name].search(html, at)
+                gone[name] = closing is None
                 if closing:
                     at = min(len(html), _tag_end(html, closing.end(), gone) + 1)
-                else:
+                elif name in UNPARSED:
                     at = len(html)
             if name not in RAW:
                 yield "open", name, rest

@@ -116,3 +116,10 @@ def test_names_do_not_make_furniture_of_the_text(spark):
     for layout in layouts:
         got = texts_of(spark, [junk.format(i) + layout.format(*parts(i)) for i in range(6)])
         assert got == ["\n\n".join(parts(i)) for i in range(6)], layout
+
+
+def test_unclosed_elements_do_not_cut_the_page():
+    for name in ("button", "object", "svg", "math", "select", "noscript", "video"):
+        assert template.main_text(f"<p>one</p><{name} class=x><p>two</p>", None) == "one\n\ntwo", name
+    assert template.main_text("<p>one</p><script>if (a) { <p>two</p>", None) == "one"
+    template.main_text("<button>x" * 100_000, None)
