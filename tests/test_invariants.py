@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from small_tables import SMALL
 from tallyframe.operators import checks as C
 from tallyframe.operators.filters import FilterContext, SpecError, apply_select
 from tallyframe.plans import fanout as K

@@ -11,7 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SMALL
+from small_tables import SMALL
 from tallyframe.sources.binding import TABLES
 
 QUERIES = E.queries()

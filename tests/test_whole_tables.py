@@ -1,7 +1,7 @@
 """Keys over whole tables: no row is outside what they read (rows against SQL: test_oracle.py)."""
 
 import __spark_entry__ as E
-from conftest import SMALL
+from small_tables import SMALL
 
 
 def test_keys_that_read_every_row(spark, ledger):
