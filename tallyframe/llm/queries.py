@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, decon, lines, neardup, pii, quality, secrets, template, warc, wavelet
+from tallyframe.llm import bpe, decon, fim, lines, neardup, pii, quality, secrets, template, warc, wavelet
 from tallyframe.llm.common import table
 from tallyframe.session import cut_lineage
 
@@ -65,8 +66,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = {f"{c}_sha256": F.sha2(c, 256) for c in ("output", "restored")}
+    return made.withColumns(digests).drop("output", "restored")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_wavelet, op3_main_text, op4_secrets, op5_near_duplicates, op6_quality, op7_line_runs, op8_warc, op9_bpe, op10_decontamination)
+    f.__name__: f for f in (op1_pii, op2_wavelet, op3_main_text, op4_secrets, op5_near_duplicates, op6_quality, op7_line_runs, op8_warc, op9_bpe, op10_decontamination, op12_fill_in_middle)
 }
 
-ORACLE: dict[str, str] = {"op7_line_runs": lines.oracle(LEAST_WORDS)}
+ORACLE: dict[str, str] = {"op7_line_runs": lines.oracle(LEAST_WORDS), "op12_fill_in_middle": fim.oracle()}
