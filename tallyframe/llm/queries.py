@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, decon, fim, lines, neardup, pii, quality, secrets, template, warc, wavelet
+from tallyframe.llm import bpe, decon, fim, lines, neardup, phrases, pii, quality, secrets, template, warc, wavelet
 from tallyframe.llm.common import table
 from tallyframe.session import cut_lineage
 
 #: A repeated run of lines goes if it has this many words or more.
 LEAST_WORDS = 50
+#: Collocations of each language.
+TOP_PHRASES = 2000
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -72,8 +74,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumns(digests).drop("output", "restored")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), TOP_PHRASES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_wavelet, op3_main_text, op4_secrets, op5_near_duplicates, op6_quality, op7_line_runs, op8_warc, op9_bpe, op10_decontamination, op12_fill_in_middle)
+    f.__name__: f for f in (op1_pii, op2_wavelet, op3_main_text, op4_secrets, op5_near_duplicates, op6_quality, op7_line_runs, op8_warc, op9_bpe, op10_decontamination, op12_fill_in_middle, op13_collocations)
 }
 
-ORACLE: dict[str, str] = {"op7_line_runs": lines.oracle(LEAST_WORDS), "op12_fill_in_middle": fim.oracle()}
+ORACLE: dict[str, str] = {"op7_line_runs": lines.oracle(LEAST_WORDS), "op12_fill_in_middle": fim.oracle(), "op13_collocations": phrases.oracle(TOP_PHRASES)}
