@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, decon, fim, lines, neardup, phrases, pii, quality, secrets, template, warc, wavelet
+from tallyframe.llm import bpe, decon, fim, lines, neardup, phrases, pii, quality, repeats, secrets, template, warc, wavelet
 from tallyframe.llm.common import table
 from tallyframe.session import cut_lineage
 
 #: A repeated run of lines goes if it has this many words or more.
 LEAST_WORDS = 50
+#: Bytes of a string that repeats.
+REPEATED_BYTES = 50
 #: Collocations of each language.
 TOP_PHRASES = 2000
 
@@ -68,6 +70,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), REPEATED_BYTES)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     digests = {f"{c}_sha256": F.sha2(c, 256) for c in ("output", "restored")}
@@ -79,7 +86,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_wavelet, op3_main_text, op4_secrets, op5_near_duplicates, op6_quality, op7_line_runs, op8_warc, op9_bpe, op10_decontamination, op12_fill_in_middle, op13_collocations)
+    f.__name__: f for f in (op1_pii, op2_wavelet, op3_main_text, op4_secrets, op5_near_duplicates, op6_quality, op7_line_runs, op8_warc, op9_bpe, op10_decontamination, op11_repeated_bytes, op12_fill_in_middle, op13_collocations)
 }
 
 ORACLE: dict[str, str] = {"op7_line_runs": lines.oracle(LEAST_WORDS), "op12_fill_in_middle": fim.oracle(), "op13_collocations": phrases.oracle(TOP_PHRASES)}
