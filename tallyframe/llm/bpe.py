@@ -4,8 +4,7 @@ A text is cut by the tokenizer's pattern. Each distinct word that a task meets i
 bytes are folded by merging, again and again, the adjacent pair of lowest rank (leftmost on ties)
 until no pair has a rank. The rank map is read once on the driver from the vocabulary file (a few
 10,000 entries, the file is the bound) and broadcast. A worker keeps the encodings of up to
-CACHED_WORDS words and starts afresh beyond that, so memory does not grow with the vocabulary of the
-corpus. Words of many bytes use a heap, so a word of n bytes costs O(n log n).
+twice CACHED_WORDS words, so memory does not grow with the vocabulary of the corpus (what was not asked for since it was last full goes). Words of many bytes use a heap, so a word of n bytes costs O(n log n).
 
 Nulls count as empty texts: no tokens. Repeated rows give repeated rows, a null doc_id is passed
 through, other columns are ignored, an empty table gives no rows.
@@ -27,7 +26,8 @@ from pyspark.sql import types as T
 from tallyframe.llm.common import map_batches
 from tallyframe.llm.words import slices
 
-CACHED_WORDS = 400_000
+#: Words of up to 64 characters kept, twice: some 250 bytes each.
+CACHED_WORDS = 60_000
 LONG_WORD = 40
 LONG_TEXT = 1 << 20
 
@@ -96,13 +96,16 @@ class Words(dict):
     """word -> its ids as little-endian 32-bit integers, filled on demand."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
+        self.ranks, self.old = ranks, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        ids = np.array(fold(word.encode(), self.ranks), "<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = np.array(fold(word.encode(), self.ranks), "<u4").tobytes()
         if len(word) <= 64:
+            if len(self) >= CACHED_WORDS:
+                self.old = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
@@ -113,11 +116,11 @@ def encode(text: str, pattern: regex.Pattern, words: Words) -> bytes:
     return b"".join(words[m.group()] for m in pattern.finditer(text))
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
     """Encode every whole text and decode its ids: one row per document row.
 
-    ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and with ``with_ids`` also ``ids`` (binary,
-    little-endian 32-bit integers) and ``decoded`` (binary).
+    ``doc_id, n_tokens, ids_sha256, decoded_sha256``; ``with_ids`` adds ``ids`` (binary, little-endian 32-bit
+    integers), ``with_decoded`` adds ``decoded`` (binary).
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     fields = [
@@ -125,12 +128,14 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: boo
         ("n_tokens", T.LongType()),
         ("ids_sha256", T.StringType()),
         ("decoded_sha256", T.StringType()),
-        *([("ids", T.BinaryType()), ("decoded", T.BinaryType())] if with_ids else []),
+        *([("ids", T.BinaryType())] if with_ids else []),
+        *([("decoded", T.BinaryType())] if with_decoded else []),
     ]
+
     def run(batch: pa.RecordBatch) -> Iterator[list]:
         words, pieces = worker_words(ranks)
         cut, piece = regex.compile(pattern), pieces.__getitem__
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             ids = [encode(t or "", cut, words) for t in part.column("text").to_pylist()]
             decoded = [b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in ids]
             yield [
@@ -138,7 +143,8 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: boo
                 [len(x) // 4 for x in ids],
                 [hashlib.sha256(x).hexdigest() for x in ids],
                 [hashlib.sha256(x).hexdigest() for x in decoded],
-                *([ids, decoded] if with_ids else []),
+                *([ids] if with_ids else []),
+                *([decoded] if with_decoded else []),
             ]
 
     return map_batches(docs.select("doc_id", "text"), run, fields)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -51,11 +54,20 @@ def map_batches(
                     ],
                     schema=arrow,
                 )
+        release()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give the memory that a task has freed back to the system: workers are reused by tasks of every kind."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of the C library of most Linux systems
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

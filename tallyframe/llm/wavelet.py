@@ -11,7 +11,7 @@ directory of ones per BLOCK bits; planes and directories are compressed one by o
 File: magic, length of the JSON header, header (counts, zeros per plane, lengths of the sections), sections:
 doc_ids, null flags, document ends, then plane and directory by plane.
 
-Nulls are empty texts (the end id alone). Rows with a null doc_id come first, repeated doc_ids follow one another;
+doc_id is an integer. Nulls are empty texts (the end id alone). Rows with a null doc_id come first, repeated doc_ids follow one another;
 other columns are ignored; an empty table gives no shards. A document is never split: a shard may exceed ``roll``
 by one document.
 """
@@ -19,14 +19,12 @@ by one document.
 from __future__ import annotations
 
 import json
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,14 +34,13 @@ from pyspark.sql import window as W
 
 from tallyframe.llm import files
 from tallyframe.llm.common import ship
-from tallyframe.llm.words import slices
+from tallyframe.llm.words import slices, text_buffers
 
 MAGIC = b"TFWM1\0"
 BLOCK = 512
 ROLL_IDS = 4 << 20
-CACHED_WORDS = 150_000
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed value: the tokenizer's own cut
-_CONTROL = re.compile("[\x1c-\x1f]")  # white space to this module's regular expressions, not to the library's
+#: Bytes of text whose distinct chunks are encoded at a time.
+SLICE = 8 << 20
 
 MANIFEST = T.StructType(
     [
@@ -205,32 +202,12 @@ def read_shard(uri: str) -> Shard:
         return Shard(f.read())
 
 
-class _Kept(dict):
-    """A bounded dictionary: when it is full, what was not asked for since it last was full goes."""
-
-    def __init__(self, most: int) -> None:
-        self.most, self.old = most, {}
-
-    def fetch(self, key: str) -> bytes | None:
-        value = self.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-
 class Encoder:
-    """Ids of texts by the tokenizers library, as little-endian integers of ``width`` bytes.
+    """Ids of texts by the tokenizers library, as integers of ``width`` bytes.
 
-    The tokenizer drops white space and never joins across it, so chunks between blanks and line ends
-    are encoded one by one. A chunk is made of pieces (runs of letters, digits, signs), after
-    lower-casing; each new piece goes through the library once and is kept. Chunks whose lower case or
-    normal form depends on their context go through the library whole.
+    The tokenizer drops white space and never joins across it, so the chunks between blanks and line ends are encoded
+    one by one: the distinct chunks of a slice are found by Arrow's dictionary encoding, go through the library once, and
+    the ids of the texts are gathered from theirs. Nothing is kept from slice to slice.
     """
 
     def __init__(self, path: str, width: int) -> None:
@@ -239,52 +216,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = f"<u{width}"
-        self.chunks, self.pieces = _Kept(CACHED_WORDS), _Kept(CACHED_WORDS)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 10_000):
-            found = self.tokenizer.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False)
-            out += [np.array(e.ids, self.kind).tobytes() for e in found]
-        return out
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks."""
-        whole, cut, made = [], {}, {}
-        for chunk in new:
-            if chunk.isascii() or ("Σ" not in chunk and unicodedata.is_normalized("NFC", chunk)):
-                if not _CONTROL.search(chunk):
-                    cut[chunk] = pieces = _PIECE.findall(chunk.lower())
-                    made.update((p, self.pieces.fetch(p)) for p in pieces if p not in made)
-                    continue
-            whole.append(chunk)
-        unknown = [p for p, ids in made.items() if ids is None]
-        for p, ids in zip(unknown, self._library(unknown), strict=True):
-            made[p] = ids
-            self.pieces.put(p, ids)
-        out = dict(zip(whole, self._library(whole), strict=True))
-        return out | {chunk: b"".join([made[p] for p in pieces]) for chunk, pieces in cut.items()}
-
-    def __call__(self, texts: list[str], end: int) -> list[bytes]:
-        """For each text its ids with ``end`` after them."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        held = {chunk: self.chunks.fetch(chunk) for chunk in set().union(*cut)}
-        new = [chunk for chunk, ids in held.items() if ids is None]
-        for chunk, ids in self._learn(new).items():
-            held[chunk] = ids
-            self.chunks.put(chunk, ids)
-        last = np.array([end], self.kind).tobytes()
-        return [b"".join([*map(held.__getitem__, chunks), last]) for chunks in cut]
-
-
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
-def encoder(path: str, width: int) -> Encoder:
-    """The worker's encoder: what one task has learnt serves the next."""
-    if (path, width) not in _encoders:
-        _encoders[path, width] = Encoder(path, width)
-    return _encoders[path, width]
+    def _library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each chunk, all ids)."""
+        sizes, ids = [], []
+        for i in range(0, len(chunks), 20_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[i : i + 20_000], add_special_tokens=False)]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            sizes.append(n)
+            ids.append(np.fromiter(chain.from_iterable(found), self.kind, int(n.sum())))
+        return np.concatenate([*sizes, np.zeros(0, np.int64)]), np.concatenate([*ids, np.zeros(0, self.kind)])
+
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids), with ``end`` after those of each text."""
+        raw, offsets = text_buffers(texts)
+        inside = (raw != 0x20) & (raw != 0x0A)
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        cut = offsets[(offsets > 0) & (offsets < len(raw))]
+        first[cut] = inside[cut]
+        starts = np.flatnonzero(first)
+        letters = raw[inside]
+        bounds = np.append((np.cumsum(inside, dtype=np.int64) - inside)[starts], len(letters)).astype(np.int32)
+        chunks = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds.tobytes()), pa.py_buffer(letters.tobytes()))
+        coded = chunks.dictionary_encode()
+        sizes, ids = self._library(coded.dictionary.to_pylist())
+        # The end id is one chunk more, set after the last chunk of each text.
+        at = np.append(np.cumsum(sizes) - sizes, len(ids))
+        sizes, ids = np.append(sizes, 1), np.append(ids, np.array([end], self.kind))
+        last = np.searchsorted(starts, offsets[1:])
+        chunk = np.insert(coded.indices.to_numpy().astype(np.int64), last, len(sizes) - 1)
+        n = sizes[chunk]
+        total = np.append(0, np.cumsum(n))
+        places = np.repeat(at[chunk] - total[:-1], n) + np.arange(total[-1])
+        return np.diff(total[np.append(0, last + np.arange(1, len(offsets)))]), ids[places]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, bits: int = 16, roll: int = ROLL_IDS, partitions: int | None = None) -> DataFrame:
@@ -298,24 +263,25 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, bits: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 if bits <= 16 else 4
-        encode, shard, seq, before = encoder(tokenizer_path, width), TaskContext.get().partitionId(), 0, 0
+        encode, shard, seq, before = Encoder(tokenizer_path, width), TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         n = 0
 
         def close() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) // width for x in held])
-            data = pack(doc_ids, ends, np.frombuffer(b"".join(held), f"<u{width}"), bits, shard=shard, seq=seq, before=before)
+            ends = np.cumsum([len(x) for x in held])
+            data = pack(doc_ids, ends, np.concatenate(held), bits, shard=shard, seq=seq, before=before)
             uri = files.put(folder, f"shard-{shard:06d}-{seq:06d}.wm", lambda out: out.write(data))
             row = (uri, shard, seq, len(doc_ids), n, len(data))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=MANIFEST.names)
 
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist(), end_id), strict=True):
+            for part in slices(batch, "text", SLICE):
+                sizes, ids = encode(part.column("text"), end_id)
+                for doc_id, own in zip(part.column("doc_id").to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
                     doc_ids.append(doc_id)
-                    held.append(ids)
-                    n += len(ids) // width
+                    held.append(own)
+                    n += len(own)
                     if n >= roll:
                         yield close()
                         seq, before, doc_ids, held, n = seq + 1, before + n, [], [], 0
