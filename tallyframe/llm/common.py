@@ -37,6 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the largest file scan below ``df`` (0 for rows that come from no file)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    scans = [leaves.apply(i) for i in range(leaves.size())]
+    return max([0, *(int(str(p.stats().sizeInBytes())) for p in scans if p.getClass().getSimpleName() == "LogicalRelation")])
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[list]], fields: list[tuple[str, T.DataType]]
 ) -> DataFrame:

@@ -32,9 +32,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import ship
+from tallyframe.llm.common import input_bytes, release, ship
 from tallyframe.llm.words import mix
-from tallyframe.operators.numbering import range_partitions
 from tallyframe.session import cut_lineage
 
 #: Words of a phrase, occurrences of a candidate, percent of its count at which a longer one subsumes it.
@@ -42,7 +41,10 @@ LONGEST, LEAST, SUBSUMED = 4, 30, 80
 SCALE = 2_000_000
 NO_LANGUAGE = "und"
 PARTS = 16
-FLUSH = 8 << 20
+FLUSH = 4 << 20
+#: Bytes of input whose stripes a task merges: a task that reads texts sends one block to each bucket, so their number
+#: follows the data and not the session.
+BUCKET, LEAST_BUCKETS = 8 << 20, 8
 BITS = 27
 CHUNK_BITS = 16
 
@@ -200,6 +202,8 @@ def _emit(k: int, buckets: int, known: Broadcast | None):
                     yield from flush(largest, held.pop(largest))
         for lang, texts in held.items():
             yield from flush(lang, texts)
+        held.clear()
+        release()
 
     return run
 
@@ -233,6 +237,8 @@ def _merge(k: int, least: int):
             for batch in often.combine_chunks().to_batches():
                 phrase = pc.binary_join_element_wise(*(batch.column(c) for c in [*prefix, "next"]), b" ")
                 yield rows(lang, phrase, k + 1, batch.column("count_sum"))
+            del table, merged, often
+        release()
 
     return run
 
@@ -273,7 +279,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """((lang, k, phrase, f) of all phrases of up to ``longest`` words with ``least`` occurrences, (lang, n) words)."""
     spark = ship(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE)).alias("lang"), "text").filter("text IS NOT NULL")
-    buckets = range_partitions(texts)
+    buckets = max(LEAST_BUCKETS, input_bytes(texts) // BUCKET)
     levels, known = [], None
     for k in range(1, longest):
         made = texts.mapInArrow(_emit(k, buckets, known), "lang string, bucket int, block binary")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bwt
-from tallyframe.llm.common import ship
+from tallyframe.llm.common import release, ship
 from tallyframe.llm.words import mix, text_buffers
 from tallyframe.session import cut_lineage
 
@@ -282,6 +282,7 @@ def _send_transforms(least: int, anchor_ranges: int, ranges: int):
                     hi = int(np.searchsorted(p.bucket, p.bucket[hi - 1], side="right"))
                     yield from rows(batch.column("shard")[i].as_py(), p, lo, hi)
                     lo = hi
+        release()
 
     def rows(shard: str, p: Pieces, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
         values = p.values.slice(lo, hi - lo)
@@ -349,6 +350,7 @@ def _merge_transforms(least: int):
             bits = merge_range([r[2:] for r in rows], least)
             columns = [[r[0] for r in rows], [bucket] * len(rows), [np.packbits(b).tobytes() for b in bits]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+        release()
 
     return run
 
@@ -366,6 +368,7 @@ def _cut_documents(least: int, anchor_ranges: int, ranges: int):
                 shard = _open(batch, i)
                 p = Pieces(shard, least, batch.column("anchors")[i].as_py() or [], anchor_ranges, ranges)
                 yield documents(shard, p, batch.column("repeats")[i].as_py() or [], batch.column("ids")[i].values)
+        release()
 
     def documents(shard: tuple, p: Pieces, repeats: list, doc_ids: pa.Array) -> pa.RecordBatch:
         raw, offsets, _ = shard
