@@ -19,6 +19,7 @@ from ..functions.category import split_category
 from ..functions.money import amount_rejected, parse_amount
 from .numbering import number_rows
 from .scan import running
+from .sections import FAULT, ITEM, OPEN, open_sections
 
 HAS_DATE = "_has_date"  # the row had a date text, right or wrong
 
@@ -177,89 +178,67 @@ def merge_asof(frames: Sequence[DataFrame], key: str, id_cols: Sequence[str] = (
 # N11 / N12 sectioned reports
 
 
-def _with_totals(rows: DataFrame, name: str, total: str) -> DataFrame:
-    """``_closes``: the section that a row ``Total X`` with a total closes; NULL for all other rows.
+BLANK = "_blank"  # the row has no total text at all: only such a row opens a section
+
+
+def mark_blank(rows: DataFrame, total: str = "Total") -> DataFrame:
+    """Keep which totals are blank before they are typed: a total that does not parse is no header."""
+    return rows.withColumn(BLANK, F.col(f"`{total}`").isNull())
 
-    ``X`` must be the name of a header of the same file: an item that is called "Total ..." closes nothing.
-    """
-    headers = rows.filter(F.col(total).isNull()).select(F.col("file").alias("_hf"), F.col(name).alias("_closes")).distinct()
-    named = F.when(F.col(total).isNotNull() & F.col(name).startswith("Total "), F.expr(f"substring(`{name}`, 7)"))
-    return rows.join(headers, (F.col("file") == F.col("_hf")) & (named == F.col("_closes")), "left").drop("_hf")
+
+def _sections(rows: DataFrame, name: str, total: str) -> tuple[DataFrame, list[str]]:
+    opens = F.col(BLANK) if BLANK in rows.columns else F.col(f"`{total}`").isNull()
+    shown = [c for c in rows.columns if c != BLANK]
+    x = open_sections(rows.withColumn("_opens", opens), name, F.col("_opens"))
+    # an item without a usable total is a reject of its amounts, no row
+    return x.withColumn("_item", (F.col("_role") == ITEM) & F.col(f"`{total}`").isNotNull()), shown
 
 
 def label_sections_2level(rows: DataFrame, name: str = "Account", total: str = "Total") -> tuple[DataFrame, DataFrame]:
     """Two-level sections: (Type, Subtype) per item row; header and total rows removed.
 
-    Rows without a total open a section (the first level is the type, the next the subtype);
-    ``Total X`` closes the innermost open section, which must be ``X``. Open depth is a running
-    sum over the file's lines (+1 header, -1 total); the type / subtype of a line is the last
-    header opened at depth 1 / 2 (chunked running aggregates, see ``operators.scan``).
+    Rows without a total text open a section (the first level is the type, the next the subtype); ``Total X``
+    closes the innermost open section, which must be ``X`` (see ``operators.sections``); any other ``Total ...`` is an
+    item. A row whose total does not parse is neither header nor item.
     Returns (items with Type / Subtype, problems (file, line_no, name, problem)).
     """
-    is_header = F.col(total).isNull()
-    closes = F.col("_closes")
-    is_total = closes.isNotNull()
-    delta = F.when(is_header, F.lit(1)).when(is_total, F.lit(-1)).otherwise(F.lit(0))
-    x = running(_with_totals(rows, name, total), "file", "line_no", total={"_depth": delta})
-    x = running(
-        x,
-        "file",
-        "line_no",
-        last={
-            "_type": F.when(is_header & (F.col("_depth") == 1), F.col(name)),
-            "_sub": F.when(is_header & (F.col("_depth") == 2), F.col(name)),
-        },
-    )
-    open_before = F.col("_depth") + 1  # on a total line: depth before it closed
-    innermost = F.when(open_before == 1, F.col("_type")).when(open_before == 2, F.col("_sub"))
+    x, shown = _sections(rows, name, total)
+    depth = F.size("_stack")
     problem = (
-        F.when(is_header & (F.col("_depth") > 2), F.lit("third section level"))
-        .when(is_total & ~F.coalesce(closes == innermost, F.lit(False)), F.lit("total does not close the open section"))
-        .when(~is_header & ~is_total & (F.col("_depth") < 1), F.lit("row outside any section"))
+        F.when((F.col("_role") == OPEN) & (depth > 2), F.lit("third section level"))
+        .when(F.col("_role") == FAULT, F.lit("total does not close the open section"))
+        .when(F.col("_item") & (depth < 1), F.lit("row outside any section"))
     )
     x = x.withColumn("_problem", problem)
     problems = x.filter(F.col("_problem").isNotNull()).select("file", "line_no", F.col(name).alias(name), F.col("_problem").alias("problem"))
-    items = x.filter(~is_header & ~is_total & F.col("_problem").isNull()).select(
-        *rows.columns, F.col("_type").alias("Type"), F.when(F.col("_depth") == 2, F.col("_sub")).alias("Subtype")
+    items = x.filter(F.col("_item") & F.col("_problem").isNull()).select(
+        *shown, F.get("_stack", F.lit(0)).alias("Type"), F.when(depth == 2, F.get("_stack", F.lit(1))).alias("Subtype")
     )
     return items, problems
 
 
 def label_sections_1level(rows: DataFrame, header_map: Mapping[str, str], name: str = "Category", total: str = "Total") -> DataFrame:
-    """One-level sections: each item takes the last header above it; header text -> TxnType."""
-    x = _sections_1level(rows, header_map, name, total)
-    return x.filter("_item AND _inside").drop("_item", "_inside", "_header", "_closes")
+    """One-level sections: each item takes the innermost open header; header text -> TxnType."""
+    x, shown = _sections(rows, name, total)
+    m = F.create_map(*[F.lit(v) for kv in header_map.items() for v in kv])
+    items = x.filter(F.col("_item") & (F.size("_stack") > 0)).withColumn("Section", F.element_at("_stack", -1))
+    return items.withColumn("TxnType", F.element_at(m, F.col("Section"))).select(*shown, "Section", "TxnType")
 
 
 def section_problems_1level(rows: DataFrame, header_map: Mapping[str, str], name: str = "Category", total: str = "Total") -> DataFrame:
-    """(file, line_no, name, problem): rows outside a section, and headers that the report kind doesn't know."""
-    x = _sections_1level(rows, header_map, name, total)
-    problem = F.when(F.col("_item") & ~F.col("_inside"), F.lit("row outside any section")).when(
-        F.col("_header") & ~F.col(name).isin(list(header_map)), F.lit("unknown section")
+    """(file, line_no, name, problem): rows outside a section, headers that the report kind doesn't know or that stand
+    inside another section, totals that don't close the innermost one."""
+    x, _ = _sections(rows, name, total)
+    is_open = F.col("_role") == OPEN
+    problem = (
+        F.when(F.col("_item") & (F.size("_stack") < 1), F.lit("row outside any section"))
+        .when(is_open & ~F.col(name).isin(list(header_map)), F.lit("unknown section"))
+        .when(is_open & (F.size("_stack") > 1), F.lit("section inside another"))
+        .when(F.col("_role") == FAULT, F.lit("total does not close the open section"))
     )
     return x.select("file", "line_no", F.col(name).alias(name), problem.alias("problem")).filter("problem IS NOT NULL")
 
 
-def _sections_1level(rows: DataFrame, header_map: Mapping[str, str], name: str, total: str) -> DataFrame:
-    is_header = F.col(total).isNull()
-    is_total = F.col("_closes").isNotNull()
-    # a section is open from its header to its "Total <header>" line
-    x = running(
-        _with_totals(rows, name, total),
-        "file",
-        "line_no",
-        last={
-            "_sec": F.when(is_header, F.col(name)),
-            "_closed": F.when(is_total, F.col("line_no")),
-            "_opened": F.when(is_header, F.col("line_no")),
-        },
-    )
-    m = F.create_map(*[F.lit(v) for kv in header_map.items() for v in kv])
-    inside = F.col("_opened").isNotNull() & (F.col("_closed").isNull() | (F.col("_closed") < F.col("_opened")))
-    x = x.withColumns({"_item": ~is_header & ~is_total, "_header": is_header, "_inside": inside, "Section": F.col("_sec")})
-    return x.withColumn("TxnType", F.element_at(m, F.col("_sec"))).drop("_sec", "_closed", "_opened")
-
-
 # ---------------------------------------------------------------------------------------------
 # N14 / N15 loans
 

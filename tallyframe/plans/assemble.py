@@ -23,6 +23,7 @@ from ..sources import exports as X
 from . import ingest as I
 
 IMPORT_ORDER = ("SrcDate", "SrcOrder", "SrcLine")
+HEADER_ROWS = {"loan_terms": 2}
 DETAIL_NAMES = {"Balance": "OpeningBalance", "Bank Name": "BankName", "Account Number": "AccountNumber", "Limit": "AccountLimit"}
 
 
@@ -57,10 +58,14 @@ class ImportedLedger(Ledger):
         return cut_lineage(L.tag_transfers(rows), "txns")
 
     @cached_property
-    def txns_inv_rows(self) -> DataFrame | None:
+    def inv_import(self) -> I.InvImport | None:
         if "investment_txns" not in self.present:
             return None
-        return I.investment_txns(X.read_export(self.of_kind("investment_txns"), X.KINDS["investment_txns"]))
+        return I.import_investments(cut_lineage(X.read_export(self.of_kind("investment_txns"), X.KINDS["investment_txns"])))
+
+    @cached_property
+    def txns_inv_rows(self) -> DataFrame | None:
+        return self.inv_import.rows if self.inv_import else None
 
     @cached_property
     def loan_rows(self) -> DataFrame | None:
@@ -143,21 +148,38 @@ class ImportedLedger(Ledger):
         }
 
     def problems(self) -> DataFrame:
-        """(file, line_no, problem, value): files of no kind, rejected dates and amounts, rows outside sections."""
-        parts = [
-            self.kinds.filter("kind IS NULL").select("file", F.lit(None).cast("long").alias("line_no"), F.lit("unknown kind").alias("problem"), F.lit(None).cast("string").alias("value"))
-        ]
-        if "account_txns" in self.present:
-            parts.append(self.txn_import.date_rejects.select("file", "line_no", F.lit("Date").alias("problem"), "value"))
-        for kind in sorted(self.present - {"loan_terms"}):
-            bad = I.amount_problems(self.of_kind(kind), kind)
-            parts.append(bad.select("file", "line_no", F.col("column").alias("problem"), "value"))
+        """(file, line_no, problem, value): files of no kind or without a column they need, rejected dates and amounts
+        (rows without one included), rows outside sections. What the import leaves out is here, and only that."""
+        none = F.lit(None).cast("string")
+        parts = [self.kinds.filter("kind IS NULL").select("file", F.lit(None).cast("long").alias("line_no"), F.lit("unknown kind").alias("problem"), none.alias("value"))]
+        for kind in sorted(self.present):
+            faults = X.export_problems(self.of_kind(kind), X.KINDS[kind], HEADER_ROWS.get(kind, 1))
+            parts.append(faults.select("file", F.lit(None).cast("long").alias("line_no"), "problem", none.alias("value")))
+            if kind not in ("account_txns", "investment_txns"):
+                bad = I.amount_problems(self.of_kind(kind), kind, HEADER_ROWS.get(kind, 1))
+                parts.append(bad.select("file", "line_no", F.col("column").alias("problem"), "value"))
+        for found in (self.txn_import if "account_txns" in self.present else None, self.inv_import):
+            if found:
+                parts.append(found.date_rejects.select("file", "line_no", F.lit("Date").alias("problem"), "value"))
+                parts.append(found.amount_rejects.select("file", "line_no", F.col("column").alias("problem"), "value"))
         if self.balances:
             parts.append(self.balances[2].select("file", "line_no", "problem", F.col("Account").alias("value")))
         for kind in self.spending_kinds:
-            sections = I.MONTHLY_SECTIONS if kind == "monthly_income_expenses" else I.SPENDING_SECTIONS
-            typed, _ = N.normalize_amounts(X.split_footer(X.read_export(self.of_kind(kind), X.KINDS[kind]), X.KINDS[kind].footer_label, "Category")[0], ["Total"])
-            parts.append(N.section_problems_1level(typed, sections).select("file", "line_no", "problem", F.col("Category").alias("value")))
+            parts.append(I.spending_problems(self.of_kind(kind), monthly=kind == "monthly_income_expenses"))
+        return reduce(DataFrame.unionByName, parts)
+
+    def control_totals(self) -> DataFrame:
+        """(file, kind, ok): the control total of each file against its rows (C1 - C3); a file without one is not ok."""
+        parts = []
+        if "account_txns" in self.present:
+            parts.append(self.txn_import.check_total().select("file", F.lit("account_txns").alias("kind"), "ok"))
+        if self.balances:
+            worth = I.check_net_worth(self.balances[0], self.balances[1])
+            parts.append(worth.select("file", F.lit("account_balances").alias("kind"), (F.col("sum_ok") & F.col("net_worth_ok")).alias("ok")))
+        for kind in self.spending_kinds:
+            parts.append(I.check_spending_total(*self._spending(kind)).select("file", F.lit(kind).alias("kind"), "ok"))
+        if not parts:
+            return self.spark.createDataFrame([], "file string, kind string, ok boolean")
         return reduce(DataFrame.unionByName, parts)
 
 

@@ -65,9 +65,9 @@ def amount_problems(lines: DataFrame, kind_name: str, header_rows: int = 1) -> D
 def parse_balances(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Account-balances export -> (accounts with Type/Subtype and Total, Net Worth footer, problems)."""
     kind = KINDS["account_balances"]
-    rows = read_export(lines, kind)
+    rows = cut_lineage(read_export(lines, kind))
     data, footer = split_footer(rows, kind.footer_label, "Account")
-    typed, _ = N.normalize_amounts(data, ["Total"])
+    typed, _ = N.normalize_amounts(N.mark_blank(data), ["Total"])
     items, problems = N.label_sections_2level(typed)
     foot = footer.select("file", parse_amount(F.col("Total")).alias("Total"))
     return items, foot, problems
@@ -96,14 +96,23 @@ def check_net_worth(items: DataFrame, footer: DataFrame) -> DataFrame:
 def parse_spending(lines: DataFrame, monthly: bool = False) -> tuple[DataFrame, DataFrame]:
     """Income-and-spending (or monthly) export -> (categories with TxnType and Total, footer)."""
     kind = KINDS["monthly_income_expenses" if monthly else "income_spending"]
-    rows = read_export(lines, kind)
+    rows = cut_lineage(read_export(lines, kind))
     data, footer = split_footer(rows, kind.footer_label, "Category")
-    typed, _ = N.normalize_amounts(data, ["Total"])
+    typed, _ = N.normalize_amounts(N.mark_blank(data), ["Total"])
     items = N.label_sections_1level(typed, MONTHLY_SECTIONS if monthly else SPENDING_SECTIONS)
     foot = footer.select("file", parse_amount(F.col("Total")).alias("Total"))
     return items, foot
 
 
+def spending_problems(lines: DataFrame, monthly: bool = False) -> DataFrame:
+    """(file, line_no, problem, value) of the sections of an income-and-spending (or monthly) export."""
+    kind = KINDS["monthly_income_expenses" if monthly else "income_spending"]
+    data, _ = split_footer(cut_lineage(read_export(lines, kind)), kind.footer_label, "Category")
+    typed, _ = N.normalize_amounts(N.mark_blank(data), ["Total"])
+    found = N.section_problems_1level(typed, MONTHLY_SECTIONS if monthly else SPENDING_SECTIONS)
+    return found.select("file", "line_no", "problem", F.col("Category").alias("value"))
+
+
 def check_spending_total(items: DataFrame, footer: DataFrame) -> DataFrame:
     """Grand Total = (income - expenses) + transfers."""
     g = items.groupBy("file").agg(
@@ -122,13 +131,30 @@ def parse_loans(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return N.rename_loans(N.normalize_amounts(rows, ["Amount", "Amount.1", "Interest", "Payment", "Fees", "Balance"])[0].withColumn("Rate", parse_amount(F.col("Rate")))), N.loan_payee_categories(rows)
 
 
-def investment_txns(rows: DataFrame, date_from: date | None = None, date_to: date | None = None) -> DataFrame:
-    """Investment export rows -> TxnsInv (typed, renamed, windowed, numbered by (Date, position))."""
+@dataclass
+class InvImport:
+    rows: DataFrame  # TxnsInv
+    amount_rejects: DataFrame  # (file, line_no, column, value)
+    date_rejects: DataFrame  # (file, line_no, value): wrong dates, and rows without one
+
+
+def import_investments(rows: DataFrame, date_from: date | None = None, date_to: date | None = None) -> InvImport:
+    """Investment export rows -> TxnsInv (typed, renamed, windowed, numbered by (Date, position)).
+
+    Date is NOT NULL in the ledger: a row without one, or with a wrong one, is a reject. A wrong amount leaves its column
+    empty and is listed.
+    """
     kind = KINDS["investment_txns"]
-    typed, _ = N.normalize_amounts(rows, list(kind.money))
+    typed, amounts = N.normalize_amounts(rows, list(kind.money))
     typed = N.with_split_category(typed.withColumnRenamed("Transfer Account", "XferAccount"))
-    typed, _ = N.parse_dates(typed)
-    typed = N.import_window(typed, date_from, date_to)
-    numbered = N.union_txns([typed], order=("Date", "file_seq", "file", "line_no"))
+    dated, wrong = N.parse_dates(typed)
+    blank = typed.filter("Date IS NULL")
+    rejects = wrong.select("file", "line_no", F.col("Date").alias("value")).unionByName(blank.select("file", "line_no", F.lit(None).cast("string").alias("value")))
+    numbered = N.union_txns([N.import_window(dated.filter("Date IS NOT NULL"), date_from, date_to)], order=("Date", "file_seq", "file", "line_no"))
     cols = ["N", "Date", "Account", "Investment", "Activity", "C", "Quantity", "Price", "Commission", "Total", "XferAccount", "Category", "Subcategory", "Memo"]
-    return numbered.select(*cols)
+    return InvImport(numbered.select(*cols), amounts, rejects)
+
+
+def investment_txns(rows: DataFrame, date_from: date | None = None, date_to: date | None = None) -> DataFrame:
+    """TxnsInv of investment export rows (see ``import_investments``)."""
+    return import_investments(rows, date_from, date_to).rows
