@@ -31,8 +31,8 @@ class Shards(NamedTuple):
     strings: np.ndarray  # number of strings of each shard
 
 
-def suffix_rows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(string, position) of the suffixes of the strings ``data[bounds[i]:bounds[i + 1]]``, in order.
+def suffix_rows(data: np.ndarray, bounds: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(string, position) of the suffixes of the strings ``data[bounds[i]:bounds[i + 1]]``, in order, by ``group`` first.
 
     Ranks by the first seven bytes, doubled for the rows that still tie; equal suffixes stay in the order of strings.
     """
@@ -54,9 +54,16 @@ def suffix_rows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         key[:some] |= np.where(left[:some] >= j, symbols[j:], np.uint64(0))
     width, longest = _KEY, int(sizes.max(initial=0))
     order = np.argsort(key, kind="stable" if longest < width else None)  # ties are put in order below
-    sorted_key = key[order]
     start = np.ones(n, bool)
-    start[1:] = sorted_key[1:] != sorted_key[:-1]
+    if group is None:
+        sorted_key = key[order]
+        start[1:] = sorted_key[1:] != sorted_key[:-1]
+    else:  # groups part most of what ties: strings that overlap in their text
+        of = group[owner].astype(np.min_scalar_type(int(group[-1]) if len(group) else 0))
+        order = order[np.argsort(of[order], kind="stable")]
+        sorted_key, sorted_of = key[order], of[order]
+        start[1:] = (sorted_key[1:] != sorted_key[:-1]) | (sorted_of[1:] != sorted_of[:-1])
+        del of, sorted_of
     del key, sorted_key, symbols
     rank = np.empty(n, np.int64)  # place of the first row of the tie
     rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
@@ -67,7 +74,7 @@ def suffix_rows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         if not len(at):
             break
         rows = order[at]
-        ahead = rank[np.minimum(rows + width, last[owner[rows]])]
+        ahead = rank[np.minimum(rows + width, last[owner[rows]])]  # of the same group: compared within it only
         by = np.lexsort((rows, ahead, rank[rows]))
         rows, ahead = rows[by], ahead[by]
         group = rank[rows]
@@ -82,9 +89,7 @@ def suffix_rows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def transform(data: np.ndarray, bounds: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes before, ends, row bounds) of one transform per group of strings; ``group`` is ascending from 0."""
-    string, place = suffix_rows(data, bounds)
-    by = np.argsort(group[string], kind="stable")
-    string, place = string[by], place[by]
+    string, place = suffix_rows(data, bounds, group)
     end = place == 0
     before = np.zeros(len(place), np.uint8)
     before[~end] = data[bounds[string[~end]] + place[~end] - 1]
@@ -134,15 +139,16 @@ def merge(shards: Shards, step: np.ndarray, rows: np.ndarray, block: np.ndarray,
     never meet. A string whose rows are left out takes no part.
     """
     for _ in range(depth):
-        alive = step[rows] >= 0
-        rows, block = rows[alive], block[alive]
-        byte = shards.before[rows]
+        byte, rows = shards.before[rows], step[rows]
+        alive = rows >= 0
+        if not alive.all():
+            rows, block, byte = rows[alive], block[alive], byte[alive]
         by = np.argsort(byte, kind="stable")
-        rows, block, byte = step[rows[by]], block[by], byte[by]
+        rows, block, byte = rows[by], block[by], byte[by]
         start = np.ones(len(rows) + 1, bool)
         start[1:-1] = (block[1:] != block[:-1]) | (byte[1:] != byte[:-1])
         shared = ~(start[:-1] & start[1:])
-        block = (np.cumsum(start[:-1]) - 1)[shared]
+        block = np.cumsum(start[:-1], dtype=np.int32)[shared]
         rows = rows[shared]
         if not len(rows):
             break

@@ -47,7 +47,7 @@ SHARD = 4 << 20
 GRAM = 16
 SEGMENT = 1 << 18
 #: Bytes of pieces laid out at a time, anchors of a range, piece bytes of a range, ranges of a task.
-LAYOUT = 4 << 20
+LAYOUT = 1 << 20
 RANGE_ANCHORS, RANGE_BYTES, RANGES = 1 << 20, 1 << 20, 4
 HOT = 20_000
 NO_ID = -(1 << 63)
@@ -128,7 +128,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarra
         new[text_starts[lo:hi] - a] = True
         at = np.flatnonzero(new)
         starts.append(at + a)
-        keys.append(h[place[at]])
+        keys.append(mix(~h[place[at]]))  # hashed again: the smallest hashes crowd together, ranges of them would not be even
         before = int(place[-1]) + a
     start, key = np.concatenate(starts), np.concatenate(keys)
     text = np.searchsorted(offsets, start, side="right") - 1
@@ -324,8 +324,9 @@ def merge_range(rows: list[tuple], least: int) -> list[np.ndarray]:
     windows = total - least + 1
     offset = np.cumsum(windows) - windows
     first = np.repeat(smallest[stands], windows)
-    entering = np.flatnonzero((stands == np.arange(len(own)))[string]).astype(np.int32)
-    found, block = bwt.merge(all_shards, step, entering, np.zeros(len(entering), np.int64), least)
+    # A window is reached from the suffix that follows it: rows with too few bytes before them can't become one.
+    entering = np.flatnonzero((stands == np.arange(len(own)))[string] & (length <= (total - least)[string])).astype(np.int32)
+    found, block = bwt.merge(all_shards, step, entering, np.zeros(len(entering), np.int32), least)
     if len(found):
         start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         least_id = np.minimum.reduceat(smallest[string[found]], start)
