@@ -37,21 +37,24 @@ def suffix_rows(data: np.ndarray, bounds: np.ndarray, group: np.ndarray | None =
     Ranks by the first seven bytes, doubled for the rows that still tie; equal suffixes stay in the order of strings.
     """
     sizes = np.diff(bounds)
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
     n = len(owner)
     first = np.cumsum(sizes + 1) - (sizes + 1)
     last = first + sizes  # the empty suffix of each string
-    place = np.arange(n) - first[owner]
-    symbols = np.zeros(n, np.uint64)
+    symbols = np.zeros(n, np.uint64)  # 0 at the end of a string
     inside = np.ones(n, bool)
     inside[last] = False
     symbols[inside] = data.astype(np.uint64) + np.uint64(1)
-    key = symbols.copy()
-    left = (last[owner] - np.arange(n)).astype(np.int32)  # bytes to the end of the string
-    for j in range(1, _KEY):
-        key <<= np.uint64(9)
-        some = max(n - j, 0)
-        key[:some] |= np.where(left[:some] >= j, symbols[j:], np.uint64(0))
+
+    def followed(key: np.ndarray, by: np.ndarray, at: int, bits: int) -> np.ndarray:
+        """``key`` with the symbols ``at`` places on behind it, unless its last symbol is an end."""
+        out = key << np.uint64(bits)
+        some = max(n - at, 0)
+        out[:some] |= by[at:] * ((key[:some] & np.uint64(511)) != 0)
+        return out
+
+    two = followed(symbols, symbols, 1, 9)
+    key = followed(followed(followed(two, two, 2, 18), two, 4, 18), symbols, 6, 9)
     width, longest = _KEY, int(sizes.max(initial=0))
     order = np.argsort(key, kind="stable" if longest < width else None)  # ties are put in order below
     start = np.ones(n, bool)
@@ -64,9 +67,9 @@ def suffix_rows(data: np.ndarray, bounds: np.ndarray, group: np.ndarray | None =
         sorted_key, sorted_of = key[order], of[order]
         start[1:] = (sorted_key[1:] != sorted_key[:-1]) | (sorted_of[1:] != sorted_of[:-1])
         del of, sorted_of
-    del key, sorted_key, symbols
-    rank = np.empty(n, np.int64)  # place of the first row of the tie
-    rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+    del key, sorted_key, symbols, two
+    rank = np.empty(n, np.int32)  # place of the first row of the tie
+    rank[order] = np.maximum.accumulate(np.where(start, np.arange(n, dtype=np.int32), 0))
     while width <= longest:
         tied = ~start
         tied[:-1] |= ~start[1:]
@@ -84,7 +87,8 @@ def suffix_rows(data: np.ndarray, bounds: np.ndarray, group: np.ndarray | None =
         start[at] = new
         rank[rows] = np.maximum.accumulate(np.where(new, at, 0))
         width *= 2
-    return owner[order], place[order]
+    string = owner[order]
+    return string, order - first[string]
 
 
 def transform(data: np.ndarray, bounds: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +104,9 @@ def longer(shards: Shards) -> np.ndarray:
     """For each row, the row of the suffix one byte longer (-1: the suffix is a whole string)."""
     out = np.full(len(shards.before), -1, np.int32)
     rows = np.flatnonzero(~shards.end)
-    by = np.lexsort((shards.before[rows], shards.shard[rows]))
+    by = np.argsort(shards.before[rows], kind="stable")
+    of = shards.shard[rows[by]].astype(np.min_scalar_type(len(shards.strings)))
+    by = by[np.argsort(of, kind="stable")]
     # In each shard the empty suffixes come first, one per string; the others by their first byte, in the given order.
     size = np.bincount(shards.shard, minlength=len(shards.strings))
     base = np.cumsum(size) - size
@@ -123,7 +129,7 @@ def walk(shards: Shards, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     string = np.empty(len(shards.before), np.int32)
     length = np.empty(len(shards.before), np.int32)
     total = np.zeros(len(rows), np.int64)
-    ids, h = np.arange(len(rows)), 0
+    ids, h = np.arange(len(rows), dtype=np.int32), 0
     while len(rows):
         string[rows], length[rows], total[ids] = ids, h, h
         rows = step[rows]
@@ -132,6 +138,15 @@ def walk(shards: Shards, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return string, length, total
 
 
+def strings_of(shards: Shards, string: np.ndarray, length: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds) of all strings, back from the transforms and what ``walk`` found."""
+    bounds = np.append(0, np.cumsum(total))
+    data = np.empty(int(bounds[-1]), np.uint8)
+    rows = np.flatnonzero(~shards.end)
+    data[bounds[string[rows] + 1] - 1 - length[rows]] = shards.before[rows]
+    return data, bounds
+
+
 def merge(shards: Shards, step: np.ndarray, rows: np.ndarray, block: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, block of each) whose suffixes begin with a string of ``depth`` bytes that two rows or more begin with.
 

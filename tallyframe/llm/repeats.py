@@ -11,14 +11,13 @@ in a document with a smaller doc_id (judged on the input; overlaps count).
    builds the Burrows-Wheeler transform of its distinct pieces, one per hash range, with the smallest doc_id of each piece.
 4. A task merges the transforms of all shards for a range by interleave refinement (``bwt.merge``): after ``least`` steps the
    blocks are the repeated strings of ``least`` bytes, whose first document is a minimum over the block. Pieces that several
-   shards hold enter once (their rows are found by steps in the transform and left out of the interleave). Each shard gets
+   shards hold, byte for byte, enter once (their rows are found by steps in the transform and left out of the interleave). Each shard gets
    back one bit per window: whether a smaller document than its own first one has it.
 5. Shards turn windows into bytes, and give each document's spans and what is left.
 
 Hot anchors: one with more than HOT occurrences is not a range's load. Its windows become pieces of their own, dealt by the
 hash of the whole window: equal ones are one row per shard, different ones go to different tasks. No pair of documents is
-ever made, nothing is collected, and results are exact: hashes only choose tasks and candidates, bytes decide (pieces of
-different shards are told apart by 128-bit digests).
+ever made, nothing is collected, and results are exact: hashes only choose tasks and candidates, bytes decide.
 
 doc_id is an integer; a null doc_id comes before all others (rows without one count as one document, as do rows of equal
 doc_id: they take nothing from each other). A null text counts as empty; repeated rows give repeated rows; an empty table
@@ -27,7 +26,6 @@ gives an empty table; other columns are ignored. A text longer than SHARD is a s
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -43,12 +41,12 @@ from tallyframe.llm.common import release, ship
 from tallyframe.llm.words import mix, text_buffers
 from tallyframe.session import cut_lineage
 
-SHARD = 4 << 20
+SHARD = 12 << 20
 GRAM = 16
 SEGMENT = 1 << 18
 #: Bytes of pieces laid out at a time, anchors of a range, piece bytes of a range, ranges of a task.
 LAYOUT = 1 << 20
-RANGE_ANCHORS, RANGE_BYTES, RANGES = 1 << 20, 1 << 20, 4
+RANGE_ANCHORS, RANGE_BYTES, RANGES = 1 << 20, 2 << 20, 2
 HOT = 20_000
 NO_ID = -(1 << 63)
 
@@ -67,7 +65,7 @@ def shards(docs: DataFrame) -> DataFrame:
         size = 0
 
         def row() -> pa.RecordBatch:
-            data = zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+            data = zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
             columns = [[uuid.uuid4().hex], [ids], [[len(p) for p in parts]], [data]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
@@ -269,7 +267,8 @@ class Pieces:
 
 
 def _send_transforms(least: int, anchor_ranges: int, ranges: int):
-    schema = pa.schema([("shard", pa.string()), ("bucket", pa.int32()), ("before", pa.binary()), ("ends", pa.binary()), ("ids", pa.binary()), ("digests", pa.binary())])
+    schema = pa.schema([("shard", pa.string()), ("bucket", pa.int32()), ("before", pa.binary()), ("ends", pa.binary()), ("ids", pa.binary())])
+    squeeze = zstandard.ZstdCompressor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,18 +289,18 @@ def _send_transforms(least: int, anchor_ranges: int, ranges: int):
         numbers, group = np.unique(p.bucket[lo:hi], return_inverse=True)
         before, end, cut = bwt.transform(data, bounds, group)
         strings = np.searchsorted(group, np.arange(len(numbers) + 1))
-        digests = [hashlib.blake2b(v, digest_size=16).digest() for v in values.to_pylist()]
+        pack = squeeze(level=3).compress
         out = []
         for g, bucket in enumerate(numbers.tolist()):
             a, b, s, e = int(cut[g]), int(cut[g + 1]), int(strings[g]), int(strings[g + 1])
-            out.append((shard, bucket, before[a:b].tobytes(), np.packbits(end[a:b]).tobytes(), p.first[lo + s : lo + e].tobytes(), b"".join(digests[s:e])))
+            out.append((shard, bucket, pack(before[a:b].tobytes()), pack(np.packbits(end[a:b]).tobytes()), pack(p.first[lo + s : lo + e].tobytes())))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
 
 
 def merge_range(rows: list[tuple], least: int) -> list[np.ndarray]:
-    """For each shard's row (bytes before, ends, ids, digests) of one range: a bit per window of its pieces, whether a
+    """For each shard's row (bytes before, ends, ids) of one range: a bit per window of its pieces, whether a
     document of smaller id than the piece's own first one has the window."""
     before = [np.frombuffer(r[0], np.uint8) for r in rows]
     sizes = np.array([len(x) for x in before])
@@ -313,10 +312,12 @@ def merge_range(rows: list[tuple], least: int) -> list[np.ndarray]:
     step = bwt.longer(all_shards)
     string, length, total = bwt.walk(all_shards, step)
     # Equal pieces of several shards: the first stands for all, with the smallest id.
-    digest = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(-1, 2)
-    by = np.lexsort((digest[:, 1], digest[:, 0]))
-    new = np.append(True, (digest[by][1:] != digest[by][:-1]).any(axis=1))
-    at = np.flatnonzero(new)
+    data, bounds = bwt.strings_of(all_shards, string, length, total)
+    values = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+    value = values.dictionary_encode().indices.to_numpy()
+    by = np.argsort(value, kind="stable")
+    at = np.flatnonzero(np.append(True, value[by][1:] != value[by][:-1]))
+    del data, values
     stands = np.empty(len(own), np.int64)
     stands[by] = np.repeat(by[at], np.diff(np.append(at, len(by))))
     smallest = np.empty(len(own), np.int64)
@@ -341,6 +342,9 @@ def merge_range(rows: list[tuple], least: int) -> list[np.ndarray]:
 def _merge_transforms(least: int):
     schema = pa.schema([("shard", pa.string()), ("bucket", pa.int32()), ("earlier", pa.binary())])
 
+    def expand(block: bytes) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(block)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
         for batch in batches:
@@ -348,7 +352,7 @@ def _merge_transforms(least: int):
                 held.setdefault(r[1], []).append(r)
         for bucket in sorted(held):
             rows = held.pop(bucket)
-            bits = merge_range([r[2:] for r in rows], least)
+            bits = merge_range([tuple(map(expand, r[2:])) for r in rows], least)
             columns = [[r[0] for r in rows], [bucket] * len(rows), [np.packbits(b).tobytes() for b in bits]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
         release()
@@ -421,9 +425,8 @@ def remove_repeats(docs: DataFrame, least: int = 50, hot: int = HOT) -> DataFram
     by_shard = made.repartition(tasks, "shard")
     anchor_bits = shared.groupBy("shard").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("anchors")).hint("shuffle_hash")
     told = by_shard.join(anchor_bits, "shard", "left")
-    sent = told.mapInArrow(_send_transforms(least, anchor_ranges, ranges), "shard string, bucket int, before binary, ends binary, ids binary, digests binary")
+    sent = told.mapInArrow(_send_transforms(least, anchor_ranges, ranges), "shard string, bucket int, before binary, ends binary, ids binary")
     merged = sent.repartition(-(-ranges // RANGES), "bucket").mapInArrow(_merge_transforms(least), "shard string, bucket int, earlier binary")
-    merged = cut_lineage(merged, "repeat-windows")
     window_bits = merged.groupBy("shard").agg(F.collect_list(F.struct("bucket", "earlier")).alias("repeats")).hint("shuffle_hash")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
     return told.join(window_bits, "shard", "left").mapInArrow(_cut_documents(least, anchor_ranges, ranges), schema)
