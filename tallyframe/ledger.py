@@ -91,8 +91,7 @@ class Ledger:
         return number_rows(src, list(self.order_key), "N")
 
     def rewrite_counts(self) -> DataFrame:
-        df, flags = self._rewritten
-        return L.rewrite_counts(df, flags)
+        return L.rewrite_counts(self._rewritten[0], self.config.get("rewrites") or [])
 
     # -- dimensions -----------------------------------------------------------------------
 

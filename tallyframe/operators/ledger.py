@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions.category import category_label, split_pair
 from ..functions.dates import parse_flex_date
-from .filters import REWRITE_DIRECTIVES, FilterContext, SpecError, as_list, predicate
+from .filters import REWRITE_DIRECTIVES, FilterContext, as_list
+from .rules import HITS, fold_rules, rules_literal
 
 
 class ConfigError(ValueError):
@@ -64,55 +65,44 @@ def validate_rewrites(rules: Sequence[Mapping]) -> None:
             raise ConfigError(f"rewrites[{i}].txndate: '{rule['txndate']}': invalid date spec")
 
 
-def _rule_assignments(rule: Mapping) -> dict[str, Column]:
-    out: dict[str, Column] = {}
+def _rule_assignments(rule: Mapping) -> dict[str, object]:
+    """Column -> value that a rule sets (None empties it)."""
+    out: dict[str, object] = {}
     for key in rule:
         if key == "category" and rule["category"]:
-            cat, sub = split_pair(str(rule["category"]))
-            out["Category"] = F.lit(cat)
-            out["Subcategory"] = F.lit(sub).cast("string")
+            out["Category"], out["Subcategory"] = split_pair(str(rule["category"]))
         elif key == "memo":
-            out["Memo"] = F.lit(rule["memo"]).cast("string")
+            out["Memo"] = rule["memo"]
         elif key == "payee" and rule["payee"]:
-            out["Payee"] = F.lit(rule["payee"])
+            out["Payee"] = rule["payee"]
         elif key == "txndate":
-            out["Date"] = F.lit(parse_flex_date(str(rule["txndate"]), False))
+            out["Date"] = parse_flex_date(str(rule["txndate"]), False)
         elif key not in ("select", "category", "payee"):
             raise ConfigError(f"'{key}': unrecognized rewrite directive")
     return out
 
 
 def apply_rewrites(txns: DataFrame, rules: Sequence[Mapping], ctx: FilterContext | None = None) -> tuple[DataFrame, list[str]]:
-    """Apply ordered rules; each sees the result of the previous ones.
+    """Apply ordered rules; each sees the result of the previous ones (see ``operators.rules``).
 
-    Returns the rewritten frame with one boolean match column per rule (``_rw0``, ``_rw1`` ...,
-    taken against the state before that rule) and the list of those column names, so that the
-    per-rule counts come from one aggregate. One projection per rule: with hundreds of rules the
-    caller should checkpoint periodically.
+    Returns the rewritten frame, with the numbers of the rules that applied to each row in one column, and that
+    column's name in a list. One projection, whatever the number of rules.
     """
     validate_rewrites(rules)
-    ctx = ctx or FilterContext()
-    flags = []
-    df = txns
-    for i, rule in enumerate(rules):
-        pred, semis = predicate(rule["select"], ctx)
-        if semis:
-            raise SpecError("rewrites cannot select on account attributes")
-        flag = f"_rw{i}"
-        df = df.withColumn(flag, F.coalesce(pred, F.lit(False)) if pred is not None else F.lit(True))
-        assigns = {c: F.when(F.col(flag), v).otherwise(F.col(c)) for c, v in _rule_assignments(rule).items()}
-        df = df.withColumns(assigns)
-        flags.append(flag)
-    return df, flags
-
-
-def rewrite_counts(rewritten: DataFrame, flags: Sequence[str]) -> DataFrame:
+    assignments = [_rule_assignments(rule) for rule in rules]
+    if not rules:
+        return txns, []
+    return fold_rules(txns, rules_literal(rules, assignments, ctx or FilterContext())), [HITS]
+
+
+def rewrite_counts(rewritten: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
     """Rows modified per rule, one row per rule."""
-    if not flags:
-        return rewritten.sparkSession.createDataFrame([], "rule long, modified long")
-    agg = rewritten.agg(*[F.count_if(F.col(f)).alias(f) for f in flags])
-    stacked = ", ".join(f"{i}L, `{f}`" for i, f in enumerate(flags))
-    return agg.selectExpr(f"stack({len(flags)}, {stacked}) AS (rule, modified)")
+    spark = rewritten.sparkSession
+    if not rules:
+        return spark.createDataFrame([], "rule long, modified long")
+    hits = rewritten.select(F.explode(HITS).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("modified"))
+    every = spark.range(len(rules)).select(F.col("id").alias("rule"))
+    return every.join(hits, "rule", "left").select("rule", F.coalesce("modified", F.lit(0)).alias("modified"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -426,18 +416,41 @@ def assign_interval(txns: DataFrame, intervals: DataFrame, date_col: str = "Date
     return txns.withColumn(out_col, expr)
 
 
-def assign_interval_join(txns: DataFrame, intervals: DataFrame, key: str, date_col: str = "Date", out_col: str = "EraName") -> DataFrame:
-    """Range-join form for many intervals: broadcast the intervals, keep the last match per ``key``.
+def assign_interval_long(
+    txns: DataFrame,
+    intervals: DataFrame,
+    keys: Sequence[str],
+    date_col: str = "Date",
+    out_col: str = "EraName",
+    bucket_days: int = 32,
+) -> DataFrame:
+    """Tag each row with the last interval of its key that holds its date (NULL: none does); for long interval lists.
 
-    Only for interval lists too long for a CASE chain; the interval table is config-sized.
+    ``intervals``: keys, ``EraName``, ``EraDateFrom``, ``EraDateTo`` (NULL: open end), ``era_no`` (the order; the largest
+    wins where intervals meet or overlap). Intervals are dealt into buckets of days and gathered per (key, bucket), the
+    open-ended ones per key, so a row meets one cell of each in an equi-join: no row is made twice, nothing is grouped
+    again, and a key that holds most rows is spread by its buckets.
     """
-    iv = F.broadcast(intervals.select(F.col("EraName").alias("_en"), "EraDateFrom", "EraDateTo", "era_no"))
-    d = F.col(date_col)
-    cond = (iv.EraDateFrom.isNull() | (d >= iv.EraDateFrom)) & (iv.EraDateTo.isNull() | (d <= iv.EraDateTo))
+    first, last = F.col("EraDateFrom"), F.col("EraDateTo")
+    entry = F.struct(F.col("era_no"), F.col("EraName"), first.alias("f"), last.alias("t"))
+    closed = first.isNotNull() & last.isNotNull()
+
+    def bucket(day: Column) -> Column:
+        return F.floor(F.unix_date(day) / F.lit(bucket_days))
+
+    dealt = intervals.filter(closed & (first <= last)).withColumn("_bucket", F.explode(F.sequence(bucket(first), bucket(last))))
+    cells = dealt.groupBy(*keys, "_bucket").agg(F.collect_list(entry).alias("_cell"))
+    ends = intervals.filter(~closed).groupBy(*keys).agg(F.collect_list(entry).alias("_ends"))
     base = txns.drop(out_col) if out_col in txns.columns else txns
-    j = base.join(iv, cond, "left")
-    other = [c for c in base.columns if c != key]
-    return j.groupBy(key).agg(*[F.first(c).alias(c) for c in other], F.max_by("_en", "era_no").alias(out_col)).select(*base.columns, out_col)
+    d = F.col(date_col)
+    met = base.withColumn("_bucket", bucket(d)).join(cells, [*keys, "_bucket"], "left").join(ends, list(keys), "left")
+    none = F.array().cast(dict(cells.dtypes)["_cell"])
+
+    def holding(cell: str) -> Column:
+        return F.filter(F.coalesce(F.col(cell), none), lambda e: (e["f"].isNull() | (e["f"] <= d)) & (e["t"].isNull() | (d <= e["t"])))
+
+    held = F.array_max(F.concat(holding("_cell"), holding("_ends")))
+    return met.withColumn(out_col, held["EraName"]).select(*base.columns, out_col)
 
 
 # ---------------------------------------------------------------------------------------------

@@ -1303,3 +1303,5 @@ register(
         _SPEND_SQL,
     ),
 )(lambda spark, sf: (lambda r: I.check_spending_total(r[0], r[1]))(I.parse_spending(_rendered(spark, sf, "monthly"), monthly=True)))
+
+from . import catalog_imports  # noqa: E402, F401  (registers its queries)

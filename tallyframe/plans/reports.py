@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.dates import month_start
 from ..ledger import Ledger
-from ..operators.filters import SpecError, apply_select, values_and_cond
+from ..operators.filters import ACCOUNTS_DIRECTIVES, CATEGORIES_DIRECTIVES, SpecError, apply_select, require, values_and_cond
 from ..operators.numbering import number_rows
 
 # --- fixed values: display names of report columns -------------------------------------------
@@ -144,6 +144,7 @@ def accounts_report(ledger: Ledger, spec: Mapping | None = None) -> DataFrame:
     """Accounts other than transfer-only ones (R7); account attribute negation keeps NULLs (F8)."""
     spec = spec or {}
     sel = spec.get("select", {}) or {}
+    require(sel, ACCOUNTS_DIRECTIVES, "accounts report")
     a = ledger.accounts.filter(F.col("XferOnly").isNull() | (F.col("XferOnly") == 0))
     a = filter_accounts(a, sel)
     drop = ["XferOnly"] + [col for key, col in REDUNDANT_WITH_NAME.items() if key in sel and key in ("account", "account_category", "account_classification")]
@@ -167,6 +168,7 @@ def filter_accounts(accts: DataFrame, sel: Mapping) -> DataFrame:
 def categories_report(ledger: Ledger, spec: Mapping | None = None) -> DataFrame:
     """Categories with their type and class (R8), filterable on txntype / txnclass."""
     sel = (spec or {}).get("select", {}) or {}
+    require(sel, CATEGORIES_DIRECTIVES, "categories report")
     c = ledger.categories
     for key, col in (("txntype", "TxnType"), ("txnclass", "TxnClass")):
         values, cond = values_and_cond(sel.get(key))
@@ -184,6 +186,7 @@ def naked_categories(ledger: Ledger) -> DataFrame:
 def single_payee_categories(ledger: Ledger, spec: Mapping | None = None) -> DataFrame:
     """Category labels referenced by a single payee, with that payee."""
     sel = (spec or {}).get("select", {}) or {}
+    require(sel, CATEGORIES_DIRECTIVES, "single-payee report")
     v = ledger.view.filter(F.col("Payee").isNotNull())
     for key, col in (("txntype", "TxnType"), ("txnclass", "TxnClass")):
         values, cond = values_and_cond(sel.get(key))
