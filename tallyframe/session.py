@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tallyframe") -> SparkSession:
@@ -66,3 +68,21 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a location, for commits and clean-up by the driver."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_counted(df: DataFrame, path: str, write: Callable[[DataFrame], None], keep_empty: bool = False) -> int:
+    """Run ``write`` on ``df`` once, counting its rows on the way; an empty output is removed again. Returns the count."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    rows = int(seen.get["rows"])
+    if not rows and not keep_empty:
+        fs, p = hadoop_path(df.sparkSession, path)
+        fs.delete(p, True)
+    return rows
