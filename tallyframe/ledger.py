@@ -6,6 +6,7 @@ A ``Ledger`` holds DataFrames (plans), not data. Build it from the test binding
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Mapping, Sequence
 from datetime import date
 from functools import cached_property
@@ -13,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schema as S
 from .operators import ledger as L
 from .operators.filters import FilterContext
 from .operators.numbering import number_rows
@@ -22,6 +24,10 @@ from .session import cut_lineage
 SOURCE_ORDER = ("SrcDate", "SrcOrder", "SrcLine", "Account", "Payee", "Category", "Subcategory", "XferAccount", "Amount", "Memo", "C")
 
 
+# What is derived from the transactions.
+DERIVED = ("txns", "tagged", "_rewritten", "payees", "categories_raw", "categories", "accounts_base", "_classified", "accounts", "view", "account_balances", "category_balances")
+
+
 class Ledger:
     def __init__(
         self,
@@ -129,6 +135,26 @@ class Ledger:
     def unknown_account_categories(self) -> DataFrame:
         return self._classified[1]
 
+    def over(self, facts: DataFrame, order_key: Sequence[str]) -> Ledger:
+        """The same ledger over other facts: its dimensions are derived anew from them."""
+        new = copy.copy(self)
+        new.__dict__ = {k: v for k, v in self.__dict__.items() if k not in DERIVED}
+        new.__dict__["txns"], new.order_key = facts, list(order_key)
+        return new
+
+    def other_tables(self) -> dict[str, DataFrame]:
+        """The tables beside the transactions and their dimensions (empty without a source)."""
+
+        def given(rows: DataFrame | None, schema) -> DataFrame:
+            return self.spark.createDataFrame([], schema) if rows is None else L.conform(rows, schema)
+
+        return {
+            "TxnsInv": given(self.txns_inv, S.TXNS_INV),
+            "Loans": given(self.loans, S.LOANS),
+            "AccountBalances": given(None, S.ACCOUNT_BALANCES),
+            "CategoryBalances": given(None, S.CATEGORY_BALANCES),
+        }
+
     # -- views ----------------------------------------------------------------------------
 
     @cached_property

@@ -53,6 +53,7 @@ def tag_positions(
     num_partitions: int | None = None,
     path: str | None = None,
     keep: Sequence[str] | None = None,
+    first_partition: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """The materialized half of the numbering: (tagged rows, offsets).
 
@@ -66,7 +67,7 @@ def tag_positions(
     order_by = list(dict.fromkeys(order_by)) if all(isinstance(c, str) for c in order_by) else list(order_by)
     keys = [F.col(c).asc_nulls_first() for c in partition_by] + [_asc(c) for c in order_by]
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    tagged = ranged.withColumn("__nr_pid", F.spark_partition_id()).withColumn("__nr_pos", F.monotonically_increasing_id())
+    tagged = ranged.withColumn("__nr_pid", F.spark_partition_id() + F.lit(first_partition)).withColumn("__nr_pos", F.monotonically_increasing_id())
     if keep is not None:
         tagged = tagged.select(*dict.fromkeys([*keep, *partition_by]), "__nr_pid", "__nr_pos")
     if path:
@@ -74,11 +75,15 @@ def tag_positions(
         tagged = spark.read.parquet(path)
     else:
         tagged = cut_lineage(tagged, "numbering")
+    return tagged, offsets_of(tagged, partition_by)
+
+
+def offsets_of(tagged: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Where the numbers of each (partition, group) of tagged rows start."""
     grp = list(partition_by)
     counts = tagged.groupBy("__nr_pid", *grp).agg(F.count(F.lit(1)).alias("__nr_cnt"), F.min("__nr_pos").alias("__nr_first"))
     w = Window.partitionBy(*grp).orderBy("__nr_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__nr_off", F.coalesce(F.sum("__nr_cnt").over(w), F.lit(0))).drop("__nr_cnt")
-    return tagged, offsets
+    return counts.withColumn("__nr_off", F.coalesce(F.sum("__nr_cnt").over(w), F.lit(0))).drop("__nr_cnt")
 
 
 def attach_numbers(tagged: DataFrame, offsets: DataFrame, name: str = "N", partition_by: Sequence[str] = ()) -> DataFrame:

@@ -133,18 +133,23 @@ class ImportedLedger(Ledger):
             return self.spark.createDataFrame([], S.CATEGORY_BALANCES)
         return L.conform(L.category_balances(reduce(DataFrame.unionByName, parts)), S.CATEGORY_BALANCES)
 
+    def other_tables(self) -> dict[str, DataFrame]:
+        return {
+            "TxnsInv": self.spark.createDataFrame([], S.TXNS_INV) if self.txns_inv_rows is None else L.conform(self.txns_inv_rows, S.TXNS_INV),
+            "Loans": self.spark.createDataFrame([], S.LOANS) if self.loan_rows is None else L.conform(self.loan_rows, S.LOANS),
+            "AccountBalances": self.account_balances,
+            "CategoryBalances": self.category_balances,
+        }
+
     def tables(self) -> dict[str, DataFrame]:
         """All nine ledger tables (those without exports are empty)."""
         return {
             "Txns": L.conform(self.txns_numbered(), S.TXNS),
-            "TxnsInv": self.spark.createDataFrame([], S.TXNS_INV) if self.txns_inv_rows is None else L.conform(self.txns_inv_rows, S.TXNS_INV),
             "Accounts": L.conform(self.accounts, S.ACCOUNTS),
             "Payees": L.conform(self.payees, S.PAYEES),
             "Categories": L.conform(self.categories, S.CATEGORIES),
             "Eras": self.eras,
-            "Loans": self.spark.createDataFrame([], S.LOANS) if self.loan_rows is None else L.conform(self.loan_rows, S.LOANS),
-            "AccountBalances": self.account_balances,
-            "CategoryBalances": self.category_balances,
+            **self.other_tables(),
         }
 
     def problems(self) -> DataFrame:
