@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..sources import dirty_binding as D
+from ..session import cut_lineage, shared_path
 from ..sources import export_binding as EB
+from ..sources import exports as X
+from ..sources.store import read_ledger, write_ledger
 from . import ingest as I
 from .assemble import ledger_from_lines
-from .catalog import _ledger_with, ledger_for, on_ledger, register
+from .catalog import _ORDERS_SQL, _ledger_with, _rendered, on_ledger, register
 from .oracle import with_ledger
 
 # ---------------------------------------------------------------------------------------------
@@ -152,3 +159,118 @@ on_ledger(
     ),
     lambda lg: L.assign_interval_long(lg.txns, _account_months(lg.txns), ["Account"], out_col="Span").groupBy("Account", "Span").agg(F.count(F.lit(1)).alias("n"), F.sum("Amount").alias("total")),
 )
+
+# ---------------------------------------------------------------------------------------------
+# two-phase file scan
+
+
+def _prune_exports_head(spark: SparkSession, sf: str) -> DataFrame:
+    found = EB.write_files(EB.yearly_balance_lines(spark, sf), shared_path(spark, f"exports-{uuid.uuid4().hex}"))
+    heads = cut_lineage(X.judge_heads(X.scan_heads(spark, found), date(1997, 1, 1), date(1999, 12, 31)), "heads")
+    items = I.parse_balances(X.open_exports(spark, heads))[0].groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum("Total").alias("total"))
+    joined = heads.join(items, "file", "left")
+    return joined.select(EB.file_label(F.col("file")).alias("file"), "as_of", "opened", "problem", "n", "total")
+
+
+register(
+    "prune_exports_head",
+    """WITH oa AS (SELECT n_name AS a, year(CAST(o_orderdate AS DATE)) AS y, CAST(o_totalprice AS DECIMAL(15,4)) AS p
+         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+       b AS (SELECT e.y, oa.a, CAST(round(SUM(p), 2) AS DECIMAL(15,4)) AS bal FROM generate_series(1995, 2001) e(y) JOIN oa ON oa.y <= e.y GROUP BY e.y, oa.a),
+       f AS (SELECT y, COUNT(*) AS n, CAST(SUM(bal) AS DOUBLE) AS total FROM b GROUP BY y)
+       SELECT 'balances_' || y AS file, y || '-12-31' AS as_of, y BETWEEN 1997 AND 1999 AS opened, NULL AS problem,
+         CASE WHEN y BETWEEN 1997 AND 1999 THEN n END AS n, CASE WHEN y BETWEEN 1997 AND 1999 THEN total END AS total FROM f
+       UNION ALL SELECT 'balances_undated', NULL, FALSE, 'no as-of date', NULL, NULL
+       UNION ALL SELECT 'letter', NULL, FALSE, 'unknown kind', NULL, NULL""",
+)(_prune_exports_head)
+
+
+def _seven_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """The line table of exports of all seven kinds."""
+    made = [_rendered(spark, sf, k) for k in ("txns", "balances", "spending", "monthly", "loans")]
+    return reduce(DataFrame.unionByName, [*made, EB.details_export_lines(spark, sf), EB.investment_export_lines(spark, sf)])
+
+
+def _classify_heads(spark: SparkSession, sf: str) -> DataFrame:
+    found = EB.write_files(_seven_kinds(spark, sf), shared_path(spark, f"exports-{uuid.uuid4().hex}"))
+    heads = cut_lineage(X.judge_heads(X.scan_heads(spark, found)), "heads")
+    kinds = X.classify_exports(X.open_exports(spark, heads))
+    both = heads.join(kinds, "file")
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.max("as_of").alias("as_of"))
+
+
+register(
+    "classify_heads",
+    """SELECT 'account_txns' AS kind, COUNT(DISTINCT o_orderkey // 1000) AS files, NULL AS as_of FROM orders
+       UNION ALL SELECT 'investment_txns', COUNT(DISTINCT event_id // 10000), NULL FROM events
+       UNION ALL SELECT 'account_balances', 1, '2001-12-31' UNION ALL SELECT 'account_balances_details', 1, '2001-06-30'
+       UNION ALL SELECT 'loan_terms', 1, '2001-06-30' UNION ALL SELECT 'income_spending', 1, NULL UNION ALL SELECT 'monthly_income_expenses', 1, NULL""",
+)(_classify_heads)
+
+# ---------------------------------------------------------------------------------------------
+# the whole import (E1 - E3, S8, S9): seven kinds of exports -> nine tables -> store -> nine tables
+
+_MEASURES = {"Txns": "Amount", "TxnsInv": "Total", "Accounts": "OpeningBalance", "Loans": "LoanAmount", "AccountBalances": "Balance", "CategoryBalances": "Balance"}
+
+
+def _table_sums(tables: dict[str, DataFrame]) -> DataFrame:
+    parts = []
+    for name, df in tables.items():
+        total = F.sum(_MEASURES[name]).cast("double") if name in _MEASURES else F.lit(None).cast("double")
+        parts.append(df.agg(F.count(F.lit(1)).alias("n"), total.alias("total")).select(F.lit(name).alias("table"), "n", "total"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ledger_of_exports(spark: SparkSession, sf: str):
+    return ledger_from_lines(spark, _seven_kinds(spark, sf), {"eras": {"Early": {"date_to": "1997"}, "Late": {"date_from": "1998"}}})
+
+
+def _ledger_from_exports(spark: SparkSession, sf: str) -> DataFrame:
+    ledger = _ledger_of_exports(spark, sf)
+    ok = ledger.control_totals().filter("ok").agg(F.count(F.lit(1)).alias("n")).select(F.lit("(files whose control total holds)").alias("table"), "n", F.lit(None).cast("double").alias("total"))
+    bad = ledger.problems().agg(F.count(F.lit(1)).alias("n")).select(F.lit("(problems)").alias("table"), "n", F.lit(None).cast("double").alias("total"))
+    return _table_sums(ledger.tables()).unionByName(ok).unionByName(bad)
+
+
+_LEDGER_SUMS = """
+t AS (SELECT * FROM flat WHERE Num <> '**VOID**'),
+inv AS (SELECT 'USER_' || user_id AS u, event_type, CAST(round(value, 2) AS DECIMAL(15,4)) AS v FROM events),
+det AS (SELECT n_name, COUNT(*) AS n, CAST(SUM(CAST(c_acctbal AS DECIMAL(15,4))) AS DECIMAL(15,4)) AS bal FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name),
+bal AS (SELECT n_name, CAST(COALESCE(SUM(CAST(s_acctbal AS DECIMAL(15,4))), 0) AS DECIMAL(15,4)) AS bal FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name),
+loan AS (SELECT c_mktsegment AS seg, CAST(round(SUM(abs(CAST(c_acctbal AS DECIMAL(15,4)))), 2) AS DECIMAL(15,4)) AS amt FROM customer GROUP BY 1),
+acc AS (SELECT Account AS a FROM t UNION SELECT u FROM inv UNION SELECT 'NATION_0' FROM inv WHERE event_type = 'purchase' UNION SELECT seg FROM loan UNION SELECT n_name FROM bal UNION SELECT n_name FROM det),
+sums AS (
+  SELECT 'Txns' AS "table", COUNT(*) AS n, CAST(SUM(Amount) AS DOUBLE) AS total FROM t
+  UNION ALL SELECT 'TxnsInv', COUNT(*), CAST(SUM(v) AS DOUBLE) FROM inv
+  UNION ALL SELECT 'Accounts', COUNT(*), (SELECT CAST(SUM(n) AS DOUBLE) FROM det) FROM acc
+  UNION ALL SELECT 'Payees', COUNT(DISTINCT Payee), NULL FROM t
+  UNION ALL SELECT 'Categories', COUNT(*), NULL FROM (SELECT DISTINCT Category, Subcategory FROM t)
+  UNION ALL SELECT 'Eras', 2, NULL
+  UNION ALL SELECT 'Loans', COUNT(*), CAST(SUM(amt) AS DOUBLE) FROM loan
+  UNION ALL SELECT 'AccountBalances', (SELECT COUNT(*) FROM bal) + (SELECT COUNT(*) FROM det),
+    CAST((SELECT SUM(CAST(round(bal, 2) AS DECIMAL(15,4))) FROM bal) + (SELECT SUM(CAST(round(bal, 2) AS DECIMAL(15,4))) FROM det) AS DOUBLE)
+  UNION ALL SELECT 'CategoryBalances', 0, NULL)
+"""
+
+register(
+    "ledger_from_exports",
+    f"""WITH {_ORDERS_SQL.strip()}, {_LEDGER_SUMS.strip()}
+       SELECT * FROM sums
+       UNION ALL SELECT '(files whose control total holds)', (SELECT COUNT(DISTINCT o_orderkey // 1000) FROM orders) + 3, NULL
+       UNION ALL SELECT '(problems)', 0, NULL""",
+)(_ledger_from_exports)
+
+
+def _ledger_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, f"ledger-{uuid.uuid4().hex}")
+    write_ledger(_ledger_of_exports(spark, sf), path)
+    stored = read_ledger(spark, path)
+    numbered = stored.tables()["Txns"].agg(F.count_distinct("N").alias("n"), F.max("N").cast("double").alias("total")).select(F.lit("(numbers)").alias("table"), "n", "total")
+    return _table_sums(stored.tables()).unionByName(numbered)
+
+
+register(
+    "ledger_round_trip",
+    f"""WITH {_ORDERS_SQL.strip()}, {_LEDGER_SUMS.strip()}
+       SELECT * FROM sums UNION ALL SELECT '(numbers)', COUNT(*), CAST(COUNT(*) AS DOUBLE) FROM t""",
+)(_ledger_round_trip)

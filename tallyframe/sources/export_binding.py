@@ -306,3 +306,83 @@ def investment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("C"),
         F.lit(None).cast("string").alias("Memo"),
     )
+
+
+INV_HEADER = "Date,Account,Investment,Activity,Quantity,Price,Commission,Total,Transfer Account,Category,C,Memo"
+DETAILS_PREAMBLE = ("Account details", "All accounts", "As of 06/30/2001")
+DETAILS_HEADER = "Account,Abbreviation,Balance,Bank Name,Account Number,Limit,Balance"
+
+
+def investment_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Investment-transactions exports, one file per 10,000 events."""
+    rows = investment_rows(spark, sf_dir).withColumn("file", F.concat(F.lit("investments_"), F.floor(F.col("line_no") / 10_000).cast("string")))
+    w = Window.partitionBy("file").orderBy("line_no")
+    fields = [F.col(f"`{c}`") for c in INV_HEADER.split(",")]
+    body = rows.select("file", (F.row_number().over(w) + 2).cast("long").alias("line_no"), csv_line(*fields).alias("line"))
+    head = _preamble(rows.select("file").distinct(), ("Investment transactions",), INV_HEADER)
+    return head.unionByName(body).withColumn("modified", F.lit(None).cast("timestamp"))
+
+
+def details_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account-details export: one row per nation with its customers' balances as limit, opening and as-of balance."""
+    region = F.broadcast(read_table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    cust = read_table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sum(F.col("c_acctbal").cast(MONEY)).alias("bal"), F.count(F.lit(1)).alias("n"))
+    rows = cust.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.withColumn("file", F.lit("details"))
+    line = csv_line(
+        F.col("n_name"), F.substring("n_name", 1, 3), money_text(F.col("n").cast(MONEY)), F.concat(F.lit("Bank of "), F.col("r_name")),
+        F.col("n_nationkey").cast("string"), F.lit(None).cast("string"), money_text(F.col("bal")),
+    )
+    w = Window.partitionBy("file").orderBy("n_nationkey")
+    body = rows.select("file", (F.row_number().over(w) + len(DETAILS_PREAMBLE) + 1).cast("long").alias("line_no"), line.alias("line"))
+    head = _preamble(rows.select("file").distinct(), DETAILS_PREAMBLE, DETAILS_HEADER)
+    return head.unionByName(body).withColumn("modified", F.lit(None).cast("timestamp"))
+
+
+ASOF_YEARS = tuple(range(1995, 2002))
+
+
+def yearly_balance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A balances export per year end (order value of each nation up to then), under preambles of growing length; one
+    that names no day, and a letter."""
+    o = _order_amounts(spark, sf_dir)
+    per = [o.filter(F.col("d") <= F.lit(f"{y}-12-31").cast("date")).groupBy("Account").agg(F.sum("p").alias("bal")).withColumn("y", F.lit(y)) for y in ASOF_YEARS]
+    items = per[0]
+    for p in per[1:]:
+        items = items.unionByName(p)
+    items = items.withColumn("file", F.concat(F.lit("balances_"), F.col("y").cast("string")))
+    items = items.unionByName(items.filter(F.col("y") == ASOF_YEARS[-1]).withColumn("file", F.lit("balances_undated")))
+    files = items.groupBy("file", "y").agg(F.sum("bal").alias("bal"))
+
+    def part(frame: DataFrame, name: Column, total: Column, rank: int) -> DataFrame:
+        return frame.select("file", F.lit(rank).alias("r"), name.alias("name"), csv_line(name, total).alias("line"))
+
+    none = F.lit(None).cast("string")
+    body = part(files, F.lit("Assets"), none, 1).unionByName(part(files, F.lit("Nations"), none, 2))
+    body = body.unionByName(part(items, F.col("Account"), F.format_number("bal", 2), 3))
+    for rank, name in ((4, "Total Nations"), (5, "Total Assets"), (6, "Net Worth")):
+        body = body.unionByName(part(files, F.lit(name), F.format_number("bal", 2), rank))
+    above = F.concat(
+        F.array(F.lit("Account balances")),
+        F.array_repeat(F.lit("Converted to base currency: US dollar"), (F.col("y") - 1990).cast("int")),
+        F.when(F.col("file") == "balances_undated", F.array(F.lit("Undated"))).otherwise(F.array(F.concat(F.lit("As of 12/31/"), F.col("y").cast("string")))),
+        F.array(F.lit(BAL_HEADER)),
+    )
+    head = files.select("file", F.posexplode(above).alias("p", "line")).select("file", F.lit(0).alias("r"), F.format_string("%04d", "p").alias("name"), "line")
+    letter = files.filter(F.col("file") == "balances_undated").select(F.lit("letter").alias("file"), F.lit(0).alias("r"), F.lit("").alias("name"), F.lit("Dear customer").alias("line"))
+    w = Window.partitionBy("file").orderBy("r", "name")
+    rows = head.unionByName(body).unionByName(letter)
+    return rows.select("file", F.row_number().over(w).cast("long").alias("line_no"), "line").withColumn("modified", F.lit(None).cast("timestamp"))
+
+
+def write_files(lines: DataFrame, path: str) -> str:
+    """A line table as text files, one per export (in folders ``file=<name>``); returns the pattern that finds them."""
+    rows = lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", "line")
+    rows.write.mode("overwrite").partitionBy("file").text(path)
+    return f"{path.rstrip('/')}/*/*"
+
+
+def file_label(path: Column) -> Column:
+    """The export's name in the path of a file written by ``write_files``."""
+    return F.regexp_extract(path, "file=([^/]+)/", 1)

@@ -253,9 +253,11 @@ def header_positions(lines: DataFrame, kind: ExportKind, header_rows: int = 1) -
     )
 
 
-def _below(lines: DataFrame, pos: DataFrame) -> DataFrame:
-    """The non-blank lines below each file's header."""
-    return lines.filter(F.trim(F.col("line")) != "").join(pos, "file").filter(F.col("line_no") > F.col("_hdr_no"))
+def _fields_below(lines: DataFrame, pos: DataFrame, width: int) -> DataFrame:
+    """The non-blank lines below each file's header with their fields ``_f``. The fields are made below the join: a
+    projection beside their uses would be inlined into each of them."""
+    filled = with_fields(lines.filter(F.trim(F.col("line")) != ""), "line", "_f", width)
+    return filled.join(pos, "file").filter(F.col("line_no") > F.col("_hdr_no"))
 
 
 def read_export(lines: DataFrame, kind: ExportKind, header_rows: int = 1) -> DataFrame:
@@ -272,7 +274,7 @@ def read_export(lines: DataFrame, kind: ExportKind, header_rows: int = 1) -> Dat
     pos = pos.filter(F.least(*[F.col(f"_p{i}") for i in range(n_req)]) > 0).drop("_hdr")
     # parse only up to the right-most column any file needs (one scalar from the per-file table)
     width = pos.agg(F.max(F.greatest(*[F.col(f"_p{i}") for i in range(len(expected))]))).first()[0] or 1
-    body = with_fields(_below(lines, pos), "line", "_f", int(width))
+    body = _fields_below(lines, pos, int(width))
     cols = [F.when(F.col(f"_p{i}") > 0, F.element_at(F.col("_f"), F.col(f"_p{i}"))).alias(n) for i, n in enumerate(expected)]
     out = body.select("file", "line_no", *cols)
     any_value = None
@@ -289,7 +291,7 @@ def read_asof_columns(lines: DataFrame, kind: ExportKind) -> DataFrame:
     """
     pos = header_positions(lines, kind).filter(F.col("_p0") > 0).select("file", "_hdr_no", "_hdr", "_p0")
     width = pos.agg(F.max(F.size("_hdr"))).first()[0] or 1
-    body = with_fields(_below(lines, pos), "line", "_f", int(width))
+    body = _fields_below(lines, pos, int(width))
     cells = body.select("file", "line_no", F.element_at("_f", F.col("_p0")).alias("name"), F.explode(F.arrays_zip("_hdr", "_f")).alias("_cell"))
     day = F.try_to_date(F.col("_cell._hdr"), "M/d/yyyy")
     cells = cells.select("file", "line_no", "name", day.alias("Date"), F.col("_cell._f").alias("value"))
