@@ -9,9 +9,11 @@ no leak is missed. The share of the sketch that is found estimates the containme
 containment over all shingles of the item decides.
 
 The items are the stated query side: they are taken in blocks of about ``block`` shingles, each block
-is broadcast (that is the size bound) and held against all documents in one pass without a shuffle.
+is broadcast (that is the size bound) and held against all documents in one pass without a shuffle. One block is alive
+at a time: of several, each one's result is written before the next is made.
 
-Texts are lower-cased (A-Z) and split at white space; a text of fewer than k words is one shingle.
+Texts are lower-cased (A-Z) and split at white space. An item of fewer than k words is one shingle of its own length, and
+is looked up among all runs of that many words of a document; a document of fewer words than an item can't hold it.
 Null and empty items and documents match nothing. Repeated document rows give repeated rows; repeated
 items (same id and same shingles) count once; other columns are ignored; empty tables give no rows.
 """
@@ -29,17 +31,20 @@ from pyspark.sql import types as T
 
 from tallyframe.llm.common import map_batches, ship
 from tallyframe.llm.words import shingle_sets, slices, text_buffers, windows, words
+from tallyframe.session import cut_lineage
 
 FILTER_BITS = 22
 
 
 def item_sets(items: DataFrame, k: int) -> DataFrame:
-    """(item_id, n, shingles) of the items that have words."""
-    fields = [("item_id", items.schema["item_id"].dataType), ("n", T.LongType()), ("shingles", T.ArrayType(T.LongType()))]
+    """(item_id, n, width, shingles) of the items that have words; ``width``: words of a shingle, k or all of fewer."""
+    fields = [("item_id", items.schema["item_id"].dataType), ("n", T.LongType()), ("width", T.LongType()), ("shingles", T.ArrayType(T.LongType()))]
 
     def run(batch: pa.RecordBatch) -> Iterator[list]:
         sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), k)]
-        yield [batch.column("item_id"), [len(s) for s in sets], [s.tolist() for s in sets]]
+        raw, offsets = text_buffers(batch.column("text"))
+        width = np.minimum(k, np.diff(np.searchsorted(words(raw, offsets, fold=True)[0], offsets)))
+        yield [batch.column("item_id"), [len(s) for s in sets], width, [s.tolist() for s in sets]]
 
     return map_batches(items.select("item_id", "text"), run, fields).filter("n > 0").distinct()
 
@@ -47,8 +52,13 @@ def item_sets(items: DataFrame, k: int) -> DataFrame:
 class Block:
     """One block of items, ready to be looked up: sketch values, their items, and all their shingles."""
 
-    def __init__(self, ids: list, sets: list[np.ndarray], threshold: int) -> None:
+    def __init__(self, ids: list, sets: list[np.ndarray], widths: list[int], threshold: int, k: int) -> None:
         self.ids, self.sets = ids, sets
+        # items of fewer than k words: width -> shingle -> items
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for item, (s, w) in enumerate(zip(sets, widths, strict=True)):
+            if w < k:
+                self.short.setdefault(w, {}).setdefault(int(s[0]), []).append(item)
         sizes = np.array([len(s) for s in sets])
         part = np.frexp(sizes.astype(float))[1]
         largest = {p: int(sizes[part == p].max()) for p in set(part.tolist())}
@@ -56,6 +66,8 @@ class Block:
         for s, p in zip(sets, part.tolist(), strict=True):
             n = largest[p]
             self.sketch.append(s[: n - (-(-threshold * n // 100)) + 1])  # sets are sorted by hash
+        for item in (i for found in self.short.values() for group in found.values() for i in group):
+            self.sketch[item] = self.sketch[item][:0]
         values = np.concatenate(self.sketch)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in self.sketch])
         order = np.argsort(values, kind="stable")
@@ -85,12 +97,17 @@ def held_items(texts: pa.Array, block: Block, k: int, threshold: int) -> Iterato
     row = np.searchsorted(bounds, np.arange(len(grams)), "right") - 1
     whole = np.arange(len(grams)) + k <= bounds[row + 1] if len(grams) else np.zeros(0, bool)
     grams, row = grams[whole], row[whole]
-    short = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < k))  # texts of fewer words
-    if len(short):
-        alone = [windows(hashes[bounds[i] : bounds[i + 1]], int(bounds[i + 1] - bounds[i])) for i in short]
-        grams, row = np.concatenate([grams, *alone]), np.concatenate([row, short])
-        order = np.argsort(row, kind="stable")
-        grams, row = grams[order], row[order]
+    for width, known in block.short.items():
+        runs = windows(hashes, width)
+        values = np.fromiter(known, np.uint64, len(known))
+        at = np.flatnonzero(np.isin(runs, values))
+        own = np.searchsorted(bounds, at, "right") - 1
+        met = {(i, int(h)) for i, h, inside in zip(own.tolist(), runs[at].tolist(), (at + width <= bounds[own + 1]).tolist(), strict=True) if inside}
+        for i, h in sorted(met):
+            for item in known[h]:
+                yield i, item, 1, 1.0
+    if not len(block.values):
+        return
     for i in np.unique(row[block.candidates(grams)]).tolist():
         own = np.unique(grams[slice(*np.searchsorted(row, [i, i + 1]))])
         found = own[block.candidates(own)]
@@ -103,13 +120,13 @@ def held_items(texts: pa.Array, block: Block, k: int, threshold: int) -> Iterato
 
 def blocks_of(items: DataFrame, k: int, threshold: int, block: int) -> Iterator[Block]:
     """The items in blocks of about ``block`` shingles, one at a time on the driver."""
-    sets = item_sets(items, k)
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-int(total) // block))
+    sets = cut_lineage(item_sets(items, k), "items")
+    blocks = max(1, -(-int(sets.agg(F.sum("n")).first()[0] or 0) // block))
     for b in range(blocks):
         rows = sets.filter(F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == b).collect()
         if rows:
-            yield Block([r.item_id for r in rows], [np.array(r.shingles, np.int64).view(np.uint64) for r in rows], threshold)
+            sets_ = [np.array(r.shingles, np.int64).view(np.uint64) for r in rows]
+            yield Block([r.item_id for r in rows], sets_, [r.width for r in rows], threshold, k)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, threshold: int = 80, block: int = 1 << 20) -> DataFrame:
@@ -139,18 +156,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, threshold: int = 8
 
         return map_batches(docs.select("doc_id", "text"), run, fields)
 
-    parts = [held(spark.sparkContext.broadcast(b)) for b in blocks_of(items, k, threshold, block)]
+    parts, waiting = [], None
+    for b in blocks_of(items, k, threshold, block):
+        if waiting:  # there are several: the one before is finished first
+            parts.append(cut_lineage(held(waiting), "leaks"))
+            waiting.destroy()
+        waiting = spark.sparkContext.broadcast(b)
+    if waiting:
+        parts.append(held(waiting))
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField(*f) for f in fields]))
     return functools.reduce(DataFrame.union, parts)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, k: int = 5, threshold: int = 80, block: int = 1 << 20) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns; no shuffle."""
+    """The rows of ``docs`` that hold no item, all columns; no shuffle. Of several blocks, what each leaves is written."""
     spark = ship(docs.sparkSession)
+    waiting = None
     for b in blocks_of(items, k, threshold, block):
-        docs = docs.filter(_clean(spark.sparkContext.broadcast(b), k, threshold)(F.col("text")))
-    return docs
+        if waiting:
+            docs = cut_lineage(docs.filter(_clean(waiting, k, threshold)(F.col("text"))), "clean")
+            waiting.destroy()
+        waiting = spark.sparkContext.broadcast(b)
+    return docs.filter(_clean(waiting, k, threshold)(F.col("text"))) if waiting else docs
 
 
 def _clean(shared, k: int, threshold: int):

@@ -64,7 +64,25 @@ def spans(text: Column, pattern: str, may_match: Column, least: int = 0, group:
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v"))).alias("out"))
 
-    placed = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+    # An array that grows by one is copied each time: positions are counted within runs of sqrt(2 n) matches, and the runs
+    # then moved behind each other, so n matches cost n * sqrt(n) copies at most.
+    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+
+    def in_runs(all_rows: Column) -> Column:
+        run = F.greatest(F.lit(1), F.ceil(F.sqrt(2 * F.size(all_rows))).cast("int"))
+        starts = F.sequence(F.lit(0), F.size(all_rows), run)
+        return F.transform(starts, lambda b: F.aggregate(F.slice(all_rows, b + 1, run), zero, step))
+
+    # through a lambda variable, so that the matches are found once and not once a run
+    local = F.get(F.transform(F.array(rows), in_runs), F.lit(0))
+    nested = F.expr("CAST(array() AS array<array<struct<s: int, e: int, v: string>>>)")
+
+    def behind(acc: Column, x: Column) -> Column:
+        at = acc["at"]
+        moved = F.transform(x["out"], lambda y: F.struct((y["s"] + at).alias("s"), (y["e"] + at).alias("e"), y["v"].alias("v")))
+        return F.struct((at + x["at"]).alias("at"), F.array_append(acc["out"], moved).alias("out"))
+
+    placed = F.aggregate(local, F.struct(F.lit(0).alias("at"), nested.alias("out")), behind, lambda a: F.flatten(a["out"]))
     return F.when(may_match, F.filter(placed, lambda x: F.length(x["v"]) >= least)).otherwise(empty)
 
 

@@ -87,3 +87,17 @@ def test_random_strings_are_found_and_words_left(spark, make_docs):
     assert not any(out[500 + i].n_random for i in range(len(words)))
     hit = next(r for r in out.values() if r.n_random)
     assert hit.spans == f"random:4:{4 + len(keys[hit.doc_id])}" and hit.encodings == "base64"
+
+
+def test_positions_of_many_matches(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    n = 60_000
+    rows = spark.createDataFrame([(1, "é " + "0123456789abcdef " * n)], "id int, t string").repartition(1).cache()
+    rows.count()
+    started = time.time()
+    got = rows.select(F.explode(secrets.spans(F.col("t"), "[0-9a-f]+", F.lit(True), 16)).alias("x")).agg(F.count("*").alias("n"), F.sum("x.s").alias("s"), F.sum("x.e").alias("e")).first()
+    assert (got.n, got.s, got.e) == (n, sum(2 + 17 * i for i in range(n)), sum(18 + 17 * i for i in range(n)))
+    assert time.time() - started < 60  # the square of the matches would take minutes
