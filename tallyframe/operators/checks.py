@@ -91,3 +91,59 @@ def control_total(rows: DataFrame, footer: DataFrame, amount: str = "Amount", ke
     s = rows.groupBy(*key).agg(F.sum(amount).alias("rows_total"))
     j = s.join(footer.select(*key, F.col("Total").alias("footer_total")), list(key), "full")
     return j.withColumn("ok", F.coalesce(F.col("rows_total") == F.col("footer_total"), F.lit(False)))
+
+
+def constraints(
+    tables: Mapping[str, DataFrame],
+    fks: Sequence[tuple] = S.FOREIGN_KEYS,
+    uniques: Sequence[tuple] = S.UNIQUE_KEYS,
+    schemas: Mapping[str, T.StructType] = S.LEDGER_TABLES,
+) -> DataFrame:
+    """All constraints of the given tables in one pass: (kind, table, columns, parent, violations), zeros included.
+
+    Each row is read once and gives one entry per constraint it takes part in: the key it refers to, the key it offers to
+    children, the key that must be its own, the column it lacks. Entries of equal (constraint, key) meet in one hash
+    aggregate, whose map side leaves one row per key and task however hot the key is; a key that children use and
+    no parent offers, or that occurs twice, is counted from there. ``violations``: child rows without a parent, keys that
+    occur more than once, NULLs.
+    """
+    known = [("foreign key", t, c, p, pc) for t, c, p, pc in fks if t in tables]
+    for _, t, c, p, _ in known:
+        if p not in tables:
+            raise KeyError(f"foreign key {t}({', '.join(c)}): table {p} is absent")
+    known += [("unique", t, c, None, None) for t, c in uniques if t in tables and set(c) <= set(tables[t].columns)]
+    known += [("not null", t, (f.name,), None, None) for t in tables for f in schemas.get(t, T.StructType()).fields if not f.nullable and f.name in tables[t].columns]
+    spark = next(iter(tables.values())).sparkSession
+    if not known:
+        return spark.createDataFrame([], "kind string, table string, columns string, parent string, violations long")
+
+    def key(columns: Sequence[str]) -> F.Column:
+        return F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)]))
+
+    def whole(columns: Sequence[str]) -> F.Column:
+        return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+    def entry(no: int, k: F.Column, uses: int, offers: int, when: F.Column) -> F.Column:
+        return F.when(when, F.struct(F.lit(no).alias("no"), k.alias("key"), F.lit(uses).alias("uses"), F.lit(offers).alias("offers")))
+
+    parts = []
+    for name, df in tables.items():
+        entries = []
+        for no, (kind, t, columns, parent, offered) in enumerate(known):
+            if kind == "foreign key":
+                if t == name:
+                    entries.append(entry(no, key(columns), 1, 0, whole(columns)))
+                if parent == name:
+                    entries.append(entry(no, key(offered), 0, 1, whole(offered)))
+            elif t == name:
+                null = kind == "not null"
+                entries.append(entry(no, F.lit("") if null else key(columns), 1, 0, ~whole(columns) if null else F.lit(True)))
+        if entries:
+            parts.append(df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*"))
+    met = reduce(DataFrame.unionByName, parts).groupBy("no", "key").agg(F.sum("uses").alias("uses"), F.max("offers").alias("offers"))
+    fk, unique = ([no for no, k in enumerate(known) if k[0] == kind] for kind in ("foreign key", "unique"))
+    bad = F.when(F.col("no").isin(fk), F.when(F.col("offers") == 0, F.col("uses")).otherwise(0)).when(F.col("no").isin(unique), (F.col("uses") > 1).cast("long")).otherwise(F.col("uses"))
+    found = met.groupBy("no").agg(F.sum(bad).alias("violations"))
+    rows = [(no, kind, t, ",".join(c), p) for no, (kind, t, c, p, _) in enumerate(known)]
+    every = spark.createDataFrame(rows, "no int, kind string, table string, columns string, parent string")
+    return every.join(found, "no", "left").select("kind", "table", "columns", "parent", F.coalesce("violations", F.lit(0)).alias("violations"))

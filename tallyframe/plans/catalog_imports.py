@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import checks as C
 from ..operators import ledger as L
 from ..sources import dirty_binding as D
 from ..session import cut_lineage, shared_path
@@ -274,3 +275,64 @@ register(
     f"""WITH {_ORDERS_SQL.strip()}, {_LEDGER_SUMS.strip()}
        SELECT * FROM sums UNION ALL SELECT '(numbers)', COUNT(*), CAST(COUNT(*) AS DOUBLE) FROM t""",
 )(_ledger_round_trip)
+
+# ---------------------------------------------------------------------------------------------
+# constraints on tables that break them (C4, C6 - C8), and eras with gaps
+
+
+def _broken_tables(lg) -> dict[str, DataFrame]:
+    """The ledger's tables with faults that follow from keys: parents taken away, numbers given twice, values missing."""
+    line = F.col("SrcLine")
+    txns = lg.txns.withColumns(
+        {
+            "N": F.col("SrcOrder") * 10 + F.when(line == 3, F.lit(2)).otherwise(line),
+            "Amount": F.when(line != 5, F.col("Amount")),
+            "Date": F.when(F.col("SrcOrder") % 50 != 0, F.col("Date")),
+        }
+    )
+    part = F.col("AccountNo")
+    balances = lg.accounts.select("Account", F.regexp_extract("Account", "([0-9]+)$", 1).cast("int").alias("AccountNo"))
+    twice = lg.payees.filter(F.col("Payee").endswith("3"))
+    return {
+        "Txns": txns,
+        "Accounts": lg.accounts.filter("Account NOT IN ('NATION_3', 'NATION_4')"),
+        "Payees": lg.payees.filter(~F.col("Payee").endswith("7")).unionByName(twice),
+        "Categories": lg.categories.filter("Subcategory IS NULL OR Subcategory <> 'Brand#1'"),
+        "Eras": lg.eras.filter("EraName <> 'Era B'"),
+        "TxnsInv": balances.select("Account", F.concat(F.lit("NATION_"), (part + 20).cast("string")).alias("XferAccount"), F.when(part % 5 != 0, F.lit("Buy")).alias("Activity")),
+        "Loans": balances.filter(part % 2 == 1).select(F.col("Account").alias("Loan")),
+        "AccountBalances": balances.select("Account", F.lit(1).cast("decimal(15,4)").alias("Balance")),
+    }
+
+
+on_ledger(
+    "check_constraints",
+    with_ledger(
+        """, b AS (SELECT Account, CAST(regexp_extract(Account, '([0-9]+)$', 1) AS INT) AS p FROM accts),
+           par AS (SELECT Account FROM accts WHERE Account NOT IN ('NATION_3', 'NATION_4')),
+           pay AS (SELECT Payee FROM (SELECT DISTINCT Payee FROM txns WHERE Payee IS NOT NULL) x WHERE Payee NOT LIKE '%7'),
+           n AS (SELECT SrcOrder * 10 + CASE WHEN SrcLine = 3 THEN 2 ELSE SrcLine END AS n FROM txns)
+           SELECT 'foreign key' AS kind, 'Txns' AS "table", 'Account' AS columns, 'Accounts' AS parent, (SELECT COUNT(*) FROM txns WHERE Account NOT IN (SELECT Account FROM par)) AS violations
+           UNION ALL SELECT 'foreign key', 'Txns', 'XferAccount', 'Accounts', (SELECT COUNT(*) FROM txns WHERE XferAccount IS NOT NULL AND XferAccount NOT IN (SELECT Account FROM par))
+           UNION ALL SELECT 'foreign key', 'Txns', 'Payee', 'Payees', (SELECT COUNT(*) FROM txns WHERE Payee LIKE '%7')
+           UNION ALL SELECT 'foreign key', 'Txns', 'Category,Subcategory', 'Categories', (SELECT COUNT(*) FROM txns WHERE Subcategory = 'Brand#1')
+           UNION ALL SELECT 'foreign key', 'Txns', 'EraName', 'Eras', (SELECT COUNT(*) FROM txns WHERE EraName = 'Era B')
+           UNION ALL SELECT 'foreign key', 'TxnsInv', 'Account', 'Accounts', (SELECT COUNT(*) FROM b WHERE Account NOT IN (SELECT Account FROM par))
+           UNION ALL SELECT 'foreign key', 'TxnsInv', 'XferAccount', 'Accounts', (SELECT COUNT(*) FROM b WHERE 'NATION_' || (p + 20) NOT IN (SELECT Account FROM par))
+           UNION ALL SELECT 'foreign key', 'Loans', 'Loan', 'Accounts', (SELECT COUNT(*) FROM b WHERE p % 2 = 1 AND Account NOT IN (SELECT Account FROM par))
+           UNION ALL SELECT 'foreign key', 'AccountBalances', 'Account', 'Accounts', (SELECT COUNT(*) FROM b WHERE Account NOT IN (SELECT Account FROM par))
+           UNION ALL SELECT 'unique', 'Txns', 'N', NULL, (SELECT COUNT(*) FROM (SELECT n FROM n GROUP BY n HAVING COUNT(*) > 1) x)
+           UNION ALL SELECT 'unique', 'Accounts', 'Account', NULL, 0
+           UNION ALL SELECT 'unique', 'Payees', 'Payee', NULL, (SELECT COUNT(*) FROM pay WHERE Payee LIKE '%3')
+           UNION ALL SELECT 'not null', 'Txns', 'Amount', NULL, (SELECT COUNT(*) FROM txns WHERE SrcLine = 5)
+           UNION ALL SELECT 'not null', 'Txns', 'Date', NULL, (SELECT COUNT(*) FROM txns WHERE SrcOrder % 50 = 0)
+           UNION ALL SELECT 'not null', 'TxnsInv', 'Activity', NULL, (SELECT COUNT(*) FROM b WHERE p % 5 = 0)"""
+    ).replace("\n, b AS", ",\n b AS"),
+    # constraints that a test row cannot break (key columns of the dimensions) are left to their own keys
+    lambda lg: C.constraints(_broken_tables(lg)).filter("kind <> 'not null' OR (table = 'Txns' AND columns IN ('Amount', 'Date')) OR (table = 'TxnsInv' AND columns = 'Activity')"),
+)
+
+register(
+    "check_unassigned_gaps",
+    with_ledger("SELECT COUNT(*) FILTER (WHERE year(Date) NOT IN (1996, 1998, 2000)) AS unassigned, COUNT(*) AS txns FROM txns"),
+)(lambda spark, sf: C.unassigned(_ledger_with({"eras": {str(y): {"date_from": str(y), "date_to": str(y)} for y in (1996, 1998, 2000)}})(spark, sf).txns))
