@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from tallyframe.llm.common import map_batches
 from tallyframe.llm.words import slices
 
-#: Words of up to 64 characters kept, twice: some 250 bytes each.
-CACHED_WORDS = 60_000
+#: Words of up to 64 characters kept, twice: some 250 bytes each, 100 MB at most.
+CACHED_WORDS = 200_000
 LONG_WORD = 40
 LONG_TEXT = 1 << 20
 
