@@ -34,13 +34,31 @@ from pyspark.sql import window as W
 
 from tallyframe.llm import files
 from tallyframe.llm.common import ship
-from tallyframe.llm.words import slices, text_buffers
+from tallyframe.llm.words import _FOLD, slices, text_buffers
 
 MAGIC = b"TFWM1\0"
 BLOCK = 512
 ROLL_IDS = 4 << 20
 #: Bytes of text whose distinct chunks are encoded at a time.
-SLICE = 8 << 20
+SLICE = 4 << 20
+#: Pieces kept by a worker, some 160 bytes each.
+KEPT_PIECES = 700_000
+_BLANK, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """Of each byte: blank, ASCII letter, digit, sign, or what keeps its run whole (other scripts, controls, the
+    apostrophe, which the tokenizer joins to endings)."""
+    kind = np.full(256, _ODD, np.uint8)
+    kind[0x21:0x7F] = _SIGN
+    kind[[0x20, 0x0A]] = _BLANK
+    kind[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = _LETTER
+    kind[ord("0") : ord("9") + 1] = _DIGIT
+    kind[ord("'")] = _ODD
+    return kind
+
+
+_KIND = _kinds()
 
 MANIFEST = T.StructType(
     [
@@ -205,9 +223,10 @@ def read_shard(uri: str) -> Shard:
 class Encoder:
     """Ids of texts by the tokenizers library, as integers of ``width`` bytes.
 
-    The tokenizer drops white space and never joins across it, so the chunks between blanks and line ends are encoded
-    one by one: the distinct chunks of a slice are found by Arrow's dictionary encoding, go through the library once, and
-    the ids of the texts are gathered from theirs. Nothing is kept from slice to slice.
+    The tokenizer drops white space and never joins across it, and within a run of plain ASCII it lower-cases and then cuts
+    between letters, single digits and signs. So a slice is cut into such pieces (a run between blanks that holds anything
+    else stays whole), the distinct ones are found by Arrow's dictionary encoding, those not met before go through the
+    library, and the ids of the texts are gathered from theirs. Up to KEPT_PIECES are kept from slice to slice.
     """
 
     def __init__(self, path: str, width: int) -> None:
@@ -216,40 +235,71 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = f"<u{width}"
-
-    def _library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each chunk, all ids)."""
-        sizes, ids = [], []
-        for i in range(0, len(chunks), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[i : i + 20_000], add_special_tokens=False)]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            sizes.append(n)
-            ids.append(np.fromiter(chain.from_iterable(found), self.kind, int(n.sum())))
-        return np.concatenate([*sizes, np.zeros(0, np.int64)]), np.concatenate([*ids, np.zeros(0, self.kind)])
-
-    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each text, all ids), with ``end`` after those of each text."""
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def _learn(self, new: list[str]) -> None:
+        sizes, ids = [self.sizes], [self.ids]
+        for i in range(0, len(new), 20_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), self.kind, int(sizes[-1].sum())))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.sizes, self.ids = np.concatenate(sizes), np.concatenate(ids)
+
+    def pieces(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """(the pieces of all texts, number of pieces up to the end of each text)."""
         raw, offsets = text_buffers(texts)
-        inside = (raw != 0x20) & (raw != 0x0A)
+        kind = _KIND[raw]
+        inside = kind != _BLANK
+        cut = offsets[(offsets > 0) & (offsets < len(raw))]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
-        cut = offsets[(offsets > 0) & (offsets < len(raw))]
         first[cut] = inside[cut]
+        runs = np.flatnonzero(first)
+        whole = np.zeros(len(raw), bool)  # in a run that is not plain
+        if len(runs):
+            odd = np.maximum.reduceat(kind == _ODD, runs)
+            whole = np.repeat(odd, np.diff(np.append(runs, len(raw))))
+            whole = np.concatenate([np.zeros(runs[0], bool), whole])
+            turns = ~whole[1:] & inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+            first[1:] |= turns
         starts = np.flatnonzero(first)
-        letters = raw[inside]
+        letters = np.where(whole, raw, _FOLD[raw])[inside]
         bounds = np.append((np.cumsum(inside, dtype=np.int64) - inside)[starts], len(letters)).astype(np.int32)
-        chunks = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds.tobytes()), pa.py_buffer(letters.tobytes()))
-        coded = chunks.dictionary_encode()
-        sizes, ids = self._library(coded.dictionary.to_pylist())
-        # The end id is one chunk more, set after the last chunk of each text.
-        at = np.append(np.cumsum(sizes) - sizes, len(ids))
-        sizes, ids = np.append(sizes, 1), np.append(ids, np.array([end], self.kind))
-        last = np.searchsorted(starts, offsets[1:])
-        chunk = np.insert(coded.indices.to_numpy().astype(np.int64), last, len(sizes) - 1)
-        n = sizes[chunk]
+        made = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds.tobytes()), pa.py_buffer(letters.tobytes()))
+        return made.dictionary_encode(), np.searchsorted(starts, offsets[1:])
+
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids), with ``end`` after those of each text."""
+        coded, last = self.pieces(texts)
+        distinct = coded.dictionary.to_pylist()
+        if len(self.known) + len(distinct) > KEPT_PIECES:
+            self.forget()
+        self._learn([p for p in distinct if p not in self.known])
+        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        # The end id is one piece more, set after the last piece of each text.
+        at = np.append((np.cumsum(self.sizes) - self.sizes)[place], len(self.ids))
+        sizes, ids = np.append(self.sizes[place], 1), np.append(self.ids, np.array([end], self.kind))
+        piece = np.insert(coded.indices.to_numpy().astype(np.int64), last, len(sizes) - 1)
+        n = sizes[piece]
         total = np.append(0, np.cumsum(n))
-        places = np.repeat(at[chunk] - total[:-1], n) + np.arange(total[-1])
-        return np.diff(total[np.append(0, last + np.arange(1, len(offsets)))]), ids[places]
+        places = np.repeat(at[piece] - total[:-1], n) + np.arange(total[-1])
+        return np.diff(total[np.append(0, last + np.arange(1, len(last) + 1))]), ids[places]
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, width: int) -> Encoder:
+    """The worker's encoder: what one task has learnt serves the next."""
+    if (path, width) not in _encoders:
+        _encoders.clear()
+        _encoders[path, width] = Encoder(path, width)
+    return _encoders[path, width]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, bits: int = 16, roll: int = ROLL_IDS, partitions: int | None = None) -> DataFrame:
@@ -263,7 +313,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, bits: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 if bits <= 16 else 4
-        encode, shard, seq, before = Encoder(tokenizer_path, width), TaskContext.get().partitionId(), 0, 0
+        encode, shard, seq, before = encoder(tokenizer_path, width), TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
         n = 0
