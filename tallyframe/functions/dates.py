@@ -1,7 +1,7 @@
 """Date specs of the report language and the date buckets of pivots.
 
-Specs are resolved to literal dates on the driver (they come from a report spec, not from data);
-buckets are column expressions.
+Absolute specs are resolved to literal dates; relative ones count from an anchor, which is a date or a column of the plan
+(a scalar subquery over the facts), so no query runs while another is built. Buckets are column expressions.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# --- fixed value: the grammar of relative dates ---
 RELATIVE_SPEC = re.compile(r"-?(\d+)([dwmy])")
 _FLEX_SPEC = re.compile(r"(\d{4})(?:-(\d{1,2})(?:-(\d{1,2}))?)?")
 _DAYS = {"d": 1, "w": 7}
@@ -58,10 +59,26 @@ def parse_relative_date(spec: str, anchor: date, first_day: bool) -> date | None
     return _period_edge(period * length, length, first_day)
 
 
-def resolve_date_spec(spec: str, first_day: bool, anchor: date | None) -> date | None:
-    """Relative spec when it matches (needs ``anchor``), else an absolute one."""
+def relative_date(spec: str, anchor: Column, first_day: bool) -> Column | None:
+    """``parse_relative_date`` for an anchor that is known when the query runs only."""
+    m = RELATIVE_SPEC.fullmatch(spec or "")
+    if not m:
+        return None
+    n, unit = int(m[1]), m[2]
+    if unit in _DAYS:
+        return F.date_sub(anchor, n * _DAYS[unit]) if n else None
+    length = _MONTHS[unit]
+    month = (F.floor((F.year(anchor) * 12 + F.month(anchor) - 1) / length) - n) * length
+    opening = F.make_date(F.floor(month / 12).cast("int"), (month % 12 + 1).cast("int"), F.lit(1))
+    return opening if first_day else F.date_sub(F.add_months(opening, length), 1)
+
+
+def resolve_date_spec(spec: str, first_day: bool, anchor: date | Column | None) -> date | Column | None:
+    """Relative spec when it matches (needs ``anchor``), else an absolute one. A Column as anchor gives a Column."""
     if not RELATIVE_SPEC.fullmatch(spec or ""):
         return parse_flex_date(spec, first_day)
+    if isinstance(anchor, Column):
+        return relative_date(spec, anchor, first_day)
     return None if anchor is None else parse_relative_date(spec, anchor, first_day)
 
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from datetime import date
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema as S
@@ -179,5 +179,10 @@ class Ledger:
         row = per_acct.agg(F.min("lo").alias("lo"), F.min("hi").alias("hi")).first()
         return (row.lo, row.hi) if row else (None, None)
 
+    def anchor(self) -> Column:
+        """The anchor of relative dates as a scalar subquery: it is part of the plan that uses it."""
+        a = self.accounts.filter(F.col("TxnDateMin").isNotNull())
+        return a.agg((F.min if self.anchor_mode == "min_of_max" else F.max)("TxnDateMax").alias("anchor")).scalar()
+
     def ctx(self) -> FilterContext:
-        return FilterContext(accounts=self.accounts, anchor=lambda: self.bounds()[1])
+        return FilterContext(accounts=self.accounts, anchor=self.anchor)

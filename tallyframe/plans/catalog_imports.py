@@ -18,7 +18,8 @@ from ..sources import exports as X
 from ..sources.store import read_ledger, write_ledger
 from . import ingest as I
 from .assemble import ledger_from_lines
-from .catalog import _ORDERS_SQL, _ledger_with, _rendered, on_ledger, register
+from . import pivot as P
+from .catalog import _ORDERS_SQL, _ledger_with, _pivot_sql, _rendered, on_ledger, register
 from .oracle import with_ledger
 
 # ---------------------------------------------------------------------------------------------
@@ -336,3 +337,14 @@ register(
     "check_unassigned_gaps",
     with_ledger("SELECT COUNT(*) FILTER (WHERE year(Date) NOT IN (1996, 1998, 2000)) AS unassigned, COUNT(*) AS txns FROM txns"),
 )(lambda spark, sf: C.unassigned(_ledger_with({"eras": {str(y): {"date_from": str(y), "date_to": str(y)} for y in (1996, 1998, 2000)}})(spark, sf).txns))
+
+# ---------------------------------------------------------------------------------------------
+# categories on columns
+
+_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+on_ledger(
+    "pivot_cols_category",
+    _pivot_sql([("COALESCE(EraName, '')", "EraName")], [(c, f"c = '{c}'") for c in _TYPES], "TxnType <> 'Transfer'").replace("SELECT COALESCE(EraName, '') AS EraName,", "SELECT COALESCE(EraName, '') AS EraName, Category AS c,"),
+    lambda lg: P.pivot(lg, {"select": {"txntype": "!Transfer"}, "options": {"rows": "era", "columns": "category"}}),
+)
