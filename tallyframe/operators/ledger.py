@@ -85,23 +85,23 @@ def _rule_assignments(rule: Mapping) -> dict[str, object]:
 def apply_rewrites(txns: DataFrame, rules: Sequence[Mapping], ctx: FilterContext | None = None) -> tuple[DataFrame, list[str]]:
     """Apply ordered rules; each sees the result of the previous ones (see ``operators.rules``).
 
-    Returns the rewritten frame, with the numbers of the rules that applied to each row in one column, and that
-    column's name in a list. One projection, whatever the number of rules.
+    Returns the rewritten frame, with the numbers of the rules that applied to each row in one column, and for each rule the
+    column that tells (that one for all). One projection, whatever the number of rules.
     """
     validate_rewrites(rules)
     assignments = [_rule_assignments(rule) for rule in rules]
     if not rules:
         return txns, []
-    return fold_rules(txns, rules_literal(rules, assignments, ctx or FilterContext())), [HITS]
+    return fold_rules(txns, rules_literal(rules, assignments, ctx or FilterContext())), [HITS] * len(rules)
 
 
-def rewrite_counts(rewritten: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
-    """Rows modified per rule, one row per rule."""
+def rewrite_counts(rewritten: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """Rows modified per rule, one row per rule (``flags``: as ``apply_rewrites`` returns them)."""
     spark = rewritten.sparkSession
-    if not rules:
+    if not flags:
         return spark.createDataFrame([], "rule long, modified long")
     hits = rewritten.select(F.explode(HITS).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("modified"))
-    every = spark.range(len(rules)).select(F.col("id").alias("rule"))
+    every = spark.range(len(flags)).select(F.col("id").alias("rule"))
     return every.join(hits, "rule", "left").select("rule", F.coalesce("modified", F.lit(0)).alias("modified"))
 
 
