@@ -45,8 +45,8 @@ SHARD = 12 << 20
 GRAM = 16
 SEGMENT = 1 << 18
 #: Bytes of pieces laid out at a time, anchors of a range, piece bytes of a range, ranges of a task.
-LAYOUT = 1 << 20
-RANGE_ANCHORS, RANGE_BYTES, RANGES = 1 << 20, 2 << 20, 2
+LAYOUT = 1 << 18
+RANGE_ANCHORS, RANGE_BYTES, RANGES = 1 << 20, 1 << 19, 8
 HOT = 20_000
 NO_ID = -(1 << 63)
 
