@@ -19,8 +19,9 @@ from ..sources.store import read_ledger, write_ledger
 from . import ingest as I
 from .assemble import ledger_from_lines
 from . import pivot as P
+from . import reports as R
 from .catalog import _ORDERS_SQL, _ledger_with, _pivot_sql, _rendered, on_ledger, register
-from .oracle import with_ledger
+from .oracle import REPORT_ORDER, with_ledger
 
 # ---------------------------------------------------------------------------------------------
 # sections with rejects
@@ -348,3 +349,16 @@ on_ledger(
     _pivot_sql([("COALESCE(EraName, '')", "EraName")], [(c, f"c = '{c}'") for c in _TYPES], "TxnType <> 'Transfer'").replace("SELECT COALESCE(EraName, '') AS EraName,", "SELECT COALESCE(EraName, '') AS EraName, Category AS c,"),
     lambda lg: P.pivot(lg, {"select": {"txntype": "!Transfer"}, "options": {"rows": "era", "columns": "category"}}),
 )
+
+# ---------------------------------------------------------------------------------------------
+# display names
+
+on_ledger(
+    "txns_display",
+    with_ledger(
+        f"""SELECT ROW_NUMBER() OVER (ORDER BY {REPORT_ORDER}) AS N, Num, strftime(Date, '%Y-%m-%d') AS Date, Account, Payee, Category,
+              Subcategory, XferAccount AS "Transfer Account", CAST(Amount AS DOUBLE) AS Amount, TxnType AS "Txn Type", TxnClass AS "Txn Class", Memo, Split, C,
+              EraName AS "Era" FROM v"""
+    ),
+    lambda lg: R.display(R.txns_report(lg, {}, drop_constant=False)),
+)
