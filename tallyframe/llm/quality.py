@@ -5,7 +5,8 @@ rejects what lies above its cutoff. Cutoffs come from labelled texts, per stratu
 
 * a third of the labelled texts (by a hash of their doc_id) proposes a *path*: starting from cutoffs that reject nothing,
   each step lowers one rule's cutoff, the step with the best ratio of bad texts caught to good texts lost first, as long as
-  it catches more than PENALTY times what it loses. At most FIT_ROWS texts of a stratum propose (by that hash);
+  it catches more than PENALTY times what it loses. All texts of that third propose: a step needs only the counts of the
+  texts left by (stratum, rule, cell, label), which Spark adds up for all strata at once;
 * all other labelled texts are the holdout. Along the path, the exact binomial tail P(Bin(n, risk) <= lost) of the n good
   holdout texts, of which the cutoffs up to that step reject ``lost``, is the p-value of "these cutoffs together reject
   more than their share of good texts";
@@ -17,7 +18,8 @@ rejects what lies above its cutoff. Cutoffs come from labelled texts, per stratu
 Only strata that can be certified at the final alpha count: for four strata, 183 good texts in the holdout at a risk of 2 %
 and delta of 10 %. A stratum with fewer rejects nothing by the rules, as nothing could be guaranteed.
 
-Only FIT_ROWS texts' cells per stratum and, of the holdout, counts per (stratum, step, label) reach the driver.
+Every usable label has its part, in the path or in the holdout. Only counts reach the driver: per step at most GRID + 1 for
+each stratum and rule, and, of the holdout, those per (stratum, step, label).
 Label rows are used once per doc_id; a doc_id whose labels disagree is not used. Nulls and
 empty texts have no words (and fail the base rule). A null lang is a stratum of its own. Repeated rows give
 repeated rows; other columns are ignored (or kept by ``filter_quality``); empty tables give no rows.
@@ -26,15 +28,14 @@ repeated rows; other columns are ignored (or kept by ``filter_quality``); empty
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import window as W
 
 from tallyframe.llm.common import map_batches, ship
 from tallyframe.llm.words import mix, slices, text_buffers, windows, words
@@ -43,8 +44,8 @@ from tallyframe.session import cut_lineage
 RULES = ("symbols", "capitals", "marks", "repeats", "lines")
 GRID = 200
 PENALTY = 50
-#: Labelled texts of a stratum that propose its path, at most, and the share of labels that may (in thirds of a hash).
-FIT_ROWS, FIT_SHARE = 4000, 3
+#: One labelled text in so many (by a hash of its doc_id) proposes a path; all others are the holdout.
+FIT_SHARE = 3
 WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -165,28 +166,59 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
+def step_of(counts: Callable[[int], tuple[np.ndarray, np.ndarray]]) -> tuple[int, int] | None:
+    """The next step (rule, cutoff cell) of a path, from the good and bad texts left in each cell of a rule."""
+    best = None
+    for rule in range(len(RULES)):
+        lost, caught = (left[::-1].cumsum()[::-1] for left in counts(rule))  # at or above a cell
+        pays = caught[1:] > PENALTY * lost[1:]  # a cutoff at cell c rejects the cells from c + 1 on
+        if not pays.any():
+            continue
+        ratio = np.where(pays, caught[1:] / (lost[1:] + 0.5), -1.0)
+        at = int(np.flatnonzero(ratio == ratio.max())[-1])  # of equal ones the mildest
+        step = (float(ratio[at]), -rule, at)
+        if best is None or step > best:
+            best = step
+    return None if best is None else (-best[1], best[2])
+
+
 def propose(cells: np.ndarray, good: np.ndarray) -> list[tuple[int, int]]:
     """The path (rule, cutoff cell) of a stratum: what each step rejects lies in cells above its cutoff."""
     left, path = np.ones(len(cells), bool), []
-    while True:
-        best = None
-        for rule in range(len(RULES)):
-            own, is_good = cells[left, rule], good[left]
-            lost = np.bincount(own[is_good], minlength=GRID + 1)[::-1].cumsum()[::-1]  # at or above a cell
-            caught = np.bincount(own[~is_good], minlength=GRID + 1)[::-1].cumsum()[::-1]
-            pays = caught[1:] > PENALTY * lost[1:]  # a cutoff at cell c rejects the cells from c + 1 on
-            if not pays.any():
-                continue
-            ratio = np.where(pays, caught[1:] / (lost[1:] + 0.5), -1.0)
-            at = int(np.flatnonzero(ratio == ratio.max())[-1])  # of equal ones the mildest
-            step = (float(ratio[at]), -rule, at)
-            if best is None or step > best:
-                best = step
-        if best is None:
-            return path
-        rule, cell = -best[1], best[2]
-        path.append((rule, cell))
-        left &= cells[:, rule] <= cell
+
+    def counts(rule: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.bincount(cells[left & of, rule], minlength=GRID + 1) for of in (good, ~good))
+
+    while (step := step_of(counts)) is not None:
+        path.append(step)
+        left &= cells[:, step[0]] <= step[1]
+    return path
+
+
+def limits_of(spark: SparkSession, cutoffs: dict[str | None, list[int]]) -> DataFrame:
+    """(stratum, limits): the cutoff cell of every rule."""
+    return spark.createDataFrame(list(cutoffs.items()), "stratum string, limits array<bigint>")
+
+
+def paths_of(fit: DataFrame, strata: list[str | None]) -> dict[str | None, list[tuple[int, int]]]:
+    """The path of each of ``strata``, as ``propose`` makes it, from (lang, cells, good, bad): texts of these cells."""
+    paths: dict[str | None, list[tuple[int, int]]] = {lang: [] for lang in strata}
+    limits = {lang: [GRID] * len(RULES) for lang in strata}
+    going = list(strata)
+    while going:
+        left = fit.join(F.broadcast(limits_of(fit.sparkSession, {lang: limits[lang] for lang in going})), F.col("lang").eqNullSafe(F.col("stratum")))
+        left = left.filter(F.forall(F.zip_with("cells", "limits", lambda c, m: c <= m), lambda x: x))
+        found = {lang: np.zeros((2, len(RULES), GRID + 1), np.int64) for lang in going}
+        counted = left.select("lang", "good", "bad", F.posexplode("cells").alias("rule", "cell"))
+        for r in counted.groupBy("lang", "rule", "cell").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect():
+            found[r.lang][:, r.rule, r.cell] = r.good, r.bad
+        steps = {lang: step_of(lambda rule, n=found[lang]: (n[0, rule], n[1, rule])) for lang in going}
+        going = [lang for lang in going if steps[lang] is not None]
+        for lang in going:
+            rule, cell = steps[lang]
+            paths[lang].append((rule, cell))
+            limits[lang][rule] = min(cell, limits[lang][rule])
+    return paths
 
 
 def certified(lost: list[int], n: int, risk: float, alpha: float) -> int:
@@ -215,22 +247,18 @@ def thresholds(scored: DataFrame, labels: DataFrame, risk: float = 0.02, delta:
     )
     marked = scored.select("doc_id", "lang", "cells").dropDuplicates(["doc_id", "lang", "cells"]).join(once, "doc_id")
     draw = F.xxhash64(F.lit("fit"), "doc_id")
-    marked = cut_lineage(marked.select("lang", "cells", "quality", draw.alias("draw"), (F.pmod(draw, F.lit(FIT_SHARE)) == 0).alias("fit")), "labelled")
-    order = W.Window.partitionBy("lang").orderBy("draw", "cells", "quality")
-    fit: dict[str | None, list] = {}
-    for r in marked.filter("fit").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= FIT_ROWS).collect():
-        fit.setdefault(r.lang, []).append((r.cells, r.quality))
+    marked = cut_lineage(marked.select("lang", "cells", "quality", (F.pmod(draw, F.lit(FIT_SHARE)) == 0).alias("fit")), "labelled")
+    fit = marked.filter("fit").groupBy("lang", "cells").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
+    fit = cut_lineage(fit, "fit")
+    seen = [r.lang for r in fit.select("lang").distinct().collect()]
     holdout = marked.filter("NOT fit")
     n = {r.lang: int(r.n) for r in holdout.groupBy("lang").agg(F.sum("quality").alias("n")).collect() if r.n}
-    sizes = sorted((n[lang] for lang in fit if lang in n), reverse=True)
+    sizes = sorted((n[lang] for lang in seen if lang in n), reverse=True)
     strata = max([i for i, size in enumerate(sizes, 1) if size >= enough(risk, delta / i)], default=0)
     if not strata:
         return {}
     alpha = delta / strata
-    paths = {}
-    for lang, rows in fit.items():
-        if n.get(lang, 0) >= enough(risk, alpha):
-            paths[lang] = propose(np.array([c for c, _ in rows], np.int64).reshape(-1, len(RULES)), np.array([q == 1 for _, q in rows]))
+    paths = paths_of(fit, [lang for lang in seen if n.get(lang, 0) >= enough(risk, alpha)])
     steps = [(lang, i, rule, cell) for lang, path in paths.items() for i, (rule, cell) in enumerate(path)]
     if not steps:
         return {}
@@ -255,8 +283,7 @@ def failed() -> F.Column:
 def judge(scored: DataFrame, cutoffs: dict[tuple[str | None, str], int]) -> DataFrame:
     """``scored`` with base_failed, rules_failed (names) and kept."""
     if cutoffs:
-        rows = [(lang, [cutoffs.get((lang, r), GRID + 1) for r in RULES]) for lang in {lang for lang, _ in cutoffs}]
-        limits = scored.sparkSession.createDataFrame(rows, "stratum string, limits array<bigint>")
+        limits = limits_of(scored.sparkSession, {lang: [cutoffs.get((lang, r), GRID + 1) for r in RULES] for lang in {lang for lang, _ in cutoffs}})
         scored = scored.join(F.broadcast(limits), scored["lang"].eqNullSafe(limits["stratum"]), "left")
     else:
         scored = scored.withColumn("limits", F.lit(None).cast("array<bigint>"))

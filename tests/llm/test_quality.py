@@ -6,6 +6,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tallyframe.llm import quality
 
@@ -128,3 +129,27 @@ def test_verdicts(spark, make_docs, odd_rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in out.values() if r.kept)
     assert quality.assess(quality.score(make_docs([])), labels).count() == 0
     assert quality.filter_quality(make_docs(rows[-4:]), labels.filter("false")).count() == 3
+
+
+def test_all_labelled_texts_propose_the_path(spark):
+    """More labelled texts than a driver's share: the path over Spark's counts is that over arrays of all of them."""
+    rng = np.random.default_rng(5)
+    n = 40_000
+    bad = np.arange(n) % 5 == 0
+    cells = np.minimum(quality.GRID, rng.exponential(np.where(bad, 40, 3)[:, None], (n, 5))).astype(np.int64)
+    rows = [(lang, c.tolist(), int(not b), int(b)) for lang in ("en", None) for c, b in zip(cells, bad, strict=True)]
+    fit = spark.createDataFrame(rows, "lang string, cells array<bigint>, good bigint, bad bigint")
+    want = quality.propose(cells, ~bad)
+    assert quality.paths_of(fit, ["en", None]) == {"en": want, None: want} and len(want) > 2
+    assert quality.paths_of(fit, []) == {} and quality.paths_of(fit.limit(0), ["en"]) == {"en": []}
+    scored = fit.filter("lang = 'en'").select(F.monotonically_increasing_id().alias("doc_id"), "lang", "cells", "good").cache()
+    labels = scored.select("doc_id", F.col("good").cast("int").alias("quality"))
+    cutoffs = quality.thresholds(scored, labels)
+    hashed = scored.select("cells", "good", (F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(quality.FIT_SHARE)) == 0).alias("fit")).collect()
+    own = [(r.cells, r.good == 1) for r in hashed if r.fit]
+    assert len(own) > 10_000
+    path = quality.propose(np.array([c for c, _ in own]), np.array([g for _, g in own]))
+    strict = {}
+    for rule, cell in path:
+        strict[quality.RULES[rule]] = min(cell, strict.get(quality.RULES[rule], quality.GRID + 1))
+    assert cutoffs == {("en", rule): cell for rule, cell in strict.items()}
