@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from datetime import date
 from functools import reduce
 
@@ -188,13 +189,30 @@ register(
 )(_prune_exports_head)
 
 
+OTHER_KINDS = ("balances", "spending", "monthly", "loans", "details", "investments")
+
+
+def _kinds(spark: SparkSession, sf: str, kinds: Sequence[str]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [_rendered(spark, sf, k) for k in kinds])
+
+
 def _seven_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """The line table of exports of all seven kinds (stored)."""
-    return reduce(DataFrame.unionByName, [_rendered(spark, sf, k) for k in ("txns", "balances", "spending", "monthly", "loans", "details", "investments")])
+    return _kinds(spark, sf, ("txns", *OTHER_KINDS))
+
+
+def _write_seven_kinds(spark: SparkSession, sf: str) -> str:
+    """Exports of all seven kinds as files. The transactions, nearly all of the lines, are written as they are rendered: a
+    file's lines are together then, and stored first they would be shuffled once more."""
+    path = shared_path(spark, f"exports-{uuid.uuid4().hex}")
+    txns = EB.txn_export_lines(spark, sf)
+    # lines without a file's name are one file, whatever their kind
+    EB.write_files(_kinds(spark, sf, OTHER_KINDS).unionByName(txns.filter("file IS NULL")), path)
+    return EB.write_files(txns.filter("file IS NOT NULL"), path, gathered=True, mode="append")
 
 
 def _classify_heads(spark: SparkSession, sf: str) -> DataFrame:
-    found = EB.write_files(_seven_kinds(spark, sf), shared_path(spark, f"exports-{uuid.uuid4().hex}"))
+    found = _write_seven_kinds(spark, sf)
     heads = cut_lineage(X.judge_heads(X.scan_heads(spark, found)), "heads")
     kinds = X.classify_exports(X.open_exports(spark, heads))
     both = heads.join(kinds, "file")

@@ -59,7 +59,8 @@ def _preamble(files: DataFrame, lines: tuple[str, ...], header: str) -> DataFram
 
 
 def txn_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed rows of the transactions export before rendering (file, key, kind, fields...)."""
+    """Typed rows of the transactions export before rendering (key, kind, fields...): what the rendering can derive from
+    them (the file, the shown number and date) does not travel with them."""
     nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey").join(
         nation, F.col("c_nationkey") == F.col("n_nationkey")
@@ -74,8 +75,7 @@ def txn_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).alias("lnum"),
         F.lit(0).cast("long").alias("t1"),
         F.lit(0).cast("long").alias("t2"),
-        F.when(void, F.lit("**VOID**")).otherwise(F.col("o_orderkey").cast("string")).alias("Num"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"),
+        F.to_date("o_orderdate").alias("Date"),
         F.col("c_name").alias("Payee"),
         F.col("n_name").alias("Account"),
         F.col("o_orderpriority").alias("Memo"),
@@ -95,8 +95,7 @@ def txn_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("lnum"),
         F.col("l_partkey").alias("t1"),
         F.col("l_suppkey").alias("t2"),
-        F.lit(None).cast("string").alias("Num"),
-        F.lit(None).cast("string").alias("Date"),
+        F.lit(None).cast("date").alias("Date"),
         F.lit(None).cast("string").alias("Payee"),
         F.lit(None).cast("string").alias("Account"),
         F.when(F.col("l_linenumber") == 1, F.col("l_returnflag")).alias("Memo"),
@@ -105,15 +104,14 @@ def txn_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("C"),
         F.lit(None).cast("boolean").alias("void"),
     )
-    u = parents.unionByName(children).withColumn("file", F.concat(F.lit("txns_"), F.floor(F.col("okey") / ORDERS_PER_FILE).cast("string")))
-    return u
+    return parents.unionByName(children)
 
 
 def txn_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered account-transactions exports: (file, line_no, line, modified)."""
-    u = txn_export_rows(spark, sf_dir)
-    w = Window.partitionBy("file").orderBy("okey", "kind", "lnum", "t1", "t2", "amt", "Memo", "C", "Category")
-    ordw, filew = Window.partitionBy("file", "okey"), Window.partitionBy("file")
+    """Rendered account-transactions exports: (file, line_no, line, modified). The lines of a file lie in one partition."""
+    u = txn_export_rows(spark, sf_dir).withColumn("_file", F.floor(F.col("okey") / ORDERS_PER_FILE))
+    w = Window.partitionBy("_file").orderBy("okey", "kind", "lnum", "t1", "t2", "amt", "Memo", "C", "Category")
+    ordw, filew = Window.partitionBy("_file", "okey"), Window.partitionBy("_file")
     u = (
         u.withColumn("_at", F.row_number().over(w).cast("long"))
         .withColumn("_parts", F.count_if(F.col("kind") == 1).over(ordw))
@@ -123,7 +121,8 @@ def txn_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = u.withColumn("_t", F.sum(F.when(counted, F.col("amt"))).over(filew)).withColumn("_last", F.max("_at").over(filew))
     # a file's first row brings the lines above it, its last one the footer: the rows are made and gathered by file once
     above = (*TXN_PREAMBLE, TXN_HEADER)
-    body = csv_line(F.col("Num"), F.col("Date"), F.col("Payee"), F.col("Account"), F.col("Memo"), F.col("Category"), money_text(F.col("amt")), F.col("C"), F.lit(None))
+    num = F.when(F.col("kind") == 0, F.when(F.col("void"), F.lit("**VOID**")).otherwise(F.col("okey").cast("string")))
+    body = csv_line(num, F.date_format("Date", "yyyy-MM-dd"), F.col("Payee"), F.col("Account"), F.col("Memo"), F.col("Category"), money_text(F.col("amt")), F.col("C"), F.lit(None))
     footer = F.concat_ws(",", F.lit("Grand Total"), F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit(""), q(money_text(F.coalesce(F.col("_t"), F.lit(0).cast(MONEY)))), F.lit(""), F.lit(""))
     none = F.array().cast("array<string>")
     lines = F.concat(
@@ -132,7 +131,8 @@ def txn_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("_at") == F.col("_last"), F.array(footer)).otherwise(none),
     )
     first = F.when(F.col("_at") == 1, F.lit(1)).otherwise(F.col("_at") + len(above)).cast("long")
-    rows = u.select("file", first.alias("_first"), F.posexplode(lines).alias("pos", "line"))
+    file = F.concat(F.lit("txns_"), F.col("_file").cast("string")).alias("file")
+    rows = u.select(file, first.alias("_first"), F.posexplode(lines).alias("pos", "line"))
     return rows.select("file", (F.col("_first") + F.col("pos")).alias("line_no"), "line", F.lit(None).cast("timestamp").alias("modified"))
 
 
@@ -380,10 +380,11 @@ def yearly_balance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file", F.row_number().over(w).cast("long").alias("line_no"), "line").withColumn("modified", F.lit(None).cast("timestamp"))
 
 
-def write_files(lines: DataFrame, path: str) -> str:
-    """A line table as text files, one per export (in folders ``file=<name>``); returns the pattern that finds them."""
-    rows = lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", "line")
-    rows.write.mode("overwrite").partitionBy("file").text(path)
+def write_files(lines: DataFrame, path: str, gathered: bool = False, mode: str = "overwrite") -> str:
+    """A line table as text files, one per export (in folders ``file=<name>``); returns the pattern that finds them.
+    ``gathered``: the lines of a file lie in one partition already and are not shuffled again."""
+    rows = (lines if gathered else lines.repartition("file")).sortWithinPartitions("file", "line_no").select("file", "line")
+    rows.write.mode(mode).partitionBy("file").text(path)
     return f"{path.rstrip('/')}/*/*"
 
 

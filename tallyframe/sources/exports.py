@@ -90,7 +90,7 @@ def read_lines(spark: SparkSession, paths: Sequence[str] | str, encoding: str =
 
     The text source splits large files; a line's number is its place in its block of the file plus the lines of
     earlier blocks, from a table of one row per block. The split rows are written once, so that both
-    passes see the same blocks.
+    passes see the same blocks; the table is stored too: a planner that knows its size does not shuffle the lines to meet it.
     """
     meta = F.col("_metadata")
     rows = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
@@ -104,7 +104,7 @@ def read_lines(spark: SparkSession, paths: Sequence[str] | str, encoding: str =
     blocks = rows.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = rows.join(blocks, ["file", "_block"])
+    numbered = rows.join(cut_lineage(blocks, "blocks"), ["file", "_block"])
     return numbered.select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line", "modified")
 
 

@@ -1,11 +1,13 @@
 """What the ledger's plans read, however large the tables are."""
 
+from pyspark.sql import functions as F
 from small_tables import SMALL
 
 from tallyframe.operators.filters import apply_select
 from tallyframe.plans import fanout as K
 from tallyframe.plans.assemble import ledger_from_lines
 from tallyframe.sources import export_binding as EB
+from tallyframe.sources import exports as X
 
 
 def plan(df):
@@ -36,3 +38,30 @@ def test_lines_are_dealt_by_kind(spark):
     assert ledger.of_kind("loan_terms").unionByName(ledger.of_kind("account_balances")).exceptAll(ledger.lines).isEmpty()
     assert ledger.of_kind("income_spending").isEmpty()
     assert len(ledger.of_kind("loan_terms").inputFiles()) > 0 and "Join" not in plan(ledger.of_kind("loan_terms"))
+
+
+def started(df):
+    """The plan as it starts: what the planner knows before anything has run."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_files_are_numbered_without_a_shuffle(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("".join(f"{name}{i}\n" for i in range(1, 6)))
+    lines = X.read_lines(spark, f"{tmp_path}/*.csv")
+    assert "SortMergeJoin" not in started(lines) and "Exchange hashpartitioning(file" not in started(lines)
+    assert sorted((r.line, r.line_no) for r in lines.collect()) == [(f"{n}{i}", i) for n in "ab" for i in range(1, 6)]
+
+
+def test_rendered_exports_are_written_as_they_lie(spark, tmp_path):
+    lines = EB.txn_export_lines(spark, SMALL)
+    places = lines.withColumn("at", F.spark_partition_id()).groupBy("file").agg(F.count_distinct("at").alias("n"))
+    assert places.filter("n > 1").isEmpty(), "the lines of a file lie in several partitions"
+    made = sorted(p for p in started(lines).splitlines() if "hashpartitioning(_file" in p)
+    assert len(made) == 1 and "Num" not in made[0]
+    found = EB.write_files(lines, str(tmp_path / "exports"), gathered=True)
+    read = X.read_lines(spark, found)
+    assert read.select("file").distinct().count() == places.count()
+    back = read.select(EB.file_label(F.col("file")).alias("file"), "line_no", "line")
+    want = lines.select("file", "line_no", F.rtrim("line").alias("line"))
+    assert back.exceptAll(want).isEmpty() and want.exceptAll(back).isEmpty()
