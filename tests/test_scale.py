@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from small_tables import SMALL
 
 from tallyframe.operators.filters import apply_select
+from tallyframe.operators.numbering import number_rows
 from tallyframe.plans import fanout as K
 from tallyframe.plans.assemble import ledger_from_lines
 from tallyframe.sources import export_binding as EB
@@ -65,3 +66,10 @@ def test_rendered_exports_are_written_as_they_lie(spark, tmp_path):
     back = read.select(EB.file_label(F.col("file")).alias("file"), "line_no", "line")
     want = lines.select("file", "line_no", F.rtrim("line").alias("line"))
     assert back.exceptAll(want).isEmpty() and want.exceptAll(back).isEmpty()
+
+
+def test_numbers_within_groups_are_attached_without_a_shuffle(spark):
+    rows = spark.range(300).selectExpr("id % 3 AS g", "id AS k")
+    numbered = number_rows(rows, ["k"], "N", partition_by=["g"], num_partitions=4)
+    assert "SortMergeJoin" not in started(numbered) and "hashpartitioning(__nr_pid" not in started(numbered)
+    assert sorted((r.g, r.k, r.N) for r in numbered.collect()) == [(k % 3, k, k // 3 + 1) for k in sorted(range(300), key=lambda k: (k % 3, k))]
