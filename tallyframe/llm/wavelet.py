@@ -40,7 +40,7 @@ MAGIC = b"TFWM1\0"
 BLOCK = 512
 ROLL_IDS = 4 << 20
 #: Bytes of text whose distinct chunks are encoded at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Pieces kept by a worker, some 160 bytes each.
 KEPT_PIECES = 700_000
 _BLANK, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
@@ -269,7 +269,7 @@ class Encoder:
             first[1:] |= turns
         starts = np.flatnonzero(first)
         letters = np.where(whole, raw, _FOLD[raw])[inside]
-        bounds = np.append((np.cumsum(inside, dtype=np.int64) - inside)[starts], len(letters)).astype(np.int32)
+        bounds = np.append(np.cumsum(inside, dtype=np.int32)[starts] - 1, len(letters)).astype(np.int32)
         made = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds.tobytes()), pa.py_buffer(letters.tobytes()))
         return made.dictionary_encode(), np.searchsorted(starts, offsets[1:])
 
@@ -319,8 +319,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, bits: in
         n = 0
 
         def close() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) for x in held])
-            data = pack(doc_ids, ends, np.concatenate(held), bits, shard=shard, seq=seq, before=before)
+            ends, ids = np.cumsum([len(x) for x in held]), np.concatenate(held)
+            held.clear()  # the slices that the documents' ids are parts of
+            data = pack(doc_ids, ends, ids, bits, shard=shard, seq=seq, before=before)
             uri = files.put(folder, f"shard-{shard:06d}-{seq:06d}.wm", lambda out: out.write(data))
             row = (uri, shard, seq, len(doc_ids), n, len(data))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=MANIFEST.names)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -65,3 +66,14 @@ def test_query_rows(spark, make_docs, odd_rows, library):
     assert manifest.count() > 10
     empty = wavelet.write_shards(make_docs([]), PATH, partitions=2)
     assert empty.count() == 0 and wavelet.read_documents(empty, T.LongType(), 2).count() == 0
+
+
+def test_cutting_a_slice_counts_its_letters_in_32_bits():
+    texts = pa.array([" ".join(f"word{i % 5000}" for i in range(40_000))] * 4)
+    encoder = wavelet.Encoder(PATH, 2)
+    encoder.pieces(texts)
+    tracemalloc.start()
+    encoder.pieces(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 23 * texts.nbytes, peak / texts.nbytes
