@@ -19,9 +19,11 @@ percent or more; a document's component is the smallest doc_id it reaches over l
    HUBS further components as hubs, and again, until a round finds no link between components. The rounds only
    save candidates.
 6. All members of large buckets that still hold several components are then finished with an exact join: two
-   linked sets share a shingle among the rarest n - ceil(threshold * n / 100) + 1 of each (prefix filter), shingles
-   of one component only being the rarest. Every pair of different components that does so, and whose sizes and
-   places leave the threshold possible, is screened and confirmed.
+   linked sets share a shingle among the rarest n - ceil(threshold * n / 100) + 1 of each (prefix filter, right in any
+   one order of the shingles). The order is by the members of a shingle's cell, of CELLS cells of hashes, cells of one
+   component only being the rarest (such shingles link nothing); so a set's rows are its prefix, not all its shingles.
+   Every pair of different components that does so, and whose sizes and places leave the threshold possible, is
+   screened and confirmed.
 
 A pair at the threshold shares a band with probability 1 - 7e-6. Nothing is capped: the candidates of a round
 are linear in the bucket rows, those of step 6 are as many as there are pairs that pass its filters. Joins on a
@@ -54,6 +56,7 @@ SKETCH_BITS = 512
 MARGIN = 0.2
 SMALL_BUCKET, HUBS = 32, 1
 PART = 256
+CELLS, BLOCKS = 1 << 20, 64
 
 _random = np.random.default_rng(77)
 _A = _random.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
@@ -188,28 +191,82 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Dat
     return map_batches(rows, run, [("id", kind), ("hub", kind)])
 
 
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) // np.uint64((1 << 64) // CELLS)).astype(np.int64)
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many ``shingles`` of ``sets`` (component, shingles) fall in each of CELLS cells; 0 where all are of one component."""
+    width = CELLS // BLOCKS
+    parts = pa.schema([("block", pa.int32()), ("cells", pa.binary()), ("n", pa.binary()), ("lo", pa.binary()), ("hi", pa.binary())])
+    sums = pa.schema([("block", pa.int32()), ("n", pa.binary())])
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, lo, hi = np.zeros(CELLS, np.int64), np.full(CELLS, most), np.full(CELLS, least)
+        for batch in batches:
+            shingles = batch.column("shingles")
+            cell = _cells(shingles.flatten().to_numpy())
+            component = np.repeat(batch.column("component").to_numpy(), shingles.value_lengths().to_numpy())
+            np.add.at(n, cell, 1)
+            np.minimum.at(lo, cell, component)
+            np.maximum.at(hi, cell, component)
+        for block in range(BLOCKS):
+            own = np.flatnonzero(n[block * width : (block + 1) * width])
+            if len(own):
+                at = own + block * width
+                row = (block, own.tobytes(), n[at].tobytes(), lo[at].tobytes(), hi[at].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, parts, strict=True)], schema=parts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, lo, hi = held.setdefault(block, (np.zeros(width, np.int64), np.full(width, most), np.full(width, least)))
+                own, more, low, high = (np.frombuffer(x, np.int64) for x in row)
+                n[own] += more
+                lo[own] = np.minimum(lo[own], low)
+                hi[own] = np.maximum(hi[own], high)
+        for block, (n, lo, hi) in held.items():
+            n = np.where(lo < hi, np.minimum(n, np.iinfo(np.uint32).max), 0).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([n.tobytes()])], schema=sums)
+
+    rows = sets.select(F.col("component").cast("long").alias("component"), "shingles")
+    rows = rows.mapInArrow(count, "block int, cells binary, n binary, lo binary, hi binary").repartition(BLOCKS, "block")
+    out = np.zeros((BLOCKS, width), np.uint32)
+    for row in rows.mapInArrow(add, "block int, n binary").collect():  # CELLS numbers, however many sets there are
+        out[row.block] = np.frombuffer(row.n, "<u4")
+    return out.ravel()
+
+
 def prefixes(sets: DataFrame, k: int, threshold: int) -> DataFrame:
     """(id, component, n, shingle, place) of the rarest shingles of the sets (id, component, text) that may link them to another component."""
-    kind = sets.schema["id"].dataType
-    fields = [("id", kind), ("component", sets.schema["component"].dataType), ("own", T.LongType()), ("n", T.LongType()), ("shingles", T.ArrayType(T.LongType()))]
+    spark, kind, component = sets.sparkSession, sets.schema["id"].dataType, sets.schema["component"].dataType
+    fields = [("id", kind), ("component", component), ("shingles", T.ArrayType(T.LongType()))]
 
-    def run(batch: pa.RecordBatch) -> Iterator[list]:
+    def make(batch: pa.RecordBatch) -> Iterator[list]:
         for part in slices(batch, "text", 2 << 20):
             made = list(shingle_sets(part.column("text"), k))
             n = np.array([len(s) for s in made], np.int64)
             flat = np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
-            yield [part.column("id"), part.column("component"), part.column("own"), n, lists]
-
-    rows = map_batches(sets.select("id", "component", F.xxhash64("text").alias("own"), "text"), run, fields)
-    rows = cut_lineage(rows, "sets").select("id", "component", "own", "n", F.explode("shingles").alias("shingle"))
-    spread = rows.groupBy("shingle").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    shared = rows.join(spread.filter("lo <> hi").select("shingle", "members"), "shingle")
-    own = W.Window.partitionBy("id", "own")
-    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("members", "shingle"))
-    least = F.ceil(threshold * F.col("n") / 100)
-    shared = shared.withColumn("place", place).filter(F.col("place") <= F.col("n") - least + 1)
-    return cut_lineage(shared.select("id", "component", "n", "shingle", "place"), "prefixes")
+            yield [part.column("id"), part.column("component"), lists]
+
+    made = cut_lineage(map_batches(sets.select("id", "component", "text"), make, fields), "sets")
+    often = spark.sparkContext.broadcast(frequencies(made))
+
+    def rarest(batch: pa.RecordBatch) -> Iterator[list]:
+        shingle = batch.column("shingles").flatten().to_numpy()
+        n = batch.column("shingles").value_lengths().to_numpy().astype(np.int64)
+        owner, members = np.repeat(np.arange(len(n)), n), often.value[_cells(shingle)]
+        by = np.lexsort((shingle, members, owner))
+        place = np.arange(len(by)) - np.repeat(np.cumsum(n) - n, n) + 1
+        kept = (members[by] > 0) & (place <= (n + threshold * n * -1 // 100 + 1)[owner])
+        by, own = by[kept], pa.array(owner[kept])
+        yield [batch.column("id").take(own), batch.column("component").take(own), n[owner[kept]], shingle[by], place[kept]]
+
+    fields = [("id", kind), ("component", component), ("n", T.LongType()), ("shingle", T.LongType()), ("place", T.LongType())]
+    return cut_lineage(map_batches(made, rarest, fields), "prefixes")
 
 
 def across(sets: DataFrame, k: int, threshold: int) -> DataFrame:

@@ -123,3 +123,25 @@ def test_a_family_of_thousands_around_the_threshold(spark, make_docs):
     texts = [t for rate in (0.10, 0.14) for t in family(rng, base, 1500, rate, vocabulary)]
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(make_docs(list(enumerate(texts))), k=1).collect()}
     assert [got[i] for i in range(len(texts))] == closest(texts, 1)
+
+
+def test_the_exact_join_takes_rows_of_prefixes_only(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(80)]
+    texts = [t for rate in (0.01, 0.03, 0.3) for t in family(rng, base, 40, rate, vocabulary)]
+    rows = [(i, 5 + i % 3 if i < 100 else 1000 + i, t) for i, t in enumerate(texts)]
+    plans, cut = [], neardup.cut_lineage
+    monkeypatch.setattr(neardup, "cut_lineage", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or cut(df, name))
+    sets = spark.createDataFrame(rows, "id bigint, component bigint, text string")
+    made = neardup.prefixes(sets, 3, 80).collect()
+    assert not [p for p in plans if "explode(shingles" in p]
+    full = [set(s.view(np.int64).tolist()) for s in shingle_sets(pa.array(texts), 3)]
+    for i, own in enumerate(full):
+        mine = [r for r in made if r.id == i]
+        assert {r.shingle for r in mine} <= own and {r.n for r in mine} <= {len(own)}
+        assert len(mine) <= len(own) + -4 * len(own) // 5 + 1
+        assert len({r.place for r in mine}) == len(mine)
+    pairs = {(r.id, r.hub) for r in neardup.across(sets, 3, 80).collect()}
+    linked = {(x, y) for y in range(len(rows)) for x in range(y) if rows[x][1] != rows[y][1] and 5 * len(full[x] & full[y]) >= 4 * len(full[x] | full[y])}
+    assert linked and linked <= pairs
