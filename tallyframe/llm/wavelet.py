@@ -19,9 +19,10 @@ by one document.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,9 @@ ROLL_IDS = 4 << 20
 #: Bytes of text whose distinct chunks are encoded at a time.
 SLICE = 2 << 20
 #: Pieces kept by a worker, some 160 bytes each.
-KEPT_PIECES = 700_000
+KEPT_PIECES = 1_200_000
+#: New pieces are encoded so many in one text, with this sign after each.
+JOINED, MARK = 500, "#"
 _BLANK, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
 
 
@@ -230,24 +233,43 @@ class Encoder:
     """
 
     def __init__(self, path: str, width: int) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core: the library's threads cost more than they bring
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = f"<u{width}"
+        (mark,) = self._encode([MARK])
+        self.mark = mark[0] if len(mark) == 1 else -1
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, self.kind)
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, new: list[str]) -> None:
+        """Ids of new pieces: JOINED of them in one text, each followed by MARK, whose id ends theirs."""
+        plain = [p for p in new if MARK not in p]
+        other = [p for p in new if MARK in p]
         sizes, ids = [self.sizes], [self.ids]
-        for i in range(0, len(new), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False)]
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
+            found = self._encode([f" {MARK} ".join([*some[j : j + JOINED], ""]) for j in range(0, len(some), JOINED)])
+            flat = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
+            marked = flat == self.mark
+            if self.mark < 0 or np.count_nonzero(marked) != len(some):  # a tokenizer that makes the mark of something else too
+                plain, other = plain[:i], plain[i:] + other
+                break
+            sizes.append(np.diff(np.append(-1, np.flatnonzero(marked))) - 1)
+            ids.append(flat[~marked].astype(self.kind))
+        for i in range(0, len(other), 20_000):
+            found = self._encode(other[i : i + 20_000])
             sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
             ids.append(np.fromiter(chain.from_iterable(found), self.kind, int(sizes[-1].sum())))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.known.update(zip(chain(plain, other), range(len(self.known), len(self.known) + len(new)), strict=True))
         self.sizes, self.ids = np.concatenate(sizes), np.concatenate(ids)
 
     def pieces(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -276,11 +298,15 @@ class Encoder:
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids), with ``end`` after those of each text."""
         coded, last = self.pieces(texts)
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
         if len(self.known) + len(distinct) > KEPT_PIECES:
             self.forget()
-        self._learn([p for p in distinct if p not in self.known])
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        place = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            learnt = distinct[new].tolist()
+            self._learn(learnt)
+            place[new] = np.fromiter(map(self.known.__getitem__, learnt), np.int64, len(learnt))
         # The end id is one piece more, set after the last piece of each text.
         at = np.append((np.cumsum(self.sizes) - self.sizes)[place], len(self.ids))
         sizes, ids = np.append(self.sizes[place], 1), np.append(self.ids, np.array([end], self.kind))

@@ -53,6 +53,21 @@ def test_chunks_encode_like_whole_texts(library):
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want, texts
 
 
+def test_new_pieces_go_to_the_library_together(library):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcé#'9") for _ in range(rng.randint(3, 9))) for _ in range(1000)) for _ in range(3)]
+    texts += ["# a #b ##", "#", " ".join(f"x{'y' * i}" for i in range(200))]
+    want = [[*library.encode(text, add_special_tokens=False).ids, 2] for text in texts]
+    for mark in (None, library.encode("a").ids[0], -1):  # its own, one that pieces make too, none
+        encoder, asked = wavelet.Encoder(PATH, 4), []
+        encode, encoder.mark = encoder._encode, encoder.mark if mark is None else mark
+        encoder._encode = lambda t: asked.extend(t) or encode(t)  # noqa: B023
+        sizes, ids = encoder(pa.array(texts), 2)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+        if mark is None:
+            assert len([t for t in asked if "#" not in t]) == 0 and len(asked) < len([p for p in encoder.known if "#" in p]) + 20
+
+
 def test_query_rows(spark, make_docs, odd_rows, library):
     rows = [*odd_rows, *((1000 - i, f"some words {i}") for i in range(50))]
     manifest = wavelet.write_shards(make_docs(rows), PATH, roll=20, partitions=4)
