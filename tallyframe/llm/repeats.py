@@ -215,11 +215,13 @@ class Pieces:
     def __init__(self, shard: tuple, least: int, shared: list, anchor_ranges: int, ranges: int):
         raw, offsets, ids = shard
         start, count, key, text = anchors(raw, offsets, least)
-        known = np.unique(key)
+        by = np.argsort(key)
+        new = np.append(True, key[by][1:] != key[by][:-1])[: len(key)]
+        known, of = key[by][new], np.empty(len(key), np.int64)  # the distinct anchors in order, and which of them each is
+        of[by] = np.cumsum(new) - 1
         cut = np.diff(np.searchsorted(_range(known, anchor_ranges), np.arange(anchor_ranges + 1)))
         blocks = sorted(shared, key=lambda r: r["bucket"])
         sizes = [int(cut[r["bucket"]]) for r in blocks]
-        of = np.searchsorted(known, key)
         chosen = _unpack([r["shared"] for r in blocks], sizes)[of] if len(known) else np.zeros(0, bool)
         often = _unpack([r["hot"] for r in blocks], sizes)[of] if len(known) else chosen
         single = np.flatnonzero(often)
