@@ -20,6 +20,8 @@ import numpy as np
 
 #: Bytes that fit one sort key, each with a bit that tells it from the end of a string.
 _KEY = 7
+#: Bits of a row number where three are sorted as one.
+_PLACE = 21
 
 
 class Shards(NamedTuple):
@@ -31,6 +33,29 @@ class Shards(NamedTuple):
     strings: np.ndarray  # number of strings of each shard
 
 
+def _tied(start: np.ndarray) -> np.ndarray:
+    """Which rows are in a tie of two or more, by the rows that begin one."""
+    tied = ~start
+    tied[:-1] |= ~start[1:]
+    return tied
+
+
+def _ordered(n: int, rank: np.ndarray, ahead: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``rows`` by rank, then by the rank ahead, then by themselves, and which of them begin a new pair of ranks; all are below ``n``."""
+    new = np.ones(len(rows), bool)
+    if n <= 1 << _PLACE:  # all three in one number
+        shift = np.uint64(_PLACE)
+        packed = (((rank.astype(np.uint64) << shift) | ahead.astype(np.uint64)) << shift) | rows.astype(np.uint64)
+        packed.sort()
+        pair = packed >> shift
+        new[1:] = pair[1:] != pair[:-1]
+        return new, (packed & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+    by = np.lexsort((rows, ahead, rank))
+    rank, ahead = rank[by], ahead[by]
+    new[1:] = (rank[1:] != rank[:-1]) | (ahead[1:] != ahead[:-1])
+    return new, rows[by]
+
+
 def suffix_rows(data: np.ndarray, bounds: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(string, position) of the suffixes of the strings ``data[bounds[i]:bounds[i + 1]]``, in order, by ``group`` first.
 
@@ -70,22 +95,19 @@ def suffix_rows(data: np.ndarray, bounds: np.ndarray, group: np.ndarray | None =
     del key, sorted_key, symbols, two
     rank = np.empty(n, np.int32)  # place of the first row of the tie
     rank[order] = np.maximum.accumulate(np.where(start, np.arange(n, dtype=np.int32), 0))
+    left = (last[owner] - np.arange(n)).astype(np.int32)  # bytes of the suffix
+    if longest >= width:  # suffixes read to their end that tie are equal
+        at = np.flatnonzero(_tied(start) & (left[order] < width))
+        order[at] = _ordered(n, rank[order[at]], np.zeros(len(at), np.int32), order[at])[1]
     while width <= longest:
-        tied = ~start
-        tied[:-1] |= ~start[1:]
-        at = np.flatnonzero(tied)
+        at = np.flatnonzero(_tied(start) & (left[order] >= width))
         if not len(at):
             break
         rows = order[at]
-        ahead = rank[np.minimum(rows + width, last[owner[rows]])]  # of the same group: compared within it only
-        by = np.lexsort((rows, ahead, rank[rows]))
-        rows, ahead = rows[by], ahead[by]
-        group = rank[rows]
+        # ranks ahead are of the same group: compared within it only
+        start[at], rows = _ordered(n, rank[rows], rank[rows + width], rows)
         order[at] = rows
-        new = np.ones(len(at), bool)
-        new[1:] = (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])
-        start[at] = new
-        rank[rows] = np.maximum.accumulate(np.where(new, at, 0))
+        rank[rows] = np.maximum.accumulate(np.where(start[at], at, 0))
         width *= 2
     string = owner[order]
     return string, order - first[string]

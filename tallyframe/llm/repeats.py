@@ -8,10 +8,12 @@ in a document with a smaller doc_id (judged on the input; overlaps count).
    have equal anchors, so windows whose anchor occurs in one document only are settled. Shards send their distinct anchors
    to tasks by ranges of the hash and get back a bit for each: whether another document has it.
 3. For the rest, windows that follow each other under one anchor form a *piece* of at most 2 * least bytes. A shard
-   builds the Burrows-Wheeler transform of its distinct pieces, one per hash range, with the smallest doc_id of each piece.
+   builds the Burrows-Wheeler transform of its distinct pieces, one per hash range, with the smallest doc_id and the key (32
+   bits of the anchor's hash) of each piece. Pieces are laid out a few ranges at a time.
 4. A task merges the transforms of all shards for a range by interleave refinement (``bwt.merge``): after ``least`` steps the
    blocks are the repeated strings of ``least`` bytes, whose first document is a minimum over the block. Pieces that several
-   shards hold, byte for byte, enter once (their rows are found by steps in the transform and left out of the interleave). Each shard gets
+   shards hold, byte for byte, enter once (their rows are found by steps in the transform and left out of the interleave), and
+   only where another piece has their key: equal windows have equal anchors, so others can't meet. Each shard gets
    back one bit per window: whether a smaller document than its own first one has it.
 5. Shards turn windows into bytes, and give each document's spans and what is left.
 
@@ -28,10 +30,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +45,9 @@ from tallyframe.session import cut_lineage
 
 SHARD = 12 << 20
 GRAM = 16
-SEGMENT = 1 << 18
-#: Bytes of pieces laid out at a time, anchors of a range, piece bytes of a range, ranges of a task.
-LAYOUT = 1 << 18
+SEGMENT = 1 << 15
+#: Bytes of pieces laid out at a time, of all occurrences of a part (one range at least), anchors of a range, piece bytes of a range, ranges of a task.
+LAYOUT, PART = 1 << 18, 1 << 20
 RANGE_ANCHORS, RANGE_BYTES, RANGES = 1 << 20, 1 << 19, 8
 HOT = 20_000
 NO_ID = -(1 << 63)
@@ -65,7 +67,7 @@ def shards(docs: DataFrame) -> DataFrame:
         size = 0
 
         def row() -> pa.RecordBatch:
-            data = zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
+            data = zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
             columns = [[uuid.uuid4().hex], [ids], [[len(p) for p in parts]], [data]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
@@ -203,89 +205,125 @@ def _share_anchors(hot: int):
 # Pieces
 
 
+def window_hashes(raw: np.ndarray, window: np.ndarray, least: int) -> np.ndarray:
+    """Hash of the ``least`` bytes from each window's start on."""
+    out = np.empty(len(window), np.uint64)
+    if len(window):
+        words = np.ndarray(len(raw) - 7, np.uint64, np.ascontiguousarray(raw), strides=(1,))  # eight bytes from each place on
+    for a in range(0, len(window), SEGMENT):
+        at = window[a : a + SEGMENT].astype(np.int64)
+        h = np.full(len(at), least, np.uint64)
+        for j in [*range(0, least - 8, 8), least - 8]:
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + words[at + j]
+        out[a : a + SEGMENT] = mix(h)
+    return out
+
+
 def _unpack(blocks: list[bytes], sizes: list[int]) -> np.ndarray:
     parts = [np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(blocks, sizes, strict=True)]
-    return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
+    return np.concatenate(parts).view(bool) if parts else np.zeros(0, bool)
+
+
+class Part(NamedTuple):
+    """Whole ranges of a shard's pieces: occurrences (start, windows, piece, id) and the distinct pieces by range
+    (bytes, range, key, windows, smallest id)."""
+
+    start: np.ndarray
+    windows: np.ndarray
+    piece: np.ndarray
+    ids: np.ndarray
+    values: pa.Array
+    bucket: np.ndarray
+    key: np.ndarray
+    counts: np.ndarray
+    first: np.ndarray
 
 
 class Pieces:
-    """The pieces of a shard whose anchors other documents have: occurrences (start, windows, piece, id) and, by range,
-    the distinct pieces (bytes, range, windows, smallest id)."""
+    """The pieces of a shard whose anchors other documents have, in order of their keys and so of their ranges. Bytes are
+    laid out for a part of the ranges at a time (``parts``), however often a shard holds a piece."""
 
     def __init__(self, shard: tuple, least: int, shared: list, anchor_ranges: int, ranges: int):
-        raw, offsets, ids = shard
-        start, count, key, text = anchors(raw, offsets, least)
+        self.raw, offsets, self.ids = shard
+        self.least = least
+        start, count, key, text = anchors(self.raw, offsets, least)
         by = np.argsort(key)
         new = np.append(True, key[by][1:] != key[by][:-1])[: len(key)]
-        known, of = key[by][new], np.empty(len(key), np.int64)  # the distinct anchors in order, and which of them each is
-        of[by] = np.cumsum(new) - 1
+        known, of = key[by][new], np.cumsum(new) - 1  # the distinct anchors in order, and which of them each in order is
         cut = np.diff(np.searchsorted(_range(known, anchor_ranges), np.arange(anchor_ranges + 1)))
         blocks = sorted(shared, key=lambda r: r["bucket"])
         sizes = [int(cut[r["bucket"]]) for r in blocks]
         chosen = _unpack([r["shared"] for r in blocks], sizes)[of] if len(known) else np.zeros(0, bool)
         often = _unpack([r["hot"] for r in blocks], sizes)[of] if len(known) else chosen
-        single = np.flatnonzero(often)
-        plain = np.flatnonzero(chosen & ~often)
-        inner = np.arange(int(count[single].sum())) - np.repeat(np.cumsum(count[single]) - count[single], count[single])
-        window = np.repeat(start[single], count[single]) + inner
-        data = raw.tobytes() if len(window) else b""
-        window_key = np.array([xxhash.xxh3_64_intdigest(data[p : p + least]) for p in window.tolist()], np.uint64)
-        self.start = np.concatenate([start[plain], window])
-        self.windows = np.concatenate([count[plain], np.ones(len(window), np.int64)])
-        self.ids = ids[np.concatenate([text[plain], np.repeat(text[single], count[single])])]
-        bucket = _range(np.concatenate([key[plain], window_key]), ranges)
-        self._distinct(raw, least, bucket)
-
-    def _distinct(self, raw: np.ndarray, least: int, bucket: np.ndarray) -> None:
-        sizes = self.windows + least - 1
-        total = np.append(0, np.cumsum(sizes))
-        found, owner, lo = [], [], 0
-        while lo < len(sizes):  # laid out in runs, so that a text of one repeated byte stays small
-            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + LAYOUT, side="right")) - 1)
-            at = np.repeat(self.start[lo:hi] - (total[lo:hi] - total[lo]), sizes[lo:hi]) + np.arange(int(total[hi] - total[lo]))
-            bounds = (total[lo : hi + 1] - total[lo]).astype(np.int32)
-            coded = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(raw[at].tobytes())]).dictionary_encode()
-            owner.append(coded.indices.to_numpy().astype(np.int64) + sum(len(f) for f in found))
+        single, plain = np.sort(by[often]), by[chosen & ~often]
+        del by, new, known, of, chosen, often
+        place = np.int32 if len(self.raw) < 1 << 31 else np.int64
+        inner = np.arange(int(count[single].sum()), dtype=place) - np.repeat((np.cumsum(count[single]) - count[single]).astype(place), count[single])
+        window = np.repeat(start[single].astype(place), count[single]) + inner
+        self.key = np.concatenate([key[plain], window_hashes(self.raw, window, least)])
+        self.start = np.concatenate([start[plain].astype(place), window])
+        self.windows = np.concatenate([count[plain], np.ones(len(window), np.int32)], dtype=np.int32)
+        self.text = np.concatenate([text[plain], np.repeat(text[single].astype(np.int32), count[single])], dtype=np.int32)
+        if len(window):
+            by = np.argsort(self.key)
+            self.key, self.start, self.windows, self.text = self.key[by], self.start[by], self.windows[by], self.text[by]
+        least_key = -(-(np.arange(ranges, dtype=np.int64) << 32) // ranges)
+        self.cut = np.append(np.searchsorted(self.key, least_key.astype(np.uint64) << np.uint64(32)), len(self.key))
+
+    def parts(self) -> Iterator[Part]:
+        total = np.append(0, np.cumsum(self.windows, dtype=np.int64)) + np.arange(len(self.windows) + 1) * (self.least - 1)
+        size, r = total[self.cut], 0
+        while r + 1 < len(self.cut):
+            until = max(r + 1, int(np.searchsorted(size, size[r] + PART, side="right")) - 1)
+            lo, hi = int(self.cut[r]), int(self.cut[until])
+            if lo < hi:
+                yield self._part(lo, hi, total, np.repeat(np.arange(r, until), np.diff(self.cut[r : until + 1])))
+            r = until
+
+    def _part(self, lo: int, hi: int, total: np.ndarray, bucket: np.ndarray) -> Part:
+        found, owner, known, a = [], [], 0, lo
+        while a < hi:  # laid out in runs, so that a text of one repeated byte stays small
+            b = min(hi, max(a + 1, int(np.searchsorted(total, total[a] + LAYOUT, side="right")) - 1))
+            sizes = self.windows[a:b] + (self.least - 1)
+            at = np.repeat(self.start[a:b] - (total[a:b] - total[a]), sizes) + np.arange(int(total[b] - total[a]))
+            bounds = (total[a : b + 1] - total[a]).astype(np.int32)
+            coded = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(bounds), pa.py_buffer(self.raw[at])]).dictionary_encode()
+            owner.append(coded.indices.to_numpy() + np.int32(known))
             found.append(coded.dictionary)
-            lo = hi
-        if not found:
-            self.piece = np.zeros(0, np.int64)
-            self.values, self.bucket = pa.array([], pa.binary()), np.zeros(0, np.int64)
-            self.first, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            return
-        coded = pa.concat_arrays(found).dictionary_encode()
-        piece = coded.indices.to_numpy().astype(np.int64)[np.concatenate(owner)]
-        n = len(coded.dictionary)
-        of = np.empty(n, np.int64)
-        of[piece] = bucket
-        by = np.argsort(of, kind="stable")
-        place = np.empty(n, np.int64)
-        place[by] = np.arange(n)
-        self.piece, self.values, self.bucket = place[piece], coded.dictionary.take(pa.array(by)), of[by]
-        self.first = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(self.first, self.piece, self.ids)
-        self.counts = np.empty(n, np.int64)
-        self.counts[self.piece] = self.windows
+            known += len(coded.dictionary)
+            a = b
+        if len(found) > 1:
+            coded = pa.concat_arrays(found).dictionary_encode()
+            piece = coded.indices.to_numpy()[np.concatenate(owner)]
+        else:
+            piece = owner[0]
+        # Pieces are numbered as they come, so by key: equal ones have one key.
+        values, ids, windows = coded.dictionary, self.ids[self.text[lo:hi]], self.windows[lo:hi]
+        n = len(values)
+        first, counts, of, key = np.full(n, np.iinfo(np.int64).max), np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.uint32)
+        np.minimum.at(first, piece, ids)
+        counts[piece], of[piece], key[piece] = windows, bucket, self.key[lo:hi].astype(np.uint32)
+        return Part(self.start[lo:hi], windows, piece, ids, values, of, key, counts, first)
 
 
 def _send_transforms(least: int, anchor_ranges: int, ranges: int):
-    schema = pa.schema([("shard", pa.string()), ("bucket", pa.int32()), ("before", pa.binary()), ("ends", pa.binary()), ("ids", pa.binary())])
+    schema = pa.schema([("shard", pa.string()), ("bucket", pa.int32()), ("before", pa.binary()), ("ends", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary())])
     squeeze = zstandard.ZstdCompressor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                p = Pieces(_open(batch, i), least, batch.column("anchors")[i].as_py() or [], anchor_ranges, ranges)
-                size = p.counts + least - 1
-                total, lo = np.append(0, np.cumsum(size)), 0
-                while lo < len(size):  # whole ranges, in runs of about LAYOUT bytes
-                    hi = max(lo + 1, int(np.searchsorted(total, total[lo] + LAYOUT, side="right")) - 1)
-                    hi = int(np.searchsorted(p.bucket, p.bucket[hi - 1], side="right"))
-                    yield from rows(batch.column("shard")[i].as_py(), p, lo, hi)
-                    lo = hi
+                for p in Pieces(_open(batch, i), least, batch.column("anchors")[i].as_py() or [], anchor_ranges, ranges).parts():
+                    size = p.counts + least - 1
+                    total, lo = np.append(0, np.cumsum(size)), 0
+                    while lo < len(size):  # whole ranges, in runs of about LAYOUT bytes
+                        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + LAYOUT, side="right")) - 1)
+                        hi = int(np.searchsorted(p.bucket, p.bucket[hi - 1], side="right"))
+                        yield from rows(batch.column("shard")[i].as_py(), p, lo, hi)
+                        lo = hi
         release()
 
-    def rows(shard: str, p: Pieces, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+    def rows(shard: str, p: Part, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
         values = p.values.slice(lo, hi - lo)
         data, bounds = text_buffers(values.cast(pa.large_binary()).view(pa.large_string()))
         numbers, group = np.unique(p.bucket[lo:hi], return_inverse=True)
@@ -294,15 +332,23 @@ def _send_transforms(least: int, anchor_ranges: int, ranges: int):
         pack = squeeze(level=3).compress
         out = []
         for g, bucket in enumerate(numbers.tolist()):
-            a, b, s, e = int(cut[g]), int(cut[g + 1]), int(strings[g]), int(strings[g + 1])
-            out.append((shard, bucket, pack(before[a:b].tobytes()), pack(np.packbits(end[a:b]).tobytes()), pack(p.first[lo + s : lo + e].tobytes())))
+            a, b, s, e = int(cut[g]), int(cut[g + 1]), lo + int(strings[g]), lo + int(strings[g + 1])
+            out.append((shard, bucket, pack(before[a:b].tobytes()), pack(np.packbits(end[a:b]).tobytes()), pack(p.first[s:e].tobytes()), pack(p.key[s:e].tobytes())))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
 
 
+def _meeting(key: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """For each string the number of its key if it is among ``pieces`` (different ones) and so is another of that key; else -1."""
+    _, of, count = np.unique(key[pieces], return_inverse=True, return_counts=True)
+    out = np.full(len(key), -1, np.int32)
+    out[pieces] = np.where(count[of] > 1, of, -1)
+    return out
+
+
 def merge_range(rows: list[tuple], least: int) -> list[np.ndarray]:
-    """For each shard's row (bytes before, ends, ids) of one range: a bit per window of its pieces, whether a
+    """For each shard's row (bytes before, ends, ids, keys) of one range: a bit per window of its pieces, whether a
     document of smaller id than the piece's own first one has the window."""
     before = [np.frombuffer(r[0], np.uint8) for r in rows]
     sizes = np.array([len(x) for x in before])
@@ -327,9 +373,13 @@ def merge_range(rows: list[tuple], least: int) -> list[np.ndarray]:
     windows = total - least + 1
     offset = np.cumsum(windows) - windows
     first = np.repeat(smallest[stands], windows)
+    # Pieces meet under one key only; one that no other piece shares its key with stays out.
+    block = _meeting(np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows]), by[at])
     # A window is reached from the suffix that follows it: rows with too few bytes before them can't become one.
-    entering = np.flatnonzero((stands == np.arange(len(own)))[string] & (length <= (total - least)[string])).astype(np.int32)
-    found, block = bwt.merge(all_shards, step, entering, np.zeros(len(entering), np.int32), least)
+    entering = np.flatnonzero((block >= 0)[string] & (length <= (total - least)[string])).astype(np.int32)
+    block = block[string[entering]]
+    order = np.argsort(block, kind="stable")
+    found, block = bwt.merge(all_shards, step, entering[order], block[order], least)
     if len(found):
         start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         least_id = np.minimum.reduceat(smallest[string[found]], start)
@@ -354,7 +404,7 @@ def _merge_transforms(least: int):
                 held.setdefault(r[1], []).append(r)
         for bucket in sorted(held):
             rows = held.pop(bucket)
-            bits = merge_range([tuple(map(expand, r[2:])) for r in rows], least)
+            bits = merge_range([tuple(expand(x) for x in r[2:]) for r in rows], least)
             columns = [[r[0] for r in rows], [bucket] * len(rows), [np.packbits(b).tobytes() for b in bits]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
         release()
@@ -374,20 +424,32 @@ def _cut_documents(least: int, anchor_ranges: int, ranges: int):
             for i in range(batch.num_rows):
                 shard = _open(batch, i)
                 p = Pieces(shard, least, batch.column("anchors")[i].as_py() or [], anchor_ranges, ranges)
-                yield documents(shard, p, batch.column("repeats")[i].as_py() or [], batch.column("ids")[i].values)
+                gone = repeated(p, batch.column("repeats")[i].as_py() or [])
+                yield documents(shard, gone, batch.column("ids")[i].values)
         release()
 
-    def documents(shard: tuple, p: Pieces, repeats: list, doc_ids: pa.Array) -> pa.RecordBatch:
+    def repeated(p: Pieces, repeats: list) -> np.ndarray:
+        """Whether the string of ``least`` bytes from each byte on goes."""
+        told = {r["bucket"]: r["earlier"] for r in repeats}
+        gone = np.zeros(len(p.raw), bool)
+        for x in p.parts():
+            at = np.cumsum(x.counts) - x.counts  # first bit of each distinct piece
+            new = np.flatnonzero(np.append(True, x.bucket[1:] != x.bucket[:-1]))
+            earlier = _unpack([told[b] for b in x.bucket[new].tolist()], np.add.reduceat(x.counts, new).tolist())
+            for a in range(0, len(x.start), SEGMENT // 4):
+                start, windows, piece, ids = (c[a : a + SEGMENT // 4] for c in x[:4])
+                inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+                hit = earlier[np.repeat(at[piece], windows) + inner] | np.repeat(ids > x.first[piece], windows)
+                gone[(np.repeat(start, windows) + inner)[hit]] = True
+        return gone
+
+    def documents(shard: tuple, covered: np.ndarray, doc_ids: pa.Array) -> pa.RecordBatch:
         raw, offsets, _ = shard
-        blocks = sorted(repeats, key=lambda r: r["bucket"])
-        per_range = np.bincount(p.bucket, p.counts, ranges).astype(np.int64)
-        earlier = _unpack([r["earlier"] for r in blocks], [int(per_range[r["bucket"]]) for r in blocks])
-        at = np.cumsum(p.counts) - p.counts  # first bit of each distinct piece
-        inner = np.arange(int(p.windows.sum())) - np.repeat(np.cumsum(p.windows) - p.windows, p.windows)
-        gone = earlier[np.repeat(at[p.piece], p.windows) + inner] | np.repeat(p.ids > p.first[p.piece], p.windows)
-        start = (np.repeat(p.start, p.windows) + inner)[gone]
-        cover = np.bincount(start, minlength=len(raw) + 1) - np.bincount(start + least, minlength=len(raw) + 1)
-        covered = np.cumsum(cover[: len(raw)]) > 0
+        reach = 1
+        while reach < least:  # each string that goes covers its bytes
+            by = min(reach, least - reach)
+            covered[by:] |= covered[:-by]
+            reach += by
         edge = np.zeros(len(raw) + 1, bool)
         if len(raw):
             edge[0], edge[1:-1] = covered[0], covered[1:] & ~covered[:-1]
@@ -400,12 +462,12 @@ def _cut_documents(least: int, anchor_ranges: int, ranges: int):
         ends = np.flatnonzero(stop)
         text = np.searchsorted(offsets, begins, side="right") - 1
         spans = pa.StructArray.from_arrays([pa.array(begins - offsets[text]), pa.array(ends - offsets[text])], fields=list(span))
-        total = np.append(0, np.cumsum(covered))
-        removed = total[offsets[1:]] - total[offsets[:-1]]
-        kept_bounds = (offsets - total[offsets]).astype(np.int32)
-        kept = pa.BinaryArray.from_buffers(pa.binary(), len(doc_ids), [None, pa.py_buffer(kept_bounds.tobytes()), pa.py_buffer(raw[~covered].tobytes())])
-        listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(offsets))).astype(np.int32)), spans)
-        return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(offsets)), pa.array(removed), listed.cast(pa.list_(span)), kept], schema=schema)
+        at = np.searchsorted(text, np.arange(len(offsets)))  # first span of each text
+        total = np.append(0, np.cumsum(ends - begins))[at]
+        kept_bounds = (offsets - total).astype(np.int32)
+        kept = pa.BinaryArray.from_buffers(pa.binary(), len(doc_ids), [None, pa.py_buffer(kept_bounds), pa.py_buffer(raw[~covered])])
+        listed = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans)
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(offsets)), pa.array(np.diff(total)), listed.cast(pa.list_(span)), kept], schema=schema)
 
     return run
 
@@ -427,7 +489,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, hot: int = HOT) -> DataFram
     by_shard = made.repartition(tasks, "shard")
     anchor_bits = shared.groupBy("shard").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("anchors")).hint("shuffle_hash")
     told = by_shard.join(anchor_bits, "shard", "left")
-    sent = told.mapInArrow(_send_transforms(least, anchor_ranges, ranges), "shard string, bucket int, before binary, ends binary, ids binary")
+    sent = told.mapInArrow(_send_transforms(least, anchor_ranges, ranges), "shard string, bucket int, before binary, ends binary, ids binary, keys binary")
     merged = sent.repartition(-(-ranges // RANGES), "bucket").mapInArrow(_merge_transforms(least), "shard string, bucket int, earlier binary")
     window_bits = merged.groupBy("shard").agg(F.collect_list(F.struct("bucket", "earlier")).alias("repeats")).hint("shuffle_hash")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"

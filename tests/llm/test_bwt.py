@@ -58,3 +58,15 @@ def test_starting_blocks_never_meet():
     assert not len(found)
     found, block = bwt.merge(shards, step, rows, np.zeros(14, np.int64), 4)
     assert len(found) == 6 and len(set(block.tolist())) == 3
+
+
+def test_suffix_order_of_many_rows(monkeypatch):
+    """Where three row numbers do not fit one, the order is the same."""
+    rng = np.random.default_rng(3)
+    strings = [rng.integers(97, 99, int(n)).astype(np.uint8).tobytes() for n in rng.integers(0, 90, 60)] + [b"ab" * 30] * 4
+    packed = bwt.suffix_rows(*laid(strings))
+    want = sorted((s[j:], i, j) for i, s in enumerate(strings) for j in range(len(s) + 1))
+    assert list(zip(packed[0].tolist(), packed[1].tolist(), strict=True)) == [(i, j) for _, i, j in want]
+    monkeypatch.setattr(bwt, "_PLACE", 3)
+    for a, b in zip(packed, bwt.suffix_rows(*laid(strings)), strict=True):
+        assert a.tolist() == b.tolist()

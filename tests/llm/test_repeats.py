@@ -1,7 +1,11 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import zstandard
 
 from tallyframe.llm import repeats
 
@@ -103,3 +107,91 @@ def test_query_columns(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{dir_}/documents.parquet").collect()]
     got = sorted(map(tuple, op11_repeated_bytes(spark, dir_).collect()))
     assert got == sorted((d, n, m, len(s), hashlib.sha256(k).hexdigest()) for d, n, m, s, k in brute(rows, 50))
+
+
+def rows_of(batches):
+    return [r for b in batches for r in b.to_pylist()]
+
+
+def by_shard(rows, fields):
+    out = {}
+    for r in rows:
+        out.setdefault(r["shard"], []).append({f: r[f] for f in fields})
+    return out
+
+
+def shard_batch(name, rows, **more):
+    parts = [(t or "").encode() for _, t in rows]
+    columns = {
+        "shard": pa.array([name]),
+        "ids": pa.array([[d for d, _ in rows]], pa.list_(pa.int64())),
+        "sizes": pa.array([[len(p) for p in parts]], pa.list_(pa.int64())),
+        "data": pa.array([zstandard.ZstdCompressor().compress(b"".join(parts))], pa.binary()),
+    }
+    columns |= {k: pa.array([v], pa.list_(pa.struct([("bucket", pa.int32()), *((f, pa.binary()) for f in v[0] if f != "bucket")])) if v else None) for k, v in more.items()}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def in_one_process(dealt, least, hot, ranges, cut=repeats._cut_documents):
+    """The operator's stages over shards of rows, one task each, without Spark."""
+    names = [f"{i:03d}" for i in range(len(dealt))]
+    plain = [shard_batch(n, rows) for n, rows in zip(names, dealt, strict=True)]
+    sent = pa.Table.from_batches(list(repeats._send_anchors(least, ranges)(iter(plain))))
+    shared = by_shard(rows_of(repeats._share_anchors(hot)(iter(b for k in range(ranges) for b in sent.filter(pc.equal(sent["bucket"], k)).to_batches()))), ("bucket", "shared", "hot"))
+    told = {n: shard_batch(n, rows, anchors=shared.get(n, [])) for n, rows in zip(names, dealt, strict=True)}
+    made = list(repeats._send_transforms(least, ranges, ranges)(iter(told.values())))
+    bits = by_shard(rows_of(repeats._merge_transforms(least)(iter(made))), ("bucket", "earlier"))
+    for n, rows in zip(names, dealt, strict=True):
+        yield from cut(least, ranges, ranges)(iter([shard_batch(n, rows, anchors=shared.get(n, []), repeats=bits.get(n, []))]))
+
+
+@pytest.mark.parametrize("hot", [2, 20_000])
+def test_small_parts(monkeypatch, hot):
+    """Ranges dealt over many parts, pieces laid out in many runs, a key's equal windows in several runs."""
+    for name, value in (("PART", 700), ("LAYOUT", 150), ("SEGMENT", 64)):
+        monkeypatch.setattr(repeats, name, value, raising=False)
+    rows = made_rows(8)
+    got = [r for b in in_one_process([rows[i::5] for i in range(5)], 50, hot, 6) for r in b.to_pylist()]
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], [(s["start"], s["end"]) for s in r["spans"]], r["kept"]) for r in got), key=repr)
+    assert got == brute(rows, 50)
+
+
+@pytest.mark.parametrize("hot", [1, 20_000])
+def test_memory_of_a_shard_of_copies(hot):
+    """A shard that is all repeated is cut, and its transforms made, in a small multiple of its bytes."""
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 123, 1 << 20).astype(np.uint8).tobytes().decode()
+    most = {}
+
+    def watched(name, stage):
+        def make(*a):
+            def run(batches):
+                tracemalloc.start()
+                out = list(stage(*a)(batches))
+                most[name] = max(most.get(name, 0), tracemalloc.get_traced_memory()[1])
+                tracemalloc.stop()
+                return out
+
+            return run
+
+        return make
+
+    cut = watched("cut", repeats._cut_documents)
+    out = [r for b in in_one_process([[(1, text)], [(2, text)]], 50, hot, 200, cut) for r in b.to_pylist()]
+    assert [(r["n_removed"], r["spans"]) for r in out] == [(0, []), (1 << 20, [{"start": 0, "end": 1 << 20}])]
+    assert most["cut"] < (64 if hot == 1 else 24) * len(text)
+
+
+def test_window_hashes():
+    rng = np.random.default_rng(9)
+    raw = np.tile(rng.integers(97, 99, 300).astype(np.uint8), 2)
+    for least in (16, 17, 50, 64):
+        n = len(raw) - least + 1
+        hashes = repeats.window_hashes(raw, np.arange(n), least)
+        assert len(set(hashes.tolist())) == len({raw[p : p + least].tobytes() for p in range(n)})
+        assert (hashes[: n - 300] == hashes[300:]).all()
+
+
+def test_pieces_of_one_key_only_enter_the_merge():
+    key = np.array([5, 5, 7, 9, 7, 5], np.uint32)
+    assert repeats._meeting(key, np.array([0, 1, 2, 3])).tolist() == [0, 0, -1, -1, -1, -1]
