@@ -92,7 +92,7 @@ def apply_rewrites(txns: DataFrame, rules: Sequence[Mapping], ctx: FilterContext
     assignments = [_rule_assignments(rule) for rule in rules]
     if not rules:
         return txns, []
-    return fold_rules(txns, rules_literal(rules, assignments, ctx or FilterContext())), [HITS] * len(rules)
+    return fold_rules(txns, *rules_literal(rules, assignments, ctx or FilterContext())), [HITS] * len(rules)
 
 
 def rewrite_counts(rewritten: DataFrame, flags: Sequence[str]) -> DataFrame:
