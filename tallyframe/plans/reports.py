@@ -115,15 +115,18 @@ def layout(ledger: Ledger, view: DataFrame, spec: Mapping, by: Sequence[str] = (
             date_col, skipped, sequence = "Date", {"N", "DateYYYYMM"}, list(ledger.order_key)
             rows = view
         case "yyyymm":
-            date_col, skipped, sequence = "DateYYYYMM", {"N", "Date", "Num", "C", "Memo", "Split"}, ["_first"]
-            place = F.struct(*ledger.order_key)
-            firsts = [F.min_by(c, place).alias(c) for c in CONSOLIDATED_FIRST]
+            date_col, skipped = "DateYYYYMM", {"N", "Date", "Num", "C", "Memo", "Split"}
+            # one struct, the group's least: its place and what is shown of it. What is equal in a group is no part of it.
+            place = [c for c in ledger.order_key if c not in CONSOLIDATED_BY]
+            first = F.min(F.struct(*place, *(c for c in CONSOLIDATED_FIRST if c not in place)))
             rows = view.withColumn("DateYYYYMM", month_start(F.col("Date"))).groupBy(*by, *CONSOLIDATED_BY)
-            rows = rows.agg(F.sum("Amount").alias("Amount"), *firsts, F.min(place).alias("_first"))
+            rows = rows.agg(F.sum("Amount").alias("Amount"), first.alias("_first"))
+            rows = rows.withColumns({c if c in CONSOLIDATED_FIRST else f"_first_{c}": F.col("_first")[c] for c in dict.fromkeys([*place, *CONSOLIDATED_FIRST])})
+            sequence = [c if c in CONSOLIDATED_FIRST else f"_first_{c}" for c in place]
         case other:
             raise SpecError(f"consolidate: '{other}': unrecognized option")
     shown = [c for c in S.TXNS_REPORT_COLUMNS if c in rows.columns and c not in hidden | skipped]
-    order = [date_col, *SORTED_BY, *sequence]
+    order = list(dict.fromkeys([date_col, *SORTED_BY, *sequence]))
     return rows.select(*dict.fromkeys([*by, *shown, *order])), order, shown
 
 
