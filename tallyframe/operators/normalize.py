@@ -64,13 +64,16 @@ def flatten_splits(rows: DataFrame, order: str = "line_no") -> DataFrame:
     rows are its parts ('Y') and take Num, Date, Payee, Account (and Memo when theirs is NULL).
 
     Each row's parent = the last dated row at or before it in its file (a chunked forward fill,
-    see ``operators.scan``); a dated row is a parent iff some undated row points at it (an
-    anti-join keyed by (file, line), so no file or parent is handled by a single task). Rows with a
-    wrong date text count as dated (see ``parse_dates``); their parts keep a NULL date like them.
+    see ``operators.scan``); a dated row is a parent iff the row that follows it is undated, which the
+    same pass tells, so the rows are dealt out once. Rows with a wrong date text count as dated (see
+    ``parse_dates``); their parts keep a NULL date like them.
     """
     dated = F.col(HAS_DATE) if HAS_DATE in rows.columns else F.col("Date").isNotNull()
-    parent = F.when(dated, F.struct(F.col(order).alias("line"), "Num", "Date", "Payee", "Account", "Memo"))
-    x = running(rows, "file", order, last={"_p": parent})
+    parent = F.when(dated, F.struct("Num", "Date", "Payee", "Account", "Memo"))
+    x = running(rows, "file", order, last={"_p": parent}, next_is={"_above": ~dated})
+    # rows without a file or a place are nobody's parent
+    is_parent = dated & F.col("_above") & F.col("file").isNotNull() & F.col(order).isNotNull()
+    x = x.filter(~F.coalesce(is_parent, F.lit(False)))
     is_part = ~dated & F.col("_p").isNotNull()
     inherit = ["Num", "Date", "Payee", "Account"]
     x = x.withColumns(
@@ -78,12 +81,9 @@ def flatten_splits(rows: DataFrame, order: str = "line_no") -> DataFrame:
             **{c: F.when(is_part, F.col("_p").getField(c)).otherwise(F.col(c)) for c in inherit},
             "Memo": F.when(is_part & F.col("Memo").isNull(), F.col("_p").getField("Memo")).otherwise(F.col("Memo")),
             "Split": F.when(is_part, F.lit(S.SPLIT_CHILD)),
-            "_pl": F.when(is_part, F.col("_p").getField("line")),
         }
     )
-    parents = x.filter(F.col("_pl").isNotNull()).select(F.col("file").alias("_pf"), F.col("_pl").alias("_pline")).distinct()
-    keep = x.join(parents, (F.col("file") == F.col("_pf")) & (F.col(order) == F.col("_pline")) & F.col("Split").isNull(), "left_anti")
-    return keep.drop("_p", "_pl", HAS_DATE)
+    return x.drop("_p", "_above", HAS_DATE)
 
 
 def orphan_parts(rows: DataFrame, order: str = "line_no") -> DataFrame:

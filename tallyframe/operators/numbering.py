@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import DENSE, cut_lineage
 
 
 def range_partitions(df: DataFrame) -> int:
@@ -74,7 +74,7 @@ def tag_positions(
         tagged.write.mode("overwrite").parquet(path)
         tagged = spark.read.parquet(path)
     else:
-        tagged = cut_lineage(tagged, "numbering")
+        tagged = cut_lineage(tagged, "numbering", DENSE)
     return tagged, offsets_of(tagged, partition_by)
 
 

@@ -720,7 +720,7 @@ from ..operators import normalize as N  # noqa: E402
 from ..sources import export_binding as EB  # noqa: E402
 from ..sources import exports as X  # noqa: E402
 from . import ingest as I  # noqa: E402
-from ..session import cut_lineage  # noqa: E402
+from ..session import DENSE, cut_lineage  # noqa: E402
 
 _ORDERS_SQL = """
 o AS (SELECT o_orderkey, o_orderkey // 1000 AS fk,
@@ -762,7 +762,7 @@ def _rendered(spark: SparkSession, sf: str, kind: str) -> DataFrame:
             "investments": lambda: EB.investment_export_lines(spark, sf),
             "monthly": lambda: EB.spending_export_lines(ledger_for(spark, sf).view, monthly=True),
         }[kind]
-        _RENDERED[key] = cut_lineage(make())
+        _RENDERED[key] = cut_lineage(make(), "rendered", DENSE)
     return _RENDERED[key]
 
 

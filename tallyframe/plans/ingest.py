@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.money import parse_amount
 from ..operators import normalize as N
 from ..operators.checks import control_total
-from ..session import cut_lineage
+from ..session import DENSE, cut_lineage
 from ..sources.exports import KINDS, read_export, split_footer
 
 SPENDING_SECTIONS = {"Income Categories": "Income", "Expense Categories": "Expense", "Transfers": "Transfer"}
@@ -33,16 +33,18 @@ class TxnImport:
         return N.import_window(self.rows, date_from, date_to)
 
 
-def parse_txn_exports(lines: DataFrame) -> TxnImport:
-    """Account-transaction exports: header, footer, amounts, categories, dates, splits, voids."""
+def parse_txn_exports(lines: DataFrame, stored: bool = False) -> TxnImport:
+    """Account-transaction exports: header, footer, amounts, categories, dates, splits, voids. ``stored``: the flattened rows
+    are written, for a caller that asks for rows, totals and rejects, each of which would flatten them again."""
     kind = KINDS["account_txns"]
     # the parsed rows feed several branches (rows, footer, rejects, the split scan): parse once
-    rows = cut_lineage(read_export(lines, kind))
+    rows = cut_lineage(read_export(lines, kind), "parsed", DENSE)
     data, footer = split_footer(rows, kind.footer_label, "Num")
     typed, amount_rejects = N.normalize_amounts(data, list(kind.money))
     typed = N.with_split_category(typed)
     typed, date_rejects = N.parse_dates(typed)
     flat = N.drop_voids(N.flatten_splits(typed))
+    flat = cut_lineage(flat, "flat", DENSE) if stored else flat
     # Date and Amount are NOT NULL in the ledger: rows without them are rejects, never rows
     undated = flat.filter("Date IS NULL").join(date_rejects.select("file", "line_no"), ["file", "line_no"], "left_anti")
     date_rejects = date_rejects.select("file", "line_no", F.col("Date").alias("value")).unionByName(

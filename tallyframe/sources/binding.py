@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import MONEY
-from ..session import cut_lineage
+from ..session import DENSE, cut_lineage
 
 # --- fixed values of the test binding --------------------------------------------------------
 TRANSFER_LINE = 7
@@ -94,7 +94,7 @@ def raw_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FACTS:
-        _FACTS[key] = cut_lineage(_facts(spark, sf_dir), "facts")
+        _FACTS[key] = cut_lineage(_facts(spark, sf_dir), "facts", DENSE)
     return _FACTS[key].select(
         F.col("SrcOrder").cast("string").alias("Num"),
         "Date",

@@ -229,10 +229,12 @@ def header_positions(lines: DataFrame, kind: ExportKind, header_rows: int = 1) -
 
     The header is the first line with the kind's marker. With
     ``header_rows=2`` the line above it is a first header row whose names fill blanks of the second.
-    Repeated names get ``.1``, ``.2`` ... like the original reader (``Balance.1``).
+    Repeated names get ``.1``, ``.2`` ... like the original reader (``Balance.1``). The header lines are stored: what is
+    asked of them reads the lines once, and a planner that knows their size does not shuffle the lines to meet them.
     """
     filled = lines.filter(F.trim(F.col("line")) != "")
     heads = filled.filter(_marker(kind)).groupBy("file").agg(F.min("line_no").alias("_hdr_no"), F.min_by("line", "line_no").alias("_hline"))
+    heads = cut_lineage(heads, "heads")
     widest = heads.agg(F.max(F.regexp_count("_hline", F.lit(",")))).first()[0]  # one number
     heads = with_fields(heads, "_hline", "_hdr", (widest or 0) + 1)
     heads = heads.withColumn("_hdr", F.slice("_hdr", 1, F.greatest(F.regexp_count("_hline", F.lit(",")) + 1, F.lit(1))))
@@ -271,7 +273,7 @@ def read_export(lines: DataFrame, kind: ExportKind, header_rows: int = 1) -> Dat
     expected = [*kind.required, *kind.optional]
     pos = header_positions(lines, kind, header_rows)
     n_req = len(kind.required)
-    pos = pos.filter(F.least(*[F.col(f"_p{i}") for i in range(n_req)]) > 0).drop("_hdr")
+    pos = cut_lineage(pos.filter(F.least(*[F.col(f"_p{i}") for i in range(n_req)]) > 0).drop("_hdr"), "positions")
     # parse only up to the right-most column any file needs (one scalar from the per-file table)
     width = pos.agg(F.max(F.greatest(*[F.col(f"_p{i}") for i in range(len(expected))]))).first()[0] or 1
     body = _fields_below(lines, pos, int(width))
