@@ -307,7 +307,7 @@ class Pieces:
 
 
 def _send_transforms(least: int, anchor_ranges: int, ranges: int):
-    schema = pa.schema([("shard", pa.string()), ("bucket", pa.int32()), ("before", pa.binary()), ("ends", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary())])
+    schema = pa.schema([("shard", pa.string()), ("bucket", pa.int32()), ("rows", pa.int32()), ("strings", pa.int32()), ("data", pa.binary())])
     squeeze = zstandard.ZstdCompressor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +333,8 @@ def _send_transforms(least: int, anchor_ranges: int, ranges: int):
         out = []
         for g, bucket in enumerate(numbers.tolist()):
             a, b, s, e = int(cut[g]), int(cut[g + 1]), lo + int(strings[g]), lo + int(strings[g + 1])
-            out.append((shard, bucket, pack(before[a:b].tobytes()), pack(np.packbits(end[a:b]).tobytes()), pack(p.first[s:e].tobytes()), pack(p.key[s:e].tobytes())))
+            parts = (before[a:b], np.packbits(end[a:b]), p.first[s:e], p.key[s:e])
+            out.append((shard, bucket, b - a, e - s, pack(b"".join(x.tobytes() for x in parts))))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
@@ -376,7 +377,7 @@ def merge_range(rows: list[tuple], least: int) -> list[np.ndarray]:
     # Pieces meet under one key only; one that no other piece shares its key with stays out.
     block = _meeting(np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows]), by[at])
     # A window is reached from the suffix that follows it: rows with too few bytes before them can't become one.
-    entering = np.flatnonzero((block >= 0)[string] & (length <= (total - least)[string])).astype(np.int32)
+    entering = np.flatnonzero(length <= np.where(block >= 0, total - least, -1).astype(np.int32)[string]).astype(np.int32)
     block = block[string[entering]]
     order = np.argsort(block, kind="stable")
     found, block = bwt.merge(all_shards, step, entering[order], block[order], least)
@@ -394,8 +395,10 @@ def merge_range(rows: list[tuple], least: int) -> list[np.ndarray]:
 def _merge_transforms(least: int):
     schema = pa.schema([("shard", pa.string()), ("bucket", pa.int32()), ("earlier", pa.binary())])
 
-    def expand(block: bytes) -> bytes:
-        return zstandard.ZstdDecompressor().decompress(block)
+    def expand(rows: int, strings: int, data: bytes) -> tuple:
+        """(bytes before, ends, ids, keys)"""
+        block, bits = memoryview(zstandard.ZstdDecompressor().decompress(data)), rows + -(-rows // 8)
+        return block[:rows], block[rows:bits], block[bits : bits + 8 * strings], block[bits + 8 * strings :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -404,7 +407,7 @@ def _merge_transforms(least: int):
                 held.setdefault(r[1], []).append(r)
         for bucket in sorted(held):
             rows = held.pop(bucket)
-            bits = merge_range([tuple(expand(x) for x in r[2:]) for r in rows], least)
+            bits = merge_range([expand(*r[2:]) for r in rows], least)
             columns = [[r[0] for r in rows], [bucket] * len(rows), [np.packbits(b).tobytes() for b in bits]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
         release()
@@ -489,7 +492,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, hot: int = HOT) -> DataFram
     by_shard = made.repartition(tasks, "shard")
     anchor_bits = shared.groupBy("shard").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("anchors")).hint("shuffle_hash")
     told = by_shard.join(anchor_bits, "shard", "left")
-    sent = told.mapInArrow(_send_transforms(least, anchor_ranges, ranges), "shard string, bucket int, before binary, ends binary, ids binary, keys binary")
+    sent = told.mapInArrow(_send_transforms(least, anchor_ranges, ranges), "shard string, bucket int, rows int, strings int, data binary")
     merged = sent.repartition(-(-ranges // RANGES), "bucket").mapInArrow(_merge_transforms(least), "shard string, bucket int, earlier binary")
     window_bits = merged.groupBy("shard").agg(F.collect_list(F.struct("bucket", "earlier")).alias("repeats")).hint("shuffle_hash")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"

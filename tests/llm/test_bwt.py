@@ -70,3 +70,32 @@ def test_suffix_order_of_many_rows(monkeypatch):
     monkeypatch.setattr(bwt, "_PLACE", 3)
     for a, b in zip(packed, bwt.suffix_rows(*laid(strings)), strict=True):
         assert a.tolist() == b.tolist()
+
+
+def test_suffixes_of_groups_in_order():
+    """Groups one by one, strings of few and of all bytes, first symbols of any number."""
+    rng = np.random.default_rng(12)
+    for values in (1, 2, 5, 60, 256):
+        strings = [rng.integers(0, values, rng.integers(0, 40)).astype(np.uint8).tobytes() for _ in range(60)] + [b"", bytes([0] * 30), bytes([0] * 30), bytes([values - 1] * 99)]
+        group = np.sort(np.append(rng.integers(0, 6, len(strings) - 6), np.arange(6)))
+        data, bounds = laid(strings)
+        string, place = bwt.suffix_rows(data, bounds, group)
+        every = [(group[i], s[p:], i, p) for i, s in enumerate(strings) for p in range(len(s) + 1)]
+        assert list(zip(string.tolist(), place.tolist(), strict=True)) == [(i, p) for _, _, i, p in sorted(every, key=lambda x: (x[0], x[1], x[2], x[3]))]
+        before, end, cut = bwt.transform(data, bounds, group)
+        assert end.tolist() == (place == 0).tolist() and cut.tolist() == np.searchsorted(group[string], np.arange(7)).tolist()
+        assert before[~end].tolist() == [strings[i][p - 1] for i, p in zip(string, place, strict=True) if p]
+
+
+def test_rows_of_many_shards_step_alike():
+    """Up to 256 shards are sorted with their bytes as one number, more are not."""
+    rng = np.random.default_rng(3)
+    for shards in (3, 256, 300):
+        lists = [[rng.integers(97, 100, rng.integers(1, 6)).astype(np.uint8).tobytes() for _ in range(2)] for _ in range(shards)]
+        made = [bwt.transform(*laid(strings), np.zeros(len(strings), np.int64)) for strings in lists]
+        rows = [len(b) for b, _, _ in made]
+        all_shards = bwt.Shards(np.concatenate([b for b, _, _ in made]), np.concatenate([e for _, e, _ in made]), np.repeat(np.arange(shards, dtype=np.int32), rows), np.full(shards, 2))
+        string, length, total = bwt.walk(all_shards, bwt.longer(all_shards))
+        data, bounds = bwt.strings_of(all_shards, string, length, total)
+        found = [data[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert sorted(found) == sorted(s for strings in lists for s in strings) and string.dtype == length.dtype == np.int32
