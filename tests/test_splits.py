@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import normalize as N
 from tallyframe.operators import scan
+from tallyframe.operators.fill import filled
 from tallyframe.plans import ingest as I
 from tallyframe.sources import exports as X
 
@@ -67,3 +68,28 @@ def test_lines_are_not_dealt_out_again(spark, tmp_path):
     got = I.parse_txn_exports(lines).rows
     assert "LeftAnti" not in started(got), "flattened rows are shuffled to find the parents"
     assert [(r.Num, r.Category, r.Split) for r in got.orderBy("line_no").collect()] == [("1", "Y", "Y"), ("1", "Z", "Y")]
+
+
+@pytest.mark.parametrize("batch", [1, 4, 10_000])
+def test_lines_in_order_are_filled_where_they_lie(spark, batch):
+    rows = some_rows()
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for parts in (1, 9):
+            frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), SCHEMA)
+            assert filled(frame, "file", "line_no", F.col("_has_date"), ["Num"]) is not None
+            flat = N.flatten_splits(frame)
+            assert "hashpartitioning" not in started(flat), "lines that lie in order are dealt out"
+            assert sorted(map(tuple, flat.select(*COLUMNS).collect()), key=lambda r: r[:2]) == flattened(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_lines_out_of_order_are_dealt_out(spark):
+    rows = some_rows()
+    turned = spark.createDataFrame(spark.sparkContext.parallelize(rows[::-1], 2), SCHEMA)  # runs of one row, one after the other
+    assert sorted(map(tuple, N.flatten_splits(turned).select(*COLUMNS).collect()), key=lambda r: r[:2]) == flattened(rows)
+    for data in (rows[:5] + rows[4:], rows[::2] + rows[1::2], [(r[0], None, *r[2:]) if i == 7 else r for i, r in enumerate(rows)]):
+        frame = spark.createDataFrame(spark.sparkContext.parallelize(data, 2), SCHEMA)
+        assert filled(frame, "file", "line_no", F.col("_has_date"), ["Num"]) is None
